@@ -1,6 +1,6 @@
 """The registered queries, with the SQL that they are held against."""
 
-from . import packet_queries  # noqa: F401  registers its queries
+from . import packet_queries, text_queries  # noqa: F401  these register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -21,9 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all machines share; only where it is unset, one in the warehouse."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    return context.getCheckpointDir()
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stream_id, idx, pts (µs), duration, size, keyframe, event_type, cents."""
-    return table(spark, sf_dir, "events").select(
+    return packets_of(table(spark, sf_dir, "events"))
+
+
+def packets_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").alias("stream_id"),
         F.col("event_id").alias("idx"),
         micros("ts").alias("pts"),

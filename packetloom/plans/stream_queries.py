@@ -17,8 +17,10 @@ from .registry import ORACLE_SQL, query
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")  # a pattern, as it may be one file
-    return packets_of(events)
+    batch = spark.read.parquet(path)
+    reader = spark.readStream.schema(batch.schema)
+    alone = batch.inputFiles()[0].endswith("/events.parquet")  # a file; else a folder of files
+    return packets_of(reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if alone else reader.parquet(path))
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
@@ -40,9 +42,9 @@ def streaming_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH s AS (SELECT stream_id, idx, event_type, keyframe, count(*) FILTER (keyframe) OVER (PARTITION BY stream_id ORDER BY idx) AS n FROM {PACKETS})
     SELECT stream_id, min(idx) AS idx, count(*) AS parts, string_agg(event_type, '' ORDER BY idx) AS payload FROM s WHERE n > 0 GROUP BY stream_id, n QUALIFY n < max(n) OVER (PARTITION BY stream_id)""")
 def streaming_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete packets only: the last of each stream stays open until its time runs out."""
+    """Complete packets only: the last of each stream stays open."""
     p = _stream(spark, sf_dir).select("stream_id", "idx", F.col("keyframe").alias("start"), F.col("event_type").alias("payload"))
-    return _run(spark, live.reassemble(p, wait_ms=3_600_000), "append")
+    return _run(spark, live.reassemble(p, wait_ms=None), "append")
 
 
 @query("""WITH p AS (SELECT vec_id, [CAST(greatest(least(floor(x::DOUBLE * 32767 + 0.5), 32767), -32768) AS BIGINT) for x in embedding] AS p FROM embeddings)

@@ -37,9 +37,9 @@ def state_changes(events: DataFrame, key: str = "stream_id") -> DataFrame:
     return plain.groupBy(key).applyInPandasWithState(run, plain.schema, "value string", "append", GroupStateTimeout.NoTimeout)
 
 
-def reassemble(packets: DataFrame, key: str = "stream_id", wait_ms: int = 10_000) -> DataFrame:
+def reassemble(packets: DataFrame, key: str = "stream_id", wait_ms: int | None = 10_000) -> DataFrame:
     """packets (key, idx, start, payload): a start flag opens a packet, what follows is appended; it is complete, and a row
-    (key, idx, parts, payload), when the next one opens or when nothing has come for wait_ms. Data before the first start is
+    (key, idx, parts, payload), when the next one opens or when nothing has come for wait_ms, unless that is None. Data before the first start is
     dropped. An open packet is all that is kept."""
 
     def run(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -62,11 +62,13 @@ def reassemble(packets: DataFrame, key: str = "stream_id", wait_ms: int = 10_000
                     held = (held[0], held[1] + 1, held[2] + payload)
         if held:
             state.update((int(held[0]), int(held[1]), held[2]))
-            state.setTimeoutDuration(wait_ms)
+            if wait_ms is not None:
+                state.setTimeoutDuration(wait_ms)
 
+    timeout = GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     kind = packets.schema[key].dataType.simpleString()
     plain = packets.select(key, "idx", "start", "payload")
-    return plain.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, idx long, parts long, payload string", "idx long, parts long, payload string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return plain.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, idx long, parts long, payload string", "idx long, parts long, payload string", "append", timeout)
 
 
 def new_segments(segments: DataFrame) -> DataFrame:

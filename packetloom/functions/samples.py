@@ -79,7 +79,10 @@ def channel(samples: Column, channels: int, number: int) -> Column:
     return F.filter(samples, lambda _, i: i % channels == number)
 
 
+#: The weights of r, g, b in y, u and v, and what is added.
+YUV = {"y": (0.257, 0.504, 0.098, 16), "u": (-0.148, -0.291, 0.439, 128), "v": (0.439, -0.368, -0.071, 128)}
+
+
 def palette_yuv(r: Column, g: Column, b: Column) -> Column:
-    """Struct y, u, v of 8-bit colours, in integers that truncate (ITU-R BT.601, 16 bits of fraction)."""
-    part = lambda kr, kg, kb, base: F.call_function("div", (r * kr + g * kg + b * kb).cast("long"), F.lit(65536).cast("long")) + base
-    return F.struct(part(16829, 33039, 6416, 16).alias("y"), part(-9714, -19070, 28784, 128).alias("u"), part(28784, -24103, -4681, 128).alias("v"))
+    """Struct y, u, v of 8-bit colours, cut to integers."""
+    return F.struct(*[(r * wr + g * wg + b * wb + base).cast("long").alias(n) for n, (wr, wg, wb, base) in YUV.items()])

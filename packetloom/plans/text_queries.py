@@ -187,7 +187,8 @@ def pcm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("vec_id", add(F.col("q")).alias("total"), add(S.channel(F.col("q"), 2, 0)).alias("left_total"), F.size("q").alias("n"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST((r * 16829 + g * 33039 + b * 6416) // 65536 + 16 AS BIGINT) AS y, CAST((r * -9714 + g * -19070 + b * 28784) // 65536 + 128 AS BIGINT) AS u, CAST((r * 28784 + g * -24103 + b * -4681) // 65536 + 128 AS BIGINT) AS v
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(trunc(r * 0.257::DOUBLE + g * 0.504::DOUBLE + b * 0.098::DOUBLE + 16) AS BIGINT) AS y,
+    CAST(trunc(r * -0.148::DOUBLE + g * -0.291::DOUBLE + b * 0.439::DOUBLE + 128) AS BIGINT) AS u, CAST(trunc(r * 0.439::DOUBLE + g * -0.368::DOUBLE + b * -0.071::DOUBLE + 128) AS BIGINT) AS v
     FROM (SELECT *, l_partkey % 256 AS r, l_suppkey % 256 AS g, l_orderkey % 256 AS b FROM lineitem)""")
 def palette_yuv(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")

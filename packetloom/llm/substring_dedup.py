@@ -6,7 +6,7 @@ pass counts, in a count-min sketch a partition, the documents of each anchor; th
 count, and so the number of documents with the window. The second pass drops the windows whose estimate is one and groups
 the others exactly, by 128 bits of the window's words: none that repeats is lost, and a false alarm costs a row.
 
-Windows estimated in HOT documents or more are summed up by each task before they are shuffled, and their least document
+Windows estimated in `hot_docs` documents or more are summed up by each task before they are shuffled, and their least document
 is joined back on a salted key; all others have groups smaller than that. The sketch has two rows of at most
 `max_cells` cells, of which two bits a cell reach the driver; on more text than that suits, more windows are
 grouped, and the result is the same.
@@ -27,7 +27,8 @@ from .common import body, cut, fresh
 
 RUN = 16
 ROWS, BLOCK = 2, 1 << 16
-HOT, SALTS = 200, 16
+#: A window in so many documents would weigh on one task; the ways of hot windows cost two shuffles.
+HOT, SALTS = 10_000, 16
 #: Characters that are hashed at once, words of a longer text's segment, and words that are remembered.
 CHUNK, SEGMENT, CACHE = 1 << 20, 1 << 18, 400_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -140,11 +141,11 @@ def _cells(anchor: np.ndarray, cells: int) -> list[np.ndarray]:
 
 
 def _count(cells: int, window: int):
-    """The sketch of a task, block by block: places with counts of 1 to 255."""
+    """The sketch of a task, block by block: places with counts."""
 
     def out(found: list[np.ndarray]):
         place, n = np.unique(np.concatenate([c for a in found for c in _cells(a, cells)]), return_counts=True)
-        n = np.minimum(n, 255).astype(np.uint8)
+        n = np.minimum(n, 65535).astype(np.uint16)
         block = place >> 16
         starts = np.flatnonzero(np.diff(block, prepend=-1))
         ends = np.append(starts[1:], len(block))
@@ -178,41 +179,43 @@ def _count(cells: int, window: int):
     return run
 
 
-def _merge(batches):
-    """Sorted by block; a block's bits for counts of two and of HOT."""
-    at, count = None, np.zeros(BLOCK)
+def _merge(hot_docs: int):
+    """Sorted by block; a block's bits for counts of two and of hot_docs."""
 
-    def closed():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([at]), pa.array([np.packbits(count >= 2).tobytes()], pa.binary()), pa.array([np.packbits(count >= HOT).tobytes()], pa.binary())], ["block", "two", "hot"]
-        )
+    def closed(at, count):
+        bits = [pa.array([np.packbits(count >= least).tobytes()], pa.binary()) for least in (2, hot_docs)]
+        return pa.RecordBatch.from_arrays([pa.array([at]), *bits], ["block", "two", "hot"])
+
+    def run(batches):
+        at, count = None, np.zeros(BLOCK)
+        for batch in batches:
+            for block, place, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if block != at:
+                    if at is not None:
+                        yield closed(at, count)
+                    at, count = block, np.zeros(BLOCK)
+                count[np.frombuffer(place, np.uint16)] += np.frombuffer(n, np.uint16)
+        if at is not None:
+            yield closed(at, count)
 
-    for batch in batches:
-        for block, place, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if block != at:
-                if at is not None:
-                    yield closed()
-                at, count = block, np.zeros(BLOCK)
-            count[np.frombuffer(place, np.uint16)] += np.frombuffer(n, np.uint8)
-    if at is not None:
-        yield closed()
+    return run
 
 
-def _sketch(texts: DataFrame, cells: int, window: int):
-    """Broadcast bits of the merged sketch. At most ROWS * cells / 4 bytes pass through the driver."""
+def _sketch(texts: DataFrame, cells: int, window: int, hot_docs: int):
+    """Broadcast bits of the merged sketch, and whether a cell is hot. At most ROWS * cells / 4 bytes pass through the driver."""
     spark = texts.sparkSession
     parts = max(1, min(ROWS * cells // BLOCK, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     counted = texts.mapInArrow(_count(cells, window), "block long, place binary, n binary")
-    merged = counted.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_merge, "block long, two binary, hot binary")
+    merged = counted.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_merge(hot_docs), "block long, two binary, hot binary")
     two, hot = bytearray(ROWS * cells // 8), bytearray(ROWS * cells // 8)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():
         where = slice(r.block * BLOCK // 8, (r.block + 1) * BLOCK // 8)
         two[where], hot[where] = r.two, r.hot
-    return spark.sparkContext.broadcast((bytes(two), bytes(hot)))
+    return spark.sparkContext.broadcast((bytes(two), bytes(hot))), any(hot)
 
 
-def _candidates(held, cells: int, window: int):
-    """id, tag, text -> the windows that may repeat: h1, h2, id, place (with the tag), hot."""
+def _candidates(held, cells: int, window: int, wanted: bool):
+    """id, tag, text -> the windows that may repeat, hot ones or the others as wanted: h1, h2, id, place (with the tag)."""
 
     def run(batches):
         two, hot = (np.frombuffer(b, np.uint8) for b in held.value)
@@ -232,14 +235,13 @@ def _candidates(held, cells: int, window: int):
                 edge = np.flatnonzero(np.diff(anchor, prepend=~anchor[0]) != 0)
                 at = _cells(anchor[edge], cells)
                 run_of = np.cumsum(np.diff(anchor, prepend=~anchor[0]) != 0) - 1
-                may, often = all_set(two, at)[run_of], all_set(hot, at)[run_of]
-                keep = np.flatnonzero(may)
+                keep = np.flatnonzero((all_set(two, at) & (all_set(hot, at) == wanted))[run_of])
                 if not len(keep):
                     continue
                 row = first + row[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(ids[row]), pa.array(tags[row] << 32 | place[keep]), pa.array(often[keep])],
-                    ["h1", "h2", "id", "place", "hot"],
+                    [pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(ids[row]), pa.array(tags[row] << 32 | place[keep])],
+                    ["h1", "h2", "id", "place"],
                 )
 
     return run
@@ -254,21 +256,21 @@ def _keys(docs: DataFrame, id_col: str, text_col: str):
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.shiftrightunsigned(F.xxhash64(body(text_col)), 33)
 
 
-def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_cells: int = 1 << 26) -> DataFrame:
+def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_cells: int = 1 << 26, hot_docs: int = HOT) -> DataFrame:
     """id, tag, starts: where windows start, in words, that also start in a row with a smaller id."""
     chars = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
     cells = min(max_cells, max(BLOCK, 1 << (chars // 40).bit_length()))
-    held = _sketch(docs.select(body(text_col).alias("text")), cells, window)
+    held, some_hot = _sketch(docs.select(body(text_col).alias("text")), cells, window, hot_docs)
     doc, tag = _keys(docs, id_col, text_col)
     keyed = docs.select(doc.alias("id"), tag.alias("tag"), body(text_col).alias("text"))
-    rows = keyed.mapInArrow(_candidates(held, cells, window), "h1 long, h2 long, id long, place long, hot boolean")
-    rows = cut(rows)
-    even = rows.filter("not hot").withColumn("first", F.min("id").over(Window.partitionBy("h1", "h2"))).filter("id > first").select("id", "place")
-    often = rows.filter("hot")
-    firsts = cut(often.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"))
-    salted = firsts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    joined = often.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
-    places = even.unionByName(joined.filter("id > first").select("id", "place"))
+    rows = lambda hot: keyed.mapInArrow(_candidates(held, cells, window, hot), "h1 long, h2 long, id long, place long")
+    places = rows(False).withColumn("first", F.min("id").over(Window.partitionBy("h1", "h2"))).filter("id > first").select("id", "place")
+    if some_hot:
+        often = cut(rows(True))
+        firsts = cut(often.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"))
+        salted = firsts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        joined = often.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
+        places = places.unionByName(joined.filter("id > first").select("id", "place"))
     return places.groupBy("id", F.shiftright("place", 32).alias("tag")).agg(F.collect_list(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("starts"))
 
 
@@ -289,19 +291,19 @@ def _without(text: bytes, starts, window: int) -> tuple[list[bytes], int]:
     return list(compress(words, (~gone).tolist())), len(words)
 
 
-def _with_starts(docs: DataFrame, id_col: str, text_col: str, window: int, max_cells: int) -> tuple[DataFrame, str]:
+def _with_starts(docs: DataFrame, id_col: str, text_col: str, window: int, max_cells: int, hot_docs: int) -> tuple[DataFrame, str]:
     k, t, starts = fresh(docs, "id_key", "tag_key", "starts")
     doc, tag = _keys(docs, id_col, text_col)
-    found = repeated_places(docs, id_col, text_col, window, max_cells).select(F.col("id").alias(k), F.col("tag").alias(t), F.col("starts").alias(starts))
+    found = repeated_places(docs, id_col, text_col, window, max_cells, hot_docs).select(F.col("id").alias(k), F.col("tag").alias(t), F.col("starts").alias(starts))
     return docs.withColumns({k: doc, t: tag}).join(found, [k, t], "left").drop(k, t), starts
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_cells: int = 1 << 26) -> DataFrame:
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_cells: int = 1 << 26, hot_docs: int = HOT) -> DataFrame:
     """One row for each of docs: id_col, n_words, n_removed, kept_sha256 (of the kept words, joined by one space).
 
     Null and empty texts have no words. A null id counts as the largest. Rows with the same id remove nothing from
     each other. Other columns are not read."""
-    wide, starts = _with_starts(docs.select(id_col, text_col), id_col, text_col, window, max_cells)
+    wide, starts = _with_starts(docs.select(id_col, text_col), id_col, text_col, window, max_cells, hot_docs)
 
     @F.arrow_udf("struct<n_words: bigint, n_removed: bigint, kept_sha256: string>")
     def digest(texts: pa.Array, starts: pa.Array) -> pa.Array:
@@ -316,10 +318,10 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     return wide.select(F.col(id_col), digest(body(text_col), F.col(starts)).alias("d")).select(id_col, "d.*")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_cells: int = 1 << 26) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_cells: int = 1 << 26, hot_docs: int = HOT) -> DataFrame:
     """docs with the repeated passages taken out of the texts, whose words are then joined by one space; texts from which
     nothing is taken stay as they are. Columns as they are."""
-    wide, starts = _with_starts(docs, id_col, text_col, window, max_cells)
+    wide, starts = _with_starts(docs, id_col, text_col, window, max_cells, hot_docs)
 
     @F.arrow_udf("string")
     def kept(texts: pa.Array, starts: pa.Array) -> pa.Array:

@@ -196,14 +196,14 @@ def test_substring_dedup(odd, odd_rows, window):
     assert got == brute_substrings(texts_of(odd_rows), window)
 
 
-def test_substring_dedup_hot_windows_and_a_full_sketch(spark, monkeypatch):
+def test_substring_dedup_hot_windows_and_a_full_sketch(spark):
     rng = random.Random(4)
     passage = words(rng, 60)
-    rows = [(i, words(rng, 20) + " " + passage + " " + words(rng, 20)) for i in range(260)]  # more than HOT
+    rows = [(i, words(rng, 20) + " " + passage + " " + words(rng, 20)) for i in range(260)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = brute_substrings(rows, 50)
     for cells in (1 << 26, 1 << 16):
-        assert sorted_rows(substring_dedup.assign(docs, max_cells=cells), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+        assert sorted_rows(substring_dedup.assign(docs, max_cells=cells, hot_docs=20), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
 def test_remove_repeats_keeps_columns(odd):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A run of the characters that separate words, and of those that make one.
@@ -66,3 +66,17 @@ def lookup_join(rows: DataFrame, keyed: DataFrame, on: str, weight: str, total:
     hot = keyed.filter(F.col(weight) >= floor)
     rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keyed.filter(F.col(weight) < floor), on)
     return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def few_of_each(rows: DataFrame, key: str, group: str, each: int) -> DataFrame:
+    """At most `each` rows of every group, those with the least hashes of the key. Of large groups only a thin range of hashes,
+    some three times as many rows as needed, is ranked, so no task gets more however many rows there are. Groups are few."""
+    spark = rows.sparkSession
+    sizes = rows.groupBy(group).count().collect()
+    kind = rows.schema[group].dataType.simpleString()
+    share = [(r[0], 1.0 if r["count"] <= 4 * each else (3 * each + 100) / r["count"]) for r in sizes]
+    h, part, rank = fresh(rows, "h", "part", "rank")
+    thin = rows.join(F.broadcast(spark.createDataFrame(share, f"{group} {kind}, {part} double")), group)
+    thin = thin.withColumn(h, F.xxhash64(key)).filter(F.shiftrightunsigned(h, 11) / float(1 << 53) < F.col(part))
+    by = Window.partitionBy(group).orderBy(h, key)
+    return thin.withColumn(rank, F.row_number().over(by)).filter(F.col(rank) <= each).select(*rows.columns)

@@ -13,11 +13,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ftrl
-from .common import body
+from .common import body, few_of_each
 
 WIDTH, ORDERS, CHUNK = 1 << 15, 4, 1 << 19
 LETTER = re.compile(r"[^\W\d_]")
@@ -74,9 +74,8 @@ def fit(docs: DataFrame, held_out: Column, sample_rows: int = 4000, id_col: str
     if not names:
         return None
     each = max(50, sample_rows // len(names))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    keys = teaching.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    chosen = keys.withColumn("rank", rank).filter(F.col("rank") <= each).select("id", "lang", "h").distinct()
+    keys = teaching.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    chosen = few_of_each(keys, "id", "lang", each).distinct().withColumn("h", F.xxhash64("id"))
     n, df = _document_counts(teaching.select(body(text_col).alias("text")))
     idf = np.log((n + 1) / (df + 1)) + 0.1
     held = docs.sparkSession.sparkContext.broadcast(idf)

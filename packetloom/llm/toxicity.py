@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ftrl
-from .common import body
+from .common import body, few_of_each
 
 #: Lexicons of insults.
 LEXICONS = {
@@ -56,8 +56,7 @@ def _features_of(word: str) -> list[int]:
 def _sample(labels: DataFrame, held_out: Column, rows_per_class: int, id_col: str, label_col: str) -> DataFrame:
     """id, label: at most rows_per_class ids of either class. A document with several labels is toxic if one says so."""
     known = labels.filter(F.col(label_col).isNotNull() & ~held_out).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("label"))
-    parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(rows_per_class) for y in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    return few_of_each(known, "id", "label", rows_per_class)
 
 
 def _read(chosen: DataFrame, docs: DataFrame, id_col: str, text_col: str):

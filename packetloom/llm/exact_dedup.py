@@ -90,7 +90,7 @@ def may_repeat(hashes: DataFrame, rows: int, max_filter_bytes: int = 32 << 20):
     parts = max(1, min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     merged = sparse.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_merge, "block long, twice binary")
     bits = bytearray(blocks * BLOCK // 8)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():
         bits[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = row.twice
     held = spark.sparkContext.broadcast(bytes(bits))
 
@@ -133,7 +133,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )
     repeated = asked.filter(F.col("again")).drop("again", "h")
-    groups = cut(_groups(repeated, "rid"))
+    groups = _groups(repeated, "rid")  # read thrice below, from one exchange
     joined = lookup_join(repeated, groups, "sha", "group_size", rows).select(
         "id", F.col("first.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "sha"
     )
@@ -149,7 +149,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = cut(_digests(docs, id_col, text_col))
     rows = known.count()
     probe = may_repeat(known.select("h"), rows, max_filter_bytes)
-    groups = cut(_groups(known.filter(probe(F.col("h")))))
+    groups = _groups(known.filter(probe(F.col("h"))))
     groups = groups.select(F.col("sha").alias(sha), F.col("first").alias(first), F.col("group_size").alias(weight))
     wide = docs.withColumns({sha: F.unhex(F.sha2(norm, 256)), h: F.xxhash64(norm), chars: F.length(body(text_col)).cast("long")})
     wide = wide.withColumn(again, probe(F.col(h)))

@@ -28,11 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Files of a written table, at most, for each core of the cluster.
+FILES_A_CORE = 8
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: what follows neither recomputes it nor depends on an executor."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: what follows neither recomputes it nor depends on an executor.
+    Many small partitions are written by fewer tasks, still several a core, so no folder fills with small files."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -28,56 +28,88 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, cut, fresh, lookup_join
+from .common import body, cut, lookup_join
 from .components import components
 
 BITS = 64
 SEED = 42
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 14
+#: For near_dedup, numbers of 64 bits that the sets of shingles are compared by. Even.
+EXTRA = 4
 
 
-def fingerprint(text: bytes, shingle: int, distinct: bool = False, seed: int = SEED) -> int:
-    """Of a UTF-8 text. A-Z is lower-cased, words are separated by [\\x20\\x09-\\x0D], shingles are joined by one
-    space. Fewer words make one shingle, none give 0. distinct: a repeated shingle counts once."""
+def _grams(text: bytes, shingle: int) -> list[bytes]:
     words = text.lower().split()
     n = len(words)
-    if n == 0:
-        return 0
     if n <= shingle:
-        grams = [b" ".join(words)]
-    elif shingle == 1:
-        grams = words
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[: n - shingle + 1]
-        grams = [line[a:b] for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
-    if distinct:
-        grams = set(grams)
-    total, ones, part = 0, np.zeros(BITS, np.int64), []
-    digest = xxhash.xxh64_digest
-    grams = list(grams)
+        return [b" ".join(words)] * (n > 0)
+    if shingle == 1:
+        return words
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: n - shingle + 1]
+    return [line[a:b] for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
+
+
+def _majority(grams: list[bytes], digest, bits: int, more: int = 0) -> np.ndarray:
+    """Of each bit of the hashes, whether it is set in over half of them, as 64-bit numbers. more: so many times as many
+    bits again, from hashes of the hashes."""
+    ones = np.zeros(bits * (1 + more), np.int64)
     for at in range(0, len(grams), CHUNK):
-        part = [digest(g, seed) for g in grams[at : at + CHUNK]]
-        total += len(part)
-        ones += np.unpackbits(np.frombuffer(b"".join(part), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > total).view(">u8")[0])
+        h = np.frombuffer(b"".join([digest(g, SEED) for g in grams[at : at + CHUNK]]), ">u8").reshape(-1, bits // 64)
+        if more:
+            native = h.astype(np.uint64)
+            h = np.concatenate([native, *(_again(native, k) for k in range(more))], axis=1).astype(">u8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(grams)).view(">u8").astype(np.uint64)
+
+
+def _again(h: np.ndarray, k: int) -> np.ndarray:
+    h = (h + np.uint64(2 * k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Of a UTF-8 text. A-Z is lower-cased, words are separated by [\\x20\\x09-\\x0D], shingles are joined by one
+    space. Fewer words make one shingle, none give 0. A repeated shingle counts as often as it occurs."""
+    return int(_majority(_grams(text, shingle), xxhash.xxh64_digest, BITS)[0])
+
+
+def set_fingerprints(text: bytes, shingle: int) -> np.ndarray:
+    """Of the set of words, in which near-duplicates differ little, 64 bits; of the set of shingles, EXTRA times 64."""
+    first = _majority(list(set(_grams(text, 1))), xxhash.xxh64_digest, BITS)
+    return np.concatenate([first, _majority(list(set(_grams(text, shingle))), xxhash.xxh3_128_digest, 128, EXTRA // 2 - 1)])
 
-def fingerprint_column(text_col: str, shingle: int, distinct: bool = False, seed: int = SEED):
+
+def fingerprint_column(text_col: str, shingle: int):
     """The fingerprint as a bigint column; null counts as an empty text."""
 
     @F.arrow_udf("bigint")
     def of(texts: pa.Array) -> pa.Array:
         out = np.empty(len(texts), np.uint64)
         for i, text in enumerate(texts.cast(pa.binary())):
-            out[i] = fingerprint(text.as_py(), shingle, distinct, seed)
+            out[i] = fingerprint(text.as_py(), shingle)
         return pa.array(out.view(np.int64))
 
     return of(body(text_col))
 
 
+def set_fingerprints_column(text_col: str, shingle: int):
+    """Struct of bigints fp, v0, v1, ...; null counts as an empty text."""
+    names = ["fp", *[f"v{i}" for i in range(EXTRA)]]
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in names) + ">")
+    def of(texts: pa.Array) -> pa.Array:
+        out = np.empty((len(texts), len(names)), np.uint64)
+        for i, text in enumerate(texts.cast(pa.binary())):
+            out[i] = set_fingerprints(text.as_py(), shingle)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(len(names))], names)
+
+    return of(body(text_col))
+
+
 # --- the plan -------------------------------------------------------------------------------------------------
 
 
@@ -138,8 +170,9 @@ def _allocate(cost: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best.get(total, (float("inf"), []))
 
 
-#: The widest ball of probes that a plan may use, and what a probe row costs beside a candidate.
-MOST_RADIUS, PROBE_COST, LEAST_PARTS, MOST_PARTS = 3, 20.0, 2, 16
+#: The widest ball of probes that a plan may use, and what a row that is shuffled and sorted costs beside the comparison of a
+#: candidate, some two microseconds and fifty bytes to five nanoseconds.
+MOST_RADIUS, PROBE_COST, LEAST_PARTS, MOST_PARTS = 3, 400.0, 2, 16
 
 
 def plan(n: int, both: np.ndarray, sample: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -411,34 +444,31 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-#: For near_dedup: two texts are near if their fingerprints of distinct words are within PROBE_BITS of 64, and those of
-#: their distinct five-word shingles within the share of EXTRA x 64 bits that a Jaccard similarity leads to.
-PROBE_BITS, EXTRA = 7, 3
+#: For near_dedup: bits of 64 in which the fingerprints of word sets may differ.
+PROBE_BITS = 8
 
 
 def _bits_for(similarity: float, bits: int) -> int:
-    """Bits in which sets of this Jaccard similarity differ, plus two standard deviations: with cosine
+    """Bits in which sets of this Jaccard similarity differ, plus one standard deviation: with cosine
     2 s / (1 + s), a bit differs with the probability angle / pi."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(np.ceil(bits * p + 2 * (bits * p * (1 - p)) ** 0.5))
+    return int(np.ceil(bits * p + (bits * p * (1 - p)) ** 0.5))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near-duplicates: the smallest id; columns as they are.
 
-    Near: a similarity of about `similarity` or more of the sets of `shingle`-word shingles, which 192 bits estimate.
+    Near: a similarity of about `similarity` or more of the sets of `shingle`-word shingles, which EXTRA times 64 bits estimate.
     Candidates come from fingerprints of the sets of single words, in which near-duplicates differ far less.
-    Texts without words are one group; rows with a null id stay; of rows with the same id and fingerprints all stay or go."""
-    first, *more = fresh(docs, "fp", *[f"v{i}" for i in range(EXTRA)])
-    columns = {first: fingerprint_column(text_col, 1, True)}
-    columns |= {c: fingerprint_column(text_col, shingle, True, SEED + 1 + i) for i, c in enumerate(more)}
-    known = docs.select(F.col(id_col).cast("long").alias("id"), *[x.alias(c) for c, x in zip(["fp", *[f"v{i}" for i in range(EXTRA)]], columns.values())])
-    known = cut(known.filter("id is not null"))
-    if not known.head(1):
+    Texts without words are one group; rows with a null id stay; rows with the same id all stay if one of them does. The ids that
+    go, fewer than those that stay, are broadcast if Spark finds them small; else rows and ids are shuffled."""
+    print_ = set_fingerprints_column(text_col, shingle)
+    known = cut(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), print_.alias("p")).select("id", "p.*"))
+    nodes = cut(known.groupBy(*[c for c in known.columns if c != "id"]).agg(F.min("id").alias("node")))
+    if not nodes.head(1):
         return docs
-    names = ["fp", *[f"v{i}" for i in range(EXTRA)]]
-    nodes = cut(known.groupBy(*names).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    found = components(link(nodes.drop("copies"), PROBE_BITS, _bits_for(similarity, 64 * EXTRA)))
-    kept = nodes.select("node").distinct().join(found.filter("node <> component").select("node"), "node", "left_anti")
-    kept = cut(kept.select(F.col("node").alias(id_col)))
-    return docs.filter(F.col(id_col).isNull()).unionByName(docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")).select(docs.columns)
+    found = components(link(nodes, PROBE_BITS, _bits_for(similarity, EXTRA * BITS))).select("node", "component")
+    named = nodes.join(found, "node", "left").withColumn("stays", F.coalesce("component", "node"))
+    rows = known.join(named.drop("node", "component"), [c for c in known.columns if c != "id"])
+    gone = cut(rows.groupBy("id").agg(F.max((F.col("id") == F.col("stays")).cast("int")).alias("any")).filter("any = 0").select(F.col("id").alias(id_col)))
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)

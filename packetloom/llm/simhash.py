@@ -444,31 +444,205 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-#: For near_dedup: bits of 64 in which the fingerprints of word sets may differ.
-PROBE_BITS = 8
+#: For near_dedup: keys of a set of shingles, and how many pairs of the wanted similarity may share none of them.
+BANDS, MISSED = 32, 1e-5
+#: Rows of a bucket that are paired with all others before anything is verified.
+FIRST = 4
+
+
+def _minima_for(similarity: float) -> int:
+    """Minima that make one key: the most with which no more than MISSED of the pairs of this Jaccard similarity share none of
+    BANDS keys. Two sets have the same minimum with the probability of their Jaccard similarity, whatever they differ in."""
+    r = 1
+    while (1 - similarity ** (r + 1)) ** BANDS <= MISSED:
+        r += 1
+    return r
+
+
+def band_keys(grams: set[bytes], minima: int) -> np.ndarray:
+    """BANDS keys of a set that is not empty, each of `minima` least values of hashes of its elements."""
+    h = np.frombuffer(b"".join([xxhash.xxh3_64_digest(g, SEED) for g in grams]), ">u4")[::2].astype(np.uint32)
+    by = (_again(np.arange(BANDS * minima, dtype=np.uint64), 7) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    least = np.full(len(by), np.uint32(0xFFFFFFFF))
+    for at in range(0, len(h), 1024):
+        x = h[at : at + 1024, None] * by
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        np.minimum(least, (x ^ (x >> np.uint32(12))).min(axis=0), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for x in least.reshape(BANDS, minima).T:
+        key = _again(key ^ x.astype(np.uint64), 0)
+    return key
+
+
+def _set_column(text_col: str, shingle: int, minima: int):
+    """Struct of a digest of the set of shingles, its size, and its keys; null counts as an empty text."""
+
+    @F.arrow_udf("struct<d: binary, n: int, keys: array<bigint>>")
+    def of(texts: pa.Array) -> pa.Array:
+        digests, sizes, keys = [], [], []
+        for text in texts.cast(pa.binary()):
+            grams = set(_grams(text.as_py(), shingle))
+            digests.append(xxhash.xxh3_128_digest(b"\n".join(sorted(grams)), SEED))
+            sizes.append(len(grams))
+            keys.append(band_keys(grams, minima).view(np.int64) if grams else np.zeros(0, np.int64))
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], ["d", "n", "keys"])
+
+    return of(body(text_col))
+
+
+def _alike(n, m, similarity: float):
+    """Whether sets of n and m elements can be that similar."""
+    return np.minimum(n, m) / np.maximum(n, m) >= similarity
+
+
+def _first_pairs(similarity: float):
+    """Of (key, node, n) sorted by key and node: pairs a, b of the first FIRST rows of a bucket with all others, with key null; and
+    the further rows again, as a = node, b = n. A bucket may be of any size: no more than its first rows are held."""
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = len(held[0])
+            key, node, n = (np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held))
+            new = np.append(True, key[1:] != key[:-1])
+            start = np.flatnonzero(new)[np.cumsum(new) - 1]
+            pos = np.arange(len(key)) - start
+            for k in range(FIRST):
+                i = np.flatnonzero(pos > k)
+                i = i[i >= old]
+                j = start[i] + k
+                ok = (node[i] != node[j]) & _alike(n[i], n[j], similarity)
+                i, j = i[ok], j[ok]
+                yield _three(pa.nulls(len(i), pa.int64()), node[j], node[i])
+            i = np.flatnonzero(pos >= FIRST)
+            i = i[i >= old]
+            yield _three(pa.array(key[i]), node[i], n[i])
+            last = slice(start[-1], start[-1] + FIRST)
+            held = [key[last], node[last], n[last]]
+
+    return run
+
+
+def _three(key, a, b):
+    return pa.RecordBatch.from_arrays([key, pa.array(a), pa.array(b)], ["key", "a", "b"])
+
+
+def _other_pairs(similarity: float):
+    """Of (key, p, q, own, node, n, component) sorted by key, p, q: all pairs a, b of a bucket that are not in one component yet."""
+
+    def closed(table: pa.Table):
+        key, p, q, own, node, n, comp = (table.column(i).to_numpy() for i in range(7))
+        new = np.append(True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
+        for s, e in zip(np.flatnonzero(new).tolist(), np.append(np.flatnonzero(new)[1:], len(key)).tolist()):
+            step = max(1, CELLS // (e - s))
+            for at in range(s, e, step):
+                to = min(e, at + step)
+                i, j = np.nonzero((comp[at:to, None] < comp[None, s:e]) & _alike(n[at:to, None], n[None, s:e], similarity))
+                i, j = i + at, j + s
+                ok = (node[i] != node[j]) & ((own[i] != own[j]) | (p[i] == q[i]))
+                a, b = node[i[ok]], node[j[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            same = np.ones(table.num_rows, bool)
+            for c in ("key", "p", "q"):  # the last bucket may go on
+                x = table.column(c).to_numpy()
+                same &= x == x[-1]
+            if not same.all():
+                end = int(np.flatnonzero(~same)[-1]) + 1
+                yield from closed(table.slice(0, end))
+                held = table.slice(end).combine_chunks().to_batches()
+        if held:
+            yield from closed(pa.Table.from_batches(held))
 
-def _bits_for(similarity: float, bits: int) -> int:
-    """Bits in which sets of this Jaccard similarity differ, plus one standard deviation: with cosine
-    2 s / (1 + s), a bit differs with the probability angle / pi."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(np.ceil(bits * p + (bits * p * (1 - p)) ** 0.5))
+    return run
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs a, b of ids whose texts in docs (id, text) have sets of shingles with a Jaccard similarity of `similarity`
+    or more, exactly. An id that is in many pairs is broadcast with its text; other texts are shuffled."""
+    sides = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w")).withColumnRenamed("a", "id")
+    left = cut(docs.join(sides, "id").select(F.col("id").alias("a"), F.col("text").alias("x"), "w"))
+    right = docs.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("b"), F.col("text").alias("y"))
+    both = lookup_join(pairs, left, "a", "w", pairs.count()).select("a", "b", "x").join(right, "b").select("a", "b", "x", "y")
+
+    def run(batches):
+        known: dict[bytes, set[bytes]] = {}
+
+        def grams(text):
+            text = text.as_py()
+            if text not in known:
+                if len(known) >= 64:
+                    known.clear()
+                known[text] = set(_grams(text, shingle))
+            return known[text]
+
+        for batch in batches:
+            x, y = (batch.column(i).cast(pa.binary()) for i in (2, 3))
+            ok = []
+            for s, t in zip(x, y):
+                s, t = grams(s), grams(t)
+                shared = len(s & t)
+                ok.append(shared > 0 and shared / (len(s) + len(t) - shared) >= similarity)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_pairs(sets: DataFrame, docs: DataFrame, shingle: int, similarity: float, bucket_rows: int = 20000) -> DataFrame:
+    """sets: node (an id), n, keys; docs: id, text. Returns verified pairs a, b that span the components of all pairs of nodes
+    that share a key and are near.
+
+    The first rows of each bucket are paired with all its others. Of what is left in larger buckets, pairs that these links have
+    brought into one component need no look; all others are verified too."""
+    spark = sets.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = sets.select(F.explode("keys").alias("key"), "node", "n").repartition(count, "key").sortWithinPartitions("key", "node")
+    found = cut(rows.mapInArrow(_first_pairs(similarity), "key long, a long, b long"))
+    first = cut(found.filter("key is null").select("a", "b").distinct())
+    links = cut(_verified(first, docs, shingle, similarity))
+    rest = found.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("n"))
+    if not rest.head(1):
+        return links
+    rest = rest.join(components(links).select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = cut(rest.select("key", "node", "n", "component"))
+    mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"))
+    mixed = cut(mixed.filter("low <> high").select("key", "rows", F.ceil(F.col("rows") / bucket_rows).cast("int").alias("blocks")))
+    rest = lookup_join(rest, mixed, "key", "rows", rest.count()).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+    rest = rest.select("key", "p", "q", "own", "node", "n", "component").repartition(count, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    others = cut(rest.mapInArrow(_other_pairs(similarity), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"))
+    return links.unionByName(_verified(others, docs, shingle, similarity)) if others.head(1) else links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near-duplicates: the smallest id; columns as they are.
 
-    Near: a similarity of about `similarity` or more of the sets of `shingle`-word shingles, which EXTRA times 64 bits estimate.
-    Candidates come from fingerprints of the sets of single words, in which near-duplicates differ far less.
+    Near: a Jaccard similarity of `similarity` or more of the sets of `shingle`-word shingles, which the texts are verified by.
+    Groups are the components of near pairs. Pairs that share one of BANDS keys of minima of their sets are verified: of pairs
+    at the similarity itself no more than MISSED are not, of those above fewer, whether words are changed, added or cut.
     Texts without words are one group; rows with a null id stay; rows with the same id all stay if one of them does. The ids that
     go, fewer than those that stay, are broadcast if Spark finds them small; else rows and ids are shuffled."""
-    print_ = set_fingerprints_column(text_col, shingle)
-    known = cut(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), print_.alias("p")).select("id", "p.*"))
-    nodes = cut(known.groupBy(*[c for c in known.columns if c != "id"]).agg(F.min("id").alias("node")))
-    if not nodes.head(1):
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("text"))
+    known = cut(texts.select("id", _set_column("text", shingle, _minima_for(similarity)).alias("s")).select("id", "s.*"))
+    sets = known.groupBy("d").agg(F.min(F.struct("id", "n", "keys")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    sets = cut(sets.select("d", F.col("m.id").alias("node"), "m.n", "m.keys", "copies"))
+    if not sets.head(1):
         return docs
-    found = components(link(nodes, PROBE_BITS, _bits_for(similarity, EXTRA * BITS))).select("node", "component")
-    named = nodes.join(found, "node", "left").withColumn("stays", F.coalesce("component", "node"))
-    rows = known.join(named.drop("node", "component"), [c for c in known.columns if c != "id"])
+    found = components(near_pairs(sets, texts, shingle, similarity)).select("node", "component")
+    named = cut(sets.select("d", "node", "copies").join(found, "node", "left").select("d", "copies", F.coalesce("component", "node").alias("stays")))
+    known = known.select("id", "d")
+    rows = lookup_join(known, named, "d", "copies", known.count())
     gone = cut(rows.groupBy("id").agg(F.max((F.col("id") == F.col("stays")).cast("int")).alias("any")).filter("any = 0").select(F.col("id").alias(id_col)))
     return docs.join(gone, id_col, "left_anti").select(docs.columns)

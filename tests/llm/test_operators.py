@@ -150,6 +150,67 @@ def test_near_dedup(spark):
     assert sorted(x for x in got if x is not None) == list(range(30)) and got.count(None) == 1
 
 
+def shingle_similarity(a, b):
+    a, b = (set(simhash._grams(t.encode(), 5)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def near_copies(rng, low, high):
+    """Texts of new words, each with a copy of a similarity from low to high, by kind of copy."""
+    fresh = lambda n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n)]
+    out = []
+    for kind in ("appended", "cut", "edited"):
+        while sum(k == kind for k, _, _ in out) < 60:
+            w = fresh(rng.randint(60, 200))
+            v = list(w)
+            if kind == "appended":
+                v += fresh(rng.randint(1, len(w) // 2))
+            elif kind == "cut":
+                at, n = rng.randrange(len(w) // 2), rng.randint(1, len(w) // 3)
+                v = w[:at] + w[at + n :]
+            else:
+                for i in rng.sample(range(len(w)), rng.randint(1, len(w) // 15)):
+                    v[i] = fresh(1)[0]
+            if low <= shingle_similarity(" ".join(w), " ".join(v)) < high:
+                out.append((kind, " ".join(w), " ".join(v)))
+    return out
+
+
+@pytest.mark.parametrize("low, high", [(0.8, 0.85), (0.85, 0.9)])
+def test_near_dedup_finds_appended_cut_and_edited_copies(spark, low, high):
+    pairs = near_copies(random.Random(17), low, high)
+    rows = [(i, a) for i, (_, a, _) in enumerate(pairs)] + [(1000 + i, b) for i, (_, _, b) in enumerate(pairs)]
+    got = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [pairs[i - 1000][0] for i in sorted(got) if i >= 1000] == [] and len(got) == len(pairs)
+
+
+def test_near_dedup_of_dense_groups_equals_all_pairs(spark):
+    """Groups of copies of one text, near to it but many not to each other, the text itself last; buckets far larger than FIRST."""
+    rng = random.Random(4)
+    rows = []
+    for c in range(4):
+        w = words(rng, 150).split()
+        for i in range(40):
+            v = list(w)
+            for at in rng.sample(range(len(v)), 5 if i < 39 else 0):
+                v[at] = f"w{c}x{i}x{at}"
+            rows.append((c * 100 + i, " ".join(v)))
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and shingle_similarity(a, b) >= 0.8:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    got = sorted(r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted({root(i) for i in parent})
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + k) for k in range(300)] + [(5000, 5000)] + [(b, a) for a, b in ((rng.randrange(3000, 3100), rng.randrange(3000, 3100)) for _ in range(60))]

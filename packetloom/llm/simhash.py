@@ -35,8 +35,6 @@ BITS = 64
 SEED = 42
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 14
-#: For near_dedup, numbers of 64 bits that the sets of shingles are compared by. Even.
-EXTRA = 4
 
 
 def _grams(text: bytes, shingle: int) -> list[bytes]:
@@ -52,15 +50,11 @@ def _grams(text: bytes, shingle: int) -> list[bytes]:
     return [line[a:b] for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
 
 
-def _majority(grams: list[bytes], digest, bits: int, more: int = 0) -> np.ndarray:
-    """Of each bit of the hashes, whether it is set in over half of them, as 64-bit numbers. more: so many times as many
-    bits again, from hashes of the hashes."""
-    ones = np.zeros(bits * (1 + more), np.int64)
+def _majority(grams: list[bytes], digest, bits: int) -> np.ndarray:
+    """Of each bit of the hashes, whether it is set in over half of them, as 64-bit numbers."""
+    ones = np.zeros(bits, np.int64)
     for at in range(0, len(grams), CHUNK):
         h = np.frombuffer(b"".join([digest(g, SEED) for g in grams[at : at + CHUNK]]), ">u8").reshape(-1, bits // 64)
-        if more:
-            native = h.astype(np.uint64)
-            h = np.concatenate([native, *(_again(native, k) for k in range(more))], axis=1).astype(">u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > len(grams)).view(">u8").astype(np.uint64)
 
@@ -77,12 +71,6 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(_majority(_grams(text, shingle), xxhash.xxh64_digest, BITS)[0])
 
 
-def set_fingerprints(text: bytes, shingle: int) -> np.ndarray:
-    """Of the set of words, in which near-duplicates differ little, 64 bits; of the set of shingles, EXTRA times 64."""
-    first = _majority(list(set(_grams(text, 1))), xxhash.xxh64_digest, BITS)
-    return np.concatenate([first, _majority(list(set(_grams(text, shingle))), xxhash.xxh3_128_digest, 128, EXTRA // 2 - 1)])
-
-
 def fingerprint_column(text_col: str, shingle: int):
     """The fingerprint as a bigint column; null counts as an empty text."""
 
@@ -96,20 +84,6 @@ def fingerprint_column(text_col: str, shingle: int):
     return of(body(text_col))
 
 
-def set_fingerprints_column(text_col: str, shingle: int):
-    """Struct of bigints fp, v0, v1, ...; null counts as an empty text."""
-    names = ["fp", *[f"v{i}" for i in range(EXTRA)]]
-
-    @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in names) + ">")
-    def of(texts: pa.Array) -> pa.Array:
-        out = np.empty((len(texts), len(names)), np.uint64)
-        for i, text in enumerate(texts.cast(pa.binary())):
-            out[i] = set_fingerprints(text.as_py(), shingle)
-        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(len(names))], names)
-
-    return of(body(text_col))
-
-
 # --- the plan -------------------------------------------------------------------------------------------------
 
 
@@ -295,18 +269,16 @@ def _links(listed: tuple, asking: tuple, near) -> list[tuple[np.ndarray, np.ndar
     return [_forest(a, b)] if len(a) > 64 else [(a, b)]
 
 
-def _verify(max_bits: int, extra_bits: int | None = None):
+def _verify(max_bits: int):
     """Sorted by bucket; yields links a, b. Short buckets of a batch are compared together, by shifts."""
 
     def near(x, y):
-        return np.bitwise_count(x["f"] ^ y["f"]) <= max_bits if extra_bits is None else _near_all(x, y, max_bits, extra_bits)
+        return np.bitwise_count(x["f"] ^ y["f"]) <= max_bits
 
     def rows(table: pa.Table):
         col = {n: table.column(n).to_numpy().astype(np.int64) for n in table.column_names if n not in ("probe",)}
-        names = [n for n in col if n == "fp" or n.startswith("v")]
-        f = np.zeros(table.num_rows, np.dtype([("f" if n == "fp" else n, np.uint64) for n in names]))
-        for n in names:
-            f["f" if n == "fp" else n] = col[n].view(np.uint64)
+        f = np.zeros(table.num_rows, np.dtype([("f", np.uint64)]))
+        f["f"] = col["fp"].view(np.uint64)
         return f, col, table.column("probe").to_numpy()
 
     def closed(table: pa.Table):
@@ -363,26 +335,13 @@ def _verify(max_bits: int, extra_bits: int | None = None):
     return run
 
 
-def _near_all(x, y, max_bits, extra_bits):
-    """Within max_bits on the fingerprint, and within extra_bits on the further ones together."""
-    ok = np.bitwise_count(x["f"] ^ y["f"]) <= max_bits
-    x, y = np.broadcast_arrays(x, y)
-    if ok.any():
-        more = sum(np.bitwise_count(x[n][ok] ^ y[n][ok]).astype(np.int64) for n in x.dtype.names if n != "f")
-        ok[ok] = more <= extra_bits
-    return ok
-
-
-def link(nodes: DataFrame, max_bits: int, extra_bits: int | None = None, sample_rows: int = 2048, bucket_rows: int = 20000) -> DataFrame:
-    """nodes: fp, node and, if extra_bits is given, v0, v1, ... (bigints, no nulls); a node has one row.
-    Returns links a, b between nodes that span the components of all pairs within max_bits (and extra_bits)."""
+def link(nodes: DataFrame, max_bits: int, sample_rows: int = 2048, bucket_rows: int = 20000) -> DataFrame:
+    """nodes: fp, node (bigints, no nulls); a node has one row.
+    Returns links a, b between nodes that span the components of all pairs within max_bits."""
     n, both = _pair_counts(nodes.select("fp"))
     sample = [r.fp for r in nodes.select("fp").orderBy(F.xxhash64("node"), "fp").limit(sample_rows).collect()]
     parts = plan(n, both, np.array(sample, np.int64), max_bits)
-    further = [c for c in nodes.columns if c not in ("fp", "node")]
     rows = nodes.select("fp", "node").mapInArrow(_rows(parts), "part smallint, key long, probe boolean, fp long, node long")
-    if further:
-        rows = _with_further(nodes, parts, further)
     listed = [nodes.select(F.lit(p).cast("smallint").alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for p, (m, _) in enumerate(parts)]
     counts = listed[0]
     for x in listed[1:]:
@@ -398,30 +357,13 @@ def link(nodes: DataFrame, max_bits: int, extra_bits: int | None = None, sample_
         rows = rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("own", "other", "blocks")
         keys += ["p", "q"]
     count = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartition(count, *keys).sortWithinPartitions(*keys, "probe").mapInArrow(_verify(max_bits, extra_bits), "a long, b long")
+    return rows.repartition(count, *keys).sortWithinPartitions(*keys, "probe").mapInArrow(_verify(max_bits), "a long, b long")
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def _with_further(nodes: DataFrame, parts, further: list[str]) -> DataFrame:
-    """As _rows, with the further fingerprints beside."""
-    names = ", ".join(f"{c} long" for c in further)
-
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                place = pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(np.arange(batch.num_rows))], ["fp", "node"])
-                for got in _rows(parts)([place]):
-                    at_row = got.column("node")
-                    cols = [got.column(i) for i in range(4)] + [batch.column("node").take(at_row)] + [batch.column(c).take(at_row) for c in further]
-                    yield pa.RecordBatch.from_arrays(cols, ["part", "key", "probe", "fp", "node", *further])
-
-    return nodes.select("fp", "node", *further).mapInArrow(run, f"part smallint, key long, probe boolean, fp long, node long, {names}")
-
-
 # --- operators ------------------------------------------------------------------------------------------------
 
 

@@ -184,6 +184,12 @@ def test_near_dedup_finds_appended_cut_and_edited_copies(spark, low, high):
     assert [pairs[i - 1000][0] for i in sorted(got) if i >= 1000] == [] and len(got) == len(pairs)
 
 
+def test_near_dedup_keeps_what_is_below_the_similarity(spark):
+    pairs = near_copies(random.Random(18), 0.68, 0.8)
+    rows = [(i, a) for i, (_, a, _) in enumerate(pairs)] + [(1000 + i, b) for i, (_, _, b) in enumerate(pairs)]
+    assert simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).count() == len(rows)
+
+
 def test_near_dedup_of_dense_groups_equals_all_pairs(spark):
     """Groups of copies of one text, near to it but many not to each other, the text itself last; buckets far larger than FIRST."""
     rng = random.Random(4)

@@ -60,11 +60,12 @@ def edit_list(edits: DataFrame, keys: Sequence[str], order: str, media_scale: in
     return summed.filter("media_time <> -1").withColumn("duration", F.col("__d")).drop("__d")
 
 
-def lacing(blocks: DataFrame, keys: Sequence[str], order: str, sizes: str, position: str) -> DataFrame:
-    """A packet for each of a block's sizes, with its position: that of the block plus the sizes before."""
-    out = blocks.select("*", F.posexplode(sizes).alias("lace", "size"))
-    before = F.expr(f"aggregate(slice({sizes}, 1, lace), 0L, (a, x) -> a + x)")
-    return out.withColumn("position", F.col(position) + before).drop(sizes)
+def lacing(blocks: DataFrame, keys: Sequence[str], order: str, sizes: str, position: str, width: int = WIDTH) -> DataFrame:
+    """A packet for each of a block's sizes, with its position: that of the block plus the sizes before. A block is one row,
+    named by keys and order; its sizes are summed once, however many they are."""
+    out = blocks.select("*", F.posexplode(sizes).alias("lace", "size")).drop(sizes)
+    out = scan.running_sum(out, list(dict.fromkeys([*keys, order])), "lace", F.col("size"), "__before", width)
+    return out.withColumn("position", F.col(position) + F.col("__before")).drop("__before")
 
 
 def track_ends(tracks: DataFrame, keys: Sequence[str], order: str, start: str, total: str, width: int = WIDTH) -> DataFrame:

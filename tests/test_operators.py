@@ -139,3 +139,12 @@ def test_metadata(spark):
     assert {r.key: r["values"] for r in metadata.collect_tags(e, ["id"]).collect()} == {"ARTIST": ["a", "b"], "TITLE": ["t"]}
     lines = spark.createDataFrame([(1, 0, "A=b"), (1, 1, "note"), (1, 2, "more")], "id long, pos long, line string")
     assert metadata.comment_fallback(lines, ["id"]).first().comment == "note"
+
+
+def test_lacing_sums_long_blocks_once(spark):
+    sizes = {1: [k * 7 % 31 for k in range(5000)], 2: [4], 3: [], 4: [0, 0, 9]}
+    blocks = spark.createDataFrame([(1, b, s, b * 1000) for b, s in sizes.items()], "track long, block long, sizes array<long>, position long")
+    got = expand.lacing(blocks, ["track"], "block", "sizes", "position", 100)
+    want = {(b, i): (x, b * 1000 + sum(s[:i])) for b, s in sizes.items() for i, x in enumerate(s)}
+    assert {(r.block, r.lace): (r["size"], r.position) for r in got.collect()} == want and got.count() == len(want)
+    assert "slice(" not in got._jdf.queryExecution().optimizedPlan().toString()

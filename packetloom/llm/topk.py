@@ -5,26 +5,33 @@ Vectors are cut into segments, and of each segment the mean and the deviation ar
     |q - x|^2 >= sum of L * ((mean_q - mean_x)^2 + (dev_q - dev_x)^2),
 
 and as |q - x|^2 = |q|^2 + |x|^2 - 2 q.x, this bounds the inner product from above by the sum of
-L * (mean_q * mean_x + dev_q * dev_x), itself a product of short vectors. A block of rows is held against a block of queries at
-4 segments first; the best by the bound are computed exactly and give each query a threshold; pairs whose bound is
-below it go, the rest are bounded at 8, 16, ... segments, and what survives is computed exactly. Bounds are rounded
-upwards, so no pair is lost, ties included.
+L * (mean_q * mean_x + dev_q * dev_x), itself a product of short vectors, here with 4, 8, 16, ... segments.
 
-Rows and queries meet block by block: a row block is paired with every query block, and returns at most k rows a query.
+Rows are dealt to the nearest of some pivots in the space of the statistics of up to 16 segments, and to blocks by their distance from
+it, so that a block's statistics lie close together; their least and greatest values are its envelope, which bounds a query's product with any row
+of the block. First each query meets its SEEDS best blocks by that bound, and its k-th best score there is its bar. Then it
+is sent to those blocks only whose envelope reaches its bar. In a block, the bounds of pairs are looked at from coarse to fine, and what
+survives is computed exactly: pair by pair where few survive, by a matrix product where many do, since that is cheaper than
+a closer look. Bounds are rounded upwards, so no pair is lost, ties included; where nothing can be pruned, all pairs are computed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-FIRST, LEAST = 4, 2
-#: Rows of a block, pairs of one step.
-BLOCK, STEP = 4096, 1 << 20
+FIRST, LEAST, OUTLINE = 4, 2, 16
+#: Numbers in a block of rows and of queries, pairs of one step, envelopes that a block of queries meets at once.
+BLOCK, ASKING, STEP, PAGE = 1 << 19, 1 << 17, 1 << 20, 4096
+#: Blocks that a query meets first; pivots, and the rows that they are found from. These change the cost, never the result.
+SEEDS, PIVOTS, SAMPLE = 2, 256, 4096
+#: Shares of surviving pairs up to which they are bounded more finely, and taken one by one.
+FINER, SINGLY = 1 / 2, 1 / 32
 
 
 def _levels(dim: int) -> list[int]:
@@ -44,88 +51,270 @@ def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, dev], axis=1) * np.sqrt(np.concatenate([size, size]))
 
 
-def _dots(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, exact: bool) -> np.ndarray:
-    """Products of rows i of q with rows j of x; int64 where doubles could round."""
-    out = np.empty(len(i), np.int64)
+def _outline(x: np.ndarray) -> np.ndarray:
+    """The statistics of at most OUTLINE segments, as fine as may be; of very short vectors, the vectors themselves."""
+    x = x.astype(np.float64)
+    levels = [n for n in _levels(x.shape[1]) if n <= OUTLINE]
+    return _statistics(x, levels[-1]) if levels else x
+
+
+class Side:
+    """Vectors of one length with their ids, and what is known of them."""
+
+    def __init__(self, ids: np.ndarray, m: np.ndarray):
+        self.ids, self.m = ids, m
+        self.levels = _levels(m.shape[1])
+        self.top = float(max(-m.min(initial=0), m.max(initial=0)))
+        self.norms = np.linalg.norm(m.astype(np.float64), axis=1)
+        self._exact: dict = {}
+        self._bounds: dict = {}
+
+    def exact(self, kind) -> np.ndarray:
+        if kind not in self._exact:
+            self._exact[kind] = self.m.astype(kind)
+        return self._exact[kind]
+
+    def bounds(self, level: int, kind) -> np.ndarray:
+        if (level, kind) not in self._bounds:
+            self._bounds[level, kind] = _statistics(self.m.astype(np.float64), level).astype(kind)
+        return self._bounds[level, kind]
+
+
+def _gathered(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of rows i of a with rows j of b."""
+    out = np.empty(len(i), a.dtype)
     for at in range(0, len(i), 1 << 16):
-        a, b = q[i[at : at + (1 << 16)]], x[j[at : at + (1 << 16)]]
-        out[at : at + (1 << 16)] = np.einsum("nd,nd->n", a, b) if exact else np.rint(np.einsum("nd,nd->n", a, b)).astype(np.int64)
+        s = slice(at, at + (1 << 16))
+        out[s] = np.einsum("nd,nd->n", a[i[s]], b[j[s]])
     return out
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int):
-    """Query ids, row ids and scores: for each query its k best rows, its own id excluded, and perhaps some more that tie."""
+def search_block(q: Side, x: Side, k: int, bar: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of queries and of rows, and scores: for each query its k best rows whose score is not below its bar, its own id excluded."""
+    reach = q.top * x.top * max(1, x.m.shape[1])
+    kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else np.int64  # products in it are exact
+    loose = np.float32 if max(q.top, x.top) < 1e12 else np.float64
+    eps = ((2e-5 if loose == np.float32 else 1e-9) * (q.norms * x.norms.max(initial=0) + 1)).astype(loose)[:, None]
     out = []
-    large = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) ** 2 * max(1, x.shape[1]) >= 2**52
-    qf, xf = q.astype(np.float64), x.astype(np.float64)
-    levels = _levels(x.shape[1])
-    stats = [(_statistics(qf, n), _statistics(xf, n)) for n in levels]
-    eps = 1e-9 * (np.linalg.norm(qf, axis=1)[:, None] * np.linalg.norm(xf, axis=1).max(initial=0) + 1)
-    for at in range(0, len(q), step := max(1, STEP // max(1, len(x)))):
+    for at in range(0, len(q.ids), step := max(1, STEP // max(1, len(x.ids)))):
         rows = slice(at, at + step)
-        other = q_ids[rows, None] != x_ids[None, :]
-        if not levels or x.shape[0] <= k:
-            i, j = np.nonzero(other)
+        least = np.full(len(q.ids[rows]), -np.inf) if bar is None else bar[rows].astype(np.float64)
+        alive = q.ids[rows, None] != x.ids[None, :]
+        qe, xe = q.exact(kind)[rows], x.exact(kind)
+        pairs = None
+        for level in x.levels if len(x.ids) > k else []:
+            qs, xs = q.bounds(level, loose)[rows], x.bounds(level, loose)
+            if pairs is not None:
+                i, j = pairs
+                near = _gathered(qs, xs, i, j) + eps[rows][i, 0] >= least[i].astype(loose)
+                pairs = i[near], j[near]
+                continue
+            bound = qs @ xs.T + eps[rows]
+            if level == FIRST and bar is None:
+                least = _first_bar(bound, alive, qe, xe, k)
+            alive &= bound >= least.astype(loose)[:, None]
+            share = np.count_nonzero(alive) / max(1, alive.size)
+            if share > FINER:
+                break
+            if share <= SINGLY:
+                pairs = np.nonzero(alive)
+        if pairs is None:
+            score = qe @ xe.T
+            i, j = np.nonzero(alive & (score >= least[:, None]))
+            s = score[i, j].astype(np.int64)
         else:
-            bound = np.where(other, stats[0][0][rows] @ stats[0][1].T, -np.inf)
-            n = min(4 * k, len(x))
-            top = np.argpartition(bound, len(x) - n, axis=1)[:, len(x) - n :]
-            i = np.repeat(np.arange(len(top)), n)
-            s = _dots((q if large else qf)[rows], x if large else xf, i, top.ravel(), large).astype(np.float64)
-            s[~other[i, top.ravel()]] = -np.inf
-            s = np.sort(s.reshape(-1, n), axis=1)[:, ::-1]
-            least = s[:, min(k, n) - 1][:, None]  # of k rows seen, the least: what is below can't be among the k best
-            i, j = np.nonzero(other & (bound + eps[rows] >= least))
-            for sq, sx in stats[1:]:
-                near = np.empty(len(i), bool)
-                for b in range(0, len(i), 1 << 17):
-                    c = slice(b, b + (1 << 17))
-                    near[c] = np.einsum("nd,nd->n", sq[rows][i[c]], sx[j[c]]) + eps[rows][i[c], 0] >= least[i[c], 0]
-                i, j = i[near], j[near]
-        s = _dots((q if large else qf)[rows], x if large else xf, i, j, large)
-        order = np.lexsort((x_ids[j], -s, i))
+            i, j = pairs
+            s = _gathered(qe, xe, i, j)
+            good = s >= least[i]
+            i, j, s = i[good], j[good], s[good].astype(np.int64)
+        order = np.lexsort((x.ids[j], -s, i))
         i, j, s = i[order], j[order], s[order]
-        first = np.searchsorted(i, np.arange(len(q[rows])))
-        keep = np.arange(len(i)) - first[i] < k
-        out.append((q_ids[rows][i[keep]], x_ids[j[keep]], s[keep]))
+        keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(least)))[i] < k
+        out.append((at + i[keep], j[keep], s[keep]))
     return tuple(np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3))
 
 
-def _pack(batches):
-    """Sorted by block: a row for each block, its ids and its matrix as bytes."""
-    held: list[pa.RecordBatch] = []
+def _first_bar(bound: np.ndarray, alive: np.ndarray, q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among the rows that its bounds promise most of: what is below can't be among the k best."""
+    n = min(4 * k, x.shape[0])
+    best = np.argpartition(np.where(alive, bound, -np.inf), x.shape[0] - n, axis=1)[:, x.shape[0] - n :]
+    i = np.repeat(np.arange(len(best)), n)
+    s = _gathered(q, x, i, best.ravel()).astype(np.float64)
+    s[~alive[i, best.ravel()]] = -np.inf
+    return np.sort(s.reshape(-1, n), axis=1)[:, n - min(k, n)]
+
+
+# --- blocks ---------------------------------------------------------------------------------------------------
+
+
+def _pivots(sample: list) -> dict[int, np.ndarray]:
+    """For each length of the sampled vectors, some points among their statistics, neighbours next to each other."""
+    out = {}
+    for dim in {len(v) for v in sample}:
+        s = _outline(np.array([v for v in sample if len(v) == dim]))
+        p = s[:: max(1, len(s) // min(PIVOTS, max(1, len(s) // 8)))]
+        for _ in range(5):
+            near = (np.square(s).sum(1)[:, None] - 2 * s @ p.T + np.square(p).sum(1)).argmin(1)
+            p = np.stack([s[near == i].mean(0) if (near == i).any() else p[i] for i in range(len(p))])
+        left, chain = list(range(1, len(p))), [0]
+        while left:
+            chain.append(min(left, key=lambda i: float(np.square(p[i] - p[chain[-1]]).sum())))
+            left.remove(chain[-1])
+        out[dim] = p[chain]
+    return out
+
+
+def _placed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """With pivot and far: the nearest pivot, and the distance from it."""
+
+    @F.arrow_udf("struct<pivot: int, far: float>")
+    def place(v: pa.Array) -> pa.Array:
+        ends, values = v.offsets.to_numpy(), v.values.to_numpy()
+        dims = np.diff(ends)
+        pivot, far = np.zeros(len(v), np.int32), np.zeros(len(v), np.float32)
+        for dim in np.unique(dims):
+            rows = np.flatnonzero(dims == dim)
+            if int(dim) in pivots:
+                p = pivots[int(dim)]
+                s = _outline(values[ends[rows][:, None] + np.arange(dim)])
+                d = np.square(s).sum(1)[:, None] - 2 * s @ p.T + np.square(p).sum(1)
+                pivot[rows], far[rows] = d.argmin(1), np.sqrt(np.maximum(d.min(1), 0))
+        return pa.StructArray.from_arrays([pa.array(pivot), pa.array(far)], ["pivot", "far"])
+
+    return vectors.withColumn("place", place("v")).select("*", "place.*").drop("place")
+
+
+BLOCK_SCHEMA = "block long, dim int, kind string, ids binary, m binary, low array<double>, high array<double>"
+
+
+def _pack(numbers: int):
+    """Sorted by dim and place: a row for each block of about so many numbers, with its ids and vectors in the smallest type
+    and its envelope. Equal rows, which stand together, are one."""
 
-    def closed():
-        t = pa.Table.from_batches(held).combine_chunks()
-        v = t.column("v").combine_chunks()
-        m = v.values.to_numpy(zero_copy_only=False)[: len(v) * t.column("dim")[0].as_py()]
+    def closed(block: int, dim: int, ids: np.ndarray, m: np.ndarray):
+        top = max(-int(m.min()), int(m.max()) + 1)
+        kind = next(t for t in ("i1", "i2", "i4", "i8") if top <= 1 << (8 * int(t[1]) - 1))
+        s = _outline(m)
+        row = {"block": block, "dim": dim, "kind": kind, "ids": ids.tobytes(), "m": m.astype(kind).tobytes(), "low": s.min(0).tolist(), "high": s.max(0).tolist()}
         return pa.RecordBatch.from_pylist(
-            [{"dim": t.column("dim")[0].as_py(), "block": t.column("block")[0].as_py(), "ids": t.column("id").to_numpy().astype(np.int64).tobytes(), "m": m.astype(np.int64).tobytes()}],
-            pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("m", pa.binary())]),
+            [row], pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("kind", pa.string()), ("ids", pa.binary()), ("m", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
         )
 
-    at = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        d, b = (batch.column(n).to_numpy() for n in ("dim", "block"))
-        starts = np.flatnonzero((np.diff(d, prepend=d[0] - 1) != 0) | (np.diff(b, prepend=b[0] - 1) != 0))
-        for s, e in zip(starts, np.append(starts[1:], len(d))):
-            key = (int(d[s]), int(b[s]))
-            if key != at and held:
-                yield closed()
-                held = []
-            at = key
-            held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(int(s), int(e - s))]) for c in batch.columns], schema=batch.schema))
-    if held:
-        yield closed()
-
-
-def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """vectors (id, dim, v) as blocks of about BLOCK rows, dealt by a hash of the id and the vector; and how many a dim has."""
-    n = max(1, -(-rows // BLOCK))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int"))
-    return dealt.repartition(n, "dim", "block").sortWithinPartitions("dim", "block").mapInArrow(_pack, "dim int, block int, ids binary, m binary"), n
+    def run(batches):
+        block = TaskContext.get().partitionId() << 32
+        held, n, at = [], 0, None
+
+        def flush():
+            nonlocal held, n, block
+            ids, m = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+            new = np.append(True, (ids[1:] != ids[:-1]) | (m[1:] != m[:-1]).any(axis=1))
+            held, n, block = [], 0, block + 1
+            return closed(block - 1, at, ids[new], m[new])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, dims = (batch.column(c).to_numpy().astype(np.int64) for c in (0, 1))
+            v = batch.column(2)
+            values, ends = v.values.to_numpy(), v.offsets.to_numpy()
+            starts = np.flatnonzero(np.append(True, dims[1:] != dims[:-1]))
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(dims)]):
+                if held and at != dims[s]:
+                    yield flush()
+                at = int(dims[s])
+                rows = max(256, numbers // at)
+                m = values[ends[s] : ends[e]].reshape(-1, at)
+                while s < e:
+                    take = min(e - s, rows - n)
+                    held.append((ids[s : s + take], m[:take]))
+                    s, m, n = s + take, m[take:], n + take
+                    if n >= rows:
+                        yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _blocks(placed: DataFrame, numbers: int, total: int) -> DataFrame:
+    """placed (id, dim, v, pivot, far) as a written table of blocks; total: how many numbers there are."""
+    order = ["dim", "pivot", "far", F.xxhash64("id")]
+    parts = int(max(1, min(100_000, total // numbers)))
+    ranged = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "id", "v").select("id", "dim", "v")
+    return cut(ranged.mapInArrow(_pack(numbers), BLOCK_SCHEMA))
+
+
+def _side(r: dict, which=None) -> Side:
+    ids, m = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["m"], r["kind"]).reshape(-1, r["dim"])
+    return Side(ids, m) if which is None else Side(ids[which], m[which])
+
+
+# --- who meets whom -------------------------------------------------------------------------------------------
+
+
+def _reaching(pages: DataFrame, asking: DataFrame, n_pages: int, barred: bool) -> DataFrame:
+    """q_block, block, which (numbers of queries), bound: by the envelopes, the SEEDS best blocks of each query, in each page of envelopes;
+    barred: all blocks that reach the query's bar and are not in its `seen`."""
+    every = asking.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(n_pages - 1)))).join(pages, ["dim", "page"])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                q, blocks = _side(r), np.array(r["blocks"], np.int64)
+                s, low, high = _outline(q.m), np.array(r["lows"]), np.array(r["highs"])
+                bound = np.maximum(s, 0) @ high.T + np.minimum(s, 0) @ low.T  # of each product, the greatest in the envelope
+                bound += 1e-9 * (np.abs(s) @ np.maximum(np.abs(low), np.abs(high)).T + 1)
+                if barred:
+                    hit = bound >= np.array(r["bar"], np.float64)[:, None]
+                    order = np.argsort(blocks)
+                    seen = np.array(r["seen"], np.int64).reshape(-1, 2)
+                    place = np.minimum(np.searchsorted(blocks, seen[:, 1], sorter=order), len(blocks) - 1)
+                    here = blocks[order[place]] == seen[:, 1]
+                    hit[seen[here, 0], order[place[here]]] = False
+                else:
+                    hit = np.zeros(bound.shape, bool)
+                    n = min(SEEDS, len(blocks))
+                    np.put_along_axis(hit, np.argpartition(bound, len(blocks) - n, axis=1)[:, len(blocks) - n :], True, axis=1)
+                rows = [{"q_block": r["q_block"], "block": int(blocks[b]), "which": w.tolist(), "bound": bound[w, b].tolist()} for b in range(len(blocks)) if len(w := np.flatnonzero(hit[:, b]))]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("q_block", pa.int64()), ("block", pa.int64()), ("which", pa.list_(pa.int32())), ("bound", pa.list_(pa.float64()))]))
+
+    return every.mapInArrow(run, "q_block long, block long, which array<int>, bound array<double>")
+
+
+FOUND = "q_block long, which int, query_id long, block long, vec_id long, score long"
+
+
+def _searched(meetings: DataFrame, asking: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """meetings: q_block, block, which. Only the vectors of these queries are sent to the block. FOUND rows, at most k for a query and block."""
+
+    def pick(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                r = batch.slice(n, 1).to_pylist()[0]
+                w = np.array(r["which"], np.int64)
+                q = _side(r, w)
+                bar = None if r["bar"] is None else np.array(r["bar"], np.int64)[w].tobytes()
+                row = {"q_block": r["q_block"], "block": r["block"], "which": w.tobytes(), "q_kind": r["kind"], "q_ids": q.ids.tobytes(), "q_m": q.m.tobytes(), "q_bar": bar}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("q_block", pa.int64()), ("block", pa.int64()), *[(c, pa.string() if c == "q_kind" else pa.binary()) for c in ("which", "q_kind", "q_ids", "q_m", "q_bar")]]))
+
+    def run(batches):
+        at, x = None, None
+        for batch in batches:
+            for n in range(batch.num_rows):
+                r = batch.slice(n, 1).to_pylist()[0]
+                if r["block"] != at:
+                    at, x = r["block"], _side(r)
+                q = Side(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_m"], r["q_kind"]).reshape(-1, r["dim"]))
+                i, j, s = search_block(q, x, k, None if r["q_bar"] is None else np.frombuffer(r["q_bar"], np.int64))
+                which = np.frombuffer(r["which"], np.int64)[i].astype(np.int32)
+                columns = [np.full(len(i), r["q_block"]), which, q.ids[i], np.full(len(i), at), x.ids[j], s]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q_block", "which", "query_id", "block", "vec_id", "score"])
+
+    sent = meetings.select("q_block", "block", "which").join(asking, "q_block").mapInArrow(pick, "q_block long, block long, which binary, q_kind string, q_ids binary, q_m binary, q_bar binary")
+    count = max(1, int(meetings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sent = sent.repartition(count, "block", "q_block")  # a block that many queries ask for is met by several tasks
+    return sent.join(blocks.select("block", "dim", "kind", "ids", "m"), "block").mapInArrow(run, FOUND)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -137,22 +326,33 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(F.lit(scale) * x).cast("long"))
     finite = F.forall(F.col(vector_col).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = vectors.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).filter(finite)
-    known = cut(sound.select(F.col(id_col).cast("long").alias("id"), is_query.alias("asks"), F.size(vector_col).alias("dim"), v.alias("v")).distinct())
-    n, n_queries = known.count(), known.filter("asks").count()
-    rows, _ = _blocks(known.select("id", "dim", "v"), n)
-    queries, q_blocks = _blocks(known.filter("asks").select("id", "dim", "v"), n_queries)
-    every = rows.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    pairs = every.join(queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m")), ["dim", "q_block"])
+    sound = sound.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.size(vector_col).alias("dim"), v.alias("v"))
+    sample = [r.v for r in sound.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
+    placed = cut(_placed(sound, _pivots(sample)))
+    sizes = {r.asks: r.n for r in placed.groupBy("asks").agg(F.sum("dim").alias("n")).collect()}
+    blocks = _blocks(placed.drop("asks"), BLOCK, sum(sizes.values()))
+    asking = _blocks(placed.filter("asks").drop("asks"), ASKING, sizes.get(True, 0)).withColumnRenamed("block", "q_block").drop("low", "high")
+    n_pages = -(-max(1, blocks.count()) // PAGE)
+    pages = blocks.select("dim", F.pmod(F.xxhash64("block"), F.lit(n_pages)).cast("int").alias("page"), F.struct("block", "low", "high").alias("b"))
+    pages = pages.groupBy("dim", "page").agg(F.collect_list("b").alias("b")).select("dim", "page", F.col("b.block").alias("blocks"), F.col("b.low").alias("lows"), F.col("b.high").alias("highs"))
+
+    best = _reaching(pages, asking, n_pages, False)
+    if n_pages > 1:  # of the best in each page, the best of all
+        one = best.select("q_block", "block", F.explode(F.arrays_zip("which", "bound")).alias("w")).select("q_block", "block", "w.*")
+        place = F.row_number().over(Window.partitionBy("q_block", "which").orderBy(F.desc("bound"), "block"))
+        best = one.withColumn("place", place).filter(F.col("place") <= SEEDS).groupBy("q_block", "block").agg(F.collect_list("which").alias("which"))
+    best = cut(best.select("q_block", "block", "which"))
+    found = cut(_searched(best, asking.withColumn("bar", F.lit(None).cast("array<long>")), blocks, k))
+
+    # Each query's bar, and the blocks that it has met: as arrays in the order of the block's queries.
+    place = F.row_number().over(Window.partitionBy("q_block", "which").orderBy(F.desc("score"), "vec_id"))
+    bars = found.withColumn("place", place).filter(F.col("place") == k).groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("which", "score"))).alias("known"))
+    seen = best.select("q_block", F.explode("which").alias("w"), "block").groupBy("q_block").agg(F.collect_list(F.array(F.col("w").cast("long"), F.col("block"))).alias("seen"))
+    number = F.sequence(F.lit(0), (F.octet_length("ids") / 8 - 1).cast("int"))
+    bar = F.transform(number, lambda i: F.coalesce(F.try_element_at(F.col("known"), i), F.lit(-(1 << 63))))
+    barred = cut(asking.join(bars, "q_block", "left").join(seen, "q_block", "left").withColumn("bar", bar).withColumn("seen", F.coalesce("seen", F.array().cast("array<array<long>>"))).drop("known"))
+    more = _searched(_reaching(pages, barred, n_pages, True), barred.drop("seen"), blocks, k)
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                q_ids, x_ids = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "ids"))
-                q, x = (np.frombuffer(r[c], np.int64).reshape(-1, r["dim"]) for c in ("q_m", "m"))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in search_block(q_ids, q, x_ids, x, k)], ["query_id", "vec_id", "score"])
-
-    count = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = pairs.repartition(count, "q_block", "block").mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    every = found.unionByName(more).select("query_id", "vec_id", "score")
+    return every.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

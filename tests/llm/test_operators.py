@@ -506,6 +506,46 @@ def test_topk(spark, dim, scale):
     assert sorted_rows(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_topk_of_several_blocks(spark, monkeypatch, clustered):
+    """Many blocks of rows, pages of envelopes and blocks of queries; equal vectors that fill whole blocks."""
+    for name, value in (("BLOCK", 256 * 16), ("ASKING", 256 * 16), ("PAGE", 3), ("STEP", 5000)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 1, (12, 16))
+    m = centres[rng.integers(0, 12, 6000)] + rng.normal(0, 0.05, (6000, 16)) if clustered else rng.normal(0, 0.3, (6000, 16))
+    m[2000:4000] = m[1]
+    rows = [(i, x) for i, x in enumerate(m.tolist())]
+    df = spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>").repartition(5)
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, 20)
+    v = np.floor(64 * m).astype(np.int64)
+    score = v[::10] @ v.T
+    score[np.arange(600), np.arange(600) * 10] = -(1 << 60)
+    best = np.lexsort((np.broadcast_to(np.arange(6000), score.shape), -score), axis=1)[:, :20]
+    want = sorted((q * 10, n + 1, int(i), int(score[q, i])) for q in range(600) for n, i in enumerate(best[q]))
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == want
+
+
+def test_envelopes_keep_queries_from_far_blocks(spark, monkeypatch):
+    """Of clusters far apart, a query is sent to few blocks."""
+    for name, value in (("BLOCK", 256 * 16), ("ASKING", 256 * 16)):
+        monkeypatch.setattr(topk, name, value)
+    met, searched = [], topk._searched
+    monkeypatch.setattr(topk, "_searched", lambda meetings, *rest: met.append(meetings) or searched(meetings, *rest))
+    rng = np.random.default_rng(8)
+    m = rng.normal(0, 1, (16, 16))[rng.integers(0, 16, 6000)] + rng.normal(0, 0.02, (6000, 16))
+    topk.top_k(spark.createDataFrame([(i, x) for i, x in enumerate(m.tolist())], "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 20).count()
+    sent = sum(r.n for m in met for r in m.select(F.size("which").alias("n")).collect())
+    assert 600 * topk.SEEDS <= sent < 600 * 23 / 2
+
+
+def test_topk_leaves_other_columns_alone(spark):
+    """Columns with the names that the search uses inside."""
+    df = spark.createDataFrame([(i, [float(i), 1.0, 2.0, 3.0], "a", "b", "c", None) for i in range(30)], "vec_id long, embedding array<double>, id string, v string, block string, dim string")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 2, 1.0)
+    assert sorted_rows(got, "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 14), (0, 2, 2, 14), (20, 1, 29, 594), (20, 2, 28, 574)]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     q, x = rng.normal(size=(20, 37)), rng.normal(size=(30, 37))

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,32 +184,33 @@ def _placed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return vectors.withColumn("place", place("v")).select("*", "place.*").drop("place")
 
 
-BLOCK_SCHEMA = "block long, dim int, kind string, ids binary, m binary, low array<double>, high array<double>"
+BLOCK_SCHEMA = "block string, dim int, kind string, ids binary, m binary, low array<double>, high array<double>"
 
 
 def _pack(numbers: int):
     """Sorted by dim and place: a row for each block of about so many numbers, with its ids and vectors in the smallest type
-    and its envelope. Equal rows, which stand together, are one."""
+    and its envelope, named by a digest. Equal rows, which stand together, are one."""
 
-    def closed(block: int, dim: int, ids: np.ndarray, m: np.ndarray):
+    def closed(dim: int, ids: np.ndarray, m: np.ndarray):
         top = max(-int(m.min()), int(m.max()) + 1)
         kind = next(t for t in ("i1", "i2", "i4", "i8") if top <= 1 << (8 * int(t[1]) - 1))
         s = _outline(m)
-        row = {"block": block, "dim": dim, "kind": kind, "ids": ids.tobytes(), "m": m.astype(kind).tobytes(), "low": s.min(0).tolist(), "high": s.max(0).tolist()}
+        ids_, m_ = ids.tobytes(), m.astype(kind).tobytes()
+        block = xxhash.xxh3_128_hexdigest(ids_ + m_, dim)
+        row = {"block": block, "dim": dim, "kind": kind, "ids": ids_, "m": m_, "low": s.min(0).tolist(), "high": s.max(0).tolist()}
         return pa.RecordBatch.from_pylist(
-            [row], pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("kind", pa.string()), ("ids", pa.binary()), ("m", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
+            [row], pa.schema([("block", pa.string()), ("dim", pa.int32()), ("kind", pa.string()), ("ids", pa.binary()), ("m", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
         )
 
     def run(batches):
-        block = TaskContext.get().partitionId() << 32
         held, n, at = [], 0, None
 
         def flush():
-            nonlocal held, n, block
+            nonlocal held, n
             ids, m = (np.concatenate([h[c] for h in held]) for c in (0, 1))
             new = np.append(True, (ids[1:] != ids[:-1]) | (m[1:] != m[:-1]).any(axis=1))
-            held, n, block = [], 0, block + 1
-            return closed(block - 1, at, ids[new], m[new])
+            held, n = [], 0
+            return closed(at, ids[new], m[new])
 
         for batch in batches:
             if not batch.num_rows:
@@ -261,28 +262,27 @@ def _reaching(pages: DataFrame, asking: DataFrame, n_pages: int, barred: bool) -
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1).to_pylist()[0]
-                q, blocks = _side(r), np.array(r["blocks"], np.int64)
+                q, blocks = _side(r), r["blocks"]
                 s, low, high = _outline(q.m), np.array(r["lows"]), np.array(r["highs"])
                 bound = np.maximum(s, 0) @ high.T + np.minimum(s, 0) @ low.T  # of each product, the greatest in the envelope
                 bound += 1e-9 * (np.abs(s) @ np.maximum(np.abs(low), np.abs(high)).T + 1)
                 if barred:
                     hit = bound >= np.array(r["bar"], np.float64)[:, None]
-                    order = np.argsort(blocks)
-                    seen = np.array(r["seen"], np.int64).reshape(-1, 2)
-                    place = np.minimum(np.searchsorted(blocks, seen[:, 1], sorter=order), len(blocks) - 1)
-                    here = blocks[order[place]] == seen[:, 1]
-                    hit[seen[here, 0], order[place[here]]] = False
+                    place = {b: i for i, b in enumerate(blocks)}
+                    for x in r["seen"]:
+                        if x["block"] in place:
+                            hit[x["w"], place[x["block"]]] = False
                 else:
                     hit = np.zeros(bound.shape, bool)
                     n = min(SEEDS, len(blocks))
                     np.put_along_axis(hit, np.argpartition(bound, len(blocks) - n, axis=1)[:, len(blocks) - n :], True, axis=1)
-                rows = [{"q_block": r["q_block"], "block": int(blocks[b]), "which": w.tolist(), "bound": bound[w, b].tolist()} for b in range(len(blocks)) if len(w := np.flatnonzero(hit[:, b]))]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("q_block", pa.int64()), ("block", pa.int64()), ("which", pa.list_(pa.int32())), ("bound", pa.list_(pa.float64()))]))
+                rows = [{"q_block": r["q_block"], "block": blocks[b], "which": w.tolist(), "bound": bound[w, b].tolist()} for b in range(len(blocks)) if len(w := np.flatnonzero(hit[:, b]))]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("q_block", pa.string()), ("block", pa.string()), ("which", pa.list_(pa.int32())), ("bound", pa.list_(pa.float64()))]))
 
-    return every.mapInArrow(run, "q_block long, block long, which array<int>, bound array<double>")
+    return every.mapInArrow(run, "q_block string, block string, which array<int>, bound array<double>")
 
 
-FOUND = "q_block long, which int, query_id long, block long, vec_id long, score long"
+FOUND = "q_block string, which int, query_id long, vec_id long, score long"
 
 
 def _searched(meetings: DataFrame, asking: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
@@ -296,7 +296,7 @@ def _searched(meetings: DataFrame, asking: DataFrame, blocks: DataFrame, k: int)
                 q = _side(r, w)
                 bar = None if r["bar"] is None else np.array(r["bar"], np.int64)[w].tobytes()
                 row = {"q_block": r["q_block"], "block": r["block"], "which": w.tobytes(), "q_kind": r["kind"], "q_ids": q.ids.tobytes(), "q_m": q.m.tobytes(), "q_bar": bar}
-                yield pa.RecordBatch.from_pylist([row], pa.schema([("q_block", pa.int64()), ("block", pa.int64()), *[(c, pa.string() if c == "q_kind" else pa.binary()) for c in ("which", "q_kind", "q_ids", "q_m", "q_bar")]]))
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("q_block", pa.string()), ("block", pa.string()), *[(c, pa.string() if c == "q_kind" else pa.binary()) for c in ("which", "q_kind", "q_ids", "q_m", "q_bar")]]))
 
     def run(batches):
         at, x = None, None
@@ -308,10 +308,10 @@ def _searched(meetings: DataFrame, asking: DataFrame, blocks: DataFrame, k: int)
                 q = Side(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_m"], r["q_kind"]).reshape(-1, r["dim"]))
                 i, j, s = search_block(q, x, k, None if r["q_bar"] is None else np.frombuffer(r["q_bar"], np.int64))
                 which = np.frombuffer(r["which"], np.int64)[i].astype(np.int32)
-                columns = [np.full(len(i), r["q_block"]), which, q.ids[i], np.full(len(i), at), x.ids[j], s]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q_block", "which", "query_id", "block", "vec_id", "score"])
+                columns = [pa.repeat(r["q_block"], len(i)), *map(pa.array, (which, q.ids[i], x.ids[j], s))]
+                yield pa.RecordBatch.from_arrays(columns, ["q_block", "which", "query_id", "vec_id", "score"])
 
-    sent = meetings.select("q_block", "block", "which").join(asking, "q_block").mapInArrow(pick, "q_block long, block long, which binary, q_kind string, q_ids binary, q_m binary, q_bar binary")
+    sent = meetings.select("q_block", "block", "which").join(asking, "q_block").mapInArrow(pick, "q_block string, block string, which binary, q_kind string, q_ids binary, q_m binary, q_bar binary")
     count = max(1, int(meetings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = sent.repartition(count, "block", "q_block")  # a block that many queries ask for is met by several tasks
     return sent.join(blocks.select("block", "dim", "kind", "ids", "m"), "block").mapInArrow(run, FOUND)
@@ -347,10 +347,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     # Each query's bar, and the blocks that it has met: as arrays in the order of the block's queries.
     place = F.row_number().over(Window.partitionBy("q_block", "which").orderBy(F.desc("score"), "vec_id"))
     bars = found.withColumn("place", place).filter(F.col("place") == k).groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("which", "score"))).alias("known"))
-    seen = best.select("q_block", F.explode("which").alias("w"), "block").groupBy("q_block").agg(F.collect_list(F.array(F.col("w").cast("long"), F.col("block"))).alias("seen"))
+    seen = best.select("q_block", F.explode("which").alias("w"), "block").groupBy("q_block").agg(F.collect_list(F.struct("w", "block")).alias("seen"))
     number = F.sequence(F.lit(0), (F.octet_length("ids") / 8 - 1).cast("int"))
     bar = F.transform(number, lambda i: F.coalesce(F.try_element_at(F.col("known"), i), F.lit(-(1 << 63))))
-    barred = cut(asking.join(bars, "q_block", "left").join(seen, "q_block", "left").withColumn("bar", bar).withColumn("seen", F.coalesce("seen", F.array().cast("array<array<long>>"))).drop("known"))
+    barred = cut(asking.join(bars, "q_block", "left").join(seen, "q_block", "left").withColumn("bar", bar).withColumn("seen", F.coalesce("seen", F.array().cast("array<struct<w:int,block:string>>"))).drop("known"))
     more = _searched(_reaching(pages, barred, n_pages, True), barred.drop("seen"), blocks, k)
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

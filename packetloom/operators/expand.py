@@ -26,8 +26,8 @@ def runs(table: DataFrame, keys: Sequence[str], order: str, count: Column, name:
 def sample_times(table: DataFrame, keys: Sequence[str], order: str, count: Column, delta: Column, width: int = WIDTH, ties: Sequence[str] = ()) -> DataFrame:
     """A row for each sample, with its ordinal and dts, from a table of (count, duration)."""
     t = table.withColumns({"__n": count.cast("long"), "__d": delta.cast("long")})
-    t = scan.running_sum(t, keys, order, F.col("__n"), "__s", width, ties)
-    t = scan.running_sum(t, keys, order, F.col("__n") * F.col("__d"), "__t", width, ties).filter("__n > 0")
+    steps = {"__s": scan.Sum(F.col("__n")), "__t": scan.Sum(F.col("__n") * F.col("__d"))}
+    t = scan.run(t, keys, order, steps, width, ties).filter("__n > 0")
     t = t.withColumn("__k", F.explode(F.expr("sequence(0L, __n - 1)")))
     out = t.withColumns({"sample": F.col("__s") + F.col("__k"), "dts": F.col("__t") + F.col("__k") * F.col("__d"), "duration": F.col("__d")})
     return out.drop("__n", "__d", "__s", "__t", "__k")
@@ -49,7 +49,7 @@ def keyframe_table(samples: DataFrame, sync: DataFrame, keys: Sequence[str], ord
 
 def chunks_to_samples(stsc: DataFrame, chunks: DataFrame, keys: Sequence[str], width: int = WIDTH) -> DataFrame:
     """A row for each sample of each chunk: sample numbers from the steps (first_chunk, samples_per_chunk)."""
-    stepped = scan.as_of(chunks, stsc, keys, "chunk", "first_chunk", ["samples_per_chunk"], width)
+    stepped = scan.settle(scan.as_of(chunks, stsc, keys, "chunk", "first_chunk", ["samples_per_chunk"], width))
     return runs(stepped, keys, "chunk", F.col("samples_per_chunk"), "sample", width)
 
 

@@ -3,26 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
 from .packets import WIDTH
 
-#: Up to so many rows a side is broadcast; the limit is checked by counting at most one more.
-SMALL = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, with a broadcast hint if it is proven to have at most SMALL rows."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def first_match(rows: DataFrame, registry: DataFrame, on: str, priority: str, keep: Sequence[str]) -> DataFrame:
-    """Left join with the registered row of the same `on` that comes first. The registry is cut to one row a key before the join."""
+    """Left join with the registered row of the same `on` that comes first. The registry is cut to one row a key before the join, which
+    Spark broadcasts if it finds the registry small in bytes."""
     best = registry.groupBy(on).agg(F.min_by(F.struct(*keep), priority).alias("__m"))
-    return rows.join(small(best), on, "left").select(*rows.columns, *[F.col("__m")[c].alias(c) for c in keep])
+    return rows.join(best, on, "left").select(*rows.columns, *[F.col("__m")[c].alias(c) for c in keep])
 
 
 def timecodes(packets: DataFrame, table: DataFrame) -> DataFrame:
@@ -31,7 +24,7 @@ def timecodes(packets: DataFrame, table: DataFrame) -> DataFrame:
     return packets.join(one, ["stream_id", "pts"], "left")
 
 
-def keyframe_before(probes: DataFrame, packets: DataFrame, t: str, width: int = WIDTH) -> DataFrame:
+def keyframe_before(probes: DataFrame, packets: DataFrame, t: str, width: int | None = None) -> DataFrame:
     """For each probe (stream_id, t): of the keyframes with pts < t, the last in index order, as key_idx and key_pts.
 
     Where pts rises with idx that is the as-of row. Where it doesn't, it is the greatest idx so far in pts order, and
@@ -39,51 +32,52 @@ def keyframe_before(probes: DataFrame, packets: DataFrame, t: str, width: int =
     return _extreme(probes, packets, t, width, forward=False)
 
 
-def keyframe_after(probes: DataFrame, packets: DataFrame, t: str, width: int = WIDTH) -> DataFrame:
+def keyframe_after(probes: DataFrame, packets: DataFrame, t: str, width: int | None = None) -> DataFrame:
     """For each probe: of the keyframes with pts > t, the first in index order."""
     return _extreme(probes, packets, t, width, forward=True)
 
 
-def _extreme(probes: DataFrame, packets: DataFrame, t: str, width: int, forward: bool) -> DataFrame:
+def _extreme(probes: DataFrame, packets: DataFrame, t: str, width: int | None, forward: bool) -> DataFrame:
     """The least (forward) or greatest idx among the keyframes strictly behind or before t: a running extreme in pts order,
     along the stream in its own direction, so that as_of can take it."""
-    keys = packets.filter("keyframe").select("stream_id", "idx", "pts")
+    keys = packets.filter("keyframe and pts is not null").select("stream_id", "idx", "pts")
+    width = width or scan.width_for(packets, "pts")
     sign = -1 if forward else 1
     turned = keys.select("stream_id", (F.col("pts") * sign).alias("__p"), (F.col("idx") * sign).alias("__i"), F.struct("idx", "pts").alias("__r"))
-    b = scan.Blocks(turned, ["stream_id"], "__p", width, ["__i"])
-    best = F.struct("__i", "__r")
-    rows = b.with_carry({"__s": F.max(best)}, {"__c": F.max("__s").over(b.before())})
-    run = F.greatest(F.col("__c"), F.max(best).over(b.local().rowsBetween(Window.unboundedPreceding, 0)))
-    facts = rows.withColumn("__best", run).select("stream_id", "__p", "__i", F.col("__best")["__r"]["idx"].alias("key_idx"), F.col("__best")["__r"]["pts"].alias("key_pts"))
+    best = scan.run(turned, ["stream_id"], "__p", {"__best": scan.Max(F.struct("__i", "__r"), inclusive=True)}, width, ["__i"])
+    facts = best.select("stream_id", "__p", "__i", F.col("__best")["__r"]["idx"].alias("key_idx"), F.col("__best")["__r"]["pts"].alias("key_pts"))
     asked = probes.withColumn("__t", F.col(t) * sign)
     return scan.as_of(asked, facts, ["stream_id"], "__t", "__p", ["key_idx", "key_pts"], width, strict=True, ties=["__i"]).drop("__t")
 
 
-def cue_for(probes: DataFrame, cues: DataFrame, keys: Sequence[str], t: str, cue_time: str, take: Sequence[str], width: int = WIDTH) -> DataFrame:
+def cue_for(probes: DataFrame, cues: DataFrame, keys: Sequence[str], t: str, cue_time: str, take: Sequence[str], width: int | None = None) -> DataFrame:
     """The last cue at or before t, else the first of all."""
     found = scan.as_of(probes, cues, keys, t, cue_time, take, width)
     first = cues.groupBy(*keys).agg(F.min_by(F.struct(*take), cue_time).alias("__first"))
-    got = found.join(first, list(keys), "left") if keys else found.crossJoin(F.broadcast(first))  # one row
-    missing = F.col(take[0]).isNull()
-    return got.withColumns({c: F.when(missing, F.col("__first")[c]).otherwise(F.col(c)) for c in take}).drop("__first")
+    on = F.lit(True) if not keys else reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__k_{k}") for k in keys])
+    got = found.join(first.withColumnsRenamed({k: f"__k_{k}" for k in keys}) if keys else F.broadcast(first), on, "left")  # without keys, one row
+    missing = F.col(take[0]).isNull() & F.col(t).isNotNull()
+    return got.withColumns({c: F.when(missing, F.col("__first")[c]).otherwise(F.col(c)) for c in take}).drop("__first", *[f"__k_{k}" for k in keys])
 
 
-def seek_index(probes: DataFrame, packets: DataFrame, t: str, preroll: int, width: int = WIDTH) -> DataFrame:
+def seek_index(probes: DataFrame, packets: DataFrame, t: str, preroll: int, width: int | None = None) -> DataFrame:
     """For each probe (stream_id, t): the packet at or before t (seek_idx, seek_pts), the keyframe at or before that one
     (start_idx), and the time from which to decode, pts of that keyframe less the preroll, not before the stream's start.
-    A t before the stream's start means its first packet."""
-    first = packets.groupBy("stream_id").agg(F.min("pts").alias("pts_start"), F.min_by("idx", F.struct("pts", "idx")).alias("__idx"))
-    keyed = scan.last_known(packets, ["stream_id"], "idx", {"__k": F.when(F.col("keyframe"), F.struct("idx", "pts"))}, width)
+    A t before the stream's start means its first packet. A probe whose t or stream is NULL, or whose stream has no packet,
+    stays and gets NULLs."""
+    width = width or scan.width_for(packets, "pts")
+    first = packets.groupBy("stream_id").agg(F.min("pts").alias("pts_start"), F.min_by("idx", F.when(F.col("pts").isNotNull(), F.struct("pts", "idx"))).alias("__idx"))
+    keyed = scan.last_known(packets, ["stream_id"], "idx", {"__k": F.when(F.col("keyframe"), F.struct("idx", "pts"))}, WIDTH)
     facts = keyed.select("stream_id", "pts", F.col("idx").alias("seek_idx"), F.col("pts").alias("seek_pts"), F.col("__k")["idx"].alias("start_idx"), F.col("__k")["pts"].alias("__kp"))
-    found = scan.as_of(probes, facts, ["stream_id"], t, "pts", ["seek_idx", "seek_pts", "start_idx", "__kp"], width, ties=["seek_idx"]).join(first, "stream_id")
-    none = F.col("seek_idx").isNull()
+    found = scan.as_of(probes, facts, ["stream_id"], t, "pts", ["seek_idx", "seek_pts", "start_idx", "__kp"], width, ties=["seek_idx"]).join(first, "stream_id", "left")
+    none, asked = F.col("seek_idx").isNull(), F.col(t).isNotNull()
     found = found.withColumns({
-        "seek_idx": F.when(none, F.col("__idx")).otherwise(F.col("seek_idx")),
-        "seek_pts": F.when(none, F.col("pts_start")).otherwise(F.col("seek_pts")),
+        "seek_idx": F.when(none & asked, F.col("__idx")).otherwise(F.col("seek_idx")),
+        "seek_pts": F.when(none & asked, F.col("pts_start")).otherwise(F.col("seek_pts")),
     })
     start = F.coalesce(F.col("start_idx"), F.col("__idx"))
     at = F.greatest(F.coalesce(F.col("__kp"), F.col("pts_start")) - preroll, F.col("pts_start"))
-    return found.withColumns({"start_idx": start, "decode_from": at}).drop("__idx", "__kp", "pts_start")
+    return found.withColumns({"start_idx": F.when(asked, start), "decode_from": F.when(asked, at)}).drop("__idx", "__kp", "pts_start")
 
 
 def range_lookup(rows: DataFrame, steps: DataFrame, keys: Sequence[str], ordinal: str, first: str, take: Sequence[str], width: int = WIDTH) -> DataFrame:
@@ -97,6 +91,6 @@ def discontinuity(rows: DataFrame, segments: DataFrame, key: str, wanted: Column
     return rows.withColumn("__d", wanted).join(first, "__d", "left").withColumn("segment", F.coalesce("segment", F.lit(-1))).drop("__d")
 
 
-def variant_groups(variants: DataFrame, media: DataFrame, group: str = "group_id") -> DataFrame:
+def variant_groups(variants: DataFrame, media: DataFrame, group: str | Sequence[str] = "group_id") -> DataFrame:
     """Variants left joined with the renditions of their group, of which only those with a URI count."""
-    return variants.join(media.filter("uri is not null"), group, "left")
+    return variants.join(media.filter("uri is not null"), [group] if isinstance(group, str) else list(group), "left")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
 
 
-def merge_by_time(streams: Sequence[tuple[str, DataFrame]], time: str, idx: str, width: int) -> DataFrame:
+def merge_by_time(streams: Sequence[tuple[str, DataFrame]], time: str, idx: str, width: int | None = None) -> DataFrame:
     """All streams in the order of time; of equal times the stream named first in the list goes first, then the index.
     `position` numbers the result. Blocks of time are sorted apart, so no task sorts all."""
     parts = [df.withColumns({"kind": F.lit(name), "__k": F.lit(i)}) for i, (name, df) in enumerate(streams)]
@@ -20,7 +20,7 @@ def merge_by_time(streams: Sequence[tuple[str, DataFrame]], time: str, idx: str,
     return scan.row_number(out, [], time, "position", width, ["__k", idx]).drop("__k")
 
 
-def merge_by_offset(chunks: DataFrame, keys: Sequence[str], offset: str, track: str, width: int) -> DataFrame:
+def merge_by_offset(chunks: DataFrame, keys: Sequence[str], offset: str, track: str, width: int | None = None) -> DataFrame:
     """Chunks in the order of their offset, ties to the lowest track; `position` numbers them in each file."""
     return scan.row_number(chunks, keys, offset, "position", width, [track])
 
@@ -41,14 +41,31 @@ def slide_window(segments: DataFrame, new_start: Column) -> DataFrame:
 
 def live_clock(segments: DataFrame, width: int, keys: Sequence[str] = ()) -> DataFrame:
     """dseq: the discontinuities so far, on top of the list's own number; clock: the last program time plus the durations
-    since, undefined from a segment without duration until the next program time."""
-    out = scan.running_sum(segments, keys, "seq", F.col("discontinuity").cast("long"), "dseq", width, inclusive=True)
-    out = scan.running_sum(out, keys, "seq", F.coalesce("duration_us", F.lit(0)), "__t", width)
-    out = scan.running_sum(out, keys, "seq", F.col("duration_us").isNull().cast("long"), "__u", width)
-    mark = F.when(F.col("program_us").isNotNull(), F.struct(F.col("program_us").alias("p"), F.col("__t").alias("t"), F.col("__u").alias("u")))
-    out = scan.last_known(out, keys, "seq", {"__m": mark}, width)
-    known = F.col("__m").isNotNull() & (F.col("__u") == F.col("__m")["u"])
-    return out.withColumn("clock_us", F.when(known, F.col("__m")["p"] + F.col("__t") - F.col("__m")["t"])).drop("__t", "__u", "__m")
+    since, undefined from a segment without duration until the next program time. All in one pass; a segment without a number
+    gets NULLs."""
+    b = scan.Blocks(segments, keys, "seq", width)
+    on = [*b.by, b.block]
+    upto = lambda v: F.coalesce(F.sum(v).over(b.local(None, -1)), F.lit(0))
+    rows = b.df.withColumns({"__t": upto(F.coalesce("duration_us", F.lit(0))), "__u": upto(F.col("duration_us").isNull().cast("long"))})
+    rows = rows.withColumn("__m", b.placed(F.when(F.col("program_us").isNotNull(), F.struct(F.col("program_us").alias("p"), F.col("__t").alias("t"), F.col("__u").alias("u")))))
+    here = lambda v: F.sum(b.placed(v))
+    totals = rows.groupBy(*on).agg(
+        here(F.col("discontinuity").cast("long")).alias("__d"), here(F.coalesce("duration_us", F.lit(0))).alias("__t"), here(F.col("duration_us").isNull().cast("long")).alias("__u"),
+        F.max_by("__m", F.when(F.col("__m").isNotNull(), b.key())).alias("__m"),
+    )
+    # A row a block: sums of the blocks before, and the last program time with the sums at it.
+    before = Window.partitionBy(*b.by).orderBy(b.block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({f"__{x}0": F.coalesce(F.sum(f"__{x}").over(before), F.lit(0)) for x in "dtu"})
+    at = F.when(F.col("__m").isNotNull(), F.struct(F.col("__m")["p"].alias("p"), (F.col("__m")["t"] + F.col("__t0")).alias("t"), (F.col("__m")["u"] + F.col("__u0")).alias("u")))
+    carried = totals.withColumn("__at", at).select(*on, "__d0", "__t0", "__u0", F.last("__at", True).over(before).alias("__m0"))
+    rows = rows.join(carried, on)
+    own = F.last("__m", True).over(b.local(None, 0))
+    rows = rows.withColumns({"__own": own, "dseq": b.placed(F.col("__d0") + F.sum(F.col("discontinuity").cast("long")).over(b.local(None, 0)))})
+    # The sums since the last program time: in the block, or from a block before.
+    t = F.when(F.col("__own").isNotNull(), F.col("__t") - F.col("__own")["t"]).otherwise(F.col("__t") + F.col("__t0") - F.col("__m0")["t"])
+    u = F.when(F.col("__own").isNotNull(), F.col("__u") - F.col("__own")["u"]).otherwise(F.col("__u") + F.col("__u0") - F.col("__m0")["u"])
+    p = F.coalesce(F.col("__own")["p"], F.col("__m0")["p"])
+    return rows.withColumn("clock_us", b.placed(F.when(u == 0, p + t))).drop(*on, "__t", "__u", "__m", "__own", "__d0", "__t0", "__u0", "__m0")
 
 
 def seek_window(segments: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -61,10 +61,11 @@ def drop_flagged(packets: DataFrame) -> DataFrame:
     return packets.filter(~F.coalesce(F.col("skip"), F.lit(False)))
 
 
-def wait_for_keyframe(packets: DataFrame, key: str = "stream_id") -> DataFrame:
-    """From each stream's first keyframe on, by index; a stream without one gives nothing."""
-    first = packets.groupBy(key).agg(F.min(F.when(F.col("keyframe"), F.col("idx"))).alias("__first"))
-    return packets.join(first, key).filter("idx >= __first").drop("__first")
+def wait_for_keyframe(packets: DataFrame, key: str = "stream_id", waits: Column | None = None) -> DataFrame:
+    """From each stream's first keyframe on, by index; a stream without one gives nothing. `waits`, a column that is the same for all
+    packets of a stream, says which streams wait: those with P packets do."""
+    seen = scan.run(packets, [key], "idx", {"__seen": scan.Last(F.when(F.col("keyframe"), F.lit(True)))}, WIDTH)
+    return seen.filter(F.col("__seen").isNotNull() | ~(F.lit(True) if waits is None else waits)).drop("__seen")
 
 
 def skip_to_audio(packets: DataFrame, t: Column) -> DataFrame:
@@ -129,11 +130,9 @@ def index_range(packets: DataFrame, key: str = "stream_id") -> DataFrame:
 
 
 def interleaving(packets: DataFrame, key: str = "stream_id") -> DataFrame:
-    """One row: non_interleaved is true if two neighbouring streams, by id, share no range of the index. The window runs
-    over one row a stream."""
-    ranges = index_range(packets, key)
-    near = Window.orderBy(key)
-    apart = (F.lag("last_idx").over(near) < F.col("first_idx")) | (F.lag("first_idx").over(near) > F.col("last_idx"))
+    """One row: non_interleaved is true if two neighbouring streams, by id, share no range of the index."""
+    ranges = scan.lag(index_range(packets, key), [], key, {"__a": F.col("first_idx"), "__b": F.col("last_idx")}, WIDTH)
+    apart = (F.col("__b") < F.col("first_idx")) | (F.col("__a") > F.col("last_idx"))
     return ranges.withColumn("apart", F.coalesce(apart, F.lit(False))).agg(F.coalesce(F.max("apart"), F.lit(False)).alias("non_interleaved"))
 
 
@@ -154,12 +153,11 @@ def sync_time(streams: DataFrame, keys: Sequence[str]) -> DataFrame:
 def fill_durations(packets: DataFrame, width: int = WIDTH) -> DataFrame:
     """Streams whose first entry has no duration get lead(pts) - pts, in index order. Their last entry gets what is left up
     to the stream's pts_end, if that is known and positive and it has no duration itself."""
-    filled = scan.lead(packets, ["stream_id"], "idx", {"__next": F.col("pts")}, width)
-    first = packets.groupBy("stream_id").agg(F.min_by("duration", "idx").alias("__first"))
-    filled = filled.join(first, "stream_id")
+    steps = {"__next": scan.Next(F.struct("pts"), inclusive=False), "__first": scan.First(F.struct("duration"))}
+    filled = scan.run(packets, ["stream_id"], "idx", steps, width)
     tail = F.col("pts_end") - F.col("pts")
-    new = F.when(F.col("__next").isNotNull(), F.col("__next") - F.col("pts")).when((F.col("duration") <= 0) & (tail > 0), tail).otherwise(F.col("duration"))
-    return filled.withColumn("duration", F.when(F.col("__first") == 0, new).otherwise(F.col("duration"))).drop("__next", "__first")
+    new = F.when(F.col("__next").isNotNull(), F.col("__next")["pts"] - F.col("pts")).when((F.col("duration") <= 0) & (tail > 0), tail).otherwise(F.col("duration"))
+    return filled.withColumn("duration", F.when(F.col("__first")["duration"] == 0, new).otherwise(F.col("duration"))).drop("__next", "__first")
 
 
 def running_dts(packets: DataFrame, start: Column, width: int = WIDTH) -> DataFrame:
@@ -176,29 +174,46 @@ def scaled_position(packets: DataFrame, value: Column, scale: Column | int, rate
 def drop_zero_size(packets: DataFrame, width: int = WIDTH) -> DataFrame:
     """Packets without payload aren't indexed, but their time passes: pts is summed before they go. `variable` marks the
     streams that had some."""
-    timed = scan.running_sum(packets, ["stream_id"], "idx", F.col("duration"), "pts", width)
-    marks = packets.groupBy("stream_id").agg(F.max(F.col("size") == 0).alias("variable"))
-    return timed.join(marks, "stream_id").filter("size > 0")
+    steps = {"pts": scan.Sum(F.col("duration")), "variable": scan.Top(F.col("size") == 0)}
+    return scan.run(packets, ["stream_id"], "idx", steps, width).filter("size > 0")
 
 
 def coding_types(packets: DataFrame, width: int = WIDTH) -> DataFrame:
     """coding_type from pts, in index order: keyframes are I; what lies before the greatest pts since the last keyframe is B;
-    the rest is P. A row before any keyframe counts as if one had no pts.
-
-    The running maximum restarts at keyframes, so it runs in the groups that these open."""
-    grouped = scan.running_sum(packets, ["stream_id"], "idx", F.col("keyframe").cast("long"), "__gop", width, inclusive=True)
-    high = scan.running_max(grouped, ["stream_id", "__gop"], "idx", F.col("pts"), "__high", width)
-    kind = F.when(F.col("keyframe"), "I").when(F.col("pts") < F.col("__high"), "B").otherwise("P")
-    return high.withColumn("coding_type", kind).drop("__gop", "__high")
+    the rest is P. A row before any keyframe counts as if one had no pts; one without an index gets NULL.
+
+    The running maximum restarts at keyframes: inside a block, in the groups that these open; a block carries on the maximum behind
+    its last keyframe, and without one, that of all before it since theirs. So one pass is enough."""
+    b = scan.Blocks(packets, ["stream_id"], "idx", width)
+    rows = b.df.withColumn("__gop", F.sum(F.coalesce(F.col("keyframe"), F.lit(False)).cast("long")).over(b.local(None, 0)))
+    on = [*b.by, b.block]
+    last = rows.groupBy(*on, "__gop").agg(F.max(F.when(F.col("idx").isNotNull(), F.col("pts"))).alias("__m"))
+    last = last.groupBy(*on).agg(F.max("__gop").alias("__keys"), F.max_by("__m", "__gop").alias("__m"))
+    group = F.sum((F.col("__keys") > 0).cast("long")).over(Window.partitionBy(*b.by).orderBy(b.block).rowsBetween(Window.unboundedPreceding, 0))
+    # A block with a keyframe opens a group of blocks with what is behind its last one.
+    last = last.withColumn("__group", group)
+    last = last.withColumn("__upto", F.max("__m").over(Window.partitionBy(*b.by, "__group").orderBy(b.block).rowsBetween(Window.unboundedPreceding, 0)))
+    carry = last.select(*on, F.lag("__upto").over(Window.partitionBy(*b.by).orderBy(b.block)).alias("__c"))
+    own = F.max("pts").over(b.local(None, -1, also=["__gop"]))
+    high = F.when(F.col("__gop") == 0, F.greatest("__c", own)).otherwise(own)
+    kind = F.when(F.col("keyframe"), "I").when(F.col("pts") < high, "B").otherwise("P")
+    return rows.join(carry, on).withColumn("coding_type", b.placed(kind)).drop(*on, "__gop", "__c")
 
 
 def display_order(packets: DataFrame, width: int = WIDTH) -> DataFrame:
-    """display: the place in which a packet is shown. A packet that isn't B waits for the next such one, B packets pass it:
-    each gets the number of the next one that isn't B (behind it), and B packets come first among equals."""
+    """display: the place in which a packet is shown. A packet that isn't B waits for the next such one, B packets pass it.
+
+    So a B packet is shown one place earlier than it is stored, if there is a packet for it to pass; another one is shown where
+    the next such packet is stored, less one, and the last one at the end."""
     plain = F.col("coding_type") != "B"
-    nxt = scan.next_known(packets, ["stream_id"], "idx", {"__next": F.when(plain, F.col("idx"))}, width, inclusive=False)
-    slot = nxt.withColumns({"__slot": F.coalesce("__next", F.lit(1 << 62)), "__late": plain.cast("int")})
-    return scan.row_number(slot, ["stream_id"], "__slot", "display", width, ["__late", "idx"]).drop("__next", "__slot", "__late")
+    n = scan.row_number(packets, ["stream_id"], "idx", "__n", width)
+    steps = {
+        "__next": scan.Next(F.when(plain, F.col("__n")), inclusive=False), "__before": scan.Last(F.when(plain, F.lit(True)), inclusive=False), "__top": scan.Top(F.col("__n")),
+    }
+    out = scan.run(scan.settle(n), ["stream_id"], "idx", steps, width)
+    later = F.coalesce(F.col("__next") - 1, F.col("__top"))
+    passing = F.col("__n") - F.when(F.col("__before"), 1).otherwise(0)
+    return out.withColumn("display", F.when(plain, later).otherwise(passing)).drop("__n", *steps)
 
 
 def sessions(packets: DataFrame, starts: Column, width: int = WIDTH) -> DataFrame:
@@ -229,17 +244,17 @@ def block_durations(packets: DataFrame, block: Column, width: int = WIDTH) -> Da
 
 def fill_sparse_times(packets: DataFrame, known: Column, width: int = WIDTH) -> DataFrame:
     """pts: the last time that is known, plus the durations since then; NULL before the first."""
-    summed = scan.running_sum(packets, ["stream_id"], "idx", F.col("duration"), "__at", width)
-    marked = F.when(known.isNotNull(), F.struct(known.alias("t"), F.col("__at").alias("at")))
-    out = scan.last_known(summed, ["stream_id"], "idx", {"__m": marked}, width)
+    summed = scan.settle(scan.running_sum(packets.withColumn("__t", known), ["stream_id"], "idx", F.col("duration"), "__at", width))
+    marked = F.when(F.col("__t").isNotNull(), F.struct(F.col("__t").alias("t"), F.col("__at").alias("at")))
+    out = scan.last_known(summed, ["stream_id"], "idx", {"__m": marked}, width).drop("__t")
     return out.withColumn("pts", F.col("__m")["t"] + F.col("__at") - F.col("__m")["at"]).drop("__m", "__at")
 
 
 def composition_times(packets: DataFrame, offset: Column, width: int = WIDTH) -> DataFrame:
     """pts = dts + offset - the offset of the stream's first packet."""
-    first = packets.withColumn("__o", offset).groupBy("stream_id").agg(F.min_by("__o", "idx").alias("__first"))
-    timed = scan.running_sum(packets, ["stream_id"], "idx", F.col("duration"), "dts", width)
-    return timed.join(first, "stream_id").withColumn("pts", F.col("dts") + offset - F.col("__first")).drop("__first")
+    steps = {"dts": scan.Sum(F.col("duration")), "__first": scan.First(F.struct(offset.alias("o")))}
+    timed = scan.run(packets.withColumn("__o", offset), ["stream_id"], "idx", steps, width)
+    return timed.withColumn("pts", F.col("dts") + F.col("__o") - F.col("__first")["o"]).drop("__first", "__o")
 
 
 def byte_times(packets: DataFrame, start: Column, block: Column) -> DataFrame:
@@ -247,15 +262,38 @@ def byte_times(packets: DataFrame, start: Column, block: Column) -> DataFrame:
     return packets.withColumn("pts", floor_div(F.col("position") - start, block))
 
 
-def frame_to_pts(packets: DataFrame, width: int = WIDTH) -> DataFrame:
-    """frame: the number of each packet of a stream when sorted by pts."""
-    return scan.row_number(packets, ["stream_id"], "pts", "frame", width, ["idx"])
+def frame_to_pts(packets: DataFrame, width: int | None = None, constant: Column | None = None, reordered: bool = True) -> DataFrame:
+    """frame and pts of each packet of a stream. With B packets (reordered) frames are numbered in the order of pts, without them in
+    that of the index. At a constant frame duration pts follows from the number: the stream's start plus so many durations."""
+    if reordered:
+        out = scan.run(packets, ["stream_id"], "pts", {"frame": scan.Sum(F.lit(1).cast("long")), "__start": scan.First(F.col("pts"))}, width, ["idx"])
+    else:
+        start = scan.Top(-F.col("pts"))  # the least
+        out = scan.run(packets, ["stream_id"], "idx", {"frame": scan.Sum(F.lit(1).cast("long")), "__start": start}, width or WIDTH)
+        out = out.withColumn("__start", -F.col("__start"))
+    if constant is not None:
+        out = out.withColumn("pts", F.col("__start") + F.col("frame") * constant)
+    return out.drop("__start")
+
 
+def unwrap_counter(packets: DataFrame, counter: Column, bits: int, anchor: Column, width: int = WIDTH) -> DataFrame:
+    """pts of a counter of so many bits. An anchor, a time that isn't NULL, is a row's pts and the start of what follows. After it, a
+    step back by more than half the range adds the range for good, and a step ahead by more than half takes it off for
+    that row alone. Rows before the first anchor start from 0; rows without a counter or an anchor get NULL and count for no other.
 
-def unwrap_counter(packets: DataFrame, counter: Column, bits: int, width: int = WIDTH) -> DataFrame:
-    """A counter of so many bits, carried on when it wraps: a drop of more than half its range adds the range for good."""
+    Whether the row before was set back depends on the one before it. But a large step forces the answer, whatever was before, and a
+    small one leaves it as it is, so it is the last answer that was forced."""
     size = 1 << bits
-    out = scan.lag(packets.withColumn("__n", counter), ["stream_id"], "idx", {"__p": F.col("__n")}, width)
-    wraps = F.when(F.col("__p") - F.col("__n") > size // 2, 1).otherwise(0).cast("long")
-    out = scan.running_sum(out, ["stream_id"], "idx", wraps, "__w", width, inclusive=True)
-    return out.withColumn("counter", F.col("__n") + F.col("__w") * size).drop("__n", "__p", "__w")
+    p = packets.withColumns({"__n": counter, "__a": F.when(counter.isNotNull(), anchor)})
+    p = scan.settle(scan.run(p, ["stream_id"], "idx", {"__p": scan.Last(F.col("__n"), inclusive=False)}, width))
+    step = F.col("__n") - F.coalesce("__p", F.lit(0))
+    forced = F.when(F.col("__a").isNotNull(), False).when(step > size // 2, True).when(step <= -(size // 2), False)
+    p = p.withColumns({"__step": step, "__forced": F.when(F.col("__n").isNotNull(), forced)})
+    p = scan.settle(scan.run(p, ["stream_id"], "idx", {"__was": scan.Last(F.col("__forced"), inclusive=False), "__back": scan.Last(F.col("__forced"))}, width))
+    was, back = (F.coalesce(c, F.lit(False)) for c in ("__was", "__back"))
+    wraps = F.col("__n").isNotNull() & F.col("__a").isNull() & ~was & (F.col("__step") < -(size // 2))
+    p = scan.settle(scan.run(p.withColumns({"__b": back.cast("long"), "__w": wraps.cast("long")}), ["stream_id"], "idx", {"__wraps": scan.Sum(F.col("__w"), inclusive=True)}, width))
+    mark = F.when(F.col("__a").isNotNull(), F.struct(F.col("__a").alias("a"), F.col("__n").alias("n"), F.col("__wraps").alias("w")))
+    out = scan.run(p, ["stream_id"], "idx", {"__m": scan.Last(mark)}, width)
+    base = F.coalesce(F.col("__m")["a"] - F.col("__m")["n"] - size * F.col("__m")["w"], F.lit(0))
+    return out.withColumn("pts", base + F.col("__n") + size * (F.col("__wraps") - F.col("__b"))).drop("__n", "__a", "__p", "__step", "__forced", "__was", "__back", "__b", "__w", "__wraps", "__m")

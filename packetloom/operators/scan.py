@@ -1,125 +1,253 @@
 """Ordered computations along streams, in blocks.
 
 A stream may hold a third of all rows, so a window over a whole stream would put them into one task. These
-operators cut each stream's order column, a bigint, into blocks of a fixed width. Rows shuffle once, by
-(stream, block); what a block must know of those before or behind it, its carry, comes from a small table of one row a
-block, summed before it is shuffled. The result doesn't depend on the width.
+operators cut each stream's order column, a bigint, into blocks of a fixed width. Rows shuffle by
+(stream, block); what a block must know of those before or behind it, its carry, comes from a table of one row a
+block, summed before it is shuffled. One scan computes any number of things at once, so a step reads its input
+twice, however much it computes; a step that depends on another's result reads that from a table (`settle`). The
+result doesn't depend on the width.
 
-`keys` may be empty: the table is then one stream. Ties in the order column are broken by `ties`."""
+`keys` may be empty: the table is then one stream, whose carries are summed in two levels. NULL is a key like any other. Ties in the
+order column are broken by `ties`. A row whose order is NULL has no place along its stream: it stays, gets NULL, and
+counts for no other row."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from packetloom.functions.timebase import floor_div
 
+#: Rows of a block, blocks whose carries are summed by one task, and into how many blocks rows without a place are dealt.
+ROWS, BLOCKS, NOWHERE = 1 << 16, 1 << 12, 1 << 20
+
+
+@dataclass(frozen=True)
+class Sum:
+    """Of the earlier rows, 0 for the first; inclusive: the row's own too."""
+
+    value: Column
+    inclusive: bool = False
+
+
+@dataclass(frozen=True)
+class Max:
+    """The greatest value of the earlier rows, NULL for the first; inclusive: the row's own too."""
+
+    value: Column
+    inclusive: bool = False
+
+
+@dataclass(frozen=True)
+class Last:
+    """The last value that isn't NULL up to the row (inclusive) or before it."""
+
+    value: Column
+    inclusive: bool = True
+
+
+@dataclass(frozen=True)
+class Next:
+    """The first value that isn't NULL from the row on (inclusive) or behind it."""
+
+    value: Column
+    inclusive: bool = True
+
+
+@dataclass(frozen=True)
+class First:
+    """The value of the stream's first row at which it isn't NULL."""
+
+    value: Column
+
+
+@dataclass(frozen=True)
+class Top:
+    """The greatest value in the whole stream."""
+
+    value: Column
+
+
+Step = Sum | Max | Last | Next | First | Top
+
+
+def width_for(df: DataFrame, order: str, rows: int = ROWS) -> int:
+    """The width at which a block of the densest table, all rows one stream, has some `rows` rows: an aggregate of one column."""
+    r = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(order).alias("n")).first()
+    return max(1, (r.high - r.low + 1) * rows // r.n) if r.n else 1
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all machines share; only where it is unset, one in the warehouse."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: what follows doesn't compute it anew. The folder is the caller's to clear."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 class Blocks:
-    """df with a block column; local windows, and carries of a table of block aggregates."""
+    """df with a block column; windows in a block, and over blocks."""
+
+    block, stream = "__block", "__stream"
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: str, width: int, ties: Sequence[str] = ()):
         self.keys, self.order, self.ties = list(keys), order, list(ties)
-        self.block = "__block"
-        self.df = df.withColumn(self.block, floor_div(order, width))
-
-    def local(self, descending: bool = False) -> WindowSpec:
-        by = [F.col(c).desc() if descending else F.col(c).asc() for c in (self.order, *self.ties)]
-        return Window.partitionBy(*self.keys, self.block).orderBy(*by)
-
-    def before(self) -> WindowSpec:
-        """Over block aggregates: all earlier blocks of the stream."""
-        return Window.partitionBy(*self.keys).orderBy(self.block).rowsBetween(Window.unboundedPreceding, -1)
+        flat = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        nowhere = F.lit(-(1 << 62)) + F.pmod(F.xxhash64(*flat), F.lit(NOWHERE))
+        self.df = df.withColumn(self.block, F.when(F.col(order).isNotNull(), floor_div(order, width)).otherwise(nowhere))
+        self.by = [self.stream] if keys else []
+        if keys:  # in a struct, NULL equals NULL, and joins and windows share one shuffle
+            self.df = self.df.withColumn(self.stream, F.struct(*keys))
 
-    def behind(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy(self.block).rowsBetween(1, Window.unboundedFollowing)
+    def local(self, first: int | None = None, last: int | None = None, also: Sequence[str] = ()) -> WindowSpec:
+        spec = Window.partitionBy(*self.by, self.block, *also).orderBy(self.order, *self.ties)
+        return spec.rowsBetween(Window.unboundedPreceding if first is None else first, Window.unboundedFollowing if last is None else last)
 
-    def with_carry(self, sums: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
-        """The rows with carries: sums are aggregates of a block, carry are windows over these."""
-        on = [*self.keys, self.block]
-        totals = self.df.groupBy(*on).agg(*[v.alias(k) for k, v in sums.items()])
-        carried = totals.select(*on, *[v.alias(k) for k, v in carry.items()])
-        return self.df.join(carried, on)
+    def over(self, by: Sequence[str], order: str, behind: bool = False) -> WindowSpec:
+        spec = Window.partitionBy(*by).orderBy(order)
+        return spec.rowsBetween(1, Window.unboundedFollowing) if behind else spec.rowsBetween(Window.unboundedPreceding, -1)
 
     def key(self) -> Column:
         return F.struct(self.order, *self.ties)
 
+    def placed(self, value: Column) -> Column:
+        """The value, NULL where the row has no place."""
+        return F.when(F.col(self.order).isNotNull(), value)
+
+
+def _total(step: Step, v: str, key: Column) -> Column:
+    if isinstance(step, Sum):
+        return F.sum(v)
+    if isinstance(step, Max | Top):
+        return F.max(v)
+    return (F.max_by if isinstance(step, Last) else F.min_by)(v, F.when(F.col(v).isNotNull(), key))
+
+
+def _carry(step: Step, s: str, b: Blocks, by: Sequence[str], order: str) -> Column:
+    """Of the totals s before the block, or behind it, or of all."""
+    if isinstance(step, Sum):
+        return F.sum(s).over(b.over(by, order))
+    if isinstance(step, Max):
+        return F.max(s).over(b.over(by, order))
+    if isinstance(step, Last):
+        return F.last(s, True).over(b.over(by, order))
+    if isinstance(step, Next):
+        return F.first(s, True).over(b.over(by, order, behind=True))
+    every = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (F.max(s) if isinstance(step, Top) else F.first(s, True)).over(every)
+
+
+def _combined(step: Step, far: Column, near: Column) -> Column:
+    """What is carried from other groups of blocks, and from blocks of the same group."""
+    if isinstance(step, Sum):
+        return F.coalesce(far, F.lit(0)) + F.coalesce(near, F.lit(0))
+    if isinstance(step, Max | Top):
+        return F.greatest(far, near)
+    return F.coalesce(far, near) if isinstance(step, First) else F.coalesce(near, far)
+
+
+def run(df: DataFrame, keys: Sequence[str], order: str, steps: dict[str, Step], width: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """df with a column for each step, all from one pass."""
+    b = Blocks(df.withColumns({f"__v_{n}": s.value for n, s in steps.items()}), keys, order, width or width_for(df, order), ties)
+    rows = b.df.withColumns({f"__v_{n}": b.placed(F.col(f"__v_{n}")) for n in steps})
+    on = [*b.by, b.block]
+    totals = rows.groupBy(*on).agg(*[_total(s, f"__v_{n}", b.key()).alias(f"__s_{n}") for n, s in steps.items()])
+    if keys:
+        carried = totals.select(*on, *[_carry(s, f"__s_{n}", b, b.by, b.block).alias(f"__c_{n}") for n, s in steps.items()])
+    else:  # no task sees all blocks: groups of blocks first
+        totals = totals.withColumn("__group", floor_div(b.block, BLOCKS))
+        groups = totals.groupBy("__group").agg(*[_total(s, f"__s_{n}", F.col(b.block)).alias(f"__g_{n}") for n, s in steps.items()])
+        groups = groups.select("__group", *[_carry(s, f"__g_{n}", b, [], "__group").alias(f"__g_{n}") for n, s in steps.items()])  # a row for BLOCKS blocks
+        near = totals.select("__group", b.block, *[_carry(s, f"__s_{n}", b, ["__group"], b.block).alias(f"__c_{n}") for n, s in steps.items()])
+        carried = near.join(groups, "__group").select(b.block, *[_combined(s, F.col(f"__g_{n}"), F.col(f"__c_{n}")).alias(f"__c_{n}") for n, s in steps.items()])
+    rows = rows.join(carried, on)
+    new = {}
+    for n, s in steps.items():
+        v, c = f"__v_{n}", F.col(f"__c_{n}")
+        own = 0 if getattr(s, "inclusive", False) else -1
+        if isinstance(s, Sum):
+            got = F.coalesce(c, F.lit(0)) + F.coalesce(F.sum(v).over(b.local(None, own)), F.lit(0))
+        elif isinstance(s, Max):
+            got = F.greatest(c, F.max(v).over(b.local(None, own)))
+        elif isinstance(s, Last):
+            got = F.coalesce(F.last(v, True).over(b.local(None, own)), c)
+        elif isinstance(s, Next):
+            got = F.coalesce(F.first(v, True).over(b.local(-own, None)), c)
+        else:
+            got = c
+        new[n] = b.placed(got)
+    return rows.withColumns(new).drop(*on, *[f"__{x}_{n}" for x in "vc" for n in steps])
+
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, width: int, ties: Sequence[str] = (), inclusive: bool = False) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, width: int | None = None, ties: Sequence[str] = (), inclusive: bool = False) -> DataFrame:
     """`name`: the sum of `value` over the earlier rows of the stream, 0 for the first; inclusive: the row's own too."""
-    b = Blocks(df.withColumn("__v", value), keys, order, width, ties)
-    rows = b.with_carry({"__s": F.sum("__v")}, {"__c": F.coalesce(F.sum("__s").over(b.before()), F.lit(0))})
-    own = F.coalesce(F.sum("__v").over(b.local().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)), F.lit(0))
-    return rows.withColumn(name, F.col("__c") + own).drop("__v", "__c", b.block)
+    return run(df, keys, order, {name: Sum(value, inclusive)}, width, ties)
 
 
-def row_number(df: DataFrame, keys: Sequence[str], order: str, name: str, width: int, ties: Sequence[str] = ()) -> DataFrame:
+def row_number(df: DataFrame, keys: Sequence[str], order: str, name: str, width: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """`name`: 0 for the first row of the stream, and so on."""
     return running_sum(df, keys, order, F.lit(1).cast("long"), name, width, ties)
 
 
-def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, width: int, ties: Sequence[str] = ()) -> DataFrame:
+def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, width: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """`name`: the greatest `value` of the earlier rows of the stream, NULL for the first."""
-    b = Blocks(df.withColumn("__v", value), keys, order, width, ties)
-    rows = b.with_carry({"__s": F.max("__v")}, {"__c": F.max("__s").over(b.before())})
-    own = F.max("__v").over(b.local().rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn(name, F.greatest("__c", own)).drop("__v", "__c", b.block)
+    return run(df, keys, order, {name: Max(value)}, width, ties)
 
 
-def last_known(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int, ties: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
+def last_known(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int | None = None, ties: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
     """For each name, the last value that isn't NULL up to the row (inclusive) or before it."""
-    b = Blocks(df.withColumns({f"__v_{k}": v for k, v in values.items()}), keys, order, width, ties)
-    sums = {f"__s_{k}": F.max_by(f"__v_{k}", F.when(F.col(f"__v_{k}").isNotNull(), b.key())) for k in values}
-    rows = b.with_carry(sums, {f"__c_{k}": F.last(f"__s_{k}", True).over(b.before()) for k in values})
-    frame = b.local().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    rows = rows.withColumns({k: F.coalesce(F.last(f"__v_{k}", True).over(frame), F.col(f"__c_{k}")) for k in values})
-    return rows.drop(b.block, *[f"__{x}_{k}" for x in "vc" for k in values])
+    return run(df, keys, order, {k: Last(v, inclusive) for k, v in values.items()}, width, ties)
 
 
-def next_known(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int, ties: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
+def next_known(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int | None = None, ties: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
     """For each name, the first value that isn't NULL from the row on (inclusive) or behind it."""
-    b = Blocks(df.withColumns({f"__v_{k}": v for k, v in values.items()}), keys, order, width, ties)
-    sums = {f"__s_{k}": F.min_by(f"__v_{k}", F.when(F.col(f"__v_{k}").isNotNull(), b.key())) for k in values}
-    rows = b.with_carry(sums, {f"__c_{k}": F.first(f"__s_{k}", True).over(b.behind()) for k in values})
-    frame = b.local().rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
-    rows = rows.withColumns({k: F.coalesce(F.first(f"__v_{k}", True).over(frame), F.col(f"__c_{k}")) for k in values})
-    return rows.drop(b.block, *[f"__{x}_{k}" for x in "vc" for k in values])
+    return run(df, keys, order, {k: Next(v, inclusive) for k, v in values.items()}, width, ties)
 
 
-def lag(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int, ties: Sequence[str] = ()) -> DataFrame:
+def lag(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """For each name, the value of the row before, NULL for the stream's first."""
-    wrapped = {k: F.struct(v.alias("v")) for k, v in values.items()}
-    out = last_known(df, keys, order, wrapped, width, ties, inclusive=False)
+    out = last_known(df, keys, order, {k: F.struct(v.alias("v")) for k, v in values.items()}, width, ties, inclusive=False)
     return out.withColumns({k: F.col(k)["v"] for k in values})
 
 
-def lead(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int, ties: Sequence[str] = ()) -> DataFrame:
+def lead(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """For each name, the value of the row behind, NULL for the stream's last."""
-    wrapped = {k: F.struct(v.alias("v")) for k, v in values.items()}
-    out = next_known(df, keys, order, wrapped, width, ties, inclusive=False)
+    out = next_known(df, keys, order, {k: F.struct(v.alias("v")) for k, v in values.items()}, width, ties, inclusive=False)
     return out.withColumns({k: F.col(k)["v"] for k in values})
 
 
 def as_of(
-    probes: DataFrame, facts: DataFrame, keys: Sequence[str], probe_time: str, fact_time: str, take: Sequence[str], width: int,
+    probes: DataFrame, facts: DataFrame, keys: Sequence[str], probe_time: str, fact_time: str, take: Sequence[str], width: int | None = None,
     strict: bool = False, forward: bool = False, ties: Sequence[str] = (),
 ) -> DataFrame:
     """Left join of each probe with the last fact at or before its time (strict: before), or, forward, the first at or
     after it. Both are one ordered stream, so no probe meets more than one fact. `ties` orders facts of the same time.
-    The fact columns `take` are NULL where there is none."""
+    The fact columns `take` are NULL where there is none, and for a probe whose time or one of whose keys is NULL."""
+    width = width or width_for(facts, fact_time)
     probes_first = strict != forward  # among equal times: facts then don't count backwards, and do forwards
     order = [f"__o_{c}" for c in ties]
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
     p = probes.select(
         F.struct(*probes.columns).alias("__p"),
         *keys,
-        F.col(probe_time).cast("long").alias("__t"),
+        F.when(known, F.col(probe_time).cast("long")).alias("__t"),
         F.lit(0 if probes_first else 1).alias("__side"),
         *[F.lit(None).cast(facts.schema[c].dataType).alias(o) for c, o in zip(ties, order)],
         F.lit(None).cast(facts.select(F.struct(*take)).schema[0].dataType).alias("__f"),
     )
-    f = facts.select(
+    f = facts.filter(known & F.col(fact_time).isNotNull()).select(
         F.lit(None).cast(p.schema["__p"].dataType).alias("__p"),
         *keys,
         F.col(fact_time).cast("long").alias("__t"),
@@ -127,6 +255,6 @@ def as_of(
         *[F.col(c).alias(o) for c, o in zip(ties, order)],
         F.struct(*take).alias("__f"),
     )
-    step: Callable = next_known if forward else last_known
-    both = step(p.unionByName(f), keys, "__t", {"__f": F.col("__f")}, width, ["__side", *order], inclusive=True)
-    return both.filter(F.col("__p").isNotNull()).select("__p.*", *[F.col("__f")[c].alias(c) for c in take])
+    step = (Next if forward else Last)(F.col("__f"))
+    both = run(p.unionByName(f), keys, "__t", {"__got": step}, width, ["__side", *order])
+    return both.filter(F.col("__p").isNotNull()).select("__p.*", *[F.col("__got")[c].alias(c) for c in take])

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions.timebase import div, micros, rescale
-from packetloom.operators import lookup, merge, metadata, packets as P, rules, scan
+from packetloom.operators import expand, lookup, merge, metadata, packets as P, rules, scan
 
-from .proxies import CUES, IDX, PACKETS, US, cues, packets, table
+from .proxies import CUES, IDX, PACKETS, cues, packets, table
 from .registry import query
 
 #: 2024-01-02 00:00 in µs.
@@ -33,8 +33,8 @@ def next_packet_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT stream_id, idx, pts, CASE WHEN first <> 0 THEN duration WHEN next IS NOT NULL THEN next - pts WHEN duration <= 0 AND pts_end - pts > 0 THEN pts_end - pts ELSE duration END AS duration FROM e""")
 def duration_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets(spark, sf_dir).withColumn("duration", F.when(F.col("stream_id") % 2 == 0, 0).otherwise(F.col("duration")))
-    ends = p.groupBy("stream_id").agg((F.max("pts") + 5000).alias("pts_end"))
-    return P.fill_durations(p.join(ends, "stream_id"), IDX).select("stream_id", "idx", "pts", "duration")
+    ends = scan.run(p, ["stream_id"], "idx", {"pts_end": scan.Top(F.col("pts") + 5000)}, IDX)
+    return P.fill_durations(scan.settle(ends), IDX).select("stream_id", "idx", "pts", "duration")
 
 
 @query(f"SELECT stream_id, min(idx) AS first_idx, max(idx) AS last_idx FROM {PACKETS} GROUP BY stream_id")
@@ -49,22 +49,25 @@ def interleave_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.interleaving(packets(spark, sf_dir))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def _urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are streams, their urgent orders packets: some have none."""
+    return table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def drop_empty_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return P.drop_empty(table(spark, sf_dir, "customer"), orders, "c_custkey").select("c_custkey", "c_name")
+    return P.drop_empty(table(spark, sf_dir, "customer"), _urgent(spark, sf_dir), "c_custkey").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def empty_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return P.empty_streams(table(spark, sf_dir, "customer"), orders, "c_custkey").select("c_custkey", "c_name")
+    return P.empty_streams(table(spark, sf_dir, "customer"), _urgent(spark, sf_dir), "c_custkey").select("c_custkey", "c_name")
 
 
 @query(f"SELECT stream_id, idx, event_type FROM {PACKETS} WHERE event_type IN ('view', 'click', 'signup')")
 def drop_unsupported_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = packets(spark, sf_dir).select("event_type").distinct().filter(F.col("event_type").isin("view", "click", "signup"))
-    return P.drop_unsupported(packets(spark, sf_dir), lookup.small(known), "event_type").select("stream_id", "idx", "event_type")
+    return P.drop_unsupported(packets(spark, sf_dir), known, "event_type").select("stream_id", "idx", "event_type")
 
 
 @query(f"SELECT stream_id, idx, pts FROM {PACKETS} JOIN (SELECT c_custkey AS stream_id FROM customer WHERE c_nationkey % 3 <> 0) USING (stream_id)")
@@ -131,13 +134,13 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT o_orderkey, q.stream_id, t, k.idx AS key_idx, k.pts AS key_pts FROM {_PROBES} q ASOF LEFT JOIN (SELECT * FROM {PACKETS} WHERE keyframe) k
     ON q.stream_id = k.stream_id AND q.t > k.pts""")
 def keyframe_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.keyframe_before(_probes(spark, sf_dir), packets(spark, sf_dir), "t", US).select("o_orderkey", "stream_id", "t", "key_idx", "key_pts")
+    return lookup.keyframe_before(_probes(spark, sf_dir), packets(spark, sf_dir), "t").select("o_orderkey", "stream_id", "t", "key_idx", "key_pts")
 
 
 @query(f"""SELECT o_orderkey, q.stream_id, t, k.idx AS key_idx, k.pts AS key_pts FROM {_PROBES} q ASOF LEFT JOIN (SELECT * FROM {PACKETS} WHERE keyframe) k
     ON q.stream_id = k.stream_id AND q.t < k.pts""")
 def keyframe_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.keyframe_after(_probes(spark, sf_dir), packets(spark, sf_dir), "t", US).select("o_orderkey", "stream_id", "t", "key_idx", "key_pts")
+    return lookup.keyframe_after(_probes(spark, sf_dir), packets(spark, sf_dir), "t").select("o_orderkey", "stream_id", "t", "key_idx", "key_pts")
 
 
 @query(f"""WITH f AS (SELECT stream_id, pts, idx, max(CASE WHEN keyframe THEN idx END) OVER (PARTITION BY stream_id ORDER BY idx) AS k FROM {PACKETS}),
@@ -147,8 +150,8 @@ def keyframe_after(spark: SparkSession, sf_dir: str) -> DataFrame:
         greatest(coalesce(p.pts, pts_start) - 2000000, pts_start) AS decode_from
     FROM a JOIN s USING (stream_id) LEFT JOIN {PACKETS} p ON p.stream_id = a.stream_id AND p.idx = a.k""")
 def seek_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lookup.seek_index(_probes(spark, sf_dir), packets(spark, sf_dir), "t", 2_000_000, US)
-    return found.select("o_orderkey", "stream_id", "t", "seek_idx", "seek_pts", "start_idx", "decode_from")
+    found = lookup.seek_index(_probes(spark, sf_dir), packets(spark, sf_dir), "t", 2_000_000)
+    return found.filter("seek_idx is not null").select("o_orderkey", "stream_id", "t", "seek_idx", "seek_pts", "start_idx", "decode_from")
 
 
 @query(f"""WITH c AS (SELECT idx, pts, row_number() OVER (ORDER BY pts) AS n FROM {PACKETS} WHERE event_type = 'purchase')
@@ -156,12 +159,12 @@ def seek_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM {_PROBES} q ASOF LEFT JOIN c ON q.t >= c.pts""")
 def cue_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = packets(spark, sf_dir).filter("event_type = 'purchase'").select(F.col("pts").alias("cue_pts"), F.col("idx").alias("cue_idx"))
-    return lookup.cue_for(_probes(spark, sf_dir).select("o_orderkey", "t"), marks, [], "t", "cue_pts", ["cue_idx", "cue_pts"], US)
+    return lookup.cue_for(_probes(spark, sf_dir).select("o_orderkey", "t"), marks, [], "t", "cue_pts", ["cue_idx", "cue_pts"])
 
 
 @query(f"SELECT stream_id, idx, pts, row_number() OVER (PARTITION BY stream_id ORDER BY pts, idx) - 1 AS frame FROM {PACKETS}")
 def frame_to_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.frame_to_pts(packets(spark, sf_dir), US).select("stream_id", "idx", "pts", "frame")
+    return P.frame_to_pts(packets(spark, sf_dir)).select("stream_id", "idx", "pts", "frame")
 
 
 @query("""WITH m AS (SELECT 0 AS k, epoch_us(ts) AS t, event_id AS id FROM events UNION ALL SELECT 1, epoch_us(o_orderdate), o_orderkey FROM orders)
@@ -169,7 +172,7 @@ def frame_to_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     audio = table(spark, sf_dir, "events").select(micros("ts").alias("t"), F.col("event_id").alias("id"))
     video = table(spark, sf_dir, "orders").select(micros("o_orderdate").alias("t"), F.col("o_orderkey").alias("id"))
-    return merge.merge_by_time([("audio", audio), ("video", video)], "t", "id", 24 * US).select("kind", "t", "id", "position")
+    return merge.merge_by_time([("audio", audio), ("video", video)], "t", "id").select("kind", "t", "id", "position")
 
 
 @query(f"""SELECT stream_id, idx, 1000 + coalesce(sum(duration) OVER (PARTITION BY stream_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS dts FROM {PACKETS}""")
@@ -318,22 +321,76 @@ def ts_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH r AS (SELECT stream_id, idx, row_number() OVER (PARTITION BY stream_id ORDER BY idx) AS n, lead(idx) OVER (PARTITION BY stream_id ORDER BY idx) AS nx FROM {PACKETS})
     SELECT stream_id, idx, (n - 1) * 1152 AS pts, CASE WHEN nx IS NULL THEN 400 ELSE 1152 END AS duration FROM r""")
 def ts_const_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = scan.row_number(packets(spark, sf_dir), ["stream_id"], "idx", "n", IDX)
-    p = scan.lead(p, ["stream_id"], "idx", {"nx": F.col("idx")}, IDX)
+    steps = {"n": scan.Sum(F.lit(1).cast("long")), "nx": scan.Next(F.col("idx"), inclusive=False)}
+    p = scan.run(packets(spark, sf_dir), ["stream_id"], "idx", steps, IDX)
     return p.select("stream_id", "idx", (F.col("n") * 1152).alias("pts"), F.when(F.col("nx").isNull(), 400).otherwise(1152).alias("duration"))
 
 
 @query(f"SELECT stream_id, idx, (idx - f) // 2 * 3003 AS pts FROM {PACKETS} JOIN (SELECT stream_id, min(idx) AS f FROM {PACKETS} GROUP BY stream_id) USING (stream_id)")
 def ts_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = packets(spark, sf_dir)
-    first = p.groupBy("stream_id").agg(F.min("idx").alias("f"))
-    return p.join(first, "stream_id").select("stream_id", "idx", (div(F.col("idx") - F.col("f"), 2) * 3003).alias("pts"))
+    p = scan.run(packets(spark, sf_dir), ["stream_id"], "idx", {"f": scan.First(F.col("idx"))}, IDX)
+    return p.select("stream_id", "idx", (div(F.col("idx") - F.col("f"), 2) * 3003).alias("pts"))
 
 
-@query(f"""WITH c AS (SELECT stream_id, idx, idx * 700 % 8192 AS c FROM {PACKETS}), d AS (SELECT *, lag(c) OVER (PARTITION BY stream_id ORDER BY idx) - c > 4096 AS drop FROM c)
-    SELECT stream_id, idx, c + 8192 * count(*) FILTER (drop) OVER (PARTITION BY stream_id ORDER BY idx) AS counter FROM d""")
+@query(f"""WITH RECURSIVE r AS (SELECT stream_id, idx, row_number() OVER (PARTITION BY stream_id ORDER BY idx) AS n, idx * 700 % 8192 AS c, CASE WHEN keyframe THEN pts END AS a FROM {PACKETS}),
+    w AS (SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS idx, CAST(0 AS BIGINT) AS pts, CAST(0 AS BIGINT) AS o FROM r
+        UNION ALL SELECT r.stream_id, r.n, r.idx, CASE WHEN a IS NOT NULL THEN a WHEN o + c - w.pts < -4096 THEN o + c + 8192 WHEN o + c - w.pts > 4096 THEN o + c - 8192 ELSE o + c END,
+            CASE WHEN a IS NOT NULL THEN a - c WHEN o + c - w.pts < -4096 THEN o + 8192 ELSE o END FROM w JOIN r ON r.stream_id = w.stream_id AND r.n = w.n + 1)
+    SELECT stream_id, idx, pts FROM w WHERE n > 0""")
 def ts_wrapped_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.unwrap_counter(packets(spark, sf_dir), F.col("idx") * 700 % 8192, 13, IDX).select("stream_id", "idx", "counter")
+    anchor = F.when(F.col("keyframe"), F.col("pts"))
+    return P.unwrap_counter(packets(spark, sf_dir), F.col("idx") * 700 % 8192, 13, anchor, IDX).select("stream_id", "idx", "pts")
+
+
+@query(f"""SELECT stream_id, idx, row_number() OVER (PARTITION BY stream_id ORDER BY pts, idx) - 1 AS frame, min(pts) OVER (PARTITION BY stream_id) + (row_number() OVER (PARTITION BY stream_id ORDER BY pts, idx) - 1) * 40000 AS constant,
+    row_number() OVER (PARTITION BY stream_id ORDER BY idx) - 1 AS plain FROM {PACKETS}""")
+def frame_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame numbers of streams with and without B packets, and times at a constant frame duration."""
+    p = packets(spark, sf_dir)
+    constant = P.frame_to_pts(p, constant=F.lit(40_000)).select("stream_id", "idx", "frame", F.col("pts").alias("constant"))
+    plain = P.frame_to_pts(p, IDX, reordered=False).select("stream_id", "idx", F.col("frame").alias("plain"))
+    return constant.join(plain, ["stream_id", "idx"])
+
+
+@query("""SELECT l_orderkey AS source, offset_ AS "offset", track, row_number() OVER (PARTITION BY l_orderkey ORDER BY offset_, track) - 1 AS position
+    FROM (SELECT DISTINCT l_orderkey, CAST(l_partkey % 50 AS BIGINT) AS offset_, CAST(l_suppkey AS BIGINT) AS track FROM lineitem)""")
+def merge_by_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of an order's suppliers, in the order in which they lie in the file."""
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), (F.col("l_partkey") % 50).alias("offset"), F.col("l_suppkey").alias("track")).distinct()
+    return merge.merge_by_offset(t, ["source"], "offset", "track").select("source", "offset", "track", "position")
+
+
+@query(f"""WITH d AS (SELECT idx, count(*) FILTER (event_type = 'signup') OVER (ORDER BY idx) AS dseq FROM {PACKETS}), f AS (SELECT dseq, min(idx) AS segment FROM d GROUP BY dseq)
+    SELECT o_orderkey, coalesce(segment, -1) AS segment FROM orders LEFT JOIN f ON o_orderkey % 5000 = dseq""")
+def discontinuity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one list: the first segment of a discontinuity number, also for numbers that aren't there."""
+    p = scan.running_sum(packets(spark, sf_dir), [], "idx", F.col("keyframe").cast("long"), "dseq", IDX, inclusive=True)
+    return lookup.discontinuity(table(spark, sf_dir, "orders"), p, "dseq", F.col("o_orderkey") % 5000).select("o_orderkey", "segment")
+
+
+@query(f"""SELECT c_custkey, v.idx AS variant, v.pts, m.n_name AS rendition FROM customer c JOIN {PACKETS} v ON v.stream_id = c_custkey
+    LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) m ON m.n_regionkey = v.size % 5""")
+def variant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with the renditions of their group; those of one region have no address, so they don't count."""
+    v = packets(spark, sf_dir).select(F.col("stream_id").alias("c_custkey"), F.col("idx").alias("variant"), "pts", (F.col("size") % 5).cast("int").alias("group_id"))
+    v = v.join(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    n = table(spark, sf_dir, "nation")
+    media = n.select(F.col("n_regionkey").cast("int").alias("group_id"), F.col("n_name").alias("rendition"), F.when(F.col("n_regionkey") != 2, F.col("n_name")).alias("uri"))
+    return lookup.variant_groups(v, media).select("c_custkey", "variant", "pts", "rendition")
+
+
+@query(f"SELECT stream_id, idx, pts AS start, coalesce(lead(pts) OVER (PARTITION BY stream_id ORDER BY idx), 1800000000000000) AS \"end\" FROM {PACKETS}")
+def track_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packets(spark, sf_dir).select("stream_id", "idx", F.col("pts").alias("start"), F.lit(1_800_000_000_000_000).alias("total"))
+    return expand.track_ends(p, ["stream_id"], "idx", "start", "total", IDX).select("stream_id", "idx", "start", "end")
+
+
+@query(f"SELECT stream_id, max(pts + duration) - least(min(pts), 0) AS out_time, arg_min(idx, pts) AS first_shown, count(*) FILTER (keyframe) AS keyframes FROM {PACKETS} GROUP BY stream_id")
+def track_out_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long a track lasts, its packet of the least time, and how many of its packets are keyframes."""
+    return packets(spark, sf_dir).groupBy("stream_id").agg(
+        (F.max(F.col("pts") + F.col("duration")) - F.least(F.min("pts"), F.lit(0))).alias("out_time"), F.min_by("idx", "pts").alias("first_shown"), F.count_if("keyframe").alias("keyframes")
+    )
 
 
 @query(f"""SELECT stream_id, idx, event_type AS value FROM (SELECT *, lag(event_type) OVER (PARTITION BY stream_id ORDER BY idx) AS before FROM {PACKETS}) WHERE before IS DISTINCT FROM event_type""")

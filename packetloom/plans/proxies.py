@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.timebase import micros
 
-#: Width of a block of packet indices, of microseconds, and of small ordinals.
-IDX, US, FEW = 1 << 16, 3_600_000_000, 1 << 12
+#: Width of a block of packet indices and of small ordinals. A stream has each of them once, so it is also a bound of a block's rows.
+IDX, FEW = 1 << 16, 1 << 12
 
 PACKETS = """(SELECT user_id AS stream_id, event_id AS idx, epoch_us(ts) AS pts, CAST(floor(value * 10) AS BIGINT) AS duration,
     CAST(length(props) AS BIGINT) AS size, event_type = 'signup' AS keyframe, event_type, CAST(round(value * 100) AS BIGINT) AS cents FROM events)"""
@@ -21,14 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all machines share; only where it is unset, one in the warehouse."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-    return context.getCheckpointDir()
-
-
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stream_id, idx, pts (µs), duration, size, keyframe, event_type, cents."""
     return packets_of(table(spark, sf_dir, "events"))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions import samples as S
+from packetloom.operators.scan import shared_dir
 from packetloom.sources import pcm
 from packetloom.streaming import live
 
-from .proxies import PACKETS, packets_of, shared_dir, table
+from .proxies import PACKETS, packets_of, table
 from .registry import ORACLE_SQL, query
 
 
@@ -59,3 +60,10 @@ def wav_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pcm.packets(files, 32).withColumn("data", S.decode_pcm(F.col("payload"), "s16le"))
     total = F.aggregate("data", F.lit(0.0), lambda a, x: a + x).cast("long")
     return got.select("source", "idx", "pts", "duration", "position", total.alias("total"))
+
+
+@query(f"""SELECT stream_id::VARCHAR AS source, idx AS poll, idx AS seq, event_type AS uri, coalesce(idx > lag(idx) OVER (PARTITION BY stream_id ORDER BY idx) + 1, false) AS late FROM {PACKETS}""")
+def streaming_new_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a live list that is polled at each event, and shows it alone: what came between has left the list."""
+    p = _stream(spark, sf_dir).select(F.col("stream_id").cast("string").alias("source"), F.col("idx").alias("poll"), F.col("idx").alias("seq"), F.col("event_type").alias("uri"))
+    return _run(spark, live.new_segments(p), "append")

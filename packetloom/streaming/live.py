@@ -52,14 +52,17 @@ def reassemble(packets: DataFrame, key: str = "stream_id", wait_ms: int | None =
             if held:
                 yield row(held)
             return
-        for part in parts:
-            for idx, start, payload in part.sort_values("idx")[["idx", "start", "payload"]].itertuples(index=False):
-                if start:
-                    if held:
-                        yield row(held)
-                    held = (idx, 1, payload)
-                elif held:
-                    held = (held[0], held[1] + 1, held[2] + payload)
+        rows = pd.concat(list(parts)).sort_values("idx", kind="stable")  # chunks of a group follow no order
+        opened = rows["start"].astype(bool).cumsum()
+        for n, own in rows.groupby(opened, sort=True):
+            text = "".join(own["payload"])
+            if n == 0:
+                if held:
+                    held = (held[0], held[1] + len(own), held[2] + text)
+                continue
+            if held:
+                yield row(held)
+            held = (own["idx"].iloc[0], len(own), text)
         if held:
             state.update((int(held[0]), int(held[1]), held[2]))
             if wait_ms is not None:
@@ -106,5 +109,3 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
         query = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
-
-

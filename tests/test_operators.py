@@ -148,3 +148,97 @@ def test_lacing_sums_long_blocks_once(spark):
     want = {(b, i): (x, b * 1000 + sum(s[:i])) for b, s in sizes.items() for i, x in enumerate(s)}
     assert {(r.block, r.lace): (r["size"], r.position) for r in got.collect()} == want and got.count() == len(want)
     assert "slice(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scans_keep_rows_without_key_time_or_value(spark):
+    rows = [(None, 1, 5), (None, 2, None), (1, None, 7), (1, None, 7), (1, 3, None), (1, 4, 2), (None, None, 9)]
+    df = spark.createDataFrame(rows, "stream_id long, idx long, v long")
+    steps = {
+        "sum": scan.Sum(F.col("v"), inclusive=True), "max": scan.Max(F.col("v"), inclusive=True), "last": scan.Last(F.col("v")), "next": scan.Next(F.col("v")),
+        "first": scan.First(F.col("v")), "top": scan.Top(F.col("v")),
+    }
+    for width in (1, 100):
+        got = sorted((tuple(r) for r in scan.run(df, ["stream_id"], "idx", steps, width).collect()), key=repr)
+        assert got == sorted([
+            (None, 1, 5, 5, 5, 5, 5, 5, 5), (None, 2, None, 5, 5, 5, None, 5, 5), (1, None, 7, *[None] * 6), (1, None, 7, *[None] * 6), (None, None, 9, *[None] * 6),
+            (1, 3, None, 0, None, None, 2, 2, 2), (1, 4, 2, 2, 2, 2, 2, 2, 2),
+        ], key=repr)
+
+
+def test_scans_of_one_stream_without_keys(spark, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCKS", 3)
+    rows = [(i, i * 7 % 11 if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "t long, v long").repartition(3)
+    steps = {"sum": scan.Sum(F.col("v")), "max": scan.Max(F.col("v")), "last": scan.Last(F.col("v")), "next": scan.Next(F.col("v"), inclusive=False), "first": scan.First(F.col("v")), "top": scan.Top(F.col("v"))}
+    for r in scan.run(df, [], "t", steps, 2).collect():
+        v = [x for _, x in rows]
+        known = lambda xs: next((x for x in xs if x is not None), None)
+        before = [x for x in v[: r.t] if x is not None]
+        assert (r["sum"], r["max"], r["last"], r["next"]) == (sum(before), max(before, default=None), known(v[: r.t + 1][::-1]), known(v[r.t + 1 :]))
+        assert (r["first"], r["top"]) == (7, 10)
+
+
+def test_no_probe_is_lost(spark):
+    packets = spark.createDataFrame([(1, 0, 10, True), (1, 1, None, True), (None, 2, 10, True), (1, 3, 30, False)], "stream_id long, idx long, pts long, keyframe boolean")
+    probes = spark.createDataFrame([(1, 20), (1, None), (None, 20), (7, 20), (1, 5)], "stream_id long, t long")
+    got = {(r.stream_id, r.t): r.idx for r in scan.as_of(probes, packets, ["stream_id"], "t", "pts", ["idx"], 5).collect()}
+    assert got == {(1, 20): 0, (1, None): None, (None, 20): None, (7, 20): None, (1, 5): None}
+    for f, want in ((lookup.keyframe_before, 0), (lookup.keyframe_after, None)):
+        found = {(r.stream_id, r.t): r.key_idx for r in f(probes, packets, "t").collect()}
+        assert len(found) == 5 and found[1, 20] == want and found[1, None] is None and found[None, 20] is None
+    assert {r.key_idx for r in lookup.keyframe_after(probes, packets, "t").filter("t = 5").collect()} == {0}
+    seeks = {(r.stream_id, r.t): (r.seek_idx, r.start_idx, r.decode_from) for r in lookup.seek_index(probes, packets, "t", 3).collect()}
+    assert seeks == {(1, 20): (0, 0, 10), (1, None): (None, None, None), (None, 20): (None, None, None), (7, 20): (None, None, None), (1, 5): (0, 0, 10)}
+
+
+def test_wrapped_counters(spark):
+    """Against the plain loop, over counters with small and large steps, gaps and anchors."""
+    rng = random.Random(3)
+    rows = []
+    for s in range(3):
+        for i in range(200):
+            rows.append((s, i, rng.choice([rng.randrange(16), rng.randrange(8), 15, 0, None]), rng.randrange(1000) if rng.random() < 0.1 else None))
+    df = spark.createDataFrame(rows, "stream_id long, idx long, c long, a long").repartition(3)
+    got = {(r.stream_id, r.idx): r.pts for r in P.unwrap_counter(df, F.col("c"), 4, F.col("a"), 16).collect()}
+    for s in range(3):
+        offset = last = 0
+        for _, i, c, a in (r for r in rows if r[0] == s):
+            if c is None:
+                assert got[s, i] is None
+                continue
+            if a is not None:
+                pts, offset = a, a - c
+            else:
+                pts = offset + c
+                if pts - last < -8:
+                    pts, offset = pts + 16, offset + 16
+                elif pts - last > 8:
+                    pts -= 16
+            last = pts
+            assert got[s, i] == pts
+
+
+def test_chained_scans_read_their_input_twice(spark):
+    """Each step reads its input for its rows and for its carries, and no more."""
+    from packetloom.plans import QUERIES
+
+    for name in ("stream_stats", "coding_type", "display_order", "playlist_window", "seek_window", "duration_fill", "sample_times", "ts_composition"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert 1 <= plan.count("FileScan") <= 2, name
+
+
+def test_waiting_for_keyframes_only_where_packets_refer_to_others(spark):
+    df = spark.createDataFrame([(0, 0, False, True), (0, 1, True, True), (1, 0, False, False), (1, 1, False, False), (2, 0, False, True)], "stream_id long, idx long, keyframe boolean, p boolean")
+    assert sorted((r.stream_id, r.idx) for r in P.wait_for_keyframe(df, waits=F.col("p")).collect()) == [(0, 1), (1, 0), (1, 1)]
+    assert [(r.stream_id, r.idx) for r in P.wait_for_keyframe(df).collect()] == [(0, 1)]
+
+
+def test_reassembly_of_streams_longer_than_a_chunk(spark, tmp_path):
+    """More rows a stream than a chunk has, from several files in no order."""
+    from packetloom.streaming import live
+
+    n = 25_000
+    spark.range(n).selectExpr("1L as stream_id", "id as idx", "id % 1000 = 0 as start", "cast(id % 10 as string) as payload").repartition(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("stream_id long, idx long, start boolean, payload string").parquet(str(tmp_path / "in"))
+    got = live.run_available(live.reassemble(stream, wait_ms=None), str(tmp_path / "out"), str(tmp_path / "checkpoint")).orderBy("idx").collect()
+    assert [r.idx for r in got] == list(range(0, n - 1000, 1000)) and all(r.parts == 1000 and r.payload == "0123456789" * 100 for r in got)

@@ -109,24 +109,37 @@ def to_text(data: Column, default: str = "ISO-8859-1") -> Column:
     return F.when(kind == "UTF-16LE", F.decode(rest, "UTF-16LE")).when(kind == "UTF-16BE", F.decode(rest, "UTF-16BE")).when(kind == "UTF-8", plain).otherwise(F.decode(data, default))
 
 
+#: The colour names of cue classes; lime and green are the same.
+COLOURS = {"white": "#FFFFFF", "lime": "#00FF00", "green": "#00FF00", "cyan": "#00FFFF", "red": "#FF0000", "yellow": "#FFFF00", "magenta": "#FF00FF", "blue": "#0000FF", "black": "#000000"}
+
+
 def vtt_markup(text: Column | str) -> Column:
-    """Cue markup: <c.colour.bg_colour> becomes a span, b, i and u stay, other tags are shown as text.
+    """Cue markup: <c.class.class> becomes a span with the colours that its classes name (`bg_` ones for the background; of several the
+    last, whatever the order of the two kinds; unknown ones name none), b, i and u stay, other tags are shown as text.
 
     Kept tags are put aside behind control characters first, so that escaping can't touch them."""
     t = F.regexp_replace(col(text), "[\x01\x02]", "")
-    t = F.regexp_replace(t, r"<c\.([a-z]+)\.bg_([a-z]+)>", "\x01span foreground=\"$1\" background=\"$2\"\x02")
-    t = F.regexp_replace(t, r"<c\.bg_([a-z]+)>", "\x01span background=\"$1\"\x02")
-    t = F.regexp_replace(t, r"<c\.([a-z]+)>", "\x01span foreground=\"$1\"\x02")
+    parts = F.split(t, r"<c\.(?=[^<>]*>)")
+    known = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
+
+    def last(classes: Column, kind: Column) -> Column:
+        named = F.filter(F.transform(F.filter(classes, lambda c: c.startswith("bg_") == kind), lambda c: F.try_element_at(known, F.regexp_replace(c, "^bg_", ""))), lambda c: c.isNotNull())
+        return F.try_element_at(named, F.lit(-1))
+
+    def span(part: Column) -> Column:
+        classes = F.split(F.substring_index(part, ">", 1), r"\.")
+        fg, bg = last(classes, F.lit(False)), last(classes, F.lit(True))
+        shown = [F.coalesce(F.concat(F.lit(f' {name}="'), c, F.lit('"')), F.lit("")) for name, c in (("foreground", fg), ("background", bg))]
+        return F.concat(F.lit("\x01span"), *shown, F.lit("\x02"), F.substr(part, F.instr(part, ">") + 1))
+
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), span)
+    t = F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
     t = F.regexp_replace(t, r"</c>", "\x01/span\x02")
     t = F.regexp_replace(t, r"<(/?[biu])>", "\x01$1\x02")
     t = F.replace(F.replace(t, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return F.translate(t, "\x01\x02", "<>")
 
 
-#: The colour names of cue classes; lime and green are the same.
-COLOURS = {"white": "#ffffff", "lime": "#00ff00", "green": "#00ff00", "cyan": "#00ffff", "red": "#ff0000", "yellow": "#ffff00", "magenta": "#ff00ff", "blue": "#0000ff", "black": "#000000"}
-
-
 def date_time_us(text: Column | str) -> Column:
     """Microseconds since 1970 of an ISO 8601 date and time with zone."""
     return F.unix_micros(F.try_to_timestamp(col(text)))

@@ -4,7 +4,7 @@ Files are proxies too: they are made by Spark from the driver's tables and parse
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import samples as S
@@ -75,11 +75,11 @@ def edl_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.edit_list(e, ["track"], "ord", 48_000, 600, FEW, ["delta"]).select("track", "ord", "media_time", "dst_time", "duration")
 
 
-@query("""WITH b AS (SELECT doc_id, list_transform(string_split(substr(coalesce(text, ''), 1, 200), ' '), lambda x: CAST(length(x) AS BIGINT)) AS s FROM documents)
-    SELECT doc_id, CAST(i AS INTEGER) AS lace, s[i + 1] AS size, doc_id * 1000 + coalesce(list_sum(s[1:i]), 0)::BIGINT AS position FROM b, LATERAL (SELECT unnest(range(0, len(s))) AS i)""")
+@query("""WITH b AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), ' '), lambda x: CAST(length(x) AS BIGINT)) AS s FROM documents)
+    SELECT doc_id, CAST(i AS INTEGER) AS lace, size, doc_id * 1000 + coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM (SELECT doc_id, unnest(s) AS size, unnest(range(0, len(s))) AS i FROM b)""")
 def lacing_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    sizes = F.transform(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 200), " "), lambda x: F.length(x).cast("long"))
+    sizes = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda x: F.length(x).cast("long"))
     b = d.select("doc_id", sizes.alias("sizes"), (F.col("doc_id") * 1000).alias("position"))
     return expand.lacing(b, ["doc_id"], "doc_id", "sizes", "position").select("doc_id", "lace", "size", "position")
 
@@ -166,6 +166,27 @@ def id3v1_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", T.id3v1(data).alias("t")).select("c_custkey", "t.title", "t.artist", "t.year", F.when(F.col("t.genre") < 8, F.col("t.genre")).alias("genre"), "t.track")
 
 
+@query("""SELECT doc_id, coalesce(nullif(lang, ''), nullif(source, '')) AS first, CASE WHEN length(d) = 4 THEN 'YEAR' ELSE 'DATE' END AS key, d AS value
+    FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN CAST(1900 + doc_id % 100 AS VARCHAR) ELSE (1900 + doc_id % 100) || '-05-01' END AS d FROM documents)""")
+def tag_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of several fields for one thing the first that isn't empty; dates that are years go under another key."""
+    year = (1900 + F.col("doc_id") % 100).cast("string")
+    d = table(spark, sf_dir, "documents").withColumn("value", F.when(F.col("doc_id") % 2 == 0, year).otherwise(F.concat(year, F.lit("-05-01"))))
+    return d.select("doc_id", X.first_of(F.col("lang"), F.col("source")).alias("first"), X.date_tag("value").alias("key"), "value")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'ogg' WHEN p_size % 6 = 1 THEN 'wav' WHEN p_size % 6 = 2 THEN 'vtt' WHEN p_size % 6 = 3 THEN 'png' WHEN p_size % 6 = 4 THEN 'mpegts' END AS format FROM part""")
+def probe_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with the first bytes of several formats, and some of none."""
+    p, kind = table(spark, sf_dir, "part"), F.col("p_size") % 6
+    name = F.encode("p_name", "UTF-8")
+    marks = {0: "4F676753", 1: "524946460000000057415645", 2: "574542565454", 3: "89504E470D0A1A0A", 4: "47" + "00" * 187 + "47" + "00" * 187 + "47"}
+    head = F.unhex(F.lit("00"))
+    for k, mark in marks.items():
+        head = F.when(kind == k, F.unhex(F.lit(mark))).otherwise(head)
+    return p.select("p_partkey", T.probe(F.concat(head, name)).alias("format"))
+
+
 # --- samples --------------------------------------------------------------------------------------------------
 
 
@@ -219,14 +240,18 @@ def vtt_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.parse_vtt(files).select("source", "pts", "duration", F.md5("text").alias("digest"))
 
 
+PAGES = 10_000
+
+
 def _lists(spark: SparkSession, sf_dir: str, header: str, entry, key: str = "host") -> DataFrame:
-    """A playlist of each language's pages, in page order."""
-    p = table(spark, sf_dir, "pages").withColumn("source", F.regexp_extract("url", "^https?://([^/]*)", 1))
+    """A playlist of each host's pages, in page order; of large hosts one for every PAGES pages, so that no list grows with the host."""
+    host = F.regexp_extract("url", "^https?://([^/]*)", 1)
+    p = table(spark, sf_dir, "pages").withColumn("source", F.concat(host, F.lit("/"), F.floor(F.col("page_id") / PAGES).cast("string")))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"])
     return p.groupBy("source").agg(F.concat(F.lit(header), F.array_join(ordered, "\r\n")).alias("text"))
 
 
-_HOSTS = "(SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS source, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]*)', 1) ORDER BY page_id) - 1 AS ord, page_id, url FROM pages)"
+_HOSTS = f"(SELECT source, row_number() OVER (PARTITION BY source ORDER BY page_id) - 1 AS ord, page_id, url FROM (SELECT *, regexp_extract(url, '^https?://([^/]*)', 1) || '/' || page_id // {PAGES} AS source FROM pages))"
 
 
 @query(f"SELECT source, ord, url AS uri, 'Page, ' || page_id AS label, page_id * 1000000 + 500000 AS duration_us, 'g' || page_id % 3 || ';all' AS groups, 'logo' || page_id AS logo FROM {_HOSTS}")
@@ -260,6 +285,27 @@ def live_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.parse_segments(files, FEW).select("source", "seq", "uri", "duration_us", "discontinuity")
 
 
+@query(f"""WITH v AS (SELECT source, ord, url AS uri, page_id * 1000 AS bandwidth, CAST(page_id % 1920 AS INTEGER) AS width, 'g' || page_id % 3 AS audio FROM {_HOSTS}),
+    m AS (SELECT source, 'g' || page_id % 3 AS audio, 'name ' || page_id AS name, 'u' || page_id AS uri FROM {_HOSTS} WHERE ord < 6 AND ord % 2 = 0)
+    SELECT v.source, v.ord, v.uri, v.bandwidth, v.width, v.audio, m.name AS rendition, m.uri AS rendition_uri FROM v LEFT JOIN m USING (source, audio)""")
+def hls_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Master lists of a host's pages: each page a variant, every second of the first six a rendition with an address too, each other one without."""
+    k, at = F.col("page_id").cast("string"), F.row_number().over(Window.partitionBy("source").orderBy("page_id")) - 1
+    host = F.regexp_extract("url", "^https?://([^/]*)", 1)
+    p = table(spark, sf_dir, "pages").withColumn("source", F.concat(host, F.lit("/"), F.floor(F.col("page_id") / PAGES).cast("string"))).withColumn("at", at)
+    group = F.concat(F.lit("g"), (F.col("page_id") % 3).cast("string"))
+    uri = F.when(F.col("at") % 2 == 0, F.concat(F.lit(',URI="u'), k, F.lit('"'))).otherwise("")
+    media = F.when(F.col("at") < 6, F.concat(F.lit('#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="'), group, F.lit('",NAME="name '), k, F.lit('"'), uri, F.lit("\r\n"))).otherwise("")
+    inf = F.concat(F.lit("#EXT-X-STREAM-INF:BANDWIDTH="), (F.col("page_id") * 1000).cast("string"), F.lit(",RESOLUTION="), (F.col("page_id") % 1920).cast("string"), F.lit('x1,AUDIO="'), group, F.lit('"\r\n'), F.col("url"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.concat(media, inf).alias("e")))), lambda x: x["e"])
+    files = p.groupBy("source").agg(F.concat(F.lit("#EXTM3U\r\n"), F.array_join(ordered, "\r\n")).alias("text"))
+    variants = L.parse_variants(files, FEW).withColumn("group_id", F.col("audio"))
+    media_rows = L.parse_media(files).filter("type = 'AUDIO'").select("source", "group_id", F.col("name").alias("rendition"), "uri")
+    named = variants.withColumnRenamed("uri", "variant_uri")
+    got = lookup.variant_groups(named, media_rows, ["source", "group_id"])
+    return got.select("source", "ord", F.col("variant_uri").alias("uri"), "bandwidth", "width", "audio", "rendition", F.col("uri").alias("rendition_uri"))
+
+
 _TRACKS = "(SELECT o_custkey, row_number() OVER w AS t, o_orderkey AS k, row_number() OVER w * 600 + o_orderkey % 75 AS f FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))"
 
 

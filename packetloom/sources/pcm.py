@@ -120,14 +120,13 @@ def packets(files: DataFrame, least: int = 1024) -> DataFrame:
 
 
 def samples(packets_: DataFrame) -> DataFrame:
-    """With `data`, the packet's samples as array<double>, channels interleaved. A layout is decoded by its own expression."""
+    """With `data`, the packet's samples as array<double>, channels interleaved; NULL for a layout that isn't known. Each row is decoded
+    by the expression of its layout, so files are read once."""
     layouts = ("u8", "s8", "s16le", "s16be", "s24le", "s24be", "s32le", "s32be", "f32le", "f32be", "f64le", "f64be", "alaw", "ulaw")
-    out = None
+    data = F.lit(None).cast("array<double>")
     for name in layouts:
-        part = packets_.filter(F.col("layout") == name)
-        part = part.withColumn("data", decode_pcm(F.col("payload"), name))
-        out = part if out is None else out.unionByName(part)
-    return out
+        data = F.when(F.col("layout") == name, decode_pcm(F.col("payload"), name)).otherwise(data)
+    return packets_.withColumn("data", data)
 
 
 def write_wav(data: Column, channels: int, rate: int, bits: int) -> Column:

@@ -32,7 +32,7 @@ def parse_m3u(files: DataFrame, width: int = WIDTH) -> DataFrame:
     said = rows.groupBy("source", "entry").agg(
         F.max(F.when(uri, F.col("line"))).alias("uri"),
         F.max_by(F.when(inf.isNotNull(), F.col("line")), F.when(inf.isNotNull(), F.col("ord"))).alias("inf"),
-        F.max(F.when(F.col("line").startswith("#EXTGRP:"), F.substring("line", 9, 10_000))).alias("grp"),
+        F.max(F.when(F.col("line").startswith("#EXTGRP:"), F.substr("line", F.lit(9)))).alias("grp"),
         F.max(F.when(F.col("line").startswith("#EXTVLCOPT:http-referrer="), F.substring_index("line", "=", -1))).alias("referrer"),
         F.max(F.when(F.col("line").startswith("#EXTVLCOPT:http-user-agent="), F.substring_index("line", "=", -1))).alias("user_agent"),
     )
@@ -57,7 +57,7 @@ def parse_segments(files: DataFrame, width: int = WIDTH) -> DataFrame:
     uri = ~F.col("line").startswith("#")
     first = rows.groupBy("source").agg(F.max(F.regexp_extract("line", r"^#EXT-X-MEDIA-SEQUENCE:(\d+)", 1).try_cast("long")).alias("__first"))
     rows = scan.running_sum(rows, ["source"], "ord", uri.cast("long"), "entry", width)
-    value = lambda tag: F.max(F.when(F.col("line").startswith(tag + ":"), F.substring("line", len(tag) + 2, 10_000)))
+    value = lambda tag: F.max(F.when(F.col("line").startswith(tag + ":"), F.substr("line", F.lit(len(tag) + 2))))
     said = rows.groupBy("source", "entry").agg(
         F.max(F.when(uri, F.col("line"))).alias("uri"), value("#EXTINF").alias("inf"), F.max(F.col("line") == "#EXT-X-DISCONTINUITY").alias("discontinuity"),
         value("#EXT-X-PROGRAM-DATE-TIME").alias("date"), value("#EXT-X-BYTERANGE").alias("bytes"),
@@ -69,6 +69,36 @@ def parse_segments(files: DataFrame, width: int = WIDTH) -> DataFrame:
     ).select("*", "__b.*").drop("__b")
 
 
+def _listed(line, key: str):
+    """The value of KEY=value in a list of attributes, with or without quotes."""
+    found = F.regexp_extract(line, rf'(?:^|[:,])\s*{key}=(?:"([^"]*)"|([^",]*))', 0)
+    return F.nullif(F.btrim(F.regexp_replace(found, rf"^[:,]?\s*{key}=", ""), F.lit('"')), F.lit(""))
+
+
+def parse_variants(files: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Variants of master lists: source, ord, uri, bandwidth, width, height, frame_rate, audio, subtitles (names of groups). What an
+    #EXT-X-STREAM-INF says goes to the next URI; a URI without one is no variant."""
+    rows = lines_of(files).filter("line <> ''")
+    uri = ~F.col("line").startswith("#")
+    inf = F.when(F.col("line").startswith("#EXT-X-STREAM-INF:"), F.substr("line", F.lit(18)))
+    rows = scan.run(rows.withColumn("__inf", inf), ["source"], "ord", {"entry": scan.Sum(uri.cast("long"))}, width)
+    said = rows.groupBy("source", "entry").agg(F.max(F.when(uri, F.col("line"))).alias("uri"), F.max_by("__inf", F.when(F.col("__inf").isNotNull(), F.col("ord"))).alias("inf"))
+    said = said.filter("uri is not null and inf is not null")
+    size = _listed("inf", "RESOLUTION")
+    return said.select(
+        "source", F.col("entry").alias("ord"), "uri", _listed("inf", "BANDWIDTH").try_cast("long").alias("bandwidth"), F.substring_index(size, "x", 1).try_cast("int").alias("width"),
+        F.substring_index(size, "x", -1).try_cast("int").alias("height"), _listed("inf", "FRAME-RATE").try_cast("double").alias("frame_rate"), _listed("inf", "AUDIO").alias("audio"),
+        _listed("inf", "SUBTITLES").alias("subtitles"),
+    )
+
+
+def parse_media(files: DataFrame) -> DataFrame:
+    """Renditions of master lists: source, ord, type, group_id, name, language, uri."""
+    rows = lines_of(files).filter(F.col("line").startswith("#EXT-X-MEDIA:"))
+    told = rows.withColumn("m", F.substr("line", F.lit(13)))
+    return told.select("source", "ord", *[_listed("m", key).alias(name) for key, name in (("TYPE", "type"), ("GROUP-ID", "group_id"), ("NAME", "name"), ("LANGUAGE", "language"), ("URI", "uri"))])
+
+
 def parse_pls(files: DataFrame, width: int = WIDTH) -> DataFrame:
     """source, ord, uri, label: the n-th File with the n-th Title, whatever their numbers."""
     rows = lines_of(files)
@@ -94,17 +124,15 @@ def _value(tag, key: str):
     return F.nullif(F.regexp_extract(tag, rf'(?i)\b{key}\s*=\s*["\']([^"\']*)', 1), F.lit(""))
 
 
-def parse_asx(files: DataFrame) -> DataFrame:
+def parse_asx(files: DataFrame, width: int = WIDTH) -> DataFrame:
     """source, ord, uri, label: a row for each Ref, with its entry's title, else `Stream N`."""
     entry = F.regexp_extract_all("text", F.lit(r"(?is)<entry\b[^>]*>(.*?)</entry\s*>"), 1)
     e = files.select("source", F.posexplode(entry).alias("e", "body"))
     title = F.nullif(X.strip(F.regexp_extract("body", r"(?is)<title\b[^>]*>(.*?)</title", 1)), F.lit(""))
     r = e.select("source", "e", title.alias("title"), F.posexplode(_tags("body", "ref")).alias("r", "tag"))
-    order = F.struct("e", "r")
-    found = r.withColumn("uri", _value(F.col("tag"), "href")).filter("uri is not null").groupBy("source").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "uri", "title"))).alias("all"))
-    out = found.select("source", F.posexplode("all").alias("ord", "x"))
-    label = F.coalesce(F.col("x")["title"], F.concat(F.lit("Stream "), (F.col("ord") + 1).cast("string")))
-    return out.select("source", F.col("ord").cast("long").alias("ord"), F.col("x")["uri"].alias("uri"), label.alias("label"))
+    found = r.withColumns({"uri": _value(F.col("tag"), "href"), "e": F.col("e").cast("long")}).filter("uri is not null")
+    out = scan.row_number(found, ["source"], "e", "ord", width, ["r"])
+    return out.select("source", "ord", "uri", F.coalesce("title", F.concat(F.lit("Stream "), (F.col("ord") + 1).cast("string"))).alias("label"))
 
 
 def parse_smil(files: DataFrame) -> DataFrame:

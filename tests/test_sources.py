@@ -30,9 +30,9 @@ def test_srt_in_utf16(spark, tmp_path):
 
 
 def test_vtt(spark):
-    text = "﻿WEBVTT\nX-TIMESTAMP-MAP=MPEGTS:900000,LOCAL:00:00:01.000\n\nid\n00:01.000 --> 01:00:02.000 align:left\n<c.red.bg_blue>a</c> <b>b</b> <x>1<2\n"
+    text = "﻿WEBVTT\nX-TIMESTAMP-MAP=MPEGTS:900000,LOCAL:00:00:01.000\n\nid\n00:01.000 --> 01:00:02.000 align:left\n<c.red.bg_blue>a</c> <b>b</b> <x>1<2\n<c.bg_lime.none.white.cyan>c</c><c.other>d</c>\n"
     got = rows(cues.parse_vtt(files(spark, text)), "pts", "duration", "text")
-    assert got == [(10000, 3601000, '<span foreground="red" background="blue">a</span> <b>b</b> &lt;x&gt;1&lt;2')]
+    assert got == [(10000, 3601000, '<span foreground="#FF0000" background="#0000FF">a</span> <b>b</b> &lt;x&gt;1&lt;2\n<span foreground="#00FFFF" background="#00FF00">c</span><span>d</span>')]
     assert cues.parse_vtt(files(spark, "no header\n\n00:01.000 --> 00:02.000\nx")).count() == 0
 
 
@@ -49,6 +49,18 @@ def test_segments(spark):
     assert playlists.is_segment_list(files(spark, text)).first().live
 
 
+def test_master_list(spark):
+    text = '#EXTM3U\n#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="a",NAME="One, two",LANGUAGE="en",URI="x?a=b,c"\n#EXT-X-STREAM-INF:BANDWIDTH=800,CODECS="mp4a,avc",RESOLUTION=640x360,FRAME-RATE=25.0,AUDIO="a"\nlow.m3u8\nplain.m3u8\n'
+    assert [tuple(r) for r in playlists.parse_variants(files(spark, text)).collect()] == [("f", 0, "low.m3u8", 800, 640, 360, 25.0, "a", None)]
+    assert [tuple(r)[2:] for r in playlists.parse_media(files(spark, text)).collect()] == [("AUDIO", "a", "One, two", "en", "x?a=b,c")]
+
+
+def test_long_tag_values_stay_whole(spark):
+    long = "g" * 30_000
+    got = rows(playlists.parse_m3u(files(spark, f"#EXTM3U\n#EXTGRP:{long}\nhttp://x\n")), "groups")
+    assert got == [([long],)]
+
+
 def test_pls_ref_asx_smil_qtl(spark):
     assert rows(playlists.parse_pls(files(spark, "[playlist]\nFile1=a\nTitle1=A\nFile2=b\n")), "uri", "label") == [("a", "A"), ("b", None)]
     assert rows(playlists.parse_ref(files(spark, "[Reference]\r\nRef1=http://a\r\nRef2=http://b?x=1\r\n")), "uri") == [("http://a",), ("http://b?x=1",)]

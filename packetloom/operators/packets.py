@@ -205,15 +205,26 @@ def display_order(packets: DataFrame, width: int = WIDTH) -> DataFrame:
 
     So a B packet is shown one place earlier than it is stored, if there is a packet for it to pass; another one is shown where
     the next such packet is stored, less one, and the last one at the end."""
-    plain = F.col("coding_type") != "B"
-    n = scan.row_number(packets, ["stream_id"], "idx", "__n", width)
-    steps = {
-        "__next": scan.Next(F.when(plain, F.col("__n")), inclusive=False), "__before": scan.Last(F.when(plain, F.lit(True)), inclusive=False), "__top": scan.Top(F.col("__n")),
-    }
-    out = scan.run(scan.settle(n), ["stream_id"], "idx", steps, width)
-    later = F.coalesce(F.col("__next") - 1, F.col("__top"))
-    passing = F.col("__n") - F.when(F.col("__before"), 1).otherwise(0)
-    return out.withColumn("display", F.when(plain, later).otherwise(passing)).drop("__n", *steps)
+    b = scan.Blocks(packets, ["stream_id"], "idx", width)
+    on = [*b.by, b.block]
+    plain = F.when(F.col("coding_type") != "B", F.col("__i"))
+    rows = b.df.withColumn("__i", F.row_number().over(b.local(None, 0)).cast("long") - 1)
+    totals = rows.groupBy(*on).agg(F.count("idx").alias("__n"), F.min(plain).alias("__plain"))
+    # A row a block: how many packets are before it, whether one of them isn't B, the next behind it that isn't, and how many there are.
+    over = lambda first, last: Window.partitionBy(*b.by).orderBy(b.block).rowsBetween(first, last)
+    ever = Window.unboundedPreceding, Window.unboundedFollowing
+    totals = totals.withColumn("__base", F.coalesce(F.sum("__n").over(over(ever[0], -1)), F.lit(0)))
+    carried = totals.select(
+        *on, "__base", F.sum("__n").over(over(*ever)).alias("__all"), (F.count("__plain").over(over(ever[0], -1)) > 0).alias("__passed"),
+        F.first(F.col("__base") + F.col("__plain"), True).over(over(1, ever[1])).alias("__behind"),
+    )
+    rows = rows.join(carried, on)
+    nxt = F.coalesce(F.col("__base") + F.min(plain).over(b.local(1, None)), F.col("__behind"))
+    passed = F.col("__passed") | (F.count(plain).over(b.local(None, -1)) > 0)
+    later = F.coalesce(nxt, F.col("__all")) - 1
+    passing = F.col("__base") + F.col("__i") - F.when(passed, 1).otherwise(0)
+    rows = rows.withColumn("display", b.placed(F.when(F.col("coding_type") != "B", later).otherwise(passing)))
+    return rows.drop(*on, "__i", "__base", "__all", "__passed", "__behind")
 
 
 def sessions(packets: DataFrame, starts: Column, width: int = WIDTH) -> DataFrame:

@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.functions.timebase import floor_div
 
@@ -100,16 +101,21 @@ def settle(df: DataFrame) -> DataFrame:
 class Blocks:
     """df with a block column; windows in a block, and over blocks."""
 
-    block, stream = "__block", "__stream"
+    block = "__block"
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: str, width: int, ties: Sequence[str] = ()):
         self.keys, self.order, self.ties = list(keys), order, list(ties)
         flat = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
         nowhere = F.lit(-(1 << 62)) + F.pmod(F.xxhash64(*flat), F.lit(NOWHERE))
         self.df = df.withColumn(self.block, F.when(F.col(order).isNotNull(), floor_div(order, width)).otherwise(nowhere))
-        self.by = [self.stream] if keys else []
-        if keys:  # in a struct, NULL equals NULL, and joins and windows share one shuffle
-            self.df = self.df.withColumn(self.stream, F.struct(*keys))
+        self.by = []
+        for i, k in enumerate(keys):  # NULL meets NULL, and joins and windows share one shuffle
+            kind = df.schema[k].dataType
+            named = {f"__k{i}": F.struct(k)}  # in a struct, NULL equals NULL
+            if isinstance(kind, T.IntegralType | T.StringType):
+                named = {f"__k{i}": F.coalesce(k, F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind)), f"__n{i}": F.isnull(k)}
+            self.df = self.df.withColumns(named)
+            self.by += named
 
     def local(self, first: int | None = None, last: int | None = None, also: Sequence[str] = ()) -> WindowSpec:
         spec = Window.partitionBy(*self.by, self.block, *also).orderBy(self.order, *self.ties)

@@ -119,7 +119,8 @@ def coding_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT stream_id, idx, row_number() OVER (PARTITION BY stream_id ORDER BY slot, coding_type <> 'B', idx) - 1 AS display FROM n""")
 def display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets(spark, sf_dir).withColumn("pts", F.col("cents"))
-    return P.display_order(P.coding_types(p, IDX).select("stream_id", "idx", "coding_type"), IDX).select("stream_id", "idx", "display")
+    typed = scan.settle(P.coding_types(p, IDX).select("stream_id", "idx", "coding_type"))
+    return P.display_order(typed, IDX).select("stream_id", "idx", "display")
 
 
 _PROBES = "(SELECT o_orderkey, o_custkey % 150 AS stream_id, 1704067200000000 + (o_orderkey * 7919) % 2592000 * 1000000 AS t FROM orders)"

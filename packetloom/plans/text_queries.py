@@ -322,4 +322,4 @@ def cue_sheet_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = F.concat(F.lit('PERFORMER "Band"\r\nTITLE "Disc"\r\nFILE "a.wav" WAVE\r\n'), F.array_join(F.transform("keys", track), "\r\n"))
     files = listed.select(F.col("o_custkey").cast("string").alias("source"), text.alias("text"))
-    return L.parse_cue(files, 44100, FEW).select("source", "track", "title", "start", "end", "label")
+    return L.parse_cue(files, 44100).select("source", "track", "title", "start", "end", "label")

@@ -156,28 +156,27 @@ def live_url(entries: DataFrame) -> DataFrame:
     return entries.withColumn("uri", X.live_scheme("uri"))
 
 
-def parse_cue(files: DataFrame, sample_rate: int = 44100, width: int = WIDTH) -> DataFrame:
+def parse_cue(files: DataFrame, sample_rate: int = 44100) -> DataFrame:
     """Audio tracks of cue sheets: source, track, title, performer, start (samples; index 1, or the only one), first (its first
-    index), end (the next track's first index; NULL for the last), label."""
-    rows = lines_of(files)
-    rows = scan.running_sum(rows, ["source"], "ord", F.col("line").rlike(r"(?i)^TRACK\s").cast("long"), "t", width, inclusive=True)
-    key = F.upper(F.regexp_extract("line", r"^(\S+)", 1))
-    number = F.regexp_extract("line", r"(?i)^INDEX\s+(\d+)", 1).try_cast("int")
-    at = X.cd_frames(F.regexp_extract("line", r"(?i)^INDEX\s+\d+\s+(\S+)", 1), sample_rate // 75)
-    kind = F.regexp_extract("line", r"(?i)^TRACK\s+\d+\s+(\S+)", 1)
-    told = rows.groupBy("source", "t").agg(
-        F.max(F.when(key == "TRACK", F.regexp_extract("line", r"(?i)^TRACK\s+(\d+)", 1).try_cast("int"))).alias("track"),
-        F.max(F.when(key == "TRACK", F.upper(kind))).alias("kind"),
-        F.max(F.when(key == "TITLE", X.quoted("line"))).alias("title"),
-        F.max(F.when(key == "PERFORMER", X.quoted("line"))).alias("performer"),
-        F.min_by(at, F.when(key == "INDEX", F.col("ord"))).alias("first"),
-        F.max(F.when((key == "INDEX") & (number == 1), at)).alias("one"),
-    )
-    disc = told.filter("t = 0").select("source", F.col("performer").alias("__artist"))
-    tracks = scan.lead(told.filter("t > 0"), ["source"], "t", {"end": F.col("first")}, width).join(disc, "source", "left")
-    audio = tracks.filter("kind = 'AUDIO'")
-    artist = F.coalesce("performer", "__artist")
-    return audio.select(
-        "source", "track", "title", artist.alias("performer"), F.coalesce("one", "first").alias("start"), "first", "end",
-        X.track_label(F.col("track"), artist, F.col("title")).alias("label"),
+    index), end (the next track's first index; NULL for the last), label.
+
+    A sheet is cut before each TRACK line; all that a track needs stands in its own part, but for the next one's first index, which
+    is taken along before the parts become rows. Nothing is shuffled."""
+    line = lambda part, key: F.regexp_extract(part, rf"(?im)^[ \t]*{key}\s[^\n]*", 0)
+    said = lambda part, key: X.quoted(line(part, key))
+
+    def index(part, number: str):
+        p = rf"(?im)^[ \t]*INDEX\s+{number}\s+(\S+)"
+        return F.when(part.rlike(p), X.cd_frames(F.regexp_extract(part, p, 1), sample_rate // 75))
+
+    parts = F.split(F.concat(F.lit("\n"), F.regexp_replace("text", "\r", "")), r"(?im)^(?=[ \t]*TRACK\s)")  # the first holds what is said of the disc
+    cut_ = files.select("source", said(F.element_at(parts, 1), "PERFORMER").alias("__artist"), F.slice(parts, 2, F.size(parts)).alias("__parts"))
+    cut_ = cut_.withColumn("__firsts", F.transform("__parts", lambda p: index(p, r"\d+")))
+    t = cut_.select("source", "__artist", "__firsts", F.posexplode("__parts").alias("__i", "__part"))
+    part, head = F.col("__part"), r"(?i)^[ \t]*TRACK\s+(\d+)\s+(\S+)"
+    audio = t.filter(F.upper(F.regexp_extract(part, head, 2)) == "AUDIO").select(
+        "source", F.regexp_extract(part, head, 1).try_cast("int").alias("track"), said(part, "TITLE").alias("title"), F.coalesce(said(part, "PERFORMER"), "__artist").alias("performer"),
+        index(part, "0*1").alias("one"), F.get("__firsts", F.col("__i")).alias("first"), F.get("__firsts", F.col("__i") + 1).alias("end"),
     )
+    label = X.track_label(F.col("track"), F.col("performer"), F.col("title"))
+    return audio.select("source", "track", "title", "performer", F.coalesce("one", "first").alias("start"), "first", "end", label.alias("label"))

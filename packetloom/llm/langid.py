@@ -20,10 +20,15 @@ from . import ftrl
 from .common import body, few_of_each
 
 WIDTH, ORDERS, CHUNK = 1 << 15, 4, 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def has_letter(text: str) -> bool:
+    """Numbers that Unicode counts as word characters, such as ½ or Ⅳ, are no letters."""
+    return bool(ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def counts(text: str) -> np.ndarray:
     """How often each column occurs in a text, which is read in chunks that overlap by ORDERS - 1 characters."""
     text = text.lower()
@@ -67,10 +72,15 @@ def _document_counts(texts: DataFrame) -> tuple[int, np.ndarray]:
     return got.get(-1, 0), out
 
 
-def fit(docs: DataFrame, held_out: Column, sample_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
-    """None if no row teaches anything."""
+def fit(
+    docs: DataFrame, held_out: Column, sample_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = 1000
+) -> dict | None:
+    """None if no row teaches anything. The weights, WIDTH numbers a language, are on the driver and in every task, so more than
+    max_languages are refused."""
     teaching = docs.filter(~held_out & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    names = sorted(r[0] for r in teaching.select(lang_col).distinct().collect())
+    names = sorted(r[0] for r in teaching.select(lang_col).distinct().limit(max_languages + 1).collect())
+    if len(names) > max_languages:
+        raise ValueError(f"more than {max_languages} languages; raise max_languages if driver and tasks have the memory")
     if not names:
         return None
     each = max(50, sample_rows // len(names))
@@ -116,7 +126,7 @@ def predict(docs: DataFrame, held_out: Column, sample_rows: int = 4000, id_col:
         names, score = [], []
         for t in texts:
             text = t.as_py()
-            if text is None or not LETTER.search(text):
+            if text is None or not has_letter(text):
                 names.append("und")
                 score.append(0.0)
                 continue

@@ -1,8 +1,9 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Writing: a histogram of page ids, weighed by payload bytes, cuts the id range into shards, so that shards and files
-depend on the rows alone and not on how Spark happened to partition or sample them. A shard's rows go to one task, sorted
-by id, which appends one gzip member a record and starts a new file when the compressed size would pass `file_bytes`.
+Writing: a histogram of page ids, weighed by payload bytes and finer where ids are dense, cuts the ids into shards of like size, so that
+shards and files depend on the rows alone and not on how Spark happened to partition or sample them. Each shard is one task's, sorted
+by id; it appends one gzip member a record and starts a new file when the compressed size would pass `file_bytes`, by default a
+sixteenth of a shard's payload, so that a shard rolls through several files.
 Headers and SHA-1 digests are made anew. Files are written under temporary names that no two attempts share; the manifest,
 a Parquet table that only successful attempts get into, says which of them count; then they are renamed, and at last the
 manifest gets its own name. A reader reads what the manifest names, so an archive is there whole or not at all.
@@ -23,15 +24,15 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, lookup_join
 
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST, TEMPORARY = "_manifest", "_temporary"
-#: Slots of the histogram for each shard.
-SLOTS = 16
+#: Slots of the histogram for each shard; into how many a slot is cut that holds more than its share, and how often.
+SLOTS, FINER, DEPTH = 8, 1024, 7
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -154,39 +155,70 @@ def _rename(out: str):
     return run
 
 
+def _shards(known: DataFrame, total, shards: int):
+    """(slot, shard) of every slot that holds pages, and a function that gives a frame's rows their slot, named by the least id in it.
+
+    Slots are of equal width at first; one that holds more than its share of the bytes is cut again, so an id far from all others makes
+    no large shard. At most SLOTS * shards slots can be that large, in each round."""
+    low, high = int(total.low or 0), int(total.high or 0)
+    share = max(1, (total["size"] or 0) // (SLOTS * shards))
+    widths, heavy = [max(1, -(-(high - low + 1) // (SLOTS * shards)))], []
+    at = F.coalesce(F.col("page_id"), F.lit(low)).cast("decimal(20,0)")
+
+    def start(width: int, base) -> Column:
+        off = (at - base).cast("decimal(20,0)")
+        return (base + off - off % F.lit(width).cast("decimal(20,0)")).cast("decimal(20,0)")
+
+    def slots(df: DataFrame) -> DataFrame:
+        df = df.withColumn("slot", start(widths[0], F.lit(low).cast("decimal(20,0)")))
+        for width, cut_again in zip(widths[1:], heavy):
+            again = F.broadcast(known.sparkSession.createDataFrame([(x, True) for x in cut_again], "slot decimal(20,0), again boolean"))
+            df = df.join(again, "slot", "left").withColumn("slot", F.when(F.col("again"), start(width, F.col("slot"))).otherwise(F.col("slot"))).drop("again")
+        return df
+
+    sizes = {r.slot: r["size"] for r in slots(known).groupBy("slot").agg(F.sum("size").alias("size")).collect()}
+    while len(widths) < DEPTH and widths[-1] > 1 and (large := [s for s, n in sizes.items() if n > share]):
+        heavy.append(large)
+        widths.append(-(-widths[-1] // FINER))
+        sizes = {r.slot: r["size"] for r in slots(known).groupBy("slot").agg(F.sum("size").alias("size")).collect()}
+    shard_of, before = [], 0
+    for s in sorted(sizes):
+        shard_of.append((s, min(shards - 1, before * shards // max(1, total["size"] or 0))))
+        before += sizes[s]
+    return shard_of, slots
+
+
 def write(
     pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000,
-    file_bytes: int = 256 << 20, shard_bytes: int = 32 << 20, max_shards: int = 4096, level: int = 3,
+    file_bytes: int | None = None, shard_bytes: int = 32 << 20, max_shards: int = 1 << 16, level: int = 3,
 ) -> DataFrame:
-    """Write pages as records to the folder `out`, which must be new and which all machines share. Returns the manifest."""
+    """Write pages as records to the folder `out`, which must be new and which all machines share. Returns the manifest.
+
+    A shard has some shard_bytes of payload; where that would make more than max_shards, whose histogram the driver holds, they are as much
+    larger. A page is never cut, and pages with the same id stay together. Null ids come first; null payloads are empty; null URLs
+    are named by their id; rows that repeat are records that repeat. No pages give an archive of no file. Other columns are not read."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     known = cut(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("size")))
     total = known.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
     shards = max(1, min(max_shards, -(-(total["size"] or 0) // shard_bytes)))
-    low, span = total.low or 0, (total.high or 0) - (total.low or 0) + 1
-    slot_width = -(-span // (SLOTS * shards))
-    slot = F.coalesce(F.expr(f"(page_id - ({low})) div {slot_width}"), F.lit(0))
-    sums = {r.slot: r["size"] for r in known.groupBy(slot.alias("slot")).agg(F.sum("size").alias("size")).collect()}  # at most SLOTS * max_shards
-    shard_of, before = [], 0
-    for s in sorted(sums):
-        shard_of.append((s, min(shards - 1, before * shards // max(1, total["size"] or 0))))
-        before += sums[s]
-    places = F.broadcast(spark.createDataFrame(shard_of, "slot long, shard int"))
+    file_bytes = file_bytes or max(1 << 20, (total["size"] or 0) // shards // 16)
+    shard_of, slots = _shards(known, total, shards)
+    places = F.broadcast(spark.createDataFrame(shard_of, "slot decimal(20,0), shard int"))  # some SLOTS * max_shards rows
 
     large = known.filter(F.col("size") >= revisit_bytes)
     first = cut(large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null"))
     revisits = lookup_join(large.select("page_id", "digest"), first, "digest", "n", total.n).filter("not page_id <=> refers_to").distinct()
 
     def placed(df: DataFrame, kind: int) -> DataFrame:
-        return df.withColumn("slot", slot).join(places, "slot").withColumn("kind", F.lit(kind))
+        return slots(df).join(places, "slot").withColumn("kind", F.lit(kind))
 
     told = placed(revisits, 0).select("shard", "page_id", "digest", "kind", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     wide = placed(rows, 1).select("shard", "page_id", "digest", "kind", F.lit(None).cast("long").alias("refers_to"), "url", "payload")
     where, root = open_fs(out)
     where.create_dir(f"{root}/{TEMPORARY}", recursive=True)
-    dealt = told.unionByName(wide).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    dealt = told.unionByName(wide).repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     manifest = dealt.mapInArrow(_writer(out, file_bytes, level), MANIFEST_SCHEMA)
     manifest.write.parquet(f"{out}/{MANIFEST}.tmp")
     manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{out}/{MANIFEST}.tmp")

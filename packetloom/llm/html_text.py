@@ -2,10 +2,11 @@
 
 A tree builder turns tags into matched openings and closings: it closes paragraphs, list items, rows and cells that
 the next tag implies, opens rows and tables that a cell implies, ignores closings of what isn't open, and lets no
-closing leave its table cell. A renderer follows the openings and closings, so neither needs recursion and any
-depth works. It leaves out what visibility rules hide (head, script, style and the like, `hidden`, display: none,
-visibility: hidden), collapses white space outside pre, puts one blank line around paragraphs, headings, lists and
-tables, marks and indents list items, and pads table cells to the width of their column.
+closing leave its table cell. It knows where each name was opened last, so a tag costs the same at any depth. A renderer
+follows the openings and closings, so neither needs recursion. It leaves out what visibility rules hide (head, script, style and
+the like, `hidden`, display: none, dialogs that aren't open; visibility: hidden, unless a descendant is visible again), collapses
+white space outside pre, puts one blank line around paragraphs, headings, lists and tables, marks and indents list items, and pads
+table cells to the width of their column: that of its widest line, of lines of at most PAD characters. Longer lines stay whole, unpadded.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,9 @@ from .common import body
 #: Fixed values, from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style noscript template title iframe noembed noframes object audio video canvas svg math datalist dialog".split())
+HIDDEN = frozenset("head script style noscript template title iframe noembed noframes object audio video canvas datalist desc defs metadata symbol annotation annotation-xml".split())
+#: Types of input whose value isn't shown as text.
+UNSHOWN = frozenset("hidden checkbox radio range color file image password".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr menu".split())
 BLOCK = SPACED | frozenset(
     "html body address article aside center dd details div dt fieldset figcaption footer form header legend li main nav optgroup option search section summary tr caption thead tbody tfoot".split()
@@ -51,7 +55,10 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?/][^>A-Za-z][^>]*>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'](?=[^\"']*>))*+)>", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Columns to which a cell is padded at most.
+PAD = 60
 SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -65,18 +72,26 @@ def _attributes(rest: str) -> dict[str, str]:
 def events(page: str):
     """("open", name, attributes), ("close", name, None) and ("text", text, None), openings and closings matched."""
     stack: list[str] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each name
     at, n = 0, len(page)
 
+    def nearest(names) -> int:
+        return max((p[-1] for x in names if (p := places.get(x))), default=-1)
+
     def up_to(targets, walls):
         """Closings that reach the nearest open target, if no wall is nearer."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i] in targets:
-                out = [("close", x, None) for x in reversed(stack[i:])]
-                del stack[i:]
-                return out
-            if stack[i] in walls:
-                break
-        return []
+        i = nearest(targets)
+        if i < 0 or i < nearest(walls):
+            return []
+        out = [("close", x, None) for x in reversed(stack[i:])]
+        for x in stack[i:]:
+            places[x].pop()
+        del stack[i:]
+        return out
+
+    def push(name):
+        places.setdefault(name, []).append(len(stack))
+        stack.append(name)
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -97,7 +112,7 @@ def events(page: str):
                 yield from up_to(HEADINGS, CELLS)
             elif name in ("table", "tr", "thead", "tbody", "tfoot"):
                 yield from up_to({name}, {"table"} if name != "table" else ())
-            elif name in stack:
+            elif places.get(name):
                 yield from up_to({name}, CELLS - {name})
             elif name == "p":
                 yield "open", "p", {}
@@ -111,9 +126,9 @@ def events(page: str):
             yield from up_to(*IMPLIED[name])
         if name in ("td", "th", "tr"):
             for needed in ("table", "tr") if name != "tr" else ("table",):
-                place = next((x for x in reversed(stack) if x in ("table", needed)), None)
-                if place is None or (needed == "tr" and place != "tr"):
-                    stack.append(needed)
+                place = nearest(("table", needed))
+                if place < 0 or stack[place] != needed:
+                    push(needed)
                     yield "open", needed, {}
         attributes = _attributes(m["rest"]) if m["rest"] else {}
         yield "open", name, attributes
@@ -126,7 +141,7 @@ def events(page: str):
             yield "close", name, None
             at = end.end() if end else n
         else:
-            stack.append(name)
+            push(name)
     for name in reversed(stack):
         yield "close", name, None
 
@@ -196,24 +211,24 @@ class _Flow:
 
 class _Table:
     def __init__(self):
-        self.rows: list[list[tuple[int, list[str]]]] = []
-        self.down: dict[int, int] = {}  # columns that a cell above still fills, and for how many rows
+        self.rows: list[list[tuple[int, int, list[str]]]] = []
+        self.down: dict[int, tuple[int, int]] = {}  # of columns that a cell above fills: its last row, and the column behind it
         self.column = 0
         self.caption: list[str] = []
         self.span = (1, 1)
 
     def row(self):
-        self.down = {c: n - 1 for c, n in self.down.items() if n > 1} if self.rows else {}
         self.rows.append([])
         self.column = 0
 
     def cell(self, lines: list[str]):
-        while self.column in self.down:
-            self.column += 1
+        row = len(self.rows) - 1
+        while (above := self.down.get(self.column)) and above[0] >= row:
+            self.column = above[1]
         wide, high = self.span
         self.rows[-1].append((self.column, wide, lines))
         if high > 1:
-            self.down |= {self.column + i: high for i in range(wide)}
+            self.down |= dict.fromkeys(range(self.column, self.column + wide), (row + high - 1, self.column + wide))
         self.column += wide
 
     def render(self) -> list[str]:
@@ -221,32 +236,35 @@ class _Table:
         for row in self.rows:
             for c, wide, lines in row:
                 if wide == 1:
-                    columns[c] = max(columns.get(c, 0), *map(width, lines), 0)
+                    columns[c] = max([columns.get(c, 0), *(w for w in map(width, lines) if w <= PAD)])
         out = list(self.caption)
-        starts, x = {}, 0
-        for c in range(max((c + wide for row in self.rows for c, wide, _ in row), default=0)):
-            starts[c] = x
-            x += columns.get(c, 0) + 3 * (c in columns)
+        known, ends, x = sorted(columns), [0], 0
+        for c in known:
+            x += columns[c] + 3
+            ends.append(x)
         for row in self.rows:
             for k in range(max((len(lines) for _, _, lines in row), default=0)):
-                line, at = "", 0
+                line, at = [], 0
                 for c, _, lines in row:
                     s = lines[k] if k < len(lines) else ""
                     if c:
-                        line += " " * (starts[c] - 3 - at) + " | " if starts[c] - 3 >= at else " | "
-                        at = max(at + 3, starts[c])
-                    line += s
+                        start = ends[bisect_left(known, c)]
+                        line.append(" " * max(0, start - 3 - at) + " | ")
+                        at = max(at + 3, start)
+                    line.append(s)
                     at += width(s)
-                out.append(line.rstrip(" "))
+                out.append("".join(line).rstrip(" "))
         return out
 
 
 def _hidden(name: str, attributes: dict[str, str]) -> bool:
+    """Whether it isn't displayed, nor anything in it."""
     return (
         name in HIDDEN
         or "hidden" in attributes
-        or (name == "input" and attributes.get("type", "").lower() == "hidden")
-        or ("style" in attributes and bool(HIDING.search(attributes["style"])))
+        or (name == "dialog" and "open" not in attributes)
+        or (name == "input" and attributes.get("type", "").lower() in UNSHOWN)
+        or ("style" in attributes and bool(NO_DISPLAY.search(attributes["style"])))
     )
 
 
@@ -260,24 +278,25 @@ def render(page: str) -> str:
     flows, tables, lists = [_Flow()], [], []
     hidden, pre = 0, 0
     shown: list[bool] = []  # of the open elements, whether each one hides
+    visible = [True]  # of them, whether their text can be seen
     for kind, name, attributes in events(page):
         flow = flows[-1]
         if kind == "text":
-            if not hidden:
+            if not hidden and visible[-1]:
                 flow.text(name, pre > 0)
         elif kind == "open":
             hides = bool(hidden) or _hidden(name, attributes)
             shown.append(hides)
             hidden += hides
+            told = VISIBILITY.findall(attributes.get("style", ""))
+            visible.append(told[-1].lower() == "visible" if told else visible[-1])
             if hides:
                 continue
             if name == "br":
                 flow.end(keep=True)
-            elif name == "img":
-                flow.text(attributes.get("alt", ""), False)
-            elif name == "input":
-                if attributes.get("type", "text").lower() in ("submit", "reset", "button", "text"):
-                    flow.text(attributes.get("value", ""), False)
+            elif name in ("img", "input"):
+                if visible[-1]:
+                    flow.text(attributes.get("alt" if name == "img" else "value", ""), False)
             elif name == "table":
                 flow.block(True)
                 tables.append((_Table(), len(flows)))
@@ -299,17 +318,19 @@ def render(page: str) -> str:
                         mark = f"{lists[-1][1]}. "
                         lists[-1][1] += 1
                     flow.indent.append(" " * len(mark))
-                    flow.mark = mark
+                    flow.mark = mark if visible[-1] else ""
                 elif name == "dd":
                     flow.indent.append("    ")
                 elif name == "blockquote":
                     flow.indent.append("> ")
                 elif name == "hr":
-                    flow.put("---")
+                    if visible[-1]:
+                        flow.put("---")
                 elif name == "pre":
                     pre += 1
         else:
             hides = shown.pop()
+            visible.pop()
             hidden -= hides
             if hides:
                 continue

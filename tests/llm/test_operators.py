@@ -447,6 +447,14 @@ def test_langid_odd_rows(odd, odd_rows):
         assert (r.lang_pred == "und") == (not letters) or r.doc_id is None
 
 
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "hello there, my friend", "en"), (2, "½ ²", "en"), (3, "Ⅳ 12", "en"), (6, "½ é", "en"), (4, "how are you", "en"), (7, "guten tag", "de")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, F.lit(False)).collect()}
+    assert got[2] == got[3] == "und" and got[6] != "und" and got[1] != "und"
+    with pytest.raises(ValueError):
+        langid.fit(docs, F.lit(False), max_languages=1)
+
+
 def test_ngram_counts_do_not_depend_on_chunks(monkeypatch):
     text = "Ein Text, äöü. " * 50
     whole = langid.counts(text)
@@ -483,6 +491,27 @@ def test_warc_round_trip(spark, odd_pages):
     assert payloads[9].decode() == rows[-1][2] and payloads[5] == b""
 
 
+def test_warc_shards_are_even_though_an_id_is_far(spark):
+    rng = random.Random(1)
+    rows = [(i, "u", words(rng, 30)) for i in range(2000)] + [(10**12, "u", "x"), (-(2**62), "u", "y"), (None, "u", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    size = sum(len(h) for _, _, h in rows)
+    out = f"{shared_dir(spark)}/warc-far"
+    manifest = warc.write(pages, out, shard_bytes=size // 20, file_bytes=2_000).collect()
+    shards = collections.Counter()
+    for r in manifest:
+        shards[r.file.split("-")[0]] += r.records
+    assert len(shards) >= 15 and max(shards.values()) < 300 and len(manifest) > 2 * len(shards)
+    assert {r.page_id for r in warc.read(spark, out).collect()} == {i for i, _, _ in rows}
+
+
+def test_warc_rolls_by_default(spark):
+    rng = random.Random(2)
+    rows = [(i, "u", "".join(rng.choice("abcdefghijklmnop") for _ in range(200_000))) for i in range(60)]
+    manifest = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{shared_dir(spark)}/warc-roll").collect()
+    assert len(manifest) > 1 and sum(r.records for r in manifest) == 60 and all(r.bytes <= 1 << 20 for r in manifest)
+
+
 def test_warc_of_no_pages(spark, odd_pages):
     assert warc.round_trip(odd_pages[1].limit(0), f"{shared_dir(spark)}/warc-none").count() == 0
 
@@ -600,6 +629,40 @@ def test_html_odd_pages(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<dialog open>hi</dialog><dialog>no</dialog>", "hi"), ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>!", "yes\n!"),
+    ("<svg><title>t</title><text>drawn</text><desc>d</desc></svg>", "drawn"), ("<math><mi>x</mi><annotation>y</annotation></math>", "x"),
+    ("<input type=email value=a@b><input type=checkbox value=1><input value=v>", "a@bv"), ("<div style='display:none'><b style='visibility:visible'>no</b></div>x", "x"),
+    ("<p hidden>a<p>b", "b"), ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>", "- b"),
+])
+def test_html_visibility(page, text):
+    assert html_text.render(page) == text
+
+
+def test_html_costs_grow_with_the_page():
+    """Deep pages, wide spans and long cells."""
+    import time
+
+    began = time.perf_counter()
+    assert html_text.render("<div>" * 200_000 + "x") == "x"
+    assert html_text.render("<div>" * 50_000 + "<p>x</b>" * 50_000).count("x") == 50_000
+    assert html_text.render("<table>" + "<tr><td rowspan=60000 colspan=1000>a<td>b" * 3_000 + "</table>").count("b") == 3_000
+    wide = "<table><tr><td>" + "y" * 20_000 + "<td>z" + "<tr><td>a<td>b" * 2_000 + "</table>"
+    assert len(html_text.render(wide)) < 3 * len(wide)
+    assert time.perf_counter() - began < 20
+
+
+def test_html_tables_keep_their_columns():
+    """Against the plainest reading: cells in a grid, padded to the longest of their column."""
+    rng = random.Random(6)
+    for _ in range(50):
+        grid = [[rng.choice(["", "a", "bb bb", "ccc", "dddddddd"]) for _ in range(4)] for _ in range(rng.randint(1, 6))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{x}</td>" for x in row) + "</tr>" for row in grid) + "</table>"
+        widths = [max(len(row[c]) for row in grid) for c in range(4)]
+        want = [" | ".join(x.ljust(w) for x, w in zip(row, widths)).rstrip() for row in grid if any(row)]
+        assert [x for x in html_text.render(page).split("\n") if x.strip(" |")] == want
+
+
 def test_html_deep_and_long():
     assert html_text.render("<div>" * 20000 + "x") == "x"
     assert html_text.render("<table><tr><td>" * 300 + "x").endswith("x")

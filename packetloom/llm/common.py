@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A run of the characters that separate words, and of those that make one.
@@ -63,7 +63,7 @@ def split_of(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def lookup_join(rows: DataFrame, keyed: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+def lookup_join(rows: DataFrame, keyed: DataFrame, on: str | list[str], weight: str, total: int) -> DataFrame:
     """Inner join of rows with a table that has each key once, and how many rows a key has in `weight`.
 
     Rows of hot keys don't shuffle: their keys, at most HOT, are broadcast. No other key has more than
@@ -74,15 +74,35 @@ def lookup_join(rows: DataFrame, keyed: DataFrame, on: str, weight: str, total:
     return rows.join(F.broadcast(hot), on).unionByName(rest)
 
 
-def few_of_each(rows: DataFrame, key: str, group: str, each: int) -> DataFrame:
-    """At most `each` rows of every group, those with the least hashes of the key. Of large groups only a thin range of hashes,
-    some three times as many rows as needed, is ranked, so no task gets more however many rows there are. Groups are few."""
+#: Parts of a group's range of hashes.
+RANGES = 256
+
+
+def few_of_each(rows: DataFrame, key: str, group: str, each: int, max_groups: int = 1000) -> DataFrame:
+    """Distinct rows: of every group about `each`, not more, those with the least hashes of the key. Of large groups only a thin range of
+    hashes, some three times as many rows as needed, is looked at; it is cut where a histogram of RANGES parts a group reaches
+    `each`, so no task ranks a group. More than max_groups groups are refused."""
     spark = rows.sparkSession
-    sizes = rows.groupBy(group).count().collect()
+    sizes = rows.groupBy(group).count().limit(max_groups + 1).collect()
+    if len(sizes) > max_groups:
+        raise ValueError(f"more than {max_groups} groups in {group}")
     kind = rows.schema[group].dataType.simpleString()
+    h, part, at, last = fresh(rows, "h", "part", "at", "last")
     share = [(r[0], 1.0 if r["count"] <= 4 * each else (3 * each + 100) / r["count"]) for r in sizes]
-    h, part, rank = fresh(rows, "h", "part", "rank")
-    thin = rows.join(F.broadcast(spark.createDataFrame(share, f"{group} {kind}, {part} double")), group)
-    thin = thin.withColumn(h, F.xxhash64(key)).filter(F.shiftrightunsigned(h, 11) / float(1 << 53) < F.col(part))
-    by = Window.partitionBy(group).orderBy(h, key)
-    return thin.withColumn(rank, F.row_number().over(by)).filter(F.col(rank) <= each).select(*rows.columns)
+    thin = rows.join(F.broadcast(spark.createDataFrame(share, f"{group} {kind}, {part} double")), group)  # max_groups rows
+    thin = thin.withColumn(h, F.shiftrightunsigned(F.xxhash64(key), 11) / float(1 << 53)).filter(F.col(h) < F.col(part))
+    thin = thin.withColumn(at, F.floor(F.col(h) / F.col(part) * RANGES).cast("int")).drop(h, part).distinct()
+    counts: dict = {}
+    for r in thin.groupBy(group, at).count().collect():
+        counts.setdefault(r[0], {})[r[1]] = r["count"]
+    cuts = []
+    for g, own in counts.items():
+        n, upto = 0, -1
+        for k in sorted(own):
+            n += own[k]
+            if n > each:
+                break
+            upto = k
+        cuts.append((g, upto))
+    chosen = thin.join(F.broadcast(spark.createDataFrame(cuts, f"{group} {kind}, {last} int")), group)
+    return chosen.filter(F.col(at) <= F.col(last)).select(*rows.columns)

@@ -4,10 +4,11 @@ A count-min prefilter keeps most windows out of the shuffle. Every window of 50
 of its runs of 16 words; equal windows have equal anchors, and one anchor serves some twenty windows in a row. The first
 pass counts, in a count-min sketch a partition, the documents of each anchor; the merged sketch overestimates that
 count, and so the number of documents with the window. The second pass drops the windows whose estimate is one and groups
-the others exactly, by 128 bits of the window's words: none that repeats is lost, and a false alarm costs a row.
+the others exactly, by 128 bits of the window's words (the words themselves are not compared): none that repeats is lost, and a false
+alarm costs a row. A window that a document holds many times is one row of it, with all its places.
 
 Windows estimated in `hot_docs` documents or more are summed up by each task before they are shuffled, and their least document
-is joined back on a salted key; all others have groups smaller than that. The sketch has two rows of at most
+is looked up, for the most frequent ones by broadcast; all others have groups of fewer rows than that. The sketch has two rows of at most
 `max_cells` cells, of which two bits a cell reach the driver; on more text than that suits, more windows are
 grouped, and the result is the same.
 """
@@ -23,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import body, cut, fresh
+from .common import body, cut, fresh, lookup_join
 
 RUN = 16
 ROWS, BLOCK = 2, 1 << 16
 #: A window in so many documents would weigh on one task; the ways of hot windows cost two shuffles.
-HOT, SALTS = 10_000, 16
+HOT = 10_000
 #: Characters that are hashed at once, words of a longer text's segment, and words that are remembered.
 CHUNK, SEGMENT, CACHE = 1 << 20, 1 << 18, 400_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -215,7 +216,16 @@ def _sketch(texts: DataFrame, cells: int, window: int, hot_docs: int):
 
 
 def _candidates(held, cells: int, window: int, wanted: bool):
-    """id, tag, text -> the windows that may repeat, hot ones or the others as wanted: h1, h2, id, place (with the tag)."""
+    """id, tag, text -> the windows that may repeat, hot ones or the others as wanted: h1, h2, id, place (the first one, with the tag), more
+    (the other places of the same window in the text, 32 bits each; null without any)."""
+
+    def once(row, h1, h2):
+        """An order in which equal windows of a text stand together, by place, and where each one starts; None if none repeats."""
+        if len(np.unique(_mix(h1 ^ (row.astype(np.uint64) * np.uint64(_BASES[0]))))) == len(row):
+            return None
+        order = np.lexsort((h2, h1, row))  # stable: places stay in order
+        r, a, b = row[order], h1[order], h2[order]
+        return order, np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
 
     def run(batches):
         two, hot = (np.frombuffer(b, np.uint8) for b in held.value)
@@ -238,10 +248,16 @@ def _candidates(held, cells: int, window: int, wanted: bool):
                 keep = np.flatnonzero((all_set(two, at) & (all_set(hot, at) == wanted))[run_of])
                 if not len(keep):
                     continue
-                row = first + row[keep]
+                row, place, h1, h2 = first + row[keep], place[keep], h1[keep], h2[keep]
+                more = pa.nulls(len(row), pa.binary())
+                if (same := once(row, h1, h2)) is not None:
+                    order, starts = same
+                    places = place[order].astype(np.int32)
+                    more = pa.array([places[a + 1 : b].tobytes() if b > a + 1 else None for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)])], pa.binary())
+                    row, place, h1, h2 = (x[order[starts]] for x in (row, place, h1, h2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(ids[row]), pa.array(tags[row] << 32 | place[keep])],
-                    ["h1", "h2", "id", "place"],
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[row]), pa.array(tags[row] << 32 | place), more],
+                    ["h1", "h2", "id", "place", "more"],
                 )
 
     return run
@@ -257,21 +273,22 @@ def _keys(docs: DataFrame, id_col: str, text_col: str):
 
 
 def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_cells: int = 1 << 26, hot_docs: int = HOT) -> DataFrame:
-    """id, tag, starts: where windows start, in words, that also start in a row with a smaller id."""
+    """id, tag, starts, more: where windows start, in words, that also start in a row with a smaller id: as numbers, and 32 bits each."""
     chars = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
     cells = min(max_cells, max(BLOCK, 1 << (chars // 40).bit_length()))
     held, some_hot = _sketch(docs.select(body(text_col).alias("text")), cells, window, hot_docs)
     doc, tag = _keys(docs, id_col, text_col)
     keyed = docs.select(doc.alias("id"), tag.alias("tag"), body(text_col).alias("text"))
-    rows = lambda hot: keyed.mapInArrow(_candidates(held, cells, window, hot), "h1 long, h2 long, id long, place long")
-    places = rows(False).withColumn("first", F.min("id").over(Window.partitionBy("h1", "h2"))).filter("id > first").select("id", "place")
+    rows = lambda hot: keyed.mapInArrow(_candidates(held, cells, window, hot), "h1 long, h2 long, id long, place long, more binary")
+    places = rows(False).withColumn("first", F.min("id").over(Window.partitionBy("h1", "h2"))).filter("id > first").select("id", "place", "more")
     if some_hot:
         often = cut(rows(True))
-        firsts = cut(often.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"))
-        salted = firsts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        joined = often.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
-        places = places.unionByName(joined.filter("id > first").select("id", "place"))
-    return places.groupBy("id", F.shiftright("place", 32).alias("tag")).agg(F.collect_list(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("starts"))
+        firsts = often.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+        firsts = cut(firsts.filter("first < last").drop("last"))
+        joined = lookup_join(often, firsts, ["h1", "h2"], "n", often.count())
+        places = places.unionByName(joined.filter("id > first").select("id", "place", "more"))
+    start = F.col("place").bitwiseAND((1 << 32) - 1).cast("int")
+    return places.groupBy("id", F.shiftright("place", 32).alias("tag")).agg(F.collect_list(start).alias("starts"), F.collect_list("more").alias("more"))
 
 
 def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -282,20 +299,21 @@ def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def _without(text: bytes, starts, window: int) -> tuple[list[bytes], int]:
-    """Words that stay, and how many there were."""
+def _without(text: bytes, starts, more, window: int) -> tuple[list[bytes], int]:
+    """Words that stay, and how many there were. starts, more: as Arrow scalars."""
     words = text.split()
-    if starts is None or not len(starts):
+    if not starts.is_valid:
         return words, len(words)
-    gone = _covered(len(words), np.asarray(starts), window)
+    every = np.concatenate([starts.values.to_numpy(), *(np.frombuffer(m.as_py(), np.int32) for m in more.values)])
+    gone = _covered(len(words), every, window)
     return list(compress(words, (~gone).tolist())), len(words)
 
 
-def _with_starts(docs: DataFrame, id_col: str, text_col: str, window: int, max_cells: int, hot_docs: int) -> tuple[DataFrame, str]:
-    k, t, starts = fresh(docs, "id_key", "tag_key", "starts")
+def _with_starts(docs: DataFrame, id_col: str, text_col: str, window: int, max_cells: int, hot_docs: int) -> tuple[DataFrame, str, str]:
+    k, t, starts, more = fresh(docs, "id_key", "tag_key", "starts", "more")
     doc, tag = _keys(docs, id_col, text_col)
-    found = repeated_places(docs, id_col, text_col, window, max_cells, hot_docs).select(F.col("id").alias(k), F.col("tag").alias(t), F.col("starts").alias(starts))
-    return docs.withColumns({k: doc, t: tag}).join(found, [k, t], "left").drop(k, t), starts
+    found = repeated_places(docs, id_col, text_col, window, max_cells, hot_docs).select(F.col("id").alias(k), F.col("tag").alias(t), F.col("starts").alias(starts), F.col("more").alias(more))
+    return docs.withColumns({k: doc, t: tag}).join(found, [k, t], "left").drop(k, t), starts, more
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_cells: int = 1 << 26, hot_docs: int = HOT) -> DataFrame:
@@ -303,29 +321,31 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
 
     Null and empty texts have no words. A null id counts as the largest. Rows with the same id remove nothing from
     each other. Other columns are not read."""
-    wide, starts = _with_starts(docs.select(id_col, text_col), id_col, text_col, window, max_cells, hot_docs)
+    wide, starts, more = _with_starts(docs.select(id_col, text_col), id_col, text_col, window, max_cells, hot_docs)
 
     @F.arrow_udf("struct<n_words: bigint, n_removed: bigint, kept_sha256: string>")
-    def digest(texts: pa.Array, starts: pa.Array) -> pa.Array:
+    def digest(texts: pa.Array, starts: pa.Array, more: pa.Array) -> pa.Array:
         n, gone, sha = [], [], []
-        for t, s in zip(texts.cast(pa.binary()), starts):
-            words, had = _without(t.as_py(), s.values.to_numpy() if s.is_valid else None, window)
+        for t, s, m in zip(texts.cast(pa.binary()), starts, more):
+            words, had = _without(t.as_py(), s, m, window)
             n.append(had)
             gone.append(had - len(words))
             sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["n_words", "n_removed", "kept_sha256"])
 
-    return wide.select(F.col(id_col), digest(body(text_col), F.col(starts)).alias("d")).select(id_col, "d.*")
+    return wide.select(F.col(id_col), digest(body(text_col), F.col(starts), F.col(more)).alias("d")).select(id_col, "d.*")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_cells: int = 1 << 26, hot_docs: int = HOT) -> DataFrame:
     """docs with the repeated passages taken out of the texts, whose words are then joined by one space; texts from which
-    nothing is taken stay as they are. Columns as they are."""
-    wide, starts = _with_starts(docs, id_col, text_col, window, max_cells, hot_docs)
+    nothing is taken stay as they are. Columns as they are. Null texts stay null; a null id counts as the largest; rows with the same id
+    take nothing from each other, so repeated rows stay alike; no rows give none."""
+    wide, starts, more = _with_starts(docs, id_col, text_col, window, max_cells, hot_docs)
 
     @F.arrow_udf("string")
-    def kept(texts: pa.Array, starts: pa.Array) -> pa.Array:
-        return pa.array([b" ".join(_without(t.as_py(), s.values.to_numpy(), window)[0]) if s.is_valid else t.as_py() for t, s in zip(texts.cast(pa.binary()), starts)], pa.binary()).cast(pa.string())
+    def kept(texts: pa.Array, starts: pa.Array, more: pa.Array) -> pa.Array:
+        rows = zip(texts.cast(pa.binary()), starts, more)
+        return pa.array([b" ".join(_without(t.as_py(), s, m, window)[0]) if s.is_valid else t.as_py() for t, s, m in rows], pa.binary()).cast(pa.string())
 
-    new = F.when(F.col(starts).isNull(), F.col(text_col)).otherwise(kept(body(text_col), F.col(starts)))
+    new = F.when(F.col(starts).isNull(), F.col(text_col)).otherwise(kept(body(text_col), F.col(starts), F.col(more)))
     return wide.withColumn(text_col, new).select(docs.columns)

@@ -12,8 +12,8 @@ result. Every fingerprint is listed under its value in each part, and asks the v
 larger than its own; candidates in a bucket are verified on all bits.
 
 Equal fingerprints are one node, so copies cost nothing. A bucket returns a spanning forest of its links, never
-all pairs; buckets of more than `bucket_rows` fingerprints are cut into blocks, and pairs of blocks are verified
-by different tasks, so no task holds an unbounded bucket.
+all pairs; buckets of more than `bucket_rows` fingerprints, those that only ask counted too, are cut into blocks, and
+pairs of blocks are verified by different tasks, so no task holds an unbounded bucket.
 """
 
 from __future__ import annotations
@@ -342,19 +342,23 @@ def link(nodes: DataFrame, max_bits: int, sample_rows: int = 2048, bucket_rows:
     sample = [r.fp for r in nodes.select("fp").orderBy(F.xxhash64("node"), "fp").limit(sample_rows).collect()]
     parts = plan(n, both, np.array(sample, np.int64), max_bits)
     rows = nodes.select("fp", "node").mapInArrow(_rows(parts), "part smallint, key long, probe boolean, fp long, node long")
-    listed = [nodes.select(F.lit(p).cast("smallint").alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for p, (m, _) in enumerate(parts)]
-    counts = listed[0]
-    for x in listed[1:]:
-        counts = counts.unionByName(x)
-    heavy = cut(counts.groupBy("part", "key").count().filter(F.col("count") > bucket_rows))
+    counts = rows.groupBy("part", "key").agg(F.count_if(~F.col("probe")).alias("listed"), F.count_if("probe").alias("asking"))
+    heavy = cut(counts.filter(F.col("listed") + F.col("asking") > bucket_rows))
     keys = ["part", "key"]
     if heavy.head(1):  # at most rows / bucket_rows buckets
-        blocks = heavy.select("part", "key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("blocks"))
-        rows = rows.join(F.broadcast(blocks) if blocks.count() <= 10000 else blocks, keys, "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
-        rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
-        rows = rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("own", "other", "blocks")
+        blocks = lambda c: F.ceil(F.col(c) / bucket_rows).cast("int")
+        sized = heavy.select("part", "key", blocks("listed").alias("lists"), blocks("asking").alias("asks"))
+        rows = rows.join(F.broadcast(sized) if sized.count() <= 10000 else sized, keys, "left")
+        number = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+        pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+        each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        lists, asks = F.col("lists"), F.col("asks")
+        # Blocks of entries meet in pairs (p, q); a block of probes, numbered below zero, meets each block of entries.
+        among = F.transform(each(lists), lambda i: pair(F.least(number(lists), i), F.greatest(number(lists), i)))
+        asked = F.transform(each(asks), lambda i: pair(-1 - i, number(lists)))
+        asking = F.transform(each(lists), lambda i: pair(-1 - number(asks), i))
+        place = F.when(lists.isNull(), F.array(pair(F.lit(0), F.lit(0)))).when(F.col("probe"), asking).otherwise(F.concat(among, asked))
+        rows = rows.withColumn("place", F.explode(place)).select("part", "key", "place.p", "place.q", "probe", "fp", "node")
         keys += ["p", "q"]
     count = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartition(count, *keys).sortWithinPartitions(*keys, "probe").mapInArrow(_verify(max_bits), "a long, b long")

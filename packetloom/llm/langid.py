@@ -85,7 +85,7 @@ def fit(
         return None
     each = max(50, sample_rows // len(names))
     keys = teaching.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    chosen = few_of_each(keys, "id", "lang", each).distinct().withColumn("h", F.xxhash64("id"))
+    chosen = few_of_each(keys, "id", "lang", each, max_languages).withColumn("h", F.xxhash64("id"))
     n, df = _document_counts(teaching.select(body(text_col).alias("text")))
     idf = np.log((n + 1) / (df + 1)) + 0.1
     held = docs.sparkSession.sparkContext.broadcast(idf)

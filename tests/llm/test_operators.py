@@ -125,6 +125,24 @@ def test_links_span_all_pairs(spark, bits, bucket_rows):
     assert {i: found.get(i, i) for i in want} == want
 
 
+def test_a_key_that_many_ask_for_is_split(spark, monkeypatch):
+    """One entry, and very many fingerprints near it in the part: only those that ask make the bucket large."""
+    rng = random.Random(3)
+    low = (1 << 32) - 1
+    prints = {0: 0}
+    while len(prints) < 400:  # all differ from the entry's part by one bit
+        prints[len(prints)] = (1 << 32 + rng.randrange(32)) | (rng.getrandbits(32) & rng.getrandbits(32) & rng.getrandbits(32))
+    first = {}
+    for i, f in prints.items():
+        first.setdefault(f, i)
+    monkeypatch.setattr(simhash, "plan", lambda *_: [(low << 32, 1), (low, 1)])
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for f, i in first.items()], "fp long, node long").repartition(3)
+    want = brute_components({i: f for f, i in first.items()}, 3)
+    for rows in (20000, 50, 7):
+        found = {r.node: r.component for r in components.components(simhash.link(nodes, 3, bucket_rows=rows)).collect()}
+        assert {i: found.get(i, i) for i in want} == want
+
+
 def test_thresholds_cover_the_distance():
     rng = np.random.default_rng(1)
     sample = rng.integers(0, 2**63, 500)
@@ -273,6 +291,18 @@ def test_substring_dedup_hot_windows_and_a_full_sketch(spark):
         assert sorted_rows(substring_dedup.assign(docs, max_cells=cells, hot_docs=20), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("hot_docs", [2, 10_000])
+def test_substring_dedup_of_windows_that_a_text_repeats(spark, hot_docs):
+    """A window 10^5 times in one text is one row of it; texts of few different windows, in hot groups and others."""
+    rows = [(0, "x " * 100_000), (1, "x " * 80), (2, "a b " * 200), (3, "b a " * 150 + "c"), (4, "y " * 49), (5, "a b " * 30 + "z " + "x " * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted_rows(substring_dedup.assign(docs, hot_docs=hot_docs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_substrings(rows, 50)
+    held, _ = substring_dedup._sketch(docs.select("text"), 1 << 16, 50, 10_000)
+    sent = docs.selectExpr("doc_id as id", "0L as tag", "text").mapInArrow(substring_dedup._candidates(held, 1 << 16, 50, False), "h1 long, h2 long, id long, place long, more binary")
+    assert sent.filter("id = 0").count() <= 1
+
+
 def test_remove_repeats_keeps_columns(odd):
     got = substring_dedup.remove_repeats(odd)
     assert got.columns == odd.columns and got.count() == odd.count()

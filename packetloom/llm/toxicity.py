@@ -1,11 +1,17 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns. Some are fixed lists; others are mined from the labelled training rows: words, and
-word beginnings of four, five and six letters as patterns, that between them speak up in the toxic rows and hardly in
-the clean ones, dealt into several lexicons. A generative label model then looks at votes alone: by expectation maximisation it estimates how often each
-voter speaks up in either class, and from the votes' correlations within the classes how much of what a voter says
-its likes have said already; correlated voters count less. Its posterior labels, not the given ones, train a sparse
-linear classifier on words and word beginnings, which scores whole texts.
+Voters are lexicons, patterns and signals of form: fixed lists of insults by language; fixed patterns; and some
+thirty lexicons mined from the labelled training rows: words, and word beginnings of four, five and six letters as patterns, that
+between them speak up in the toxic rows and hardly in the clean ones. The rows are halved, and each half is voted on by the lexicons
+that were mined from the other, so no voter has seen the label of a row that it votes on.
+
+A generative label model looks at votes alone. A row is of one of a few kinds, such as clean, or toxic in one language; each voter speaks
+up with a probability of its own in each kind. Where two voters agree more, or less, than the kinds explain, their dependence is a
+parameter too: the strongest dependences form a forest, in which a voter's probability depends on the kind and on one
+other voter. The given label is one more voter, whose error rates are estimated like those of the others: where lexicons speak up
+against it, they can overrule it, and where none speaks up, it is what there is. Expectation maximisation estimates the
+probabilities, the forest and the kinds of the rows; a kind is toxic to the extent to which its labels say so. The posterior labels that
+follow train a sparse linear classifier on words and word beginnings, which scores whole texts.
 
 The model is fitted on a bounded sample: at most `rows_per_class` labelled rows of each class, taken in the order of a
 hash of the id. Scoring reads every row and whole text. Labels other than those of training rows are never read, and
@@ -38,9 +44,11 @@ PATTERNS = [
     r"\byou(?: are|'re)? (?:an? |such an? |all )?(?:\w+ )?(?:idiot|moron|loser|clown|scum|trash)",
     r"\b(?:shut up|go to hell|drop dead|kill yourself)\b",
 ]
+#: Patterns of form on the whole text as it is: shouting, exclamation, masked and stretched words.
+FORMS = [r"\b[A-Z]{4,}\b.*\b[A-Z]{4,}\b", r"!!", r"!\s*$", r"\w[*#@]{2,}\w?", r"(\w)\1{3,}", r"\?!"]
 BEGINNINGS = (4, 5, 6)
-#: Lexicons into which the mined features of a kind are dealt.
-DEALT = 4
+#: Lexicons into which the mined features are dealt.
+DEALT = 32
 L1_SHARE = 0.0015
 REJECT = 0.7
 WORDS = re.compile(r"[^\W\d_]+")
@@ -62,16 +70,17 @@ def _sample(labels: DataFrame, held_out: Column, rows_per_class: int, id_col: st
 def _read(chosen: DataFrame, docs: DataFrame, id_col: str, text_col: str):
     """Of the sample: labels, features as arrays, and which fixed voters speak up. Texts stay on the executors."""
     lexicons = [frozenset(x.split()) for x in LEXICONS.values()]
-    patterns = [re.compile(p) for p in PATTERNS]
+    patterns, forms = [re.compile(p) for p in PATTERNS], [re.compile(p, re.S) for p in FORMS]
 
     @F.arrow_udf("struct<features: binary, votes: binary>")
     def look(texts: pa.Array) -> pa.Array:
         features, votes = [], []
         for t in texts:
-            low = t.as_py().lower()
+            text = t.as_py()
+            low = text.lower()
             words = set(WORDS.findall(low))
             features.append(np.unique(np.fromiter(chain.from_iterable(map(_features_of, words)), np.uint32)).tobytes())
-            votes.append(bytes([*(not words.isdisjoint(x) for x in lexicons), *(bool(p.search(low)) for p in patterns)]))
+            votes.append(bytes([*(not words.isdisjoint(x) for x in lexicons), *(bool(p.search(low)) for p in patterns), *(bool(p.search(text)) for p in forms)]))
         return pa.StructArray.from_arrays([pa.array(features, pa.binary()), pa.array(votes, pa.binary())], ["features", "votes"])
 
     texts = docs.select(F.col(id_col).alias("id"), body(text_col).alias("text")).join(F.broadcast(chosen), "id")  # twice rows_per_class at most
@@ -80,7 +89,7 @@ def _read(chosen: DataFrame, docs: DataFrame, id_col: str, text_col: str):
     return (
         np.array([r.label for r in rows], np.int64),
         [np.frombuffer(r.features, np.uint32) for r in rows],
-        np.array([list(r.votes) for r in rows], bool).reshape(len(rows), len(LEXICONS) + len(PATTERNS)),
+        np.array([list(r.votes) for r in rows], bool).reshape(len(rows), len(lexicons) + len(patterns) + len(forms)),
     )
 
 
@@ -105,30 +114,114 @@ def _mine(truth: np.ndarray, features: list[np.ndarray], most: int = 400, dear:
     return [names[picked[k::DEALT]] for k in range(DEALT) if picked[k::DEALT]]
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, trust: float = 0.95, rounds: int = 25) -> dict:
-    """votes: rows by voters, who speak up or don't. labels: what the rows are said to be, one more voter that is right
-    with the probability `trust`; it keeps the classes from drifting to what separates the voters best. Estimates, by
-    expectation maximisation, P(speaks up) of each voter in either class, the correlations of voters within the classes,
-    and from both the posterior. A voter's evidence is divided by one plus its positive correlations with the others."""
-    v, p = votes.astype(np.float64), np.where(labels, trust, 1 - trust)
-    given = np.log(p / (1 - p))
-    rates, like = None, np.eye(v.shape[1])
-    for _ in range(rounds):
-        prior = np.clip(p.mean(), 0.02, 0.98)
-        rates = np.stack([((1 - p) @ v + 0.05) / ((1 - p).sum() + 1), (p @ v + 0.5) / (p.sum() + 1)])
-        left = v - np.outer(1 - p, rates[0]) - np.outer(p, rates[1])
-        cov = left.T @ left / max(1, len(v))
-        dev = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        like = cov / np.outer(dev, dev)
-        own = 1 / np.maximum(1.0, np.maximum(like, 0).sum(axis=1))
-        yes, no = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        logit = np.log(prior / (1 - prior)) + given + (v * yes + (1 - v) * no) @ own
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - p).max() < 1e-4:
-            p = new
-            break
+def _votes(truth: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    """rows by DEALT: which mined lexicons speak up in a row, all mined from the half of the rows that it isn't in."""
+    out = np.zeros((len(features), DEALT), bool)
+    for half in (0, 1):
+        taught = [i for i in range(len(features)) if i % 2 != half]
+        if len(set(truth[taught].tolist())) < 2 or not sum(len(features[i]) for i in taught):
+            continue
+        for k, lexicon in enumerate(np.sort(x) for x in _mine(truth[taught], [features[i] for i in taught])):
+            for i in range(half, len(features), 2):
+                out[i, k] = np.isin(features[i], lexicon, assume_unique=True).any()
+    return out
+
+
+#: Rows that a rate starts from. A given label starts from so many rows in which it is right so often; what the data say outweighs that.
+PRIOR, LABELLED, RIGHT = 0.5, 40.0, 0.99
+
+
+def _joint(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """P(a = x, b = y) of all pairs of voters under the weights w of the rows: voters, voters, 2, 2."""
+    both, one, n = (v * w[:, None]).T @ v, w @ v, w.sum()
+    cells = np.stack([n - one[:, None] - one[None, :] + both, one[None, :] - both, one[:, None] - both, both], axis=-1).reshape(*both.shape, 2, 2)
+    return (np.maximum(cells, 0) + PRIOR / 4) / (n + PRIOR)
+
+
+def _forest(v: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """p: rows by kinds. The other voter that each one depends on, -1 for none: a spanning forest of the greatest mutual information
+    within the kinds, of that which pays for its parameters."""
+    info = np.zeros((v.shape[1], v.shape[1]))
+    for w in p.T:
+        q = _joint(v, w)
+        a, b = q.sum(axis=3, keepdims=True), q.sum(axis=2, keepdims=True)
+        info += w.sum() * (q * np.log(q / (a * b))).sum(axis=(2, 3))
+    np.fill_diagonal(info, 0)
+    parent, inside = np.full(len(info), -1), np.zeros(len(info), bool)
+    while not inside.all():
+        gain = np.where(inside[:, None] & ~inside[None, :], info, -1)
+        i, j = np.unravel_index(gain.argmax(), gain.shape)
+        if gain[i, j] > p.shape[1] * np.log(len(v)):
+            parent[j] = i
+        else:  # a new tree
+            j = int(np.flatnonzero(~inside)[0])
+        inside[j] = True
+    return parent
+
+
+def _likelihood(v: np.ndarray, parent: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """log P(votes of a row | kind), rows by kinds, of tables (kind, voter, vote of the one it depends on, vote)."""
+    said = v.astype(int)
+    other = np.where(parent >= 0, said[:, parent], 0)
+    return np.log(tables[:, np.arange(v.shape[1])[None, :], other, said]).sum(axis=2).T
+
+
+def _first_kinds(v: np.ndarray, most: int) -> np.ndarray:
+    """A kind for each row to begin with: the voter that speaks up in the most rows has one, of the other rows again, and so on;
+    the last is that of rows which no such voter speaks up in."""
+    kind, k = np.full(len(v), -1), 0
+    while k < most - 1 and (counts := v[kind < 0].sum(axis=0)).max(initial=0) >= max(3, 0.005 * len(v)):
+        kind[(kind < 0) & (v[:, int(counts.argmax())] > 0)] = k
+        k += 1
+    kind[kind < 0] = k
+    return kind
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 40, kinds: int = 8, start: np.ndarray | None = None) -> dict:
+    """votes: rows by voters, who speak up or don't. labels: what the rows are said to be, the last voter. start: the voters whose rows are
+    the kinds to begin with, all by default; rows that none of them speaks up in are two kinds, by their label.
+
+    posterior: P(toxic) of each row. kinds: rows by kinds. toxic: the toxic share of each kind. rates (class, voter): P(speaks up). parent: the
+    voter that each one depends on, or -1. tables (kind, voter, vote of that one, vote). correlations: of all pairs of votes, within the kinds."""
+    labels = np.asarray(labels, np.float64)
+    first = _first_kinds(votes if start is None else votes[:, start], kinds - 1)
+    first[(first == first.max()) & (labels > 0)] += 1
+    v = np.concatenate([votes, labels[:, None]], axis=1).astype(np.float64)
+    p = np.full((len(v), first.max() + 1), 0.05 / (first.max() + 1))
+    p[np.arange(len(v)), first] += 0.95
+    parent = np.full(v.shape[1], -1)
+    believed = np.tile((v.sum(axis=0) + PRIOR / 2) / (len(v) + PRIOR), (p.shape[1], 1))
+    believed[:, -1] = np.where(labels @ p > 0.5 * p.sum(axis=0), RIGHT, 1 - RIGHT)
+    weight = np.append(np.full(v.shape[1] - 1, PRIOR), LABELLED)
+    for n in range(rounds):
+        if n and n % 10 == 5:
+            parent = _forest(v, p)
+        share = (p.sum(axis=0) + 1) / (len(v) + p.shape[1])
+        tables = np.empty((p.shape[1], v.shape[1], 2, 2))
+        for y, w in enumerate(p.T):
+            one = (w @ v + weight * believed[y]) / (w.sum() + weight)
+            tables[y] = np.stack([1 - one, one], axis=1)[:, None, :]
+            for j in np.flatnonzero(parent >= 0):
+                for x in (0, 1):
+                    own = w * (v[:, parent[j]] == x)
+                    speaks = (own @ v[:, j] + PRIOR * one[j]) / (own.sum() + PRIOR)
+                    tables[y, j, x] = 1 - speaks, speaks
+        tables = np.clip(tables, 1e-6, 1)
+        new = ftrl.softmax(np.log(share) + _likelihood(v, parent, tables))
+        still = np.abs(new - p).max() < 1e-4
         p = new
-    return {"posterior": p, "rates": rates, "correlations": like}
+        if still and n > 5:
+            break
+    toxic = (labels @ p + labels.mean() * PRIOR) / (p.sum(axis=0) + PRIOR)
+    posterior = p @ toxic
+    sharp = posterior**2 / (posterior**2 + (1 - posterior) ** 2)
+    rates = np.stack([(w @ v + PRIOR / 2) / (w.sum() + PRIOR) for w in (1 - sharp, sharp)])
+    left = v - p @ np.stack([w @ v / max(1e-9, w.sum()) for w in p.T])
+    dev = np.sqrt(np.maximum((left * left).mean(axis=0), 1e-9))
+    return {
+        "posterior": posterior, "kinds": p, "toxic": toxic, "share": share, "rates": rates, "parent": parent, "tables": tables,
+        "correlations": left.T @ left / max(1, len(v)) / np.outer(dev, dev),
+    }
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, rows_per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
@@ -137,11 +230,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, rows_per_class: in
     truth, features, fixed = _read(_sample(labels, held_out, rows_per_class, id_col, label_col), docs, id_col, text_col)
     if len(set(truth.tolist())) < 2 or not sum(map(len, features)):
         return {"bias": None, "weights": {}}
-    lexicons = [np.sort(x) for x in _mine(truth, features)]
-    speaks = np.array([[bool(np.isin(f, x, assume_unique=True).any()) for x in lexicons] for f in features], bool).reshape(len(features), len(lexicons))
-    votes = np.concatenate([fixed, speaks], axis=1)
-    votes = votes[:, votes.any(axis=0)]
-    posterior = label_model(votes, truth)["posterior"] if votes.size else truth.astype(float)
+    mined = _votes(truth, features)
+    votes = np.concatenate([fixed, mined], axis=1)
+    told = votes.any(axis=0) & ~votes.all(axis=0)
+    votes, is_mined = votes[:, told], (np.arange(votes.shape[1]) >= fixed.shape[1])[told]
+    posterior = label_model(votes, truth, start=np.flatnonzero(is_mined))["posterior"] if votes.size else truth.astype(float)
+    posterior = (posterior > 0.5).astype(np.float64)  # the likelier label: the classifier's penalties shrink scores enough
     names, code, rows_with = np.unique(np.concatenate(features), return_inverse=True, return_counts=True)
     column = np.where(rows_with >= 3, np.cumsum(rows_with >= 3) - 1, -1)  # rarer ones get no weight
     ends = np.cumsum([len(f) for f in features])
@@ -151,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, rows_per_class: in
     rarer = posterior > 0.5 if 2 * toxic < len(rows) else posterior <= 0.5  # the rarer class is shown more often, to balance
     times = np.where(rarer, max(1, round((len(rows) - rarer.sum()) / max(1, rarer.sum()))), 1)
     l1 = max(1.0, L1_SHARE * (posterior * times).sum())
-    weights, bias = ftrl.fit(rows, np.stack([1 - posterior, posterior], axis=1), len(names), l1=l1, l2=0.01, epochs=8, alpha=0.5, times=times)
+    weights, bias = ftrl.fit(rows, np.stack([1 - posterior, posterior], axis=1), len(names), l1=l1, l2=0.01, epochs=12, alpha=0.5, times=times)
     slope = weights[:, 1] - weights[:, 0]
     used = np.flatnonzero(np.abs(slope) > 1e-9)
     return {"bias": float(bias[1] - bias[0]), "weights": dict(zip(names[used].tolist(), slope[used].tolist()))}
@@ -198,6 +292,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, rows_per_clas
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, rows_per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """docs without those that classify() would predict as toxic; columns as they are."""
+    """docs without those that classify() would predict as toxic; columns as they are. Null and empty texts stay, unless texts without
+    words are toxic by the labels; rows that repeat go or stay together; no rows give none."""
     model = fit(docs, labels, held_out, rows_per_class, id_col, text_col, label_col)
     return docs.filter(score_column(model, docs, text_col) < REJECT)

@@ -430,16 +430,48 @@ def test_toxicity_without_labels_and_on_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns
 
 
-def test_label_model_weighs_correlated_voters_less():
+def test_label_model_finds_planted_rates_and_dependences():
+    """Four voters of known rates, of which two copy each other more than the classes explain; noise that three voters share; noisy labels."""
     rng = np.random.default_rng(0)
-    truth = rng.random(2000) < 0.3
-    good = [truth & (rng.random(2000) < 0.7) for _ in range(3)]
-    noise = rng.random(2000) < 0.1
-    votes = np.stack([*good, noise, noise, noise], axis=1)
-    given = np.where(rng.random(2000) < 0.05, ~truth, truth)
-    m = toxicity.label_model(votes, given)
-    assert m["correlations"][3, 4] > 0.95 and abs(m["correlations"][0, 1]) < 0.3
-    assert ((m["posterior"] > 0.5) == truth).mean() > 0.96
+    truth = rng.random(6000) < 0.3
+    good = [np.where(truth, rng.random(6000) < r, rng.random(6000) < f) for r, f in ((0.8, 0.05), (0.6, 0.02), (0.7, 0.1))]
+    copy = np.where(rng.random(6000) < 0.9, good[2], rng.random(6000) < 0.3)
+    noise = rng.random(6000) < 0.1
+    votes = np.stack([*good, copy, noise, noise, noise], axis=1)
+    given = np.where(rng.random(6000) < 0.05, ~truth, truth)
+    m = toxicity.label_model(votes, given, kinds=3, start=np.array([0, 1]))
+    assert ((m["posterior"] > 0.5) == truth).mean() > 0.94 and ((m["posterior"] > 0.5) == truth).mean() > (given == truth).mean()
+    for j, (r, f) in enumerate(((0.8, 0.05), (0.6, 0.02), (0.7, 0.1))):
+        assert abs(m["rates"][1, j] - r) < 0.1 and abs(m["rates"][0, j] - f) < 0.1
+    assert abs(m["rates"][1, -1] - 0.95) < 0.06 and abs(m["rates"][0, -1] - 0.05) < 0.06  # the given label, a voter like others
+    tied = {frozenset((j, int(p))) for j, p in enumerate(m["parent"]) if p >= 0}
+    assert frozenset((2, 3)) in tied and len(tied & {frozenset((4, 5)), frozenset((5, 6)), frozenset((4, 6))}) == 2
+    assert m["correlations"][4, 5] > 0.95 and abs(m["correlations"][0, 4]) < 0.1
+
+
+def test_posterior_is_that_of_the_tables():
+    """Against Bayes' rule, vote by vote."""
+    rng = np.random.default_rng(1)
+    votes, given = rng.random((300, 5)) < 0.3, rng.random(300) < 0.4
+    votes[:, 4] = votes[:, 3] ^ (rng.random(300) < 0.1)
+    m = toxicity.label_model(votes, given, kinds=3, rounds=200)
+    v = np.concatenate([votes, given[:, None]], axis=1).astype(int)
+    for i in range(0, 300, 17):
+        like = []
+        for k in range(len(m["share"])):
+            x = m["share"][k]
+            for j, p in enumerate(m["parent"]):
+                x *= m["tables"][k, j, v[i, p] if p >= 0 else 0, v[i, j]]
+            like.append(x)
+        assert m["posterior"][i] == pytest.approx(np.dot(like, m["toxic"]) / sum(like), abs=0.02)
+
+
+def test_lexicons_are_mined_from_other_rows_than_those_they_vote_on():
+    """A feature that only one row has never speaks up in it; one of many rows speaks up in the others."""
+    truth = np.array([1, 1, 0, 0] * 50)
+    features = [np.unique(np.array([1000 + i, 7] if t else [1000 + i], np.uint32)) for i, t in enumerate(truth)]
+    votes = toxicity._votes(truth, features)
+    assert votes.shape == (200, toxicity.DEALT) and (votes.any(axis=1) == (truth == 1)).all() and votes.any(axis=0).sum() == 1
 
 
 def test_ftrl_learns_sparse_weights():

@@ -392,8 +392,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: For near_dedup: keys of a set of shingles, and how many pairs of the wanted similarity may share none of them.
 BANDS, MISSED = 32, 1e-5
-#: Rows of a bucket that are paired with all others before anything is verified.
-FIRST = 4
+#: Rows of a bucket that are paired with all others before anything is verified, and the likeliest partners of each row that follow.
+FIRST, BEST = 4, 4
+#: Standard deviations by which the estimated similarity of a pair may miss the wanted one, so that it is still verified.
+MARGIN = 5
 
 
 def _minima_for(similarity: float) -> int:
@@ -405,8 +407,8 @@ def _minima_for(similarity: float) -> int:
     return r
 
 
-def band_keys(grams: set[bytes], minima: int) -> np.ndarray:
-    """BANDS keys of a set that is not empty, each of `minima` least values of hashes of its elements."""
+def band_keys(grams: set[bytes], minima: int) -> tuple[np.ndarray, bytes]:
+    """BANDS keys of a set that is not empty, each of `minima` least values of hashes of its elements; and a byte of each of these."""
     h = np.frombuffer(b"".join([xxhash.xxh3_64_digest(g, SEED) for g in grams]), ">u4")[::2].astype(np.uint32)
     by = (_again(np.arange(BANDS * minima, dtype=np.uint64), 7) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     least = np.full(len(by), np.uint32(0xFFFFFFFF))
@@ -418,23 +420,25 @@ def band_keys(grams: set[bytes], minima: int) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64)
     for x in least.reshape(BANDS, minima).T:
         key = _again(key ^ x.astype(np.uint64), 0)
-    return key
+    return key, least.astype(np.uint8).tobytes()
 
 
 def _set_column(text_col: str, shingle: int, minima: int):
-    """Struct of a digest of the set of shingles, its size, and its keys; null counts as an empty text."""
+    """Struct of a digest of the set of shingles, its size, its keys, and a byte of each minimum; null counts as an empty text."""
 
-    @F.arrow_udf("struct<d: binary, n: int, keys: array<bigint>>")
+    @F.arrow_udf("struct<d: binary, n: int, keys: array<bigint>, least: binary>")
     def of(texts: pa.Array) -> pa.Array:
-        digests, sizes, keys = [], [], []
+        digests, sizes, keys, least = [], [], [], []
         for text in texts.cast(pa.binary()):
             grams = set(_grams(text.as_py(), shingle))
             digests.append(xxhash.xxh3_128_digest(b"\n".join(sorted(grams)), SEED))
             sizes.append(len(grams))
-            keys.append(band_keys(grams, minima).view(np.int64) if grams else np.zeros(0, np.int64))
+            key, low = band_keys(grams, minima) if grams else (np.zeros(0, np.uint64), b"")
+            keys.append(key.view(np.int64))
+            least.append(low)
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], ["d", "n", "keys"])
+        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(least, pa.binary())], ["d", "n", "keys", "least"])
 
     return of(body(text_col))
 
@@ -478,20 +482,49 @@ def _three(key, a, b):
     return pa.RecordBatch.from_arrays([key, pa.array(a), pa.array(b)], ["key", "a", "b"])
 
 
-def _other_pairs(similarity: float):
-    """Of (key, p, q, own, node, n, component) sorted by key, p, q: all pairs a, b of a bucket that are not in one component yet."""
+def _enough(similarity: float, minima: int) -> float:
+    """The share of equal minima from which a pair is verified."""
+    return similarity - MARGIN * (similarity * (1 - similarity) / (BANDS * minima)) ** 0.5
+
+
+def _likely(similarity: float, minima: int):
+    """Of (a, b, x, y): pairs of which enough of the minima x and y are equal."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(i)), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= _enough(similarity, minima)))
+
+    return run
+
+
+def _other_pairs(similarity: float, minima: int, best: int | None):
+    """Of (key, p, q, own, node, n, component, least) sorted by key, p, q: pairs a, b of a bucket that are not in one component yet and have
+    enough equal minima; of each row the `best` ones, or all."""
 
     def closed(table: pa.Table):
         key, p, q, own, node, n, comp = (table.column(i).to_numpy() for i in range(7))
+        low = np.frombuffer(b"".join(v.as_py() for v in table.column(7)), np.uint8).reshape(table.num_rows, -1)
         new = np.append(True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
         for s, e in zip(np.flatnonzero(new).tolist(), np.append(np.flatnonzero(new)[1:], len(key)).tolist()):
             step = max(1, CELLS // (e - s))
             for at in range(s, e, step):
                 to = min(e, at + step)
-                i, j = np.nonzero((comp[at:to, None] < comp[None, s:e]) & _alike(n[at:to, None], n[None, s:e], similarity))
+                i, j = np.nonzero((comp[at:to, None] != comp[None, s:e]) & _alike(n[at:to, None], n[None, s:e], similarity))
                 i, j = i + at, j + s
                 ok = (node[i] != node[j]) & ((own[i] != own[j]) | (p[i] == q[i]))
-                a, b = node[i[ok]], node[j[ok]]
+                i, j = i[ok], j[ok]
+                share = np.concatenate([np.zeros(0), *((low[i[c : c + 8192]] == low[j[c : c + 8192]]).mean(axis=1) for c in range(0, len(i), 8192))])
+                ok = share >= _enough(similarity, minima)
+                i, j, share = i[ok], j[ok], share[ok]
+                if best is not None and len(i):
+                    order = np.lexsort((j, -share, i))
+                    i, j = i[order], j[order]
+                    first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                    top = np.arange(len(i)) - first[np.cumsum(np.append(True, i[1:] != i[:-1])) - 1] < best
+                    i, j = i[top], j[top]
+                a, b = node[i], node[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches):
@@ -547,29 +580,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
 
 
 def near_pairs(sets: DataFrame, docs: DataFrame, shingle: int, similarity: float, bucket_rows: int = 20000) -> DataFrame:
-    """sets: node (an id), n, keys; docs: id, text. Returns verified pairs a, b that span the components of all pairs of nodes
+    """sets: node (an id), n, keys, least; docs: id, text. Returns verified pairs a, b that span the components of all pairs of nodes
     that share a key and are near.
 
-    The first rows of each bucket are paired with all its others. Of what is left in larger buckets, pairs that these links have
-    brought into one component need no look; all others are verified too."""
-    spark = sets.sparkSession
+    The first rows of each bucket are paired with all its others; of what is left in larger buckets, each row with its likeliest
+    partners; then all pairs that these links have not brought into one component. Pairs of whose minima too few are equal are left
+    out, by a margin of MARGIN standard deviations; the texts of all others are compared. So a large group of near copies
+    costs some pairs a row, and texts that merely share a passage none but their first ones."""
+    spark, minima = sets.sparkSession, _minima_for(similarity)
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = sets.select(F.explode("keys").alias("key"), "node", "n").repartition(count, "key").sortWithinPartitions("key", "node")
     found = cut(rows.mapInArrow(_first_pairs(similarity), "key long, a long, b long"))
-    first = cut(found.filter("key is null").select("a", "b").distinct())
-    links = cut(_verified(first, docs, shingle, similarity))
-    rest = found.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("n"))
-    if not rest.head(1):
+    low = sets.select("node", "least")
+    first = found.filter("key is null").select("a", "b").distinct()
+    first = first.join(low.select(F.col("node").alias("a"), F.col("least").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("least").alias("y")), "b")
+    seen = cut(first.select("a", "b", "x", "y").mapInArrow(_likely(similarity, minima), "a long, b long"))
+    links = cut(_verified(seen, docs, shingle, similarity))
+    every = found.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("n"))
+    if not every.head(1):
         return links
-    rest = rest.join(components(links).select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = cut(rest.select("key", "node", "n", "component"))
-    mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"))
-    mixed = cut(mixed.filter("low <> high").select("key", "rows", F.ceil(F.col("rows") / bucket_rows).cast("int").alias("blocks")))
-    rest = lookup_join(rest, mixed, "key", "rows", rest.count()).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
-    rest = rest.select("key", "p", "q", "own", "node", "n", "component").repartition(count, "key", "p", "q").sortWithinPartitions("key", "p", "q")
-    others = cut(rest.mapInArrow(_other_pairs(similarity), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"))
-    return links.unionByName(_verified(others, docs, shingle, similarity)) if others.head(1) else links
+    for best in (BEST, None):
+        rest = every.join(components(links).select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rest = cut(rest.select("key", "node", "n", "component"))
+        mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"))
+        mixed = cut(mixed.filter("low <> high").select("key", "rows", F.ceil(F.col("rows") / bucket_rows).cast("int").alias("blocks")))
+        rest = lookup_join(rest, mixed, "key", "rows", rest.count()).join(low, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+        rest = rest.select("key", "p", "q", "own", "node", "n", "component", "least").repartition(count, "key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
+        others = cut(rest.mapInArrow(_other_pairs(similarity, minima, best), "a long, b long").distinct().join(seen, ["a", "b"], "left_anti"))
+        if not others.head(1):
+            break
+        links = cut(links.unionByName(_verified(others, docs, shingle, similarity)))
+        seen = seen.unionByName(others)
+    return links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -582,8 +625,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     go, fewer than those that stay, are broadcast if Spark finds them small; else rows and ids are shuffled."""
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("text"))
     known = cut(texts.select("id", _set_column("text", shingle, _minima_for(similarity)).alias("s")).select("id", "s.*"))
-    sets = known.groupBy("d").agg(F.min(F.struct("id", "n", "keys")).alias("m"), F.count(F.lit(1)).alias("copies"))
-    sets = cut(sets.select("d", F.col("m.id").alias("node"), "m.n", "m.keys", "copies"))
+    sets = known.groupBy("d").agg(F.min(F.struct("id", "n", "keys", "least")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    sets = cut(sets.select("d", F.col("m.id").alias("node"), "m.n", "m.keys", "m.least", "copies"))
     if not sets.head(1):
         return docs
     found = components(near_pairs(sets, texts, shingle, similarity)).select("node", "component")

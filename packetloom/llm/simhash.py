@@ -392,8 +392,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: For near_dedup: keys of a set of shingles, and how many pairs of the wanted similarity may share none of them.
 BANDS, MISSED = 32, 1e-5
-#: Rows of a bucket that are paired with all others before anything is verified, and the likeliest partners of each row that follow.
-FIRST, BEST = 4, 4
+#: Rows of a bucket that are paired with all others before anything is verified.
+FIRST = 4
 #: Standard deviations by which the estimated similarity of a pair may miss the wanted one, so that it is still verified.
 MARGIN = 5
 
@@ -499,33 +499,57 @@ def _likely(similarity: float, minima: int):
     return run
 
 
-def _other_pairs(similarity: float, minima: int, best: int | None):
-    """Of (key, p, q, own, node, n, component, least) sorted by key, p, q: pairs a, b of a bucket that are not in one component yet and have
-    enough equal minima; of each row the `best` ones, or all."""
+def _hashes_column(text_col: str, shingle: int):
+    """64-bit hashes of the set of shingles, in order, as bytes."""
+
+    @F.arrow_udf("binary")
+    def of(texts: pa.Array) -> pa.Array:
+        hashed = lambda t: np.unique(np.frombuffer(b"".join([xxhash.xxh3_64_digest(g, SEED) for g in set(_grams(t, shingle))]), np.uint64))
+        return pa.array([hashed(t.as_py()).tobytes() for t in texts.cast(pa.binary())], pa.binary())
+
+    return of(F.col(text_col))
+
+
+def _other_links(similarity: float, minima: int):
+    """Of (key, p, q, own, node, component, least, grams) sorted by key, p, q: links a, b that span the near pairs of a bucket that are not in one
+    component yet. Pairs with enough equal minima are compared by their sets, the likeliest first, unless links so far join them."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= similarity * (len(x) + len(y) - both)
 
     def closed(table: pa.Table):
-        key, p, q, own, node, n, comp = (table.column(i).to_numpy() for i in range(7))
-        low = np.frombuffer(b"".join(v.as_py() for v in table.column(7)), np.uint8).reshape(table.num_rows, -1)
+        key, p, q, own, node, comp = (table.column(i).to_numpy() for i in range(6))
+        low = np.frombuffer(b"".join(v.as_py() for v in table.column(6)), np.uint8).reshape(table.num_rows, -1)
+        grams = [np.frombuffer(v.as_py(), np.uint64) for v in table.column(7)]
+        size = np.fromiter(map(len, grams), np.int64, len(grams))
         new = np.append(True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
         for s, e in zip(np.flatnonzero(new).tolist(), np.append(np.flatnonzero(new)[1:], len(key)).tolist()):
+            parent: dict[int, int] = {}
+
+            def root(x):
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = x = parent.get(up, up)
+                return x
+
+            links = []
             step = max(1, CELLS // (e - s))
             for at in range(s, e, step):
                 to = min(e, at + step)
-                i, j = np.nonzero((comp[at:to, None] != comp[None, s:e]) & _alike(n[at:to, None], n[None, s:e], similarity))
+                i, j = np.nonzero((comp[at:to, None] < comp[None, s:e]) & _alike(size[at:to, None], size[None, s:e], similarity))
                 i, j = i + at, j + s
-                ok = (node[i] != node[j]) & ((own[i] != own[j]) | (p[i] == q[i]))
+                ok = (own[i] != own[j]) | (p[i] == q[i])
                 i, j = i[ok], j[ok]
                 share = np.concatenate([np.zeros(0), *((low[i[c : c + 8192]] == low[j[c : c + 8192]]).mean(axis=1) for c in range(0, len(i), 8192))])
-                ok = share >= _enough(similarity, minima)
-                i, j, share = i[ok], j[ok], share[ok]
-                if best is not None and len(i):
-                    order = np.lexsort((j, -share, i))
-                    i, j = i[order], j[order]
-                    first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-                    top = np.arange(len(i)) - first[np.cumsum(np.append(True, i[1:] != i[:-1])) - 1] < best
-                    i, j = i[top], j[top]
-                a, b = node[i], node[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                ok = np.flatnonzero(share >= _enough(similarity, minima))
+                for k in ok[np.argsort(-share[ok], kind="stable")].tolist():
+                    a, b = root(int(comp[i[k]])), root(int(comp[j[k]]))
+                    if a != b and near(grams[i[k]], grams[j[k]]):
+                        parent[a] = b
+                        links.append((int(node[i[k]]), int(node[j[k]])))
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
         held = []
@@ -583,10 +607,9 @@ def near_pairs(sets: DataFrame, docs: DataFrame, shingle: int, similarity: float
     """sets: node (an id), n, keys, least; docs: id, text. Returns verified pairs a, b that span the components of all pairs of nodes
     that share a key and are near.
 
-    The first rows of each bucket are paired with all its others; of what is left in larger buckets, each row with its likeliest
-    partners; then all pairs that these links have not brought into one component. Pairs of whose minima too few are equal are left
-    out, by a margin of MARGIN standard deviations; the texts of all others are compared. So a large group of near copies
-    costs some pairs a row, and texts that merely share a passage none but their first ones."""
+    The first rows of each bucket are paired with all its others. What these links leave apart in larger buckets meets there with its sets
+    of shingles, as 64-bit hashes, and gives a spanning forest: no more links than rows, whatever a bucket's size. Pairs of whose
+    minima too few are equal are left out, by a margin of MARGIN standard deviations; all others are compared."""
     spark, minima = sets.sparkSession, _minima_for(similarity)
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = sets.select(F.explode("keys").alias("key"), "node", "n").repartition(count, "key").sortWithinPartitions("key", "node")
@@ -599,20 +622,20 @@ def near_pairs(sets: DataFrame, docs: DataFrame, shingle: int, similarity: float
     every = found.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("n"))
     if not every.head(1):
         return links
-    for best in (BEST, None):
-        rest = every.join(components(links).select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rest = cut(rest.select("key", "node", "n", "component"))
-        mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"))
-        mixed = cut(mixed.filter("low <> high").select("key", "rows", F.ceil(F.col("rows") / bucket_rows).cast("int").alias("blocks")))
-        rest = lookup_join(rest, mixed, "key", "rows", rest.count()).join(low, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
-        rest = rest.select("key", "p", "q", "own", "node", "n", "component", "least").repartition(count, "key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
-        others = cut(rest.mapInArrow(_other_pairs(similarity, minima, best), "a long, b long").distinct().join(seen, ["a", "b"], "left_anti"))
-        if not others.head(1):
-            break
-        links = cut(links.unionByName(_verified(others, docs, shingle, similarity)))
-        seen = seen.unionByName(others)
-    return links
+    rest = every.join(components(links).select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = cut(rest.select("key", "node", "component"))
+    mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"))
+    mixed = cut(mixed.filter("low <> high").select("key", "rows", F.ceil(F.col("rows") / bucket_rows).cast("int").alias("blocks")))
+    rest = cut(lookup_join(rest, mixed, "key", "rows", rest.count()))
+    if not rest.head(1):
+        return links
+    grams = docs.join(rest.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    grams = grams.select(F.col("id").alias("node"), _hashes_column("text", shingle).alias("grams")).join(low, "node")
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+    rest = rest.join(grams, "node").select("key", "p", "q", "own", "node", "component", "least", "grams").repartition(count, "key", "p", "q")
+    others = rest.sortWithinPartitions("key", "p", "q", "node").mapInArrow(_other_links(similarity, minima), "a long, b long")
+    return cut(links.unionByName(others))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -361,11 +361,25 @@ def test_targets():
     assert mixing.targets({"a": 5}) == {"a": 5.0} and mixing.targets({}) == {}
 
 
-def test_route_prefers_less_repetition():
-    assert mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 5}, {"a": 15, "b": 15}) == {("a",): 10, ("a", "b"): 10, ("b",): 10} or sum(
-        mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 5}, {"a": 15, "b": 15}).values()
-    ) == 30
+def test_route_is_optimal():
+    """Against all ways to take words: first the most that the quotas hold, then the least repetition."""
     assert mixing.route({("a",): 10}, {"a": 100}) == {("a",): 30}
+    rng = random.Random(5)
+    for _ in range(25):
+        patterns = {("a",): rng.randint(1, 3), ("a", "b"): rng.randint(1, 3), ("b",): rng.randint(1, 3)}
+        quotas = {"a": rng.randint(0, 8), "b": rng.randint(0, 8)}
+        cost = lambda n, size: sum((2 * k + 1) * min(size, max(0, n - k * size)) for k in range(3))
+        best = None
+        for a in range(3 * patterns["a",] + 1):
+            for b in range(3 * patterns["b",] + 1):
+                for both in range(3 * patterns["a", "b"] + 1):
+                    room_a, room_b = quotas["a"] - a, quotas["b"] - b
+                    if room_a < 0 or room_b < 0 or both > room_a + room_b:
+                        continue
+                    rank = (-(a + b + both), cost(a, patterns["a",]) + cost(b, patterns["b",]) + cost(both, patterns["a", "b"]))
+                    best = rank if best is None else min(best, rank)
+        got = mixing.route(patterns, quotas)
+        assert best == (-sum(got.values()), sum(cost(n, patterns[p]) for p, n in got.items()))
 
 
 def test_mixing(spark):

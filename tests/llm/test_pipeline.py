@@ -1,12 +1,16 @@
-"""The stages in order, each against a brute-force reading of its own input."""
+"""The stages in order, each on what the one before kept: planted cases, all pairs of texts, the mix that assign() plans, and tiktoken."""
 
+import collections
+import hashlib
 import re
 
+import public_tokenizers
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from packetloom.llm import simhash
-from packetloom.llm.common import cut
+from packetloom.llm import bpe, mixing, simhash
+from packetloom.llm.common import cut, split_of
 
 from ..conftest import SMALLEST
 
@@ -14,12 +18,16 @@ from ..conftest import SMALLEST
 def test_stages(spark):
     docs = spark.read.parquet(f"{SMALLEST}/documents.parquet")
     first = docs.limit(3).withColumn("doc_id", F.col("doc_id") + 9000)  # planted copies
-    insult = docs.limit(1).select((F.col("doc_id") + 9500).alias("doc_id"), F.lit("you idiot moron stupid scum " * 8).alias("text"), "lang", "source", "n_chars")
+    labels = spark.read.parquet(f"{SMALLEST}/labels.parquet").filter("toxic = 1")
+    insult = docs.join(labels.filter(split_of("doc_id", 3) != 1).select("doc_id"), "doc_id", "left_semi").limit(3).withColumn("doc_id", F.col("doc_id") + 9500)
+    insult = cut(insult.withColumn("text", F.concat_ws(" ", "text", "text")))  # more of what was toxic
+    insults = {r.doc_id for r in insult.collect()}
     docs = docs.unionByName(first).unionByName(insult)
     columns = docs.columns
     (_, toxic), (_, copies), (_, near), (_, mix), (_, encode) = corpus_pipeline.STAGES
     a = cut(toxic(spark, docs, SMALLEST))
-    assert a.columns == columns
+    kept = {r.doc_id for r in a.collect()}
+    assert a.columns == columns and insults and not kept & insults and len(kept) > 0.7 * docs.count()
     b = cut(copies(spark, a, SMALLEST))
     norm = lambda rows: {re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in rows}
     rows = b.collect()
@@ -35,9 +43,12 @@ def test_stages(spark):
         else:
             assert not any(j in ids for j in close)
     d = cut(mix(spark, c, SMALLEST))
-    assert d.columns == columns and {r.doc_id for r in d.collect()} <= ids
+    taken = {r.doc_id: r.taken // r["size"] for r in mixing.assign(c).filter("taken > 0").collect()}
+    assert d.columns == columns and collections.Counter(r.doc_id for r in d.collect()) == taken
     e = encode(spark, d, SMALLEST)
-    assert e.count() == d.count() and "ids_sha256" in e.columns
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = collections.Counter((r.doc_id, hashlib.sha256(" ".join(map(str, own.encode_ordinary(r.text or ""))).encode()).hexdigest()) for r in d.collect())
+    assert collections.Counter((r.doc_id, r.ids_sha256) for r in e.collect()) == want
 
 
 def test_run(spark):

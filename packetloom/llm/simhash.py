@@ -572,12 +572,22 @@ def _other_links(similarity: float, minima: int):
     return run
 
 
+#: Ids that are broadcast to pick their texts, some 50 bytes each in memory. Where more are wanted, texts and ids are shuffled.
+FEW = 500_000
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, a table that is cheap to read, to be broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs a, b of ids whose texts in docs (id, text) have sets of shingles with a Jaccard similarity of `similarity`
-    or more, exactly. An id that is in many pairs is broadcast with its text; other texts are shuffled."""
-    sides = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w")).withColumnRenamed("a", "id")
-    left = cut(docs.join(sides, "id").select(F.col("id").alias("a"), F.col("text").alias("x"), "w"))
-    right = docs.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("b"), F.col("text").alias("y"))
+    or more, exactly. An id that is in many pairs is broadcast with its text; other texts of pairs are shuffled. docs is read once."""
+    ends = pairs.select(F.col("a").alias("id"), F.lit(1).alias("w")).unionByName(pairs.select(F.col("b").alias("id"), F.lit(0).alias("w")))
+    held = cut(docs.join(_few(cut(ends.groupBy("id").agg(F.sum("w").alias("w")))), "id").select("id", "text", "w"))
+    left = held.filter("w > 0").select(F.col("id").alias("a"), F.col("text").alias("x"), "w")
+    right = held.select(F.col("id").alias("b"), F.col("text").alias("y"))
     both = lookup_join(pairs, left, "a", "w", pairs.count()).select("a", "b", "x").join(right, "b").select("a", "b", "x", "y")
 
     def run(batches):
@@ -629,7 +639,8 @@ def near_pairs(sets: DataFrame, docs: DataFrame, shingle: int, similarity: float
     rest = cut(lookup_join(rest, mixed, "key", "rows", rest.count()))
     if not rest.head(1):
         return links
-    grams = docs.join(rest.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    wanted = _few(cut(rest.select(F.col("node").alias("id")).distinct()))
+    grams = docs.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     grams = grams.select(F.col("id").alias("node"), _hashes_column("text", shingle).alias("grams")).join(low, "node")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, langid, mixing, simhash, substring_dedup, topk, toxicity, warc
+from . import bpe, exact_dedup, html_text, langid, mixing, sharding, simhash, substring_dedup, topk, toxicity, warc
 from .common import shared_dir, split_of, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -55,6 +55,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), sharding.tree_of(8), sharding.tree_of(9))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -66,8 +70,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_sharding": op13_sharding,
 }
 
+#: CRC-32 of a text, four bits a step.
+CRC32_SQL = """
+            SELECT k, xor(list_reduce(list_transform(range(len(nib)), lambda i: nib[i + 2 - 2 * (i % 2)]), lambda v, x: xor(v >> 4, t[1 + (xor(v, x) & 15)]), 4294967295), 4294967295) AS crc
+            FROM (SELECT k, list_transform(string_split(hex(encode(s)), ''), lambda c: CAST(instr('123456789ABCDEF', c) AS BIGINT)) AS nib FROM hashed), (
+                SELECT list(list_reduce(range(4), lambda v, j: xor(v >> 1, 3988292384 * (v & 1)), i) ORDER BY i) AS t FROM range(16) AS r(i)
+            )"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         WITH p AS (
@@ -114,4 +126,29 @@ ORACLE_SQL: dict[str, str] = {
             FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
         )
         SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM r""",
+    "op13_sharding": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS s FROM documents
+        ), hashed AS (
+            SELECT k, s FROM d
+        ), crc AS ({CRC32_SQL}
+        ), node(grown, above, name, weight) AS (VALUES
+            (0, '', 'region0', 4.0), (0, '', 'region1', 4.0), (1, '', 'region2', 1.0),
+            (0, 'region0', 'rack0', 2.0), (0, 'region0', 'rack1', 2.0), (0, 'region1', 'rack0', 2.0), (0, 'region1', 'rack1', 2.0), (1, 'region2', 'rack0', 1.0),
+            (0, 'region0/rack0', 'shard0', 1.0), (0, 'region0/rack0', 'shard1', 1.0), (0, 'region0/rack1', 'shard2', 1.0), (0, 'region0/rack1', 'shard3', 1.0),
+            (0, 'region1/rack0', 'shard4', 1.0), (0, 'region1/rack0', 'shard5', 1.0), (0, 'region1/rack1', 'shard6', 1.0), (0, 'region1/rack1', 'shard7', 1.0), (1, 'region2/rack0', 'shard8', 1.0)
+        ), draw AS (
+            SELECT k, grown, above, ltrim(above || '/' || name, '/') AS path,
+                -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || ltrim(above || '/' || name, '/')), 1, 12) AS BIGINT) + 0.5) / 16.0::DOUBLE ** 12) / weight::DOUBLE AS score
+            FROM d, node
+        ), best AS (
+            SELECT k, g, above, arg_min(path, score) AS path FROM draw, (VALUES (0), (1)) AS s(g) WHERE grown <= g GROUP BY k, g, above
+        ), leaf AS (
+            SELECT c.k, c.g, CAST(regexp_extract(c.path, '[0-9]+$') AS INTEGER) AS shard
+            FROM best AS a JOIN best AS b ON a.above = '' AND b.above = a.path AND a.k = b.k AND a.g = b.g JOIN best AS c ON c.above = b.path AND c.k = b.k AND c.g = b.g
+        ), placed AS (
+            SELECT doc_id, CAST(strlen(s) + 1 AS BIGINT) AS size, crc AS text_crc32, a.shard, b.shard AS grown_shard, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/slot'), 1, 12) AS h
+            FROM d JOIN crc USING (k) JOIN leaf AS a ON a.k = d.k AND a.g = 0 JOIN leaf AS b ON b.k = d.k AND b.g = 1
+        )
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM placed""",
 }

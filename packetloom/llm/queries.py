@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, langid, mixing, sharding, simhash, substring_dedup, topk, toxicity, warc
+from . import bpe, exact_dedup, html_text, langid, lexical, mixing, sharding, simhash, substring_dedup, topk, toxicity, warc
 from .common import shared_dir, split_of, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -55,6 +55,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.tree_of(8), sharding.tree_of(9))
 
@@ -70,9 +74,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_lexical": op12_lexical,
     "op13_sharding": op13_sharding,
 }
 
+#: Terms of a text, with repeats.
+TERMS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 #: CRC-32 of a text, four bits a step.
 CRC32_SQL = """
             SELECT k, xor(list_reduce(list_transform(range(len(nib)), lambda i: nib[i + 2 - 2 * (i % 2)]), lambda v, x: xor(v >> 4, t[1 + (xor(v, x) & 15)]), 4294967295), 4294967295) AS crc
@@ -126,6 +134,22 @@ ORACLE_SQL: dict[str, str] = {
             FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
         )
         SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM r""",
+    "op12_lexical": rf"""
+        WITH tf AS (
+            SELECT k, doc_id, term, count(*) AS tf FROM (SELECT k, doc_id, unnest({TERMS_SQL}) AS term FROM (SELECT row_number() OVER () AS k, doc_id, text FROM documents)) GROUP BY ALL
+        ), len AS (
+            SELECT k, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY k
+        ), total AS (
+            SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM len
+        ), weight AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term
+        ), q AS (
+            SELECT j, item_id, term, count(*) AS times FROM (SELECT j, item_id, unnest({TERMS_SQL}) AS term FROM (SELECT row_number() OVER () AS j, item_id, text FROM benchmark)) GROUP BY ALL
+        ), s AS (
+            SELECT j, item_id, k, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+            FROM q JOIN weight USING (term) JOIN tf USING (term) JOIN len USING (k), total GROUP BY j, item_id, k, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20""",
     "op13_sharding": rf"""
         WITH d AS (
             SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS s FROM documents

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, langid, lexical, mixing, sharding, simhash, substring_dedup, topk, toxicity, warc
+from . import bpe, exact_dedup, html_text, langid, lexical, mixing, repair, sharding, simhash, substring_dedup, topk, toxicity, warc
 from .common import shared_dir, split_of, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -55,6 +55,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), times_col="times"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_repair": op11_repair,
     "op12_lexical": op12_lexical,
     "op13_sharding": op13_sharding,
 }
@@ -134,6 +139,57 @@ ORACLE_SQL: dict[str, str] = {
             FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
         )
         SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM r""",
+    "op11_repair": rf"""
+        WITH RECURSIVE c AS (
+            SELECT row_number() OVER () AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations
+        ), hashed AS (
+            SELECT k, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM c
+        ), crc AS ({CRC32_SQL}
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role,
+                CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE crc % 20 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS n
+            FROM c JOIN crc USING (k)
+        ), placed AS (
+            SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+        ), judged AS (
+            SELECT *, left(role, 1) AS x, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair
+            FROM placed
+        ), insertion(q, p, ins) AS (VALUES
+            (0, 0, ''), (1, 1, ''), (2, 2, ''), (3, 3, ''), (0, 2, 'I'), (1, 2, 'I'), (2, 3, 'I'), (3, 2, 'I'), (0, 3, 'II'), (1, 3, 'II'), (2, 2, 'II'), (3, 3, 'II')
+        ), shift(p, t, r) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+        ), edit(p, t, r, e) AS (
+            SELECT p, t, r, 'K' FROM shift UNION ALL SELECT p, t, r, 'R' FROM shift WHERE t <> 's' UNION ALL SELECT p, '', p, 'D' FROM range(4) AS s(p)
+        ), st AS (
+            SELECT conv_id, 0 AS i, 0 AS r, {{'cost': 0, 'audit': ''}} AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+            UNION ALL
+            SELECT st.conv_id, st.i + 1, edit.r, min({{'cost': best.cost + 2 * len(ins) + CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END, 'audit': best.audit || ins || e}})
+            FROM st JOIN judged AS j ON j.conv_id IS NOT DISTINCT FROM st.conv_id AND j.i = st.i + 1 JOIN insertion ON insertion.q = st.r JOIN edit ON edit.p = insertion.p
+            WHERE e = 'D' OR fault IN ('', 'truncated') AND (e = 'R' OR j.x = edit.t)
+            GROUP BY st.conv_id, st.i, edit.r
+        ), ended AS (
+            SELECT conv_id, min({{'cost': best.cost + 2 * len(ins), 'audit': best.audit || ins}}) AS best
+            FROM st JOIN insertion ON q = r AND p IN (0, 3) WHERE i = (SELECT count(*) FROM judged AS j WHERE j.conv_id IS NOT DISTINCT FROM st.conv_id) GROUP BY conv_id
+        ), letter AS (
+            SELECT conv_id, audit, pos, e, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS o
+            FROM (SELECT conv_id, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS pos, unnest(string_split(best.audit, '')) AS e FROM ended WHERE best.audit <> '')
+            WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+        ), line AS (
+            SELECT l.conv_id, pos, CASE WHEN e = 'K' THEN j.role WHEN (o + len(replace(audit, 'D', ''))) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE j.text END AS s
+            FROM letter AS l LEFT JOIN judged AS j ON j.conv_id IS NOT DISTINCT FROM l.conv_id AND j.i = l.i WHERE e <> 'D'
+        ), text AS (
+            SELECT conv_id, string_agg(s, chr(10) ORDER BY pos) AS s FROM line GROUP BY conv_id
+        ), n AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM judged GROUP BY conv_id
+        )
+        SELECT ended.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(coalesce(s, '')) AS repaired_sha256
+        FROM ended LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ended.conv_id LEFT JOIN text ON text.conv_id IS NOT DISTINCT FROM ended.conv_id""",
     "op12_lexical": rf"""
         WITH tf AS (
             SELECT k, doc_id, term, count(*) AS tf FROM (SELECT k, doc_id, unnest({TERMS_SQL}) AS term FROM (SELECT row_number() OVER () AS k, doc_id, text FROM documents)) GROUP BY ALL

@@ -1,6 +1,9 @@
 """Every registered query against its SQL in DuckDB, on the smallest tables."""
 
+import json
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -8,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 from packetloom.plans import ORACLE_SQL, QUERIES
 
-from .conftest import SMALLEST
+from .conftest import ROOT, SMALLEST
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -47,3 +50,13 @@ def test_entry(spark):
 def test_every_query_of_the_library_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
     assert set(QUERIES) <= set(entry.queries())
+
+
+def test_bench_prints_one_line_of_json(tmp_path):
+    """Of a query that runs once and of one that runs three times; in a process of its own, as the bench ends its session."""
+    env = os.environ | {"BENCH_SF_DIR": SMALLEST, "BENCH_CPUS": "2"}
+    code = "import bench; bench.ONCE['stream_stats'] = 1; bench.main(['stream_stats', 'rule_filter'])"
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    (line,) = done.stdout.strip().splitlines()
+    assert set(json.loads(line)["queries"]) == {"stream_stats", "rule_filter"} and "stream_stats" in done.stderr

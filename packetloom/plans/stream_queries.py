@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import samples as S
-from packetloom.operators.scan import shared_dir
+from packetloom.operators.scan import settle, shared_dir
 from packetloom.sources import pcm
+from packetloom.sources.live_lists import LiveLists
 from packetloom.streaming import live
 
 from .proxies import PACKETS, packets_of, table
 from .registry import ORACLE_SQL, query
+from .text_queries import PAGES
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,3 +69,60 @@ def streaming_new_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as a live list that is polled at each event, and shows it alone: what came between has left the list."""
     p = _stream(spark, sf_dir).select(F.col("stream_id").cast("string").alias("source"), F.col("idx").alias("poll"), F.col("idx").alias("seq"), F.col("event_type").alias("uri"))
     return _run(spark, live.new_segments(p), "append")
+
+
+# --- live lists as a source -----------------------------------------------------------------------------------
+
+
+def _poll_lists(spark: SparkSession, sf_dir: str, start: str, step: int, window: int = 12, polls: int = 3) -> DataFrame:
+    """Each host's pages as the segments of a live list that shows `window` of them and goes on by `step` between polls. Every poll is a run of the
+    query, restarted from its checkpoint."""
+    folder = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    host = F.regexp_extract("url", "^https?://([^/]*)", 1)
+    p = table(spark, sf_dir, "pages").withColumn("host", F.concat(host, F.lit("-"), F.floor(F.col("page_id") / PAGES).cast("string")))
+    p = p.withColumn("ord", F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1)  # PAGES at most
+    gone = lambda n: F.when(F.col("page_id") % 4 == 0, n).otherwise(0)
+    p = p.withColumn("gone", F.coalesce(F.sum(gone(1)).over(Window.partitionBy("host").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    date = F.concat(F.lit("#EXT-X-PROGRAM-DATE-TIME:"), F.date_format(F.timestamp_micros(F.col("ord") * 6_500_000), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("\n"))
+    entry = F.concat(F.when(F.col("page_id") % 4 == 0, "#EXT-X-DISCONTINUITY\n").otherwise(""), F.when(F.col("ord") % 3 == 0, date).otherwise(""), F.lit("#EXTINF:6.5,\npage"), F.col("page_id").cast("string"))
+    p = settle(p.select("host", "ord", "gone", entry.alias("entry")))
+    spark.dataSource.register(LiveLists)
+    stream = spark.readStream.format("live_list").options(path=f"{folder}/lists/host=*", start=start, lost="skip").load()
+    stream = stream.withColumn("host", F.regexp_extract("source", "host=([^/]*)", 1)).select("host", "seq", "dseq", "uri", "clock_us", "duration_us", "late")
+    for k in range(polls):
+        shown = p.filter((F.col("ord") >= k * step) & (F.col("ord") < k * step + window))
+        listed = shown.groupBy("host").agg(F.min("ord").alias("first"), F.min_by("gone", "ord").alias("gone"), F.array_sort(F.collect_list(F.struct("ord", "entry"))).alias("e"))
+        head = F.concat(F.lit("#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:"), (F.col("first") + 100).cast("string"), F.lit("\n#EXT-X-DISCONTINUITY-SEQUENCE:"), F.col("gone").cast("string"), F.lit("\n"))
+        text = F.concat(head, F.array_join(F.transform("e", lambda x: x["entry"]), "\n"))
+        listed.select("host", text.alias("value")).write.mode("overwrite").partitionBy("host").text(f"{folder}/lists")
+        out = live.run_available(stream, f"{folder}/out", f"{folder}/checkpoint", "append")
+    return out
+
+
+def _live_sql(start: str, step: int) -> str:
+    """What three polls of windows of 12 show: start is the rule's first ord among those of the first poll (n of them, the first being 0)."""
+    return f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS ord, CAST(count(*) FILTER (page_id % 4 = 0) OVER (PARTITION BY host ORDER BY page_id) AS BIGINT) AS dseq
+            FROM (SELECT regexp_extract(url, '^https?://([^/]*)', 1) || '-' || page_id // {PAGES} AS host, page_id FROM pages)),
+        w AS (SELECT p.*, k, min(ord) OVER (PARTITION BY host, k) AS low FROM p, (VALUES (0), (1), (2)) AS s(k) WHERE ord >= k * {step} AND ord < k * {step} + 12),
+        s AS (SELECT host, {start} AS begin FROM (SELECT host, ord, dseq, count(*) OVER (PARTITION BY host) AS n FROM w WHERE k = 0) GROUP BY host),
+        r AS (SELECT *, CASE WHEN k = 0 THEN begin ELSE greatest(begin, (SELECT max(ord) + 1 FROM w AS v WHERE v.host = w.host AND v.k < w.k)) END AS begun FROM w JOIN s USING (host))
+        SELECT host, ord + 100 AS seq, dseq, 'page' || page_id AS uri, CASE WHEN clocked THEN ord * 6500000 END AS clock_us, 6500000::BIGINT AS duration_us, ord = low AND low > begun AS late
+        FROM (SELECT *, max(ord % 3 = 0) OVER (PARTITION BY host, k ORDER BY ord) AS clocked FROM r) WHERE ord >= begun"""
+
+
+@query(_live_sql("CAST(CASE WHEN max(n) <= 10 THEN max(n) // 2 ELSE max(n) - 2 END AS BIGINT)", 6))
+def live_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that a new reader enters in the middle or near the end."""
+    return _poll_lists(spark, sf_dir, "live", 6)
+
+
+@query(_live_sql("CAST(coalesce(max(ord) FILTER (ord * 6500000 <= 20000000), 0) AS BIGINT)", 20))
+def live_source_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that are entered by clock and go on faster than they are polled, so segments are lost."""
+    return _poll_lists(spark, sf_dir, "clock:20000000", 20)
+
+
+@query(_live_sql("CAST(coalesce(min(ord) FILTER (dseq = 2), CASE WHEN max(n) <= 10 THEN max(n) // 2 ELSE max(n) - 2 END) AS BIGINT)", 6))
+def live_source_discontinuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that are entered at a discontinuity, or as any other where they don't show it."""
+    return _poll_lists(spark, sf_dir, "dseq:2", 6)

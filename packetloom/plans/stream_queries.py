@@ -11,6 +11,8 @@ from packetloom.functions import samples as S
 from packetloom.operators.scan import settle, shared_dir
 from packetloom.sources import pcm
 from packetloom.sources.live_lists import LiveLists
+from packetloom.sources.pcm_files import PcmFiles
+from packetloom.sources.stream_files import StreamFiles, in_order
 from packetloom.streaming import live
 
 from .proxies import PACKETS, packets_of, table
@@ -126,3 +128,27 @@ def live_source_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_source_discontinuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists that are entered at a discontinuity, or as any other where they don't show it."""
     return _poll_lists(spark, sf_dir, "dseq:2", 6)
+
+
+# --- files by stream, and by range ----------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT vec_id, [CAST(greatest(least(floor(x::DOUBLE * 32767 + 0.5), 32767), -32768) AS BIGINT) for x in embedding] AS p FROM embeddings)
+    SELECT vec_id, k AS idx, k * 8 AS pts, least(8, len(p) // 2 - k * 8) AS duration, 44 + k * 32 AS position, CAST(list_sum(p[k * 16 + 1:k * 16 + 16]) AS BIGINT) AS total
+    FROM p, LATERAL (SELECT unnest(range(1, least(3, (len(p) // 2 + 7) // 8))) AS k)""")
+def pcm_file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as WAV files, a file a vector, in pieces that follow each other; then what is played from the 8th to the 24th block of each."""
+    pair = lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFF)), 4, "0")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", S.to_int16(F.col("embedding")).alias("p"))
+    data = F.unhex(F.array_join(F.transform("p", lambda x: F.concat(F.substring(pair(x), 3, 2), F.substring(pair(x), 1, 2))), ""))
+    files = e.select(F.col("vec_id").cast("string").alias("source"), pcm.write_wav(data, 2, 44100, 16).alias("content"))
+    cut_ = files.select("source", "content", F.explode(F.sequence(F.lit(0), F.ceil(F.octet_length("content") / 100).cast("int") - 1)).alias("idx"))
+    pieces = cut_.select("source", F.col("idx").cast("long").alias("idx"), F.substring("content", F.col("idx") * 100 + 1, F.lit(100)).alias("payload"))
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    for source in (StreamFiles, PcmFiles):
+        spark.dataSource.register(source)
+    in_order(pieces, "source", "idx").write.format("stream_files").option("path", folder).mode("append").save()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    got = spark.read.format("pcm").options(path=folder, packet_bytes="32").load().filter("pts >= 8 and pts < 24")
+    total = F.aggregate(S.decode_pcm(F.col("payload"), "s16le"), F.lit(0.0), lambda a, x: a + x).cast("long")
+    return got.select(F.regexp_extract("source", "([^/]*)/[^/]*$", 1).cast("long").alias("vec_id"), "idx", "pts", "duration", "position", total.alias("total"))

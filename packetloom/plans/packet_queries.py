@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions.timebase import div, micros, rescale
 from packetloom.operators import expand, lookup, merge, metadata, packets as P, rules, scan
+from packetloom.operators.index_cache import IndexCache
 
 from .proxies import CUES, IDX, PACKETS, cues, packets, table
 from .registry import query
@@ -436,3 +439,24 @@ def playlist_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     sum(duration_us) > 1800000000 AND arg_min_null(clock_us, seq) IS NOT NULL AS can_seek FROM k GROUP BY stream_id""")
 def seek_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.seek_window(merge.live_clock(_segments(spark, sf_dir), IDX, ["stream_id"]), ["stream_id"])
+
+
+@query(f"""WITH c AS (SELECT max(event_id) * 99 // 100 AS cut FROM events), p AS (SELECT *, max(idx) OVER (PARTITION BY stream_id) AS newest,
+        coalesce(sum(size) OVER (PARTITION BY stream_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM {PACKETS})
+    SELECT stream_id, idx, pts, position, CASE WHEN newest > cut THEN 2 ELSE 1 END AS built FROM p, c WHERE keyframe""")
+def packet_index_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the keyframes of each stream begin, indexed when a hundredth of the packets hadn't come yet, and again with all of them: only streams that went on are
+    indexed anew."""
+    every = packets(spark, sf_dir)
+    newest = every.agg(F.max("idx")).first()[0] or 0
+    cache = IndexCache(spark, f"{scan.shared_dir(spark)}/index-{uuid.uuid4().hex}", ["packets", "newest"], "stream_id")
+    for built, seen in ((1, every.filter(F.col("idx") <= newest * 99 // 100)), (2, every)):
+        streams = seen.groupBy("stream_id").agg(F.count(F.lit(1)).alias("packets"), F.max("idx").alias("newest"))
+
+        def build(changed: DataFrame, seen: DataFrame = seen, built: int = built) -> DataFrame:
+            own = seen.join(changed.select("stream_id"), "stream_id", "left_semi")
+            placed = scan.running_sum(own, ["stream_id"], "idx", F.col("size"), "position", IDX)
+            return placed.filter("keyframe").select("stream_id", "idx", "pts", "position", F.lit(built).alias("built"))
+
+        out = cache.refresh(streams, build)
+    return out

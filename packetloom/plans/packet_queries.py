@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.timebase import div, micros, rescale
 from packetloom.operators import expand, lookup, merge, metadata, packets as P, rules, scan
 from packetloom.operators.index_cache import IndexCache
+from packetloom.operators.overlap import frame_times
 
 from .proxies import CUES, IDX, PACKETS, cues, packets, table
 from .registry import query
@@ -460,3 +461,20 @@ def packet_index_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         out = cache.refresh(streams, build)
     return out
+
+
+_BYTES = f"""(SELECT stream_id, idx, pts, a AS start, a + size AS "end" FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY stream_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM {PACKETS}))"""
+
+
+@query(f"""WITH p AS {_BYTES}, f AS (SELECT stream_id, k AS frame, k * n AS start, k * n + n AS "end" FROM (SELECT stream_id, 5 + stream_id % 5 * 6 AS n, max("end") AS total FROM p GROUP BY stream_id), LATERAL (SELECT unnest(range(0, total // n + CASE WHEN total % n > 0 THEN 1 ELSE 0 END)) AS k)),
+    m AS (SELECT f.stream_id, f.frame, count(*) AS packets, max(idx) FILTER (p.start <= f.start) AS idx, arg_max(pts, p.start) FILTER (p.start <= f.start) AS pts FROM f JOIN p ON f.stream_id = p.stream_id AND f.start < p."end" AND p.start < f."end" GROUP BY f.stream_id, f.frame)
+    SELECT stream_id, frame, packets, idx, CASE WHEN row_number() OVER (PARTITION BY stream_id, idx ORDER BY frame) = 1 THEN pts END AS pts FROM m""")
+def pes_frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 5 to 29 bytes in the packets of each stream: what of them begins first in a packet has its time."""
+    sized = scan.running_sum(packets(spark, sf_dir), ["stream_id"], "idx", F.col("size"), "start", IDX)
+    sized = scan.settle(sized.select("stream_id", "idx", "pts", "start", (F.col("start") + F.col("size")).alias("end")))
+    n = 5 + F.col("stream_id") % 5 * 6
+    first, behind = div(F.col("start") + n - 1, n), div(F.col("end") + n - 1, n)  # frames that begin in the packet
+    frames = sized.filter(first < behind).select("stream_id", F.explode(F.sequence(first, behind - 1)).alias("frame"))
+    frames = frames.select("stream_id", "frame", (F.col("frame") * n).alias("start"), (F.col("frame") * n + n).alias("end"))
+    return frame_times(frames, sized, ["stream_id"], "frame", IDX).select("stream_id", "frame", "packets", "idx", "pts")

@@ -13,7 +13,7 @@ from packetloom.sources import pcm
 from packetloom.sources.live_lists import LiveLists
 from packetloom.sources.pcm_files import PcmFiles
 from packetloom.sources.stream_files import StreamFiles, in_order
-from packetloom.streaming import live
+from packetloom.streaming import inband, live
 
 from .proxies import PACKETS, packets_of, table
 from .registry import ORACLE_SQL, query
@@ -152,3 +152,38 @@ def pcm_file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = spark.read.format("pcm").options(path=folder, packet_bytes="32").load().filter("pts >= 8 and pts < 24")
     total = F.aggregate(S.decode_pcm(F.col("payload"), "s16le"), F.lit(0.0), lambda a, x: a + x).cast("long")
     return got.select(F.regexp_extract("source", "([^/]*)/[^/]*$", 1).cast("long").alias("vec_id"), "idx", "pts", "duration", "position", total.alias("total"))
+
+
+# --- metadata inside byte streams -----------------------------------------------------------------------------
+
+#: Bytes of sound between texts, and of a chunk.
+INTERVAL, CHUNK = 500, 777
+
+
+@query(f"""SELECT doc_id AS stream_id, (k + 1) * {INTERVAL} AS position, 'Title ' || doc_id || ', ' || k AS title, octet_length(encode(text)) AS n
+    FROM documents, LATERAL (SELECT unnest(range(0, octet_length(encode(text)) // {INTERVAL})) AS k) WHERE k % 3 <> 1""")
+def inband_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as sound, with a title after every INTERVAL bytes (each third is left out), cut into chunks that fit no cycle and come in any order, in several micro-batches."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), F.encode("text", "UTF-8").alias("b"))
+
+    def text(k):
+        said = F.concat(F.lit("StreamTitle='Title "), F.col("stream_id").cast("string"), F.lit(", "), k.cast("string"), F.lit("';"))
+        units = F.ceil(F.octet_length(said) / inband.UNIT).cast("int")
+        padded = F.concat(F.lpad(F.hex(units), 2, "0"), F.rpad(F.hex(F.encode(said, "UTF-8")), units * 2 * inband.UNIT, F.lit("0")))
+        return F.when(k % 3 == 1, "00").otherwise(padded)
+
+    def piece(k):
+        sound = F.hex(F.substring(F.col("b"), k * INTERVAL + 1, F.lit(INTERVAL)))
+        return F.concat(sound, F.when(F.length(sound) == 2 * INTERVAL, text(k)).otherwise(""))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length("b") / INTERVAL).cast("int")), piece)
+    coded = d.filter("octet_length(b) > 0").select("stream_id", F.octet_length("b").alias("n"), F.unhex(F.array_join(pieces, "")).alias("c"))
+    n = F.ceil(F.octet_length("c") / CHUNK).cast("int")
+    chunks = coded.select("stream_id", "n", "c", F.explode(F.sequence(F.lit(0), n - 1)).alias("idx"))
+    chunks = chunks.select("stream_id", "n", F.col("idx").cast("long").alias("idx"), F.substring("c", F.col("idx") * CHUNK + 1, F.lit(CHUNK)).alias("payload"))
+    folder = f"{shared_dir(spark)}/inband-{uuid.uuid4().hex}"
+    chunks.repartition(3, F.xxhash64("stream_id", "idx")).write.parquet(f"{folder}/chunks")
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/chunks")
+    found = live.run_available(inband.split(stream, INTERVAL), f"{folder}/out", f"{folder}/checkpoint", "append")
+    sizes = d.select("stream_id", F.octet_length("b").cast("long").alias("n"))
+    return found.filter("title is not null").join(sizes, "stream_id").select("stream_id", "position", "title", "n")

@@ -7,12 +7,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packetloom.operators import packets as P
 
 
+def with_rocksdb(spark: SparkSession) -> None:
+    """Queries that start from now on keep their state in RocksDB, as transformWithState asks for: on disk, so it may be larger than memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def stream_stats(packets: DataFrame) -> DataFrame:
     """The batch aggregate on a stream: complete or update mode."""
     return P.stream_stats(packets)

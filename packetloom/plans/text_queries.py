@@ -12,6 +12,7 @@ from packetloom.functions import text as X
 from packetloom.operators import expand, lookup, metadata
 from packetloom.sources import cues as C
 from packetloom.sources import playlists as L
+from packetloom.sources import tag_blocks as B
 from packetloom.sources import tags as T
 
 from .proxies import CUES, FEW, IDX, RUNS, cues, runs, table
@@ -187,6 +188,22 @@ def probe_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", T.probe(F.concat(head, name)).alias("format"))
 
 
+@query("""WITH f AS (SELECT doc_id, unnest(['Title', 'Artist', 'Genre', 'Comment']) AS key, unnest([source, lang, CASE doc_id % 3 WHEN 0 THEN 'Blues' WHEN 1 THEN 'Synthpop' ELSE '148' END, text]) AS value FROM documents)
+    SELECT doc_id, format, key, md5(value) AS digest FROM f, (VALUES ('ape'), ('id3v2'), ('vorbis')) AS x(format) WHERE value IS NOT NULL""")
+def tag_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts and their columns as tags of three formats, written and read back."""
+    d = table(spark, sf_dir, "documents")
+    genre = F.when(F.col("doc_id") % 3 == 0, "(0)").when(F.col("doc_id") % 3 == 1, "147").otherwise("148")
+    pairs = lambda *keys: list(zip(keys, (F.col("source"), F.col("lang"), genre, F.col("text"))))
+    made = {
+        "id3v2": B.id3v2(F.concat(B.write_id3v2(pairs("TIT2", "TPE1", "TCON", "COMM")), F.unhex(F.lit("FFFB9064")))),
+        "ape": B.ape(F.concat(F.unhex(F.lit("FFFB9064")), B.write_ape(pairs("Title", "Artist", "Genre", "Comment")))), "vorbis": B.vorbis(B.write_vorbis(pairs("title", "ARTIST", "genre", "comment"))),
+    }
+    each = F.array(*[F.struct(F.lit(k).alias("format"), B.named(v).alias("fields")) for k, v in made.items()])
+    rows = d.select("doc_id", F.explode(each).alias("t")).select("doc_id", "t.format", F.explode("t.fields").alias("f"))
+    return rows.select("doc_id", "format", "f.key", F.md5("f.value").alias("digest"))
+
+
 # --- samples --------------------------------------------------------------------------------------------------
 
 

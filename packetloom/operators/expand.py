@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.functions import bits
 from packetloom.functions.timebase import rescale
 
 from . import scan
@@ -68,6 +69,13 @@ def lacing(blocks: DataFrame, keys: Sequence[str], order: str, sizes: str, posit
     return out.withColumn("position", F.col(position) + F.col("__before")).drop("__before")
 
 
+def coded_lacing(blocks: DataFrame, keys: Sequence[str], order: str, payload: str, kind: str, width: int = WIDTH) -> DataFrame:
+    """Packets of blocks whose sizes are coded in them: lace, size, and position in the block; blocks that are broken give none."""
+    read = blocks.withColumn("__l", bits.lace_sizes(F.col(payload), F.col(kind))).filter("__l is not null")
+    read = read.withColumns({"__sizes": F.col("__l.sizes"), "__at": F.col("__l.head").cast("long")}).drop("__l", payload)
+    return lacing(read, keys, order, "__sizes", "__at", width).drop("__at")
+
+
 def track_ends(tracks: DataFrame, keys: Sequence[str], order: str, start: str, total: str, width: int = WIDTH) -> DataFrame:
     """end: where the next track starts; the last one ends with the whole."""
     nxt = scan.lead(tracks, keys, order, {"end": F.col(start)}, width)

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from packetloom.functions import bits
 from packetloom.functions import samples as S
 from packetloom.functions import text as X
 from packetloom.operators import expand, lookup, metadata
@@ -85,6 +86,21 @@ def lacing_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.lacing(b, ["doc_id"], "doc_id", "sizes", "position").select("doc_id", "lace", "size", "position")
 
 
+@query("""WITH b AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), ' '), lambda x: CAST(octet_length(encode(x)) AS BIGINT)) AS s FROM documents),
+    c AS (SELECT doc_id, k, s[k * 200 + 1:k * 200 + 200] AS s, CAST((doc_id + k) % 4 AS INTEGER) AS kind FROM b, LATERAL (SELECT unnest(range(0, (len(s) + 199) // 200)) AS k)),
+    l AS (SELECT doc_id, k, kind, unnest(CASE kind WHEN 0 THEN [CAST(list_sum(s) AS BIGINT)] WHEN 2 THEN list_transform(s, lambda x: 3::BIGINT) ELSE s END) AS size, unnest(range(0, CASE kind WHEN 0 THEN 1 ELSE len(s) END)) AS i FROM c)
+    SELECT doc_id, k AS block, kind, CAST(i AS INTEGER) AS lace, size FROM l""")
+def lacing_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of whole texts as frames, 200 a block, laced in each of four ways and read back from the blocks' bytes."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    b = d.select("doc_id", "w", F.explode(F.expr("sequence(0, (size(w) + 199) div 200 - 1)")).alias("block")).select("doc_id", F.col("block").cast("long").alias("block"), F.slice("w", F.col("block").cast("int") * 200 + 1, 200).alias("w"))
+    b = b.withColumns({"kind": ((F.col("doc_id") + F.col("block")) % 4).cast("int"), "sizes": F.transform("w", lambda x: F.octet_length(x).cast("long"))})
+    frames = F.when(F.col("kind") == 2, F.repeat(F.lit("414243"), F.size("w"))).otherwise(F.hex(F.encode(F.array_join("w", ""), "UTF-8")))
+    b = b.select("doc_id", "block", "kind", F.unhex(F.concat(bits.write_laces(F.col("sizes"), F.col("kind")), frames)).alias("payload"))
+    return expand.coded_lacing(b, ["doc_id"], "block", "payload", "kind").select("doc_id", "block", "kind", "lace", "size")
+
+
 # --- text functions -------------------------------------------------------------------------------------------
 
 

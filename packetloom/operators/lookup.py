@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,12 +51,9 @@ def _extreme(probes: DataFrame, packets: DataFrame, t: str, width: int | None, f
 
 def cue_for(probes: DataFrame, cues: DataFrame, keys: Sequence[str], t: str, cue_time: str, take: Sequence[str], width: int | None = None) -> DataFrame:
     """The last cue at or before t, else the first of all."""
-    found = scan.as_of(probes, cues, keys, t, cue_time, take, width)
-    first = cues.groupBy(*keys).agg(F.min_by(F.struct(*take), cue_time).alias("__first"))
-    on = F.lit(True) if not keys else reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__k_{k}") for k in keys])
-    got = found.join(first.withColumnsRenamed({k: f"__k_{k}" for k in keys}) if keys else F.broadcast(first), on, "left")  # without keys, one row
+    got = scan.as_of(probes, cues, keys, t, cue_time, take, width, first="__first")
     missing = F.col(take[0]).isNull() & F.col(t).isNotNull()
-    return got.withColumns({c: F.when(missing, F.col("__first")[c]).otherwise(F.col(c)) for c in take}).drop("__first", *[f"__k_{k}" for k in keys])
+    return got.withColumns({c: F.when(missing, F.col("__first")[c]).otherwise(F.col(c)) for c in take}).drop("__first")
 
 
 def seek_index(probes: DataFrame, packets: DataFrame, t: str, preroll: int, width: int | None = None) -> DataFrame:
@@ -66,10 +62,10 @@ def seek_index(probes: DataFrame, packets: DataFrame, t: str, preroll: int, widt
     A t before the stream's start means its first packet. A probe whose t or stream is NULL, or whose stream has no packet,
     stays and gets NULLs."""
     width = width or scan.width_for(packets, "pts")
-    first = packets.groupBy("stream_id").agg(F.min("pts").alias("pts_start"), F.min_by("idx", F.when(F.col("pts").isNotNull(), F.struct("pts", "idx"))).alias("__idx"))
     keyed = scan.last_known(packets, ["stream_id"], "idx", {"__k": F.when(F.col("keyframe"), F.struct("idx", "pts"))}, WIDTH)
     facts = keyed.select("stream_id", "pts", F.col("idx").alias("seek_idx"), F.col("pts").alias("seek_pts"), F.col("__k")["idx"].alias("start_idx"), F.col("__k")["pts"].alias("__kp"))
-    found = scan.as_of(probes, facts, ["stream_id"], t, "pts", ["seek_idx", "seek_pts", "start_idx", "__kp"], width, ties=["seek_idx"]).join(first, "stream_id", "left")
+    found = scan.as_of(probes, facts, ["stream_id"], t, "pts", ["seek_idx", "seek_pts", "start_idx", "__kp"], width, ties=["seek_idx"], first="__first")
+    found = found.withColumns({"pts_start": F.col("__first")["seek_pts"], "__idx": F.col("__first")["seek_idx"]}).drop("__first")
     none, asked = F.col("seek_idx").isNull(), F.col(t).isNotNull()
     found = found.withColumns({
         "seek_idx": F.when(none & asked, F.col("__idx")).otherwise(F.col("seek_idx")),

@@ -42,7 +42,9 @@ def slide_window(segments: DataFrame, new_start: Column) -> DataFrame:
 def live_clock(segments: DataFrame, width: int, keys: Sequence[str] = ()) -> DataFrame:
     """dseq: the discontinuities so far, on top of the list's own number; clock: the last program time plus the durations
     since, undefined from a segment without duration until the next program time. All in one pass; a segment without a number
-    gets NULLs."""
+    gets NULLs. Without keys the table is one list, whose blocks are summed in two levels by two scans."""
+    if not keys:
+        return _one_clock(segments, width)
     b = scan.Blocks(segments, keys, "seq", width)
     on = [*b.by, b.block]
     upto = lambda v: F.coalesce(F.sum(v).over(b.local(None, -1)), F.lit(0))
@@ -68,6 +70,14 @@ def live_clock(segments: DataFrame, width: int, keys: Sequence[str] = ()) -> Dat
     return rows.withColumn("clock_us", b.placed(F.when(u == 0, p + t))).drop(*on, "__t", "__u", "__m", "__own", "__d0", "__t0", "__u0", "__m0")
 
 
+def _one_clock(segments: DataFrame, width: int) -> DataFrame:
+    sums = {"dseq": scan.Sum(F.col("discontinuity").cast("long"), True), "__t": scan.Sum(F.coalesce("duration_us", F.lit(0).cast("long"))), "__u": scan.Sum(F.col("duration_us").isNull().cast("long"))}
+    summed = scan.settle(scan.run(segments, [], "seq", sums, width))
+    mark = F.when(F.col("program_us").isNotNull(), F.struct(F.col("program_us").alias("p"), F.col("__t").alias("t"), F.col("__u").alias("u")))
+    out = scan.run(summed, [], "seq", {"__m": scan.Last(mark)}, width)
+    return out.withColumn("clock_us", F.when(F.col("__u") == F.col("__m")["u"], F.col("__m")["p"] + F.col("__t") - F.col("__m")["t"])).drop("__t", "__u", "__m")
+
+
 def seek_window(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of each list: start and end of the time that can be sought, its length, and whether it is long enough (over 30
     minutes) with a clock."""

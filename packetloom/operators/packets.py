@@ -34,16 +34,16 @@ def default_actions(streams: DataFrame, chosen: Iterable[int] = ()) -> DataFrame
 
 def drop_empty(streams: DataFrame, packets: DataFrame, key: str = "stream_id") -> DataFrame:
     """Streams with at least one packet."""
-    return streams.join(packets.select(key), key, "left_semi")
+    return streams.join(packets.select(key).distinct(), key, "left_semi")  # summed before it is shuffled: a row a stream and task
 
 
 def empty_streams(streams: DataFrame, packets: DataFrame, key: str = "stream_id") -> DataFrame:
-    return streams.join(packets.select(key), key, "left_anti")
+    return streams.join(packets.select(key).distinct(), key, "left_anti")
 
 
 def drop_unsupported(streams: DataFrame, decoders: DataFrame, key: str = "fourcc") -> DataFrame:
     """Streams for which a decoder is registered."""
-    return streams.join(decoders.select(key), key, "left_semi")
+    return streams.join(decoders.select(key).distinct(), key, "left_semi")
 
 
 def skip_mode(packets: DataFrame, mode: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Ordered computations along streams, in blocks.
 
 A stream may hold a third of all rows, so a window over a whole stream would put them into one task. These
-operators cut each stream's order column, a bigint, into blocks of a fixed width. Rows shuffle by
+operators cut each stream's order column, a bigint, into blocks: of a fixed width, or, where values lie unevenly, of one width in each of a few hundred pieces between quantiles. Rows shuffle by
 (stream, block); what a block must know of those before or behind it, its carry, comes from a table of one row a
 block, summed before it is shuffled. One scan computes any number of things at once, so a step reads its input
 twice, however much it computes; a step that depends on another's result reads that from a table (`settle`). The
@@ -77,10 +77,55 @@ class Top:
 Step = Sum | Max | Last | Next | First | Top
 
 
-def width_for(df: DataFrame, order: str, rows: int = ROWS) -> int:
-    """The width at which a block of the densest table, all rows one stream, has some `rows` rows: an aggregate of one column."""
-    r = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(order).alias("n")).first()
-    return max(1, (r.high - r.low + 1) * rows // r.n) if r.n else 1
+@dataclass(frozen=True)
+class Pieces:
+    """Pieces of the order column: where each begins, but for the first, and the width of its blocks."""
+
+    borders: tuple[int, ...]
+    widths: tuple[int, ...]
+
+
+Width = int | Pieces
+
+#: Fractions of the rows between which widths may differ, with ever smaller ones at both ends; how exact they are; and from how many times the mean on a piece counts as dense.
+QUANTILES = [*(2.0**-k for k in range(15, 7, -1)), *(k / 128 for k in range(1, 128)), *(1 - 2.0**-k for k in range(8, 16))]
+ACCURACY, DENSE, SPAN, TOP = 50_000, 4, 1 << 44, 16
+
+
+def width_for(df: DataFrame, order: str, rows: int = ROWS) -> Width:
+    """The width at which a block, all rows one stream, has some `rows` rows: an aggregate of one column. A far value would make the width
+    that is right on the whole far too large for all others; then each piece between quantiles gets a width of its own."""
+    marks = F.percentile_approx(order, QUANTILES, ACCURACY)
+    r = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(order).alias("n"), marks.alias("marks")).first()
+    if not r.n:
+        return 1
+    whole = max(1, (r.high - r.low + 1) * rows // r.n)
+    at, share = [r.low], [0.0]
+    for x, q in zip([*r.marks, r.high + 1], [*QUANTILES, 1.0]):  # pieces end where values do
+        if x > at[-1]:
+            at.append(x)
+            share.append(q)
+        else:
+            share[-1] = q
+    widths = [max(1, min(1 << 62, int((b - a) * rows / max(1.0, (q - p) * r.n)))) for a, b, p, q in zip(at, at[1:], share, share[1:])]
+    if r.n <= rows or min(widths, default=whole) * DENSE >= whole:
+        return whole
+    return Pieces(tuple(at[1:-1]), tuple(widths))
+
+
+def block_of(order: Column, width: Width) -> Column:
+    """The number of the block; it rises with the order."""
+    if isinstance(width, int):
+        return floor_div(order, width)
+    borders = list(width.borders)
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    groups = [borders[k : k + TOP] for k in range(0, len(borders), TOP)]
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= order))
+    group = F.greatest(below(longs(g[0] for g in groups)) - 1, F.lit(0))
+    piece = group * TOP + below(F.element_at(F.array(*[longs(g) for g in groups]), group + 1))
+    start = F.element_at(longs([borders[0], *borders]), piece + 1)  # the first piece is counted back from its end
+    inside = floor_div(order - start, F.element_at(longs(width.widths), piece + 1))
+    return piece.cast("long") * SPAN + F.greatest(F.least(inside, F.lit(SPAN - 1)), F.when(piece > 0, 0).otherwise(-SPAN).cast("long"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -103,11 +148,11 @@ class Blocks:
 
     block = "__block"
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: str, width: int, ties: Sequence[str] = ()):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: str, width: Width, ties: Sequence[str] = ()):
         self.keys, self.order, self.ties = list(keys), order, list(ties)
         flat = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
         nowhere = F.lit(-(1 << 62)) + F.pmod(F.xxhash64(*flat), F.lit(NOWHERE))
-        self.df = df.withColumn(self.block, F.when(F.col(order).isNotNull(), floor_div(order, width)).otherwise(nowhere))
+        self.df = df.withColumn(self.block, F.when(F.col(order).isNotNull(), block_of(F.col(order), width)).otherwise(nowhere))
         self.by = []
         for i, k in enumerate(keys):  # NULL meets NULL, and joins and windows share one shuffle
             kind = df.schema[k].dataType
@@ -164,7 +209,7 @@ def _combined(step: Step, far: Column, near: Column) -> Column:
     return F.coalesce(far, near) if isinstance(step, First) else F.coalesce(near, far)
 
 
-def run(df: DataFrame, keys: Sequence[str], order: str, steps: dict[str, Step], width: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+def run(df: DataFrame, keys: Sequence[str], order: str, steps: dict[str, Step], width: Width | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """df with a column for each step, all from one pass."""
     b = Blocks(df.withColumns({f"__v_{n}": s.value for n, s in steps.items()}), keys, order, width or width_for(df, order), ties)
     rows = b.df.withColumns({f"__v_{n}": b.placed(F.col(f"__v_{n}")) for n in steps})
@@ -197,50 +242,51 @@ def run(df: DataFrame, keys: Sequence[str], order: str, steps: dict[str, Step],
     return rows.withColumns(new).drop(*on, *[f"__{x}_{n}" for x in "vc" for n in steps])
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, width: int | None = None, ties: Sequence[str] = (), inclusive: bool = False) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, width: Width | None = None, ties: Sequence[str] = (), inclusive: bool = False) -> DataFrame:
     """`name`: the sum of `value` over the earlier rows of the stream, 0 for the first; inclusive: the row's own too."""
     return run(df, keys, order, {name: Sum(value, inclusive)}, width, ties)
 
 
-def row_number(df: DataFrame, keys: Sequence[str], order: str, name: str, width: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+def row_number(df: DataFrame, keys: Sequence[str], order: str, name: str, width: Width | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """`name`: 0 for the first row of the stream, and so on."""
     return running_sum(df, keys, order, F.lit(1).cast("long"), name, width, ties)
 
 
-def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, width: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, width: Width | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """`name`: the greatest `value` of the earlier rows of the stream, NULL for the first."""
     return run(df, keys, order, {name: Max(value)}, width, ties)
 
 
-def last_known(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int | None = None, ties: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
+def last_known(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: Width | None = None, ties: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
     """For each name, the last value that isn't NULL up to the row (inclusive) or before it."""
     return run(df, keys, order, {k: Last(v, inclusive) for k, v in values.items()}, width, ties)
 
 
-def next_known(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int | None = None, ties: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
+def next_known(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: Width | None = None, ties: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
     """For each name, the first value that isn't NULL from the row on (inclusive) or behind it."""
     return run(df, keys, order, {k: Next(v, inclusive) for k, v in values.items()}, width, ties)
 
 
-def lag(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+def lag(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: Width | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """For each name, the value of the row before, NULL for the stream's first."""
     out = last_known(df, keys, order, {k: F.struct(v.alias("v")) for k, v in values.items()}, width, ties, inclusive=False)
     return out.withColumns({k: F.col(k)["v"] for k in values})
 
 
-def lead(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+def lead(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: Width | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """For each name, the value of the row behind, NULL for the stream's last."""
     out = next_known(df, keys, order, {k: F.struct(v.alias("v")) for k, v in values.items()}, width, ties, inclusive=False)
     return out.withColumns({k: F.col(k)["v"] for k in values})
 
 
 def as_of(
-    probes: DataFrame, facts: DataFrame, keys: Sequence[str], probe_time: str, fact_time: str, take: Sequence[str], width: int | None = None,
-    strict: bool = False, forward: bool = False, ties: Sequence[str] = (),
+    probes: DataFrame, facts: DataFrame, keys: Sequence[str], probe_time: str, fact_time: str, take: Sequence[str], width: Width | None = None,
+    strict: bool = False, forward: bool = False, ties: Sequence[str] = (), first: str | None = None,
 ) -> DataFrame:
     """Left join of each probe with the last fact at or before its time (strict: before), or, forward, the first at or
     after it. Both are one ordered stream, so no probe meets more than one fact. `ties` orders facts of the same time.
-    The fact columns `take` are NULL where there is none, and for a probe whose time or one of whose keys is NULL."""
+    The fact columns `take` are NULL where there is none, and for a probe whose time or one of whose keys is NULL. `first` names a
+    struct of the same columns of the stream's first fact, whose time may be later."""
     width = width or width_for(facts, fact_time)
     probes_first = strict != forward  # among equal times: facts then don't count backwards, and do forwards
     order = [f"__o_{c}" for c in ties]
@@ -261,6 +307,9 @@ def as_of(
         *[F.col(c).alias(o) for c, o in zip(ties, order)],
         F.struct(*take).alias("__f"),
     )
-    step = (Next if forward else Last)(F.col("__f"))
-    both = run(p.unionByName(f), keys, "__t", {"__got": step}, width, ["__side", *order])
-    return both.filter(F.col("__p").isNotNull()).select("__p.*", *[F.col("__got")[c].alias(c) for c in take])
+    steps: dict[str, Step] = {"__got": (Next if forward else Last)(F.col("__f"))}
+    if first:
+        steps["__first"] = First(F.col("__f"))
+    both = run(p.unionByName(f), keys, "__t", steps, width, ["__side", *order])
+    also = [F.col("__first").alias(first)] if first else []
+    return both.filter(F.col("__p").isNotNull()).select("__p.*", *[F.col("__got")[c].alias(c) for c in take], *also)

@@ -30,6 +30,8 @@ FIRST, LEAST, OUTLINE = 4, 2, 16
 BLOCK, ASKING, STEP, PAGE = 1 << 19, 1 << 17, 1 << 20, 4096
 #: Blocks that a query meets first; pivots, and the rows that they are found from. These change the cost, never the result.
 SEEDS, PIVOTS, SAMPLE = 2, 256, 4096
+#: Blocks of queries for which a block is copied.
+ASKERS = 32
 #: Shares of surviving pairs up to which they are bounded more finely, and taken one by one.
 FINER, SINGLY = 1 / 2, 1 / 32
 
@@ -256,14 +258,22 @@ def _side(r: dict, which=None) -> Side:
 def _reaching(pages: DataFrame, asking: DataFrame, n_pages: int, barred: bool) -> DataFrame:
     """q_block, block, which (numbers of queries), bound: by the envelopes, the SEEDS best blocks of each query, in each page of envelopes;
     barred: all blocks that reach the query's bar and are not in its `seen`."""
-    every = asking.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(n_pages - 1)))).join(pages, ["dim", "page"])
+
+    @F.arrow_udf("binary")
+    def outline(m: pa.Array, kind: pa.Array, dim: pa.Array) -> pa.Array:
+        of = lambda m, kind, dim: _outline(np.frombuffer(m, kind).reshape(-1, dim)).tobytes()
+        return pa.array([of(x.as_py(), k.as_py(), d.as_py()) for x, k, d in zip(m, kind, dim)], pa.binary())
+
+    told = [c for c in ("bar", "seen") if c in asking.columns]
+    few = cut(asking.select("q_block", "dim", outline("m", "kind", "dim").alias("outline"), (F.octet_length("ids") / 8).cast("int").alias("n"), *told))  # the vectors stay
+    every = few.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(n_pages - 1)))).join(pages, ["dim", "page"])
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1).to_pylist()[0]
-                q, blocks = _side(r), r["blocks"]
-                s, low, high = _outline(q.m), np.array(r["lows"]), np.array(r["highs"])
+                s, blocks = np.frombuffer(r["outline"]).reshape(r["n"], -1), r["blocks"]
+                low, high = np.array(r["lows"]), np.array(r["highs"])
                 bound = np.maximum(s, 0) @ high.T + np.minimum(s, 0) @ low.T  # of each product, the greatest in the envelope
                 bound += 1e-9 * (np.abs(s) @ np.maximum(np.abs(low), np.abs(high)).T + 1)
                 if barred:
@@ -286,7 +296,9 @@ FOUND = "q_block string, which int, query_id long, vec_id long, score long"
 
 
 def _searched(meetings: DataFrame, asking: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """meetings: q_block, block, which. Only the vectors of these queries are sent to the block. FOUND rows, at most k for a query and block."""
+    """meetings, a written table: q_block, block, which. Only the vectors of these queries are sent to the block; a block that many ask for is there in
+    several copies, each for some ASKERS blocks of queries. FOUND rows, at most k for a query and block."""
+    parts = meetings.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("parts"))  # a row a block
 
     def pick(batches):
         for batch in batches:
@@ -295,8 +307,8 @@ def _searched(meetings: DataFrame, asking: DataFrame, blocks: DataFrame, k: int)
                 w = np.array(r["which"], np.int64)
                 q = _side(r, w)
                 bar = None if r["bar"] is None else np.array(r["bar"], np.int64)[w].tobytes()
-                row = {"q_block": r["q_block"], "block": r["block"], "which": w.tobytes(), "q_kind": r["kind"], "q_ids": q.ids.tobytes(), "q_m": q.m.tobytes(), "q_bar": bar}
-                yield pa.RecordBatch.from_pylist([row], pa.schema([("q_block", pa.string()), ("block", pa.string()), *[(c, pa.string() if c == "q_kind" else pa.binary()) for c in ("which", "q_kind", "q_ids", "q_m", "q_bar")]]))
+                row = {"q_block": r["q_block"], "block": r["block"], "salt": r["salt"], "which": w.tobytes(), "q_kind": r["kind"], "q_ids": q.ids.tobytes(), "q_m": q.m.tobytes(), "q_bar": bar}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("q_block", pa.string()), ("block", pa.string()), ("salt", pa.int32()), *[(c, pa.string() if c == "q_kind" else pa.binary()) for c in ("which", "q_kind", "q_ids", "q_m", "q_bar")]]))
 
     def run(batches):
         at, x = None, None
@@ -311,10 +323,10 @@ def _searched(meetings: DataFrame, asking: DataFrame, blocks: DataFrame, k: int)
                 columns = [pa.repeat(r["q_block"], len(i)), *map(pa.array, (which, q.ids[i], x.ids[j], s))]
                 yield pa.RecordBatch.from_arrays(columns, ["q_block", "which", "query_id", "vec_id", "score"])
 
-    sent = meetings.select("q_block", "block", "which").join(asking, "q_block").mapInArrow(pick, "q_block string, block string, which binary, q_kind string, q_ids binary, q_m binary, q_bar binary")
-    count = max(1, int(meetings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = sent.repartition(count, "block", "q_block")  # a block that many queries ask for is met by several tasks
-    return sent.join(blocks.select("block", "dim", "kind", "ids", "m"), "block").mapInArrow(run, FOUND)
+    salted = meetings.select("q_block", "block", "which").join(parts, "block").withColumn("salt", F.pmod(F.xxhash64("q_block"), F.col("parts")).cast("int")).drop("parts")
+    sent = salted.join(asking, "q_block").mapInArrow(pick, "q_block string, block string, salt int, which binary, q_kind string, q_ids binary, q_m binary, q_bar binary")
+    copies = blocks.select("block", "dim", "kind", "ids", "m").join(parts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return sent.join(copies, ["block", "salt"]).mapInArrow(run, FOUND)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -351,7 +363,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     number = F.sequence(F.lit(0), (F.octet_length("ids") / 8 - 1).cast("int"))
     bar = F.transform(number, lambda i: F.coalesce(F.try_element_at(F.col("known"), i), F.lit(-(1 << 63))))
     barred = cut(asking.join(bars, "q_block", "left").join(seen, "q_block", "left").withColumn("bar", bar).withColumn("seen", F.coalesce("seen", F.array().cast("array<struct<w:int,block:string>>"))).drop("known"))
-    more = _searched(_reaching(pages, barred, n_pages, True), barred.drop("seen"), blocks, k)
+    more = _searched(cut(_reaching(pages, barred, n_pages, True)), barred.drop("seen"), blocks, k)
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     every = found.unionByName(more).select("query_id", "vec_id", "score")

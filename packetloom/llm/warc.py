@@ -22,17 +22,18 @@ import uuid
 import zlib
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, lookup_join
 
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST, TEMPORARY = "_manifest", "_temporary"
-#: Slots of the histogram for each shard; into how many a slot is cut that holds more than its share, and how often.
-SLOTS, FINER, DEPTH = 8, 1024, 7
+#: Slots of the histogram for each shard, and into how many a slot is cut that holds more than half a shard.
+SLOTS, FINER = 8, 32
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -155,37 +156,48 @@ def _rename(out: str):
     return run
 
 
-def _shards(known: DataFrame, total, shards: int):
-    """(slot, shard) of every slot that holds pages, and a function that gives a frame's rows their slot, named by the least id in it.
+def _index_in(starts: list[int], spark: SparkSession):
+    """A function of a column of ids: the number of the last start at or before each; null ids come first."""
+    held = spark.sparkContext.broadcast(np.array(starts, np.int64))
 
-    Slots are of equal width at first; one that holds more than its share of the bytes is cut again, so an id far from all others makes
-    no large shard. At most SLOTS * shards slots can be that large, in each round."""
+    @F.arrow_udf("int")
+    def of(ids: pa.Array) -> pa.Array:
+        at = np.asarray(ids.fill_null(int(held.value[0])), np.int64)
+        return pa.array(np.maximum(np.searchsorted(held.value, at, side="right") - 1, 0), pa.int32())
+
+    return of
+
+
+def _starts(known: DataFrame, total, shards: int) -> tuple[list[int], int]:
+    """The least id of each shard that has pages, and how many slots were counted at most.
+
+    Slots are of equal width at first, SLOTS for each shard; one that holds more than half a shard is cut again, so an id far from all others
+    makes no large shard. No more than 2 * shards slots can be that large at a time, however many pages there are."""
     low, high = int(total.low or 0), int(total.high or 0)
-    share = max(1, (total["size"] or 0) // (SLOTS * shards))
-    widths, heavy = [max(1, -(-(high - low + 1) // (SLOTS * shards)))], []
-    at = F.coalesce(F.col("page_id"), F.lit(low)).cast("decimal(20,0)")
-
-    def start(width: int, base) -> Column:
-        off = (at - base).cast("decimal(20,0)")
-        return (base + off - off % F.lit(width).cast("decimal(20,0)")).cast("decimal(20,0)")
-
-    def slots(df: DataFrame) -> DataFrame:
-        df = df.withColumn("slot", start(widths[0], F.lit(low).cast("decimal(20,0)")))
-        for width, cut_again in zip(widths[1:], heavy):
-            again = F.broadcast(known.sparkSession.createDataFrame([(x, True) for x in cut_again], "slot decimal(20,0), again boolean"))
-            df = df.join(again, "slot", "left").withColumn("slot", F.when(F.col("again"), start(width, F.col("slot"))).otherwise(F.col("slot"))).drop("again")
-        return df
-
-    sizes = {r.slot: r["size"] for r in slots(known).groupBy("slot").agg(F.sum("size").alias("size")).collect()}
-    while len(widths) < DEPTH and widths[-1] > 1 and (large := [s for s, n in sizes.items() if n > share]):
-        heavy.append(large)
-        widths.append(-(-widths[-1] // FINER))
-        sizes = {r.slot: r["size"] for r in slots(known).groupBy("slot").agg(F.sum("size").alias("size")).collect()}
-    shard_of, before = [], 0
-    for s in sorted(sizes):
-        shard_of.append((s, min(shards - 1, before * shards // max(1, total["size"] or 0))))
-        before += sizes[s]
-    return shard_of, slots
+    width = max(1, -(-(high - low + 1) // (SLOTS * shards)))
+    slots, most = [(at, width) for at in range(low, high + 1, width)], 0
+    while True:
+        of = _index_in([at for at, _ in slots], known.sparkSession)
+        sums = known.groupBy(of("page_id").alias("slot")).agg(F.sum("size").alias("size"))
+        sizes = {slots[r.slot][0]: r["size"] for r in sums.collect()}
+        most = max(most, len(slots))
+        large = {at for at, n in sizes.items() if 2 * n * shards > total["size"]}
+        if not any(at in large and width > 1 for at, width in slots):
+            break
+        finer = []
+        for at, width in slots:
+            if at not in sizes:
+                continue  # nothing is there
+            step = -(-width // FINER) if at in large else width
+            finer += [(x, min(step, at + width - x)) for x in range(at, at + width, step)]
+        slots = [(low, 1), *finer] if finer[0][0] > low else finer
+    starts, before, last = [], 0, -1
+    for at in sorted(sizes):
+        shard = min(shards - 1, before * shards // max(1, total["size"] or 0))
+        if shard != last:
+            starts.append(at)
+        before, last = before + sizes[at], shard
+    return starts or [low], most
 
 
 def write(
@@ -194,7 +206,7 @@ def write(
 ) -> DataFrame:
     """Write pages as records to the folder `out`, which must be new and which all machines share. Returns the manifest.
 
-    A shard has some shard_bytes of payload; where that would make more than max_shards, whose histogram the driver holds, they are as much
+    A shard has some shard_bytes of payload; where that would make more than max_shards, some dozens of whose slots the driver holds for each, they are as much
     larger. A page is never cut, and pages with the same id stay together. Null ids come first; null payloads are empty; null URLs
     are named by their id; rows that repeat are records that repeat. No pages give an archive of no file. Other columns are not read."""
     spark = pages.sparkSession
@@ -204,21 +216,21 @@ def write(
     total = known.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
     shards = max(1, min(max_shards, -(-(total["size"] or 0) // shard_bytes)))
     file_bytes = file_bytes or max(1 << 20, (total["size"] or 0) // shards // 16)
-    shard_of, slots = _shards(known, total, shards)
-    places = F.broadcast(spark.createDataFrame(shard_of, "slot decimal(20,0), shard int"))  # some SLOTS * max_shards rows
+    starts, _ = _starts(known, total, shards)
+    shard = _index_in(starts, spark)
 
     large = known.filter(F.col("size") >= revisit_bytes)
     first = cut(large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null"))
     revisits = lookup_join(large.select("page_id", "digest"), first, "digest", "n", total.n).filter("not page_id <=> refers_to").distinct()
 
     def placed(df: DataFrame, kind: int) -> DataFrame:
-        return slots(df).join(places, "slot").withColumn("kind", F.lit(kind))
+        return df.withColumns({"shard": shard("page_id"), "kind": F.lit(kind)})
 
     told = placed(revisits, 0).select("shard", "page_id", "digest", "kind", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     wide = placed(rows, 1).select("shard", "page_id", "digest", "kind", F.lit(None).cast("long").alias("refers_to"), "url", "payload")
     where, root = open_fs(out)
     where.create_dir(f"{root}/{TEMPORARY}", recursive=True)
-    dealt = told.unionByName(wide).repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    dealt = told.unionByName(wide).repartitionById(len(starts), "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     manifest = dealt.mapInArrow(_writer(out, file_bytes, level), MANIFEST_SCHEMA)
     manifest.write.parquet(f"{out}/{MANIFEST}.tmp")
     manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{out}/{MANIFEST}.tmp")

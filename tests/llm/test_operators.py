@@ -581,6 +581,19 @@ def test_warc_shards_are_even_though_an_id_is_far(spark):
     assert {r.page_id for r in warc.read(spark, out).collect()} == {i for i, _, _ in rows}
 
 
+@pytest.mark.parametrize("gap", [1, 2, 1000])
+def test_warc_counts_slots_by_shards_not_by_rows(spark, gap):
+    """Dense and gapped ids, and one far away: what the driver holds depends on the shards alone."""
+    for n in (4_000, 40_000):
+        known = spark.range(n).select((F.col("id") * gap).alias("page_id"), F.lit(10).cast("long").alias("size"))
+        for rows in (known, known.unionByName(spark.createDataFrame([(10**15, 10), (None, 10)], "page_id long, size long"))):
+            total = rows.agg(F.sum("size").alias("size"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
+            starts, most = warc._starts(rows, total, 20)
+            assert most <= 20 * (warc.SLOTS + 2 * warc.FINER) and 15 <= len(starts) <= 21
+            sizes = rows.groupBy(warc._index_in(starts, spark)("page_id")).sum("size").collect()
+            assert max(r["sum(size)"] for r in sizes) < 2 * total["size"] / 20
+
+
 def test_warc_rolls_by_default(spark):
     rng = random.Random(2)
     rows = [(i, "u", "".join(rng.choice("abcdefghijklmnop") for _ in range(200_000))) for i in range(60)]
@@ -644,6 +657,34 @@ def test_envelopes_keep_queries_from_far_blocks(spark, monkeypatch):
     assert 600 * topk.SEEDS <= sent < 600 * 23 / 2
 
 
+def test_a_block_that_many_ask_for_is_met_by_several_tasks(spark, monkeypatch):
+    """The join deals by block and salt, without a second exchange by the block alone, and finds the same."""
+    for name, value in (("BLOCK", 256 * 16), ("ASKING", 256 * 2), ("ASKERS", 2)):
+        monkeypatch.setattr(topk, name, value)
+    plans, searched = [], topk._searched
+
+    def seen(*args):
+        out = searched(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(topk, "_searched", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = np.random.default_rng(9)
+        m = np.floor(64 * rng.normal(0, 0.3, (1500, 16))).astype(np.int64)
+        rows = [(i, (x / 64).tolist()) for i, x in enumerate(m)]
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    score = m[::5] @ m.T
+    score[np.arange(300), np.arange(300) * 5] = -(1 << 60)
+    best = np.lexsort((np.broadcast_to(np.arange(1500), score.shape), -score), axis=1)[:, :3]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted((q * 5, n + 1, int(i), int(score[q, i])) for q in range(300) for n, i in enumerate(best[q]))
+    assert all("hashpartitioning(block#" in p and p.count("salt#") > 3 for p in plans)
+    assert not any("hashpartitioning(block#" in line and "q_block" in line for p in plans for line in p.splitlines())
+
+
 def test_topk_leaves_other_columns_alone(spark):
     """Columns with the names that the search uses inside."""
     df = spark.createDataFrame([(i, [float(i), 1.0, 2.0, 3.0], "a", "b", "c", None) for i in range(30)], "vec_id long, embedding array<double>, id string, v string, block string, dim string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions.timebase import div, micros, rescale
-from packetloom.operators import expand, lookup, merge, metadata, packets as P, rules, scan
+from packetloom.operators import expand, fragments, lookup, merge, metadata, packets as P, rules, scan, tail
 from packetloom.operators.index_cache import IndexCache
 from packetloom.operators.overlap import frame_times
 
@@ -478,3 +478,42 @@ def pes_frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = sized.filter(first < behind).select("stream_id", F.explode(F.sequence(first, behind - 1)).alias("frame"))
     frames = frames.select("stream_id", "frame", (F.col("frame") * n).alias("start"), (F.col("frame") * n + n).alias("end"))
     return frame_times(frames, sized, ["stream_id"], "frame", IDX).select("stream_id", "frame", "packets", "idx", "pts")
+
+
+@query(f"""SELECT stream_id, arg_max(pts + duration, idx) AS pts_end FROM {PACKETS} GROUP BY stream_id""")
+def tail_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each stream ends, from the last files of a table in the order of the index."""
+    folder = f"{scan.shared_dir(spark)}/ordered-{uuid.uuid4().hex}"
+    p = packets(spark, sf_dir)
+    p.repartitionByRange(32, "idx").sortWithinPartitions("idx").write.parquet(folder)
+    ends, _ = tail.last_values(spark.read.parquet(folder), p.select("stream_id").distinct(), "stream_id", "idx", F.col("pts") + F.col("duration"))
+    return ends.withColumnRenamed("value", "pts_end")
+
+
+_LINES = """(SELECT l_orderkey AS fragment, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS run, l_linenumber * 10000000::BIGINT + l_partkey AS ord, l_partkey % 7 * 10 AS composition,
+    CASE WHEN l_partkey % 3 <> 0 THEN CAST(sum(floor(l_quantity)) AS BIGINT) END AS duration, CASE WHEN l_partkey % 4 <> 0 THEN CAST(sum(floor(l_quantity)) AS BIGINT) * 10 END AS size FROM lineitem GROUP BY l_orderkey, l_returnflag, l_linenumber, l_partkey)"""
+
+
+@query(f"""WITH s AS (SELECT o_custkey AS track, fragment, run, ord, coalesce(duration, CASE WHEN fragment % 2 = 1 THEN 5 END, c_nationkey + 1)::BIGINT AS duration, coalesce(size, CASE WHEN fragment % 3 <> 0 THEN 70 END, 100 + c_nationkey)::BIGINT AS size, composition,
+        fragment * 1000000 AS base, CASE WHEN (fragment + run) % 2 = 0 THEN 50 * (run + 1) END AS "offset" FROM {_LINES} JOIN orders ON fragment = o_orderkey JOIN customer ON o_custkey = c_custkey),
+    r AS (SELECT track, fragment, run, any_value(base) AS base, any_value("offset") AS "offset", sum(size) AS n FROM s GROUP BY track, fragment, run),
+    c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY track, fragment ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM r),
+    a AS (SELECT *, coalesce(last_value(CASE WHEN "offset" IS NOT NULL THEN base + "offset" - c END IGNORE NULLS) OVER (PARTITION BY track, fragment ORDER BY run), base) + c AS start FROM c),
+    t AS (SELECT s.*, coalesce(sum(duration) OVER (PARTITION BY track ORDER BY fragment, run, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dts, coalesce(sum(size) OVER (PARTITION BY track, fragment, run ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i,
+        first_value(composition) OVER (PARTITION BY track, fragment, run ORDER BY ord) AS f FROM s)
+    SELECT t.track, t.fragment, CAST(t.run AS INTEGER) AS run, t.ord, t.duration, t.size, CAST(dts AS BIGINT) AS dts, CAST(dts + composition - f AS BIGINT) AS pts, CAST(start + i AS BIGINT) AS position FROM t JOIN a USING (track, fragment, run)""")
+def fragment_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as tracks, orders as fragments, lines of a kind as runs: some tell their samples' sizes, durations and places, some leave them to the level above."""
+    kind = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", kind.alias("run"), "l_linenumber", "l_partkey").agg(F.sum(F.floor("l_quantity")).cast("long").alias("n"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("track"), F.col("o_orderkey").alias("fragment"))
+    part = F.col("l_partkey")
+    rows = lines.select(
+        F.col("l_orderkey").alias("fragment"), "run", (F.col("l_linenumber") * F.lit(10_000_000).cast("long") + part).alias("ord"), F.when(part % 3 != 0, F.col("n")).alias("duration"),
+        F.when(part % 4 != 0, F.col("n") * 10).alias("size"), (part % 7 * 10).alias("composition"),
+    ).join(orders, "fragment")
+    f = F.col("fragment")
+    boxes = orders.select("track", "fragment", (f * 1_000_000).alias("base"), F.when(f % 2 == 1, 5).cast("long").alias("duration"), F.when(f % 3 != 0, 70).cast("long").alias("size"))
+    runs = rows.select("track", "fragment", "run").distinct().withColumn("offset", F.when((f + F.col("run")) % 2 == 0, 50 * (F.col("run") + 1)))
+    tracks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("track"), (F.col("c_nationkey") + 1).cast("long").alias("duration"), (100 + F.col("c_nationkey")).cast("long").alias("size"))
+    return fragments.samples(tracks, boxes, runs, rows)

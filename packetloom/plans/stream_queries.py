@@ -15,7 +15,7 @@ from packetloom.sources.pcm_files import PcmFiles
 from packetloom.sources.stream_files import StreamFiles, in_order
 from packetloom.streaming import inband, live
 
-from .proxies import PACKETS, packets_of, table
+from .proxies import FEW, PACKETS, packets_of, table
 from .registry import ORACLE_SQL, query
 from .text_queries import PAGES
 
@@ -187,3 +187,25 @@ def inband_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = live.run_available(inband.split(stream, INTERVAL), f"{folder}/out", f"{folder}/checkpoint", "append")
     sizes = d.select("stream_id", F.octet_length("b").cast("long").alias("n"))
     return found.filter("title is not null").join(sizes, "stream_id").select("stream_id", "position", "title", "n")
+
+
+@query(f"""WITH p AS (SELECT host, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS ord FROM (SELECT regexp_extract(url, '^https?://([^/]*)', 1) || '-' || page_id // {PAGES} AS host, page_id FROM pages)),
+    w AS (SELECT host, k AS batch, min(ord) * 1000000000 AS start_us, (max(ord) + 1) * 1000000000 AS end_us FROM p, (VALUES (0), (1), (2)) AS s(k) WHERE ord >= k * 2 AND ord < k * 2 + 5 GROUP BY host, k)
+    SELECT host, CAST(batch AS INTEGER) AS batch, start_us, end_us FROM w WHERE end_us - start_us > 1800000000 AND NOT EXISTS (SELECT 1 FROM w AS v WHERE v.host = w.host AND v.batch = w.batch - 1 AND v.start_us = w.start_us AND v.end_us = w.end_us)""")
+def seek_window_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls of live lists, a micro-batch each: an event for each list whose time that can be sought has moved."""
+    folder = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    host = F.concat(F.regexp_extract("url", "^https?://([^/]*)", 1), F.lit("-"), F.floor(F.col("page_id") / PAGES).cast("string"))
+    p = table(spark, sf_dir, "pages").select(host.alias("host"), "page_id")
+    p = p.withColumn("seq", (F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1).cast("long"))  # PAGES at most
+    p = p.select("host", "seq", F.lit(False).alias("discontinuity"), (F.col("seq") * 1_000_000_000).alias("program_us"), F.lit(1_000_000_000).cast("long").alias("duration_us"))
+    p = settle(p)
+
+    def outputs(batch: DataFrame, before: DataFrame | None) -> tuple[dict[str, DataFrame], DataFrame]:
+        events, state = live.window_events(batch, before, ["host"], FEW)
+        return {"events": events, "segments": batch}, state
+
+    for k in range(3):
+        p.filter((F.col("seq") >= k * 2) & (F.col("seq") < k * 2 + 5)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        live.tee(spark.readStream.schema(p.schema).parquet(f"{folder}/in"), outputs, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out/events").select("host", "batch", "start_us", "end_us")

@@ -4,12 +4,15 @@ State is kept by key and small: an open packet, the last value, the last sequenc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from packetloom.operators import merge
 from packetloom.operators import packets as P
 
 
@@ -114,3 +117,32 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
         query = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def tee(stream: DataFrame, outputs: Callable[[DataFrame, DataFrame | None], tuple[dict[str, DataFrame], DataFrame]], folder: str, checkpoint: str) -> None:
+    """Several results of one stream, over what is there now. outputs gets a micro-batch and the state that the batch before left (None at first), and returns results by name and the new
+    state. Each goes to a folder of its own for the batch, which a batch that runs again overwrites; it starts from the same state, so it adds nothing."""
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{folder}/_state/batch={number - 1}") if number else None
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        results, state = outputs(batch, before)
+        for name, df in (*results.items(), ("_state", state)):
+            df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        batch.unpersist()
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
+
+
+def window_events(segments: DataFrame, before: DataFrame | None, keys: Sequence[str], width: int) -> tuple[DataFrame, DataFrame]:
+    """Of the segments that lists show now (keys, seq, discontinuity, program_us, duration_us), and the windows known before: the lists whose time that can be sought has changed, with its start and end,
+    and the windows that are known now. A list that isn't shown keeps its window; one that can't be sought has no event."""
+    own = list(keys)
+    now = merge.seek_window(merge.live_clock(segments, width, own), own).select(*own, "start_us", "end_us", "can_seek")
+    if before is None:
+        return now.filter("can_seek").select(*own, "start_us", "end_us"), now
+    old = before.select(*own, F.struct("start_us", "end_us").alias("__old"))
+    met = now.join(old, own, "left")
+    changed = met.filter(F.col("can_seek") & ~F.struct("start_us", "end_us").eqNullSafe(F.col("__old"))).select(*own, "start_us", "end_us")
+    return changed, now.unionByName(before.join(now.select(*own), own, "left_anti"))

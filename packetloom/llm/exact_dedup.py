@@ -7,8 +7,12 @@ straight through, and only the others are shuffled, to be grouped exactly by SHA
 
 Texts are equal when identical without the characters [\\x20\\x09-\\x0D]; null counts as empty. Of equal
 texts the one with the most code points stays, then the one with the smallest id (null ids last), then the
-first as read. The filter takes 16 bits a row, up to `max_filter_bytes`; beyond that more rows are shuffled
-and the result stays the same.
+first as read.
+
+The filter takes 16 bits a row. What would be more than `max_filter_bytes` is cut into shards by ranges of the hash, one filter after another: the hashes
+are written in order, so each shard reads its own part of every file, and only one filter is held at a time. So as many rows go straight
+through however many there are. Where whole rows are to be told apart, a second filter, of the texts that the shards found repeated, does that in one pass
+over them; it has 32 bits for each of these, and only where that is more than `max_filter_bytes` more rows are shuffled; the result stays the same.
 """
 
 from __future__ import annotations
@@ -104,6 +108,30 @@ def may_repeat(hashes: DataFrame, rows: int, max_filter_bytes: int = 32 << 20):
     return probe
 
 
+def _shards(rows: int, max_filter_bytes: int) -> int:
+    """Ranges of the hash whose filters fit, a power of two."""
+    return 1 << max(0, -(-rows * BITS_A_ROW // (8 * max(max_filter_bytes, BLOCK // 8))) - 1).bit_length()
+
+
+def _asked(known: DataFrame, rows: int, max_filter_bytes: int) -> DataFrame:
+    """known, a written table with `h`, with `again`: whether a hash may repeat."""
+    shards = _shards(rows, max_filter_bytes)
+    if shards == 1:
+        return known.withColumn("again", may_repeat(known.select("h"), rows, max_filter_bytes)(F.col("h")))
+    step, out = (1 << 64) // shards, None
+    for k in range(shards):
+        low = k * step - (1 << 63)
+        own = known.filter((F.col("h") >= low) & (F.col("h") <= low + step - 1))
+        own = cut(own.withColumn("again", may_repeat(own.select("h"), -(-rows // shards), max_filter_bytes)(F.col("h"))))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _known(digests: DataFrame, rows: int, max_filter_bytes: int) -> DataFrame:
+    """digests, written; in the order of their hashes if there are several shards, so that a range of them is a few pages of each file."""
+    return cut(digests if _shards(rows, max_filter_bytes) == 1 else digests.sortWithinPartitions("h"))
+
+
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     norm = _normal(text_col)
     return docs.select(
@@ -114,10 +142,10 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _groups(repeated: DataFrame, *last: str) -> DataFrame:
-    """One row for each text: its row that stays, and the size of its group. Groups are summed before they are shuffled."""
+def _groups(repeated: DataFrame, *last: str, h: bool = False) -> DataFrame:
+    """One row for each text: its row that stays, the size of its group, and if wanted its hash. Groups are summed before they are shuffled."""
     order = F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), F.col("id").alias("id"), *last)
-    return repeated.groupBy("sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    return repeated.groupBy("sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"), *[F.min("h").alias("h")] * h)
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 32 << 20) -> DataFrame:
@@ -125,10 +153,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
 
     Null and empty texts are equal texts. Rows with the same id are rows of their own; exactly one row of a
     group is kept. An empty table gives an empty result."""
-    known = cut(_digests(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()))
-    rows = known.count()
-    probe = may_repeat(known.select("h"), rows, max_filter_bytes)
-    asked = known.withColumn("again", probe(F.col("h")))
+    rows = docs.count()
+    known = _known(_digests(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), rows, max_filter_bytes)
+    asked = _asked(known, rows, max_filter_bytes)
     alone = asked.filter(~F.col("again")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )
@@ -143,13 +170,21 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 32 << 20) -> DataFrame:
-    """docs without the repeats of a text: the rows that assign() keeps, with all their columns and no other."""
+    """docs without the repeats of a text: the rows that assign() keeps, with all their columns and no other.
+
+    Null and empty texts are equal texts. Of equal texts the longest stays, then the one with the smallest id (null ids last); of rows that are alike in text, length and id, any one. An
+    empty table gives an empty result."""
     sha, h, chars, again, first, weight = fresh(docs, "sha", "h", "n_text_chars", "again", "first", "group_size")
     norm = _normal(text_col)
-    known = cut(_digests(docs, id_col, text_col))
-    rows = known.count()
-    probe = may_repeat(known.select("h"), rows, max_filter_bytes)
-    groups = _groups(known.filter(probe(F.col("h"))))
+    rows = docs.count()
+    known = _known(_digests(docs, id_col, text_col), rows, max_filter_bytes)
+    if _shards(rows, max_filter_bytes) == 1:
+        probe = may_repeat(known.select("h"), rows, max_filter_bytes)
+        groups = _groups(known.filter(probe(F.col("h"))))
+    else:
+        groups = cut(_groups(_asked(known, rows, max_filter_bytes).filter("again"), h=True).filter("group_size > 1"))
+        twice = groups.select(F.explode(F.array("h", "h")).alias("h"))
+        probe = may_repeat(twice, 2 * groups.count(), max_filter_bytes)
     groups = groups.select(F.col("sha").alias(sha), F.col("first").alias(first), F.col("group_size").alias(weight))
     wide = docs.withColumns({sha: F.unhex(F.sha2(norm, 256)), h: F.xxhash64(norm), chars: F.length(body(text_col)).cast("long")})
     wide = wide.withColumn(again, probe(F.col(h)))

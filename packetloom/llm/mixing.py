@@ -199,7 +199,8 @@ def assign(
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, seed: int = 17, max_patterns: int = 100_000
 ) -> DataFrame:
-    """The mix itself: each row of docs as often as assign() takes it, with its columns. Rows without words don't occur."""
+    """The mix itself: each row of docs as often as assign() takes it, with its columns. Rows without words (null and empty texts among them) don't occur; a null source, or an
+    empty list of them, is a source of its own; rows with the same id and text occur equally often; no rows give none."""
     pattern, h, words = fresh(docs, "pattern", "h", "words")
     marks = {pattern: _pattern(docs, source_col), h: _hash(id_col, text_col, seed), words: n_words(text_col)}
     known = cut(docs.select(marks[words].alias("size"), marks[pattern].alias("pattern"), marks[h].alias("h")))

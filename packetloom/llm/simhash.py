@@ -374,7 +374,7 @@ def _signed(mask: int) -> int:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """One row for each of docs: id_col, fingerprint (16 hex digits), component_id (the smallest id reachable by links,
     its own included). Null and empty texts have the fingerprint 0. A null id counts for no component: its row gets
-    the component of its fingerprint if that has an id, else null. Rows may repeat. Other columns are not read."""
+    the component of its fingerprint if that has an id, else null. Rows may repeat. Other columns are not read. No rows give none."""
     known = cut(docs.select(F.col(id_col).cast("long").alias("id"), fingerprint_column(text_col, shingle).alias("fp")))
     prints = cut(known.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
     nodes = prints.filter("node is not null").select("fp", "node")

@@ -334,7 +334,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     product with its own, ties to the smaller id; all rows, if there are fewer. Components are floor(scale * x) first.
 
     Rows that are null, have no id, or hold a null or non-finite component take no part; vectors of different
-    length don't meet. Rows with the same id and vector are one. Other columns are not read."""
+    length don't meet. Rows with the same id and vector are one. Other columns are not read. No rows, or no queries, give no rows."""
     v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(F.lit(scale) * x).cast("long"))
     finite = F.forall(F.col(vector_col).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = vectors.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).filter(finite)

@@ -10,7 +10,7 @@ manifest gets its own name. A reader reads what the manifest names, so an archiv
 
 Records with equal payloads of at least `revisit_bytes` bytes are written once: the row with the largest page id is the
 response, the others are revisits of it that hold no payload. Rows that share that id are responses all.
-Null ids come first and count as smallest; null payloads are empty; null URLs are named by their id.
+Null ids come first and count as smallest; null payloads are empty; null URLs are named by their id. Payloads are equal if their SHA-1 digests are.
 """
 
 from __future__ import annotations
@@ -299,7 +299,8 @@ READ_SCHEMA = "page_id long, url string, record_type string, refers_to long, pay
 
 def read(spark: SparkSession, out: str, with_payload: bool = True) -> DataFrame:
     """The response and revisit records that the manifest of `out` names. payload_bytes and payload_digest are of the full
-    payload: of a response's own bytes, of a revisit what its headers say; payload is null for revisits."""
+    payload: of a response's own bytes, of a revisit what its headers say; payload is null for revisits. A null id is read as null, a null URL as the name
+    that stands for it, a null payload as no bytes; an archive of no file gives no rows."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
     def parse(batches):
@@ -337,6 +338,7 @@ def read(spark: SparkSession, out: str, with_payload: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, out: str, **options) -> DataFrame:
-    """Write pages to `out` and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write pages to `out` and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, a row for each of pages. Nulls, ties, repeated rows and no rows
+    are as write() says."""
     write(pages, out, **options)
     return read(pages.sparkSession, out, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -810,12 +810,21 @@ def test_html_keeps_all_visible_words(spark):
 # --- all ------------------------------------------------------------------------------------------------------
 
 
+def test_html_leaves_other_columns_alone(spark):
+    """Columns with the names that the extraction uses or returns."""
+    rows = [(1, "<p>a<p>b", "x", None, "y"), (1, "<p>a<p>b", "x", None, "y"), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string, url string, n_chars string")
+    got = html_text.extract(pages)
+    alone = html_text.extract(pages.select("page_id", "html"))
+    assert got.columns == alone.columns and sorted(map(repr, got.collect())) == sorted(map(repr, alone.collect())) and got.count() == 3
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     held = split_of("doc_id", 3) == 1
     for got in (
         exact_dedup.assign(none), exact_dedup.drop_repeats(none), simhash.near_components(none), simhash.near_dedup(none), substring_dedup.assign(none),
         bpe.round_trip(none, PATH, public_tokenizers.PATTERN), mixing.assign(none), mixing.mix(none), toxicity.classify(none, labels, held), langid.predict(none, held),
-        html_text.extract(none, "doc_id", "text"), topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0),
+        toxicity.drop_toxic(none, labels, held), substring_dedup.remove_repeats(none), html_text.extract(none, "doc_id", "text"), topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0),
     ):
         assert got.collect() == []

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,3 +156,30 @@ def seconds_us(text: Column | str) -> Column:
 def first_of(*columns: Column) -> Column:
     """Of several fields for the same thing, the first that isn't empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+
+
+def url_variables(url: str | Column) -> Column:
+    """The variables behind the question mark as a map, as they are written; of one that repeats the last. What has no = is an empty value; the fragment is no part of them."""
+    url = F.col(url) if isinstance(url, str) else url
+    said = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    parts = F.filter(F.split(said, "&"), lambda x: x != "")
+    pairs = F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("").alias("value")))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
+
+
+def with_variables(url: str | Column, variables: Column) -> Column:
+    """The address with the variables of a map appended, in the order of their names, before its fragment."""
+    url = F.col(url) if isinstance(url, str) else url
+    head, fragment = F.regexp_extract(url, "^([^#]*)", 1), F.regexp_extract(url, "(#.*)$", 1)
+    text = F.array_join(F.transform(F.array_sort(F.map_entries(variables)), lambda x: F.concat(x["key"], F.lit("="), x["value"])), "&")
+    joint = F.when(~head.contains("?"), "?").when(head.rlike("[?&]$"), "").otherwise("&")
+    return F.when(F.coalesce(text, F.lit("")) == "", url).otherwise(F.concat(head, joint, text, fragment))
+
+
+def named_like(name: str | Column, prefixes: Sequence[str] = (), suffixes: Sequence[str] = (), ignore_case: bool = True) -> Column:
+    """Whether a name or type begins with one of the prefixes or ends with one of the suffixes; false for NULL."""
+    name = F.col(name) if isinstance(name, str) else name
+    fold = (lambda x: F.lower(x)) if ignore_case else (lambda x: x)
+    tests = [fold(name).startswith(fold(F.lit(p))) for p in prefixes] + [fold(name).endswith(fold(F.lit(x))) for x in suffixes]
+    return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))

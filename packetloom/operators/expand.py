@@ -34,6 +34,11 @@ def sample_times(table: DataFrame, keys: Sequence[str], order: str, count: Colum
     return out.drop("__n", "__d", "__s", "__t", "__k")
 
 
+def total_samples(table: DataFrame, keys: Sequence[str], count: str = "count") -> DataFrame:
+    """samples: how many samples a run-length table has, summed before it is shuffled. Entries without a count have none."""
+    return table.groupBy(*keys).agg(F.coalesce(F.sum(count), F.lit(0)).cast("long").alias("samples"))
+
+
 def chunk_offsets(samples: DataFrame, keys: Sequence[str], chunk: str, order: str, size: str) -> DataFrame:
     """position: the chunk's offset plus the sizes of the samples before in the same chunk. A chunk is small by its format."""
     before = F.sum(size).over(Window.partitionBy(*keys, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))

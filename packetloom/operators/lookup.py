@@ -76,6 +76,29 @@ def seek_index(probes: DataFrame, packets: DataFrame, t: str, preroll: int, widt
     return found.withColumns({"start_idx": F.when(asked, start), "decode_from": F.when(asked, at)}).drop("__idx", "__kp", "pts_start")
 
 
+def nth_frame(wanted: DataFrame, packets: DataFrame, frame: str, width: int | None = None) -> DataFrame:
+    """wanted (stream_id, `frame`, from 0) with idx and pts of that frame in the order of time; NULL where a stream has fewer, or the number is negative. Packets without a time are no frames."""
+    timed = packets.filter("pts is not null").select("stream_id", "idx", "pts")
+    numbered = scan.row_number(timed, ["stream_id"], "pts", "__n", width, ["idx"])
+    return wanted.join(numbered.withColumnRenamed("__n", frame), ["stream_id", frame], "left")
+
+
+def clock_start(probes: DataFrame, segments: DataFrame, keys: Sequence[str], t: str, width: int | None = None) -> DataFrame:
+    """Where a live list is entered by the clock: for each probe the last segment that starts at t or before (seq), else the first that has a clock, and t set to when that one starts. A list without a clock
+    leaves t as it is and has no seq."""
+    known = segments.filter("clock_us is not null").select(*keys, "seq", F.col("clock_us").alias("__at"))
+    got = cue_for(probes, known, keys, t, "__at", ["seq", "__at"], width)
+    return got.withColumn(t, F.coalesce("__at", t)).drop("__at")
+
+
+def table_of_contents(percent: Column, entries: Column, size: Column) -> Column:
+    """The byte at a percentage of the playing time, by a table of a hundred entries of 256ths of the size, between which it is interpolated. NULL without a whole table."""
+    at = F.least(F.greatest(percent.cast("double"), F.lit(0.0)), F.lit(100.0))
+    low = F.least(F.floor(at), F.lit(99)).cast("int")
+    a, b = F.get(entries, low), F.coalesce(F.get(entries, low + 1), F.lit(256))
+    return F.when(F.size(entries) == 100, F.floor((a + (b - a) * (at - low)) * size / 256).cast("long"))
+
+
 def range_lookup(rows: DataFrame, steps: DataFrame, keys: Sequence[str], ordinal: str, first: str, take: Sequence[str], width: int = WIDTH) -> DataFrame:
     """A table of steps says from which ordinal on its values hold: left join of each row with its step."""
     return scan.as_of(rows, steps, keys, ordinal, first, take, width)

@@ -25,6 +25,11 @@ def merge_by_offset(chunks: DataFrame, keys: Sequence[str], offset: str, track:
     return scan.row_number(chunks, keys, offset, "position", width, [track])
 
 
+def by_position(index: DataFrame, position: str = "position", ties: Sequence[str] = ("stream_id", "idx"), width: int | None = None) -> DataFrame:
+    """`place` numbers the entries of an index in the order in which they stand in the file; those without a position have none."""
+    return scan.row_number(index, [], position, "place", width, ties)
+
+
 def concatenate(parts: Sequence[DataFrame], order: str) -> DataFrame:
     """One after the other; `part` says which."""
     out = None

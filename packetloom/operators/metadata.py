@@ -21,6 +21,28 @@ def comment_fallback(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     return lines.groupBy(*keys).agg(F.min_by("line", F.when(~F.col("line").contains("="), F.col("pos"))).alias("comment"))
 
 
+#: Two-letter language codes and the bibliographic three-letter ones.
+LANGUAGES = {
+    "ar": "ara", "bg": "bul", "bs": "bos", "ca": "cat", "cs": "cze", "cy": "wel", "da": "dan", "de": "ger", "el": "gre", "en": "eng", "es": "spa", "et": "est", "eu": "baq", "fa": "per", "fi": "fin", "fr": "fre",
+    "ga": "gle", "gl": "glg", "he": "heb", "hi": "hin", "hr": "hrv", "hu": "hun", "hy": "arm", "id": "ind", "is": "ice", "it": "ita", "ja": "jpn", "ka": "geo", "ko": "kor", "la": "lat", "lt": "lit", "lv": "lav",
+    "mk": "mac", "ms": "may", "nl": "dut", "no": "nor", "pl": "pol", "pt": "por", "ro": "rum", "ru": "rus", "sk": "slo", "sl": "slv", "sq": "alb", "sr": "srp", "sv": "swe", "th": "tha", "tr": "tur", "uk": "ukr",
+    "ur": "urd", "vi": "vie", "zh": "chi",
+}
+#: Terminological codes that differ from the bibliographic ones.
+TERMINOLOGICAL = {
+    "bod": "tib", "ces": "cze", "cym": "wel", "deu": "ger", "ell": "gre", "eus": "baq", "fas": "per", "fra": "fre", "hye": "arm", "isl": "ice", "kat": "geo", "mkd": "mac", "mri": "mao", "msa": "may", "mya": "bur",
+    "nld": "dut", "ron": "rum", "slk": "slo", "sqi": "alb", "zho": "chi",
+}
+
+
+def language(code: Column, more: dict[str, str] | None = None) -> Column:
+    """A language code as the bibliographic one of three letters; what stands behind a hyphen or an underscore is left out for the look-up. A code that isn't known stays as it is. `more`
+    adds codes or names, in lower case."""
+    table = LANGUAGES | TERMINOLOGICAL | (more or {})
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(code, "^([^-_]*)", 1))), F.try_element_at(known, F.lower(code)), code)
+
+
 def merge_maps(own: Column, inherited: Column) -> Column:
     """A track's own metadata, and the input's where the track has none of that key."""
     mine = F.coalesce(own, F.create_map().cast("map<string,string>"))

@@ -517,3 +517,26 @@ def fragment_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = rows.select("track", "fragment", "run").distinct().withColumn("offset", F.when((f + F.col("run")) % 2 == 0, 50 * (F.col("run") + 1)))
     tracks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("track"), (F.col("c_nationkey") + 1).cast("long").alias("duration"), (100 + F.col("c_nationkey")).cast("long").alias("size"))
     return fragments.samples(tracks, boxes, runs, rows)
+
+
+@query(f"""WITH f AS (SELECT stream_id, idx, pts, row_number() OVER (PARTITION BY stream_id ORDER BY pts, idx) - 1 AS n FROM {PACKETS}), w AS (SELECT o_orderkey, o_custkey AS stream_id, o_orderkey % 90 - 5 AS frame FROM orders)
+    SELECT w.o_orderkey, w.stream_id, w.frame, f.idx, f.pts FROM w LEFT JOIN f ON w.stream_id = f.stream_id AND w.frame = f.n""")
+def nth_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("stream_id"), (F.col("o_orderkey") % 90 - 5).alias("frame"))
+    return lookup.nth_frame(w, packets(spark, sf_dir), "frame").select("o_orderkey", "stream_id", "frame", "idx", "pts")
+
+
+@query(f"SELECT stream_id, idx, cents, row_number() OVER (ORDER BY cents, stream_id, idx) - 1 AS place FROM {PACKETS}")
+def index_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries in the order of where they stand, here the cents of an event."""
+    return merge.by_position(packets(spark, sf_dir), "cents").select("stream_id", "idx", "cents", "place")
+
+
+@query(f"""WITH s AS (SELECT stream_id, idx AS seq, CASE WHEN stream_id % 10 > 0 THEN pts END AS clock_us FROM {PACKETS}), p AS (SELECT o_orderkey, o_custkey AS stream_id, {T} + o_orderkey * 77777777 AS t FROM orders),
+    a AS (SELECT p.*, s.seq, s.clock_us FROM p ASOF LEFT JOIN (SELECT * FROM s WHERE clock_us IS NOT NULL) AS s ON p.stream_id = s.stream_id AND p.t >= s.clock_us), f AS (SELECT stream_id, arg_min(seq, clock_us) AS seq, min(clock_us) AS clock_us FROM s WHERE clock_us IS NOT NULL GROUP BY stream_id)
+    SELECT o_orderkey, coalesce(a.seq, f.seq) AS seq, coalesce(a.clock_us, f.clock_us, t) AS t FROM a LEFT JOIN f USING (stream_id)""")
+def clock_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live lists entered by the clock, some before they begin, some without a clock."""
+    s = packets(spark, sf_dir).select("stream_id", F.col("idx").alias("seq"), F.when(F.col("stream_id") % 10 > 0, F.col("pts")).alias("clock_us"))
+    p = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("stream_id"), (F.lit(T) + F.col("o_orderkey") * 77_777_777).alias("t"))
+    return lookup.clock_start(p, s, ["stream_id"], "t").select("o_orderkey", "seq", "t")

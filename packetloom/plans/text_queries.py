@@ -138,6 +138,34 @@ def attr_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", X.attribute("html", "lang").alias("lang"), X.attribute("html", "href").alias("href"), X.live_scheme("url").alias("live"), F.col("url").rlike("^https?://[^/]+/(de|fr)/").alias("chosen"))
 
 
+@query(r"""WITH u AS (SELECT page_id, url, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, regexp_extract(url, '[?&]ref=([^&#]*)', 1) AS ref FROM pages)
+    SELECT page_id, nullif(page, '') AS page, nullif(ref, '') AS ref, regexp_extract(url, '^([^#]*)', 1) || CASE WHEN contains(regexp_extract(url, '^([^#]*)', 1), '?') THEN '&' ELSE '?' END || 'id=' || page_id || '&x=y' || regexp_extract(url, '(#.*)$', 1) AS more,
+        regexp_matches(url, '^https:') OR regexp_matches(lower(url), '#top$') AS chosen FROM u""")
+def url_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").withColumn("v", X.url_variables("url"))
+    more = X.with_variables("url", F.create_map(F.lit("x"), F.lit("y"), F.lit("id"), F.col("page_id").cast("string")))
+    return p.select("page_id", F.col("v")["page"].alias("page"), F.col("v")["ref"].alias("ref"), more.alias("more"), X.named_like("url", ["HTTPS:"], ["#TOP"]).alias("chosen"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'ger' WHEN 'fr' THEN 'fre' WHEN 'es' THEN 'spa' ELSE lang END AS language, CASE WHEN doc_id % 2 = 0 THEN 'chi' ELSE 'klingon' END AS other FROM documents")
+def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = F.when(F.col("doc_id") % 2 == 0, "ZH-Hant").otherwise("klingon")
+    return table(spark, sf_dir, "documents").select("doc_id", metadata.language(F.col("lang")).alias("language"), metadata.language(other).alias("other"))
+
+
+@query(f"SELECT track, CAST(sum(count) AS BIGINT) AS samples FROM {RUNS} GROUP BY track")
+def timecode_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expand.total_samples(runs(spark, sf_dir), ["track"])
+
+
+@query("""WITH c AS (SELECT c_custkey, abs(c_acctbal) / 90 AS percent, [least(255, i * 5 // 2 + c_custkey % 3) for i in range(0, 100)] AS toc, c_custkey * 1000 AS size FROM customer), p AS (SELECT *, least(greatest(percent, 0), 100) AS pc, CAST(least(floor(least(greatest(percent, 0), 100)), 99) AS INTEGER) AS low FROM c)
+    SELECT c_custkey, CAST(floor((toc[low + 1] + (coalesce(toc[low + 2], 256) - toc[low + 1]) * (pc - low)) * size / 256) AS BIGINT) AS position FROM p""")
+def toc_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    toc = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.least(F.lit(255), F.floor(i * 5 / 2) + F.col("c_custkey") % 3))
+    return c.select("c_custkey", lookup.table_of_contents(F.abs("c_acctbal") / 90, toc, F.col("c_custkey") * 1000).alias("position"))
+
+
 @query("SELECT o_orderkey, CAST(o_orderkey * 1000 + 7 AS BIGINT) AS srt_ms, CAST(((o_orderkey % 75) + 75 * (o_orderkey % 60 + 60 * (o_orderkey % 90))) * 588 AS BIGINT) AS cd_samples FROM orders")
 def cue_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -310,6 +338,12 @@ def asx_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.parse_asx(_lists(spark, sf_dir, '<ASX version="3.0">', entry))
 
 
+@query(f"SELECT source, count(*) AS urls FROM {_HOSTS} GROUP BY source")
+def asx_url_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = F.concat(F.lit("<Entry><Repeat>"), F.lit('<REF HREF = "'), F.col("url"), F.lit('"/></Repeat></Entry>'))
+    return L.count_urls(_lists(spark, sf_dir, '<ASX version="3.0">', entry))
+
+
 @query(f"SELECT source, seq, uri, duration_us, discontinuity FROM (SELECT source, 100 + ord AS seq, url AS uri, page_id % 9 * 1000000 + 250000 AS duration_us, page_id % 4 = 0 AS discontinuity FROM {_HOSTS})")
 def live_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_ = F.when(F.col("page_id") % 4 == 0, "#EXT-X-DISCONTINUITY\r\n").otherwise("")

@@ -135,6 +135,11 @@ def parse_asx(files: DataFrame, width: int = WIDTH) -> DataFrame:
     return out.select("source", "ord", "uri", F.coalesce("title", F.concat(F.lit("Stream "), (F.col("ord") + 1).cast("string"))).alias("label"))
 
 
+def count_urls(files: DataFrame) -> DataFrame:
+    """source, urls: how many addresses a list of markup has, at any depth: references of ASX, sounds and pictures of SMIL."""
+    return files.select("source", (F.size(_tags("text", "ref")) + F.size(_tags("text", "audio")) + F.size(_tags("text", "video"))).cast("long").alias("urls"))
+
+
 def parse_smil(files: DataFrame) -> DataFrame:
     """source, ord, uri, label: audio and video sources, relative ones behind the base of the head, else behind the file's folder."""
     meta = lambda name: F.regexp_extract("text", rf'(?is)<meta\b[^>]*name\s*=\s*["\']{name}["\'][^>]*content\s*=\s*["\']([^"\']*)', 1)

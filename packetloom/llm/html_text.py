@@ -4,9 +4,11 @@ A tree builder turns tags into matched openings and closings: it closes paragrap
 the next tag implies, opens rows and tables that a cell implies, ignores closings of what isn't open, and lets no
 closing leave its table cell. It knows where each name was opened last, so a tag costs the same at any depth. A renderer
 follows the openings and closings, so neither needs recursion. It leaves out what visibility rules hide (head, script, style and
-the like, `hidden`, display: none, dialogs that aren't open; visibility: hidden, unless a descendant is visible again), collapses
-white space outside pre, puts one blank line around paragraphs, headings, lists and tables, marks and indents list items, and pads
-table cells to the width of their column: that of its widest line, of lines of at most PAD characters. Longer lines stay whole, unpadded.
+the like, `hidden`, display: none, dialogs that aren't open, details that aren't but for their summary; visibility: hidden, unless a descendant is visible
+again), collapses white space outside pre, puts one blank line around paragraphs, headings, lists and tables, marks and indents list items (numbers follow
+start, value and reversed), and pads table cells to the width of their column: that of its widest line. Rows are padded in runs: where very long lines would make
+others many times their size, a new run with widths of its own begins, so padding stays in proportion to the text. What style sheets hide is not known, only what
+attributes do.
 """
 
 from __future__ import annotations
@@ -57,8 +59,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
-#: Columns to which a cell is padded at most.
-PAD = 60
+#: Columns to which any cell may be padded; beyond that, padding of a run is at most so many times its text, and some more.
+PAD, TIMES, FREE = 60, 2, 4096
 SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -231,29 +233,47 @@ class _Table:
             self.down |= dict.fromkeys(range(self.column, self.column + wide), (row + high - 1, self.column + wide))
         self.column += wide
 
-    def render(self) -> list[str]:
-        columns: dict[int, int] = {}
+    def runs(self) -> list[tuple[list, dict[int, int]]]:
+        """Rows that are padded together, and the widths of their columns."""
+        out: list[tuple[list, dict[int, int]]] = []
+        rows, columns, high, size, beyond = [], {}, 0, 0, 0
         for row in self.rows:
+            own, text = {}, 0
             for c, wide, lines in row:
+                at = [width(line) for line in lines]
+                text += sum(at)
                 if wide == 1:
-                    columns[c] = max([columns.get(c, 0), *(w for w in map(width, lines) if w <= PAD)])
+                    own[c] = max([own.get(c, 0), *at])
+            lines = max((len(lines) for _, _, lines in row), default=0)
+            more = sum(max(0, w - max(PAD, columns.get(c, 0))) for c, w in own.items())
+            if rows and (high + lines) * (beyond + more) > TIMES * (size + text) + FREE:
+                out.append((rows, columns))
+                rows, columns, high, size, beyond = [], {}, 0, 0, 0
+                more = sum(max(0, w - PAD) for w in own.values())
+            rows.append(row)
+            columns |= {c: max(columns.get(c, 0), w) for c, w in own.items()}
+            high, size, beyond = high + lines, size + text, beyond + more
+        return out + [(rows, columns)]
+
+    def render(self) -> list[str]:
         out = list(self.caption)
-        known, ends, x = sorted(columns), [0], 0
-        for c in known:
-            x += columns[c] + 3
-            ends.append(x)
-        for row in self.rows:
-            for k in range(max((len(lines) for _, _, lines in row), default=0)):
-                line, at = [], 0
-                for c, _, lines in row:
-                    s = lines[k] if k < len(lines) else ""
-                    if c:
-                        start = ends[bisect_left(known, c)]
-                        line.append(" " * max(0, start - 3 - at) + " | ")
-                        at = max(at + 3, start)
-                    line.append(s)
-                    at += width(s)
-                out.append("".join(line).rstrip(" "))
+        for rows, columns in self.runs():
+            known, ends, x = sorted(columns), [0], 0
+            for c in known:
+                x += columns[c] + 3
+                ends.append(x)
+            for row in rows:
+                for k in range(max((len(lines) for _, _, lines in row), default=0)):
+                    line, at = [], 0
+                    for c, _, lines in row:
+                        s = lines[k] if k < len(lines) else ""
+                        if c:
+                            start = ends[bisect_left(known, c)]
+                            line.append(" " * max(0, start - 3 - at) + " | ")
+                            at = max(at + 3, start)
+                        line.append(s)
+                        at += width(s)
+                    out.append("".join(line).rstrip(" "))
         return out
 
 
@@ -273,19 +293,46 @@ def _count(value: str | None, most: int) -> int:
     return max(1, min(most, int(m[1]))) if m else 1
 
 
+def _number(value: str | None) -> int | None:
+    m = re.match(r"\s*([+-]?\d{1,9})", value or "")
+    return int(m[1]) if m else None
+
+
+def _items(page: str) -> list[int]:
+    """How many items that are shown each ordered list has, in the order in which they open."""
+    counts: list[int] = []
+    lists: list[int | None] = []
+    for kind, name, attributes in events(page):
+        if kind == "open" and name in ("ul", "ol", "menu"):
+            lists.append(len(counts) if name == "ol" else None)
+            counts += [0] * (name == "ol")
+        elif kind == "open" and name == "li" and lists and lists[-1] is not None:
+            counts[lists[-1]] += not _hidden(name, attributes)
+        elif kind == "close" and name in ("ul", "ol", "menu") and lists:
+            lists.pop()
+    return counts
+
+
 def render(page: str) -> str:
     """The visible text of a page."""
+    items = iter(_items(page) if "reversed" in page.lower() else ())
     flows, tables, lists = [_Flow()], [], []
     hidden, pre = 0, 0
     shown: list[bool] = []  # of the open elements, whether each one hides
     visible = [True]  # of them, whether their text can be seen
+    folds: list[list[bool]] = [[]]  # of them, of closed details whether a summary has come
     for kind, name, attributes in events(page):
         flow = flows[-1]
         if kind == "text":
-            if not hidden and visible[-1]:
+            if not hidden and visible[-1] and not folds[-1]:
                 flow.text(name, pre > 0)
         elif kind == "open":
             hides = bool(hidden) or _hidden(name, attributes)
+            if folds[-1]:
+                hides |= name != "summary" or folds[-1][0]
+                folds[-1][0] |= name == "summary"
+            folds.append([False] if name == "details" and "open" not in attributes else [])
+            listed = next(items, 0) if name == "ol" else 0
             shown.append(hides)
             hidden += hides
             told = VISIBILITY.findall(attributes.get("style", ""))
@@ -311,12 +358,16 @@ def render(page: str) -> str:
             elif name in BLOCK:
                 flow.block(name in SPACED and not (name in ("ul", "ol") and lists))
                 if name in ("ul", "ol", "menu"):
-                    lists.append([name, _count(attributes.get("start"), 999999) if name == "ol" else 0])
+                    down = name == "ol" and "reversed" in attributes
+                    first = _number(attributes.get("start")) if name == "ol" else 0
+                    lists.append([name, (listed if down else 1) if first is None else first, -1 if down else 1])
                 elif name == "li":
                     mark = "- "
                     if lists and lists[-1][0] == "ol":
+                        if (said := _number(attributes.get("value"))) is not None:
+                            lists[-1][1] = said
                         mark = f"{lists[-1][1]}. "
-                        lists[-1][1] += 1
+                        lists[-1][1] += lists[-1][2]
                     flow.indent.append(" " * len(mark))
                     flow.mark = mark if visible[-1] else ""
                 elif name == "dd":
@@ -331,6 +382,7 @@ def render(page: str) -> str:
         else:
             hides = shown.pop()
             visible.pop()
+            folds.pop()
             hidden -= hides
             if hides:
                 continue

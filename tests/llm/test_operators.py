@@ -766,6 +766,62 @@ def test_html_visibility(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<details>body<summary>head</summary>more<summary>second</summary><p>x</details>y", "head\ny"), ("<details open><summary>head</summary>body</details>", "head\nbody"),
+    ("<details><details open>in</details></details>z", "z"), ("<details><div><summary>s</summary></div>x</details>", ""), ("<details><summary>a<details><summary>b</summary>c</details></summary>d</details>", "a\nb"),
+    ("<ol><li>a<li value=9>b<li>c<li value=x>d</ol>", "1. a\n9. b\n10. c\n11. d"), ("<ol start=-1><li>a<li>b<li>c</ol>", "-1. a\n0. b\n1. c"), ("<ol reversed><li>a<li hidden>no<li>b</ol>", "2. a\n1. b"),
+    ("<ol reversed start=7><li>a<li value=3>b<li>c</ol>", "7. a\n3. b\n2. c"), ("<ol><li>a<ol reversed><li>x<li>y</ol><li>b</ol>", "1. a\n   2. x\n   1. y\n2. b"), ("<ul><li value=4>a</ul>", "- a"),
+])
+def test_html_details_and_numbers(page, text):
+    assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_html_tables_of_any_width_with_spans_and_lists(seed):
+    """Against a plain layout: a grid that spans and lists take their places in, every column as wide as its widest line."""
+    rng = random.Random(seed)
+    for _ in range(20):
+        n, m = rng.randint(1, 5), rng.randint(2, 4)
+        free, grid, page = [[True] * m for _ in range(n)], [], "<table>"
+        for r in range(n):
+            page += "<tr>"
+            grid.append([])
+            for c in range(m):
+                if not free[r][c]:
+                    continue
+                wide = rng.choice([1, 1, 1, 2]) if c + 1 < m and free[r][c + 1] else 1
+                high = rng.choice([1, 1, 1, 2]) if r + 1 < n else 1
+                for y in range(r, r + high):
+                    for x in range(c, c + wide):
+                        free[y][x] = False
+                kind = rng.choice(["text", "list", "long", "none"])
+                items = [rng.choice(["a", "bb", "ccc ccc"]) for _ in range(rng.randint(1, 3))]
+                lines = {"text": [items[0]], "list": [f"{k}. {x}" for k, x in enumerate(items, 1)], "long": ["w" * rng.randint(61, 90)], "none": []}[kind]
+                inner = {"text": items[0], "list": "<ol><li>" + "<li>".join(items) + "</ol>", "long": "".join(lines), "none": ""}[kind]
+                page += f"<td colspan={wide} rowspan={high}>{inner}"
+                grid[-1].append((c, wide, lines))
+        widths = {c: max(len(x) for row in grid for at, wide, lines in row if at == c and wide == 1 for x in ["", *lines]) for c in {at for row in grid for at, wide, _ in row if wide == 1}}
+        want = []
+        for row in grid:
+            for k in range(max((len(lines) for _, _, lines in row), default=0)):
+                line = ""
+                for c, _, lines in row:
+                    if c:
+                        line = line.ljust(sum(widths.get(x, -3) + 3 for x in range(c)) - 3) + " | "
+                    line += lines[k] if k < len(lines) else ""
+                want.append(line.rstrip(" "))
+        assert html_text.render(page).split("\n") == ("\n".join(want).strip("\n") or "").split("\n")
+
+
+def test_html_padding_stays_in_proportion():
+    """One very long line widens the rows near it, not all."""
+    page = "<table>" + "<tr><td>a<td>b" * 3000 + "<tr><td>" + "y" * 50_000 + "<td>z" + "<tr><td>a<td>b" * 3000 + "</table>"
+    lines = html_text.render(page).split("\n")
+    assert len(lines) == 6001 and sum(map(len, lines)) < 4 * len(page) and lines[0] == "a | b" == lines[-1]
+    near = "<table><tr><td>" + "x" * 70 + "<td>b<tr><td>y<td>c</table>"
+    assert html_text.render(near).split("\n") == ["x" * 70 + " | b", "y" + " " * 69 + " | c"]
+
+
 def test_html_costs_grow_with_the_page():
     """Deep pages, wide spans and long cells."""
     import time

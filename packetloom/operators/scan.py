@@ -87,7 +87,7 @@ class Pieces:
 
 Width = int | Pieces
 
-#: Fractions of the rows between which widths may differ, with ever smaller ones at both ends; how exact they are; and from how many times the mean on a piece counts as dense.
+#: Fractions of the rows between which widths may differ, with ever smaller ones at both ends; how exact they are; and how many times its rows a block may hold before widths differ.
 QUANTILES = [*(2.0**-k for k in range(15, 7, -1)), *(k / 128 for k in range(1, 128)), *(1 - 2.0**-k for k in range(8, 16))]
 ACCURACY, DENSE, SPAN, TOP = 50_000, 4, 1 << 44, 16
 
@@ -108,7 +108,9 @@ def width_for(df: DataFrame, order: str, rows: int = ROWS) -> Width:
         else:
             share[-1] = q
     widths = [max(1, min(1 << 62, int((b - a) * rows / max(1.0, (q - p) * r.n)))) for a, b, p, q in zip(at, at[1:], share, share[1:])]
-    if r.n <= rows or min(widths, default=whole) * DENSE >= whole:
+    spans = list(zip(at, at[1:], ((q - p) * r.n for p, q in zip(share, share[1:]))))
+    densest = max((sum(n * min(1.0, (a + whole - x) / (y - x)) for x, y, n in spans if a <= x < a + whole) for a, _, _ in spans), default=0)
+    if densest <= DENSE * rows:  # no block of one width would hold much more than it should
         return whole
     return Pieces(tuple(at[1:-1]), tuple(widths))
 

@@ -8,9 +8,10 @@ the others exactly, by 128 bits of the window's words (the words themselves are
 alarm costs a row. A window that a document holds many times is one row of it, with all its places.
 
 Windows estimated in `hot_docs` documents or more are summed up by each task before they are shuffled, and their least document
-is looked up, for the most frequent ones by broadcast; all others have groups of fewer rows than that. The sketch has two rows of at most
-`max_cells` cells, of which two bits a cell reach the driver; on more text than that suits, more windows are
-grouped, and the result is the same.
+is looked up, for the most frequent ones by broadcast; all others have groups of fewer rows than that. The sketch grows with the text.
+Up to two rows of `max_cells` cells, two bits a cell reach the driver and are broadcast. Beyond that there is a sketch of its own for each range of the
+anchors' hash, and nothing of it leaves the tasks: the anchors, written once, are dealt to the ranges, meet the bits of theirs, and those that may repeat
+go back to their texts. A range with many anchors, as one that a third of all documents hold, is dealt to several tasks, each with its bits.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import HOT as HOT_KEYS
 from .common import body, cut, fresh, lookup_join
 
 RUN = 16
 ROWS, BLOCK = 2, 1 << 16
 #: A window in so many documents would weigh on one task; the ways of hot windows cost two shuffles.
 HOT = 10_000
+#: Cells that are counted in one range, at least, before its anchors are dealt to several tasks.
+PART = 1 << 16
 #: Characters that are hashed at once, words of a longer text's segment, and words that are remembered.
 CHUNK, SEGMENT, CACHE = 1 << 20, 1 << 18, 400_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -141,73 +145,131 @@ def _cells(anchor: np.ndarray, cells: int) -> list[np.ndarray]:
     return [((h >> np.uint64(32 * r)) & np.uint64(cells - 1)).astype(np.int64) + r * cells for r in range(ROWS)]
 
 
+def _cells_of_ranges(anchor: np.ndarray, ranges: int) -> list[np.ndarray]:
+    """The same where each range of the hash has a block of its own, half of it for each row."""
+    h = _mix(anchor ^ np.uint64(0x1234567))
+    block, half = ((h >> np.uint64(30)) & np.uint64(ranges - 1)).astype(np.int64) << 16, np.uint64(BLOCK // ROWS - 1)
+    return [block + ((h >> np.uint64(15 * r)) & half).astype(np.int64) + r * (BLOCK // ROWS) for r in range(ROWS)]
+
+
+def _packed(places: list[np.ndarray]) -> pa.RecordBatch:
+    """Counts of cells, a row for each block: places, counts, and their sum."""
+    place, n = np.unique(np.concatenate(places), return_counts=True)
+    block = place >> 16
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    ends = np.append(starts[1:], len(block))
+    low, few = (place & 0xFFFF).astype(np.uint16), np.minimum(n, 65535).astype(np.uint16)
+    cut_up = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(block[starts]), cut_up(low), cut_up(few), pa.array(np.add.reduceat(n, starts))], ["block", "place", "n", "total"])
+
+
+def _once_a_text(texts: list[bytes], window: int):
+    """Anchors, each once a text, and their texts' numbers; None without any."""
+    if (got := _windows(texts, window)) is None:
+        return None
+    row, _, _, _, anchor = got
+    new = np.flatnonzero((np.diff(anchor, prepend=~anchor[0]) != 0) | (np.diff(row, prepend=-1) != 0))
+    row, anchor = row[new], anchor[new]
+    order = np.lexsort((anchor, row))
+    row, anchor = row[order], anchor[order]
+    keep = np.ones(len(row), bool)
+    keep[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+    return row[keep], anchor[keep]
+
+
 def _count(cells: int, window: int):
     """The sketch of a task, block by block: places with counts."""
 
-    def out(found: list[np.ndarray]):
-        place, n = np.unique(np.concatenate([c for a in found for c in _cells(a, cells)]), return_counts=True)
-        n = np.minimum(n, 65535).astype(np.uint16)
-        block = place >> 16
-        starts = np.flatnonzero(np.diff(block, prepend=-1))
-        ends = np.append(starts[1:], len(block))
-        low = (place & 0xFFFF).astype(np.uint16)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(block[starts]), pa.array([low[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())],
-            ["block", "place", "n"],
-        )
-
     def run(batches):
         found, size = [], 0
         for batch in batches:
             for _, texts in _chunks(batch, 0):
-                if (got := _windows(texts, window)) is None:
+                if (got := _once_a_text(texts, window)) is None:
                     continue
-                row, _, _, _, anchor = got
-                new = np.flatnonzero((np.diff(anchor, prepend=~anchor[0]) != 0) | (np.diff(row, prepend=-1) != 0))
-                row, anchor = row[new], anchor[new]
-                order = np.lexsort((anchor, row))  # a text counts once
-                row, anchor = row[order], anchor[order]
-                keep = np.ones(len(row), bool)
-                keep[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
-                found.append(anchor[keep])
-                size += keep.sum()
+                found += _cells(got[1], cells)
+                size += len(got[1])
                 if size > 1 << 20:
-                    yield out(found)
+                    yield _packed(found)
                     found, size = [], 0
         if found:
-            yield out(found)
+            yield _packed(found)
+
+    return run
+
+
+def _anchors(window: int):
+    """id, tag, text -> id, tag, anchor, each anchor once a text."""
+
+    def run(batches):
+        for batch in batches:
+            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for first, texts in _chunks(batch, 2):
+                if (got := _once_a_text(texts, window)) is None:
+                    continue
+                row = first + got[0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(tags[row]), pa.array(got[1].view(np.int64))], ["id", "tag", "anchor"])
+
+    return run
+
+
+def _count_ranges(ranges: int):
+    """anchor -> the sketches of a task, range by range. An anchor that many rows hold is one entry."""
+
+    def run(batches):
+        found, size = [], 0
+        for batch in batches:
+            found += _cells_of_ranges(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), ranges)
+            size += batch.num_rows
+            if size > 1 << 20:
+                yield _packed(found)
+                found, size = [], 0
+        if size:
+            yield _packed(found)
 
     return run
 
 
 def _merge(hot_docs: int):
-    """Sorted by block; a block's bits for counts of two and of hot_docs."""
+    """Sorted by block; a block's bits for counts of two and of hot_docs, and the sum of its counts."""
 
-    def closed(at, count):
+    def closed(at, count, total):
         bits = [pa.array([np.packbits(count >= least).tobytes()], pa.binary()) for least in (2, hot_docs)]
-        return pa.RecordBatch.from_arrays([pa.array([at]), *bits], ["block", "two", "hot"])
+        return pa.RecordBatch.from_arrays([pa.array([at]), *bits, pa.array([total])], ["block", "two", "hot", "total"])
 
     def run(batches):
-        at, count = None, np.zeros(BLOCK)
+        at, count, total = None, np.zeros(BLOCK), 0
         for batch in batches:
-            for block, place, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for block, place, n, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if block != at:
                     if at is not None:
-                        yield closed(at, count)
-                    at, count = block, np.zeros(BLOCK)
+                        yield closed(at, count, total)
+                    at, count, total = block, np.zeros(BLOCK), 0
                 count[np.frombuffer(place, np.uint16)] += np.frombuffer(n, np.uint16)
+                total += own
         if at is not None:
-            yield closed(at, count)
+            yield closed(at, count, total)
 
     return run
 
 
+def _merged(counted: DataFrame, parts: int | None, hot_docs: int) -> DataFrame:
+    by_block = counted.repartition(parts, "block") if parts else counted.repartition("block")
+    return by_block.sortWithinPartitions("block").mapInArrow(_merge(hot_docs), "block long, two binary, hot binary, total long")
+
+
+def _all_set(bits: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+    ok = np.ones(len(at[0]), bool)
+    for c in at:
+        ok &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+    return ok
+
+
 def _sketch(texts: DataFrame, cells: int, window: int, hot_docs: int):
     """Broadcast bits of the merged sketch, and whether a cell is hot. At most ROWS * cells / 4 bytes pass through the driver."""
     spark = texts.sparkSession
     parts = max(1, min(ROWS * cells // BLOCK, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    counted = texts.mapInArrow(_count(cells, window), "block long, place binary, n binary")
-    merged = counted.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_merge(hot_docs), "block long, two binary, hot binary")
+    counted = texts.mapInArrow(_count(cells, window), "block long, place binary, n binary, total long")
+    merged = _merged(counted, parts, hot_docs).drop("total")
     two, hot = bytearray(ROWS * cells // 8), bytearray(ROWS * cells // 8)
     for r in merged.collect():
         where = slice(r.block * BLOCK // 8, (r.block + 1) * BLOCK // 8)
@@ -215,8 +277,72 @@ def _sketch(texts: DataFrame, cells: int, window: int, hot_docs: int):
     return spark.sparkContext.broadcast((bytes(two), bytes(hot))), any(hot)
 
 
+def _meet(ranges: int):
+    """Sorted by block and part, each one's bits first: of the anchors, those that may repeat, and whether they are hot."""
+
+    def run(batches):
+        two = hot = None
+        for batch in batches:
+            block, part = (batch.column(k).to_numpy() for k in (0, 1))
+            starts = np.flatnonzero((np.diff(block, prepend=block[0] - 1) != 0) | (np.diff(part, prepend=part[0]) != 0)) if len(block) else []
+            for a, b in zip(starts, [*starts[1:], len(block)]):
+                if batch.column(5)[a].is_valid:
+                    two, hot = (np.frombuffer(batch.column(k)[a].as_py(), np.uint8) for k in (5, 6))
+                    a += 1
+                if a == b:
+                    continue
+                own = batch.slice(a, b - a)
+                at = [c & (BLOCK - 1) for c in _cells_of_ranges(own.column(4).to_numpy().view(np.uint64), ranges)]
+                may = pa.array(_all_set(two, at))
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in (2, 3, 4)), pa.array(_all_set(hot, at))], ["id", "tag", "anchor", "hot"]).filter(may)
+
+    return run
+
+
+def _repeated_anchors(keyed: DataFrame, cells: int, window: int, hot_docs: int) -> DataFrame:
+    """id, tag, anchor, hot of the anchors that may occur in several texts, by a sketch for each range of their hash; written."""
+    ranges = ROWS * cells // BLOCK
+    known = cut(keyed.mapInArrow(_anchors(window), "id long, tag long, anchor long"))
+    bits = cut(_merged(known.select("anchor").mapInArrow(_count_ranges(ranges), "block long, place binary, n binary, total long"), None, hot_docs))
+    floor = max(PART, ROWS * known.count() // HOT_KEYS)
+    bits = bits.withColumn("parts", F.ceil(F.col("total") / floor).cast("int"))
+    many = bits.filter("parts > 1").select("block", "parts")  # at most HOT_KEYS, by the sum of the totals
+
+    @F.arrow_udf("long")
+    def block_of(anchor: pa.Array) -> pa.Array:
+        return pa.array(_cells_of_ranges(anchor.to_numpy().view(np.uint64), ranges)[0] >> 16)
+
+    none = F.lit(None).cast("long")
+    asked = known.withColumn("block", block_of("anchor")).join(F.broadcast(many), "block", "left")
+    part = F.coalesce(F.pmod(F.xxhash64("id", "tag"), F.col("parts")), F.lit(0)).cast("int").alias("part")
+    asked = asked.select("block", part, "id", "tag", "anchor", F.lit(None).cast("binary").alias("two"), F.lit(None).cast("binary").alias("hot"))
+    told = bits.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), none.alias("id"), none.alias("tag"), none.alias("anchor"), "two", "hot")
+    met = told.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", F.col("two").isNull())
+    return cut(met.mapInArrow(_meet(ranges), "id long, tag long, anchor long, hot boolean"))
+
+
 def _candidates(held, cells: int, window: int, wanted: bool):
-    """id, tag, text -> the windows that may repeat, hot ones or the others as wanted: h1, h2, id, place (the first one, with the tag), more
+    """id, tag, text -> the windows that may repeat, hot ones or the others as wanted, as _sent has them."""
+
+    def start():
+        two, hot = (np.frombuffer(b, np.uint8) for b in held.value)
+
+        def chosen(anchor, batch, first, n):
+            at = _cells(anchor, cells)
+            return _all_set(two, at) & (_all_set(hot, at) == wanted)
+
+        return chosen
+
+    return _sent(start, window)
+
+
+def _listed(window: int):
+    """id, tag, text, anchors that may repeat -> their windows, as _sent has them. An anchor is listed for all texts with it or for none."""
+    return _sent(lambda: lambda anchor, batch, first, n: np.isin(anchor, batch.column(3).slice(first, n).flatten().to_numpy().view(np.uint64)), window)
+
+
+def _sent(start, window: int):
+    """id, tag, text -> the windows whose anchors are chosen: h1, h2, id, place (the first one, with the tag), more
     (the other places of the same window in the text, 32 bits each; null without any)."""
 
     def once(row, h1, h2):
@@ -228,14 +354,7 @@ def _candidates(held, cells: int, window: int, wanted: bool):
         return order, np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
 
     def run(batches):
-        two, hot = (np.frombuffer(b, np.uint8) for b in held.value)
-
-        def all_set(bits, at):
-            ok = np.ones(len(at[0]), bool)
-            for c in at:
-                ok &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-            return ok
-
+        chosen = start()
         for batch in batches:
             ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for first, texts in _chunks(batch, 2):
@@ -243,9 +362,8 @@ def _candidates(held, cells: int, window: int, wanted: bool):
                     continue
                 row, place, h1, h2, anchor = got
                 edge = np.flatnonzero(np.diff(anchor, prepend=~anchor[0]) != 0)
-                at = _cells(anchor[edge], cells)
                 run_of = np.cumsum(np.diff(anchor, prepend=~anchor[0]) != 0) - 1
-                keep = np.flatnonzero((all_set(two, at) & (all_set(hot, at) == wanted))[run_of])
+                keep = np.flatnonzero(chosen(anchor[edge], batch, first, len(texts))[run_of])
                 if not len(keep):
                     continue
                 row, place, h1, h2 = first + row[keep], place[keep], h1[keep], h2[keep]
@@ -275,11 +393,18 @@ def _keys(docs: DataFrame, id_col: str, text_col: str):
 def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_cells: int = 1 << 26, hot_docs: int = HOT) -> DataFrame:
     """id, tag, starts, more: where windows start, in words, that also start in a row with a smaller id: as numbers, and 32 bits each."""
     chars = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
-    cells = min(max_cells, max(BLOCK, 1 << (chars // 40).bit_length()))
-    held, some_hot = _sketch(docs.select(body(text_col).alias("text")), cells, window, hot_docs)
+    cells = max(BLOCK, 1 << (chars // 40).bit_length())
     doc, tag = _keys(docs, id_col, text_col)
     keyed = docs.select(doc.alias("id"), tag.alias("tag"), body(text_col).alias("text"))
-    rows = lambda hot: keyed.mapInArrow(_candidates(held, cells, window, hot), "h1 long, h2 long, id long, place long, more binary")
+    kind = "h1 long, h2 long, id long, place long, more binary"
+    if cells <= max_cells:
+        held, some_hot = _sketch(keyed.select("text"), cells, window, hot_docs)
+        rows = lambda hot: keyed.mapInArrow(_candidates(held, cells, window, hot), kind)
+    else:
+        anchors = _repeated_anchors(keyed, cells, window, hot_docs)
+        some_hot = not anchors.filter("hot").isEmpty()
+        lists = lambda hot: anchors.filter(F.col("hot") == hot).groupBy("id", "tag").agg(F.collect_set("anchor").alias("anchors"))
+        rows = lambda hot: keyed.join(lists(hot), ["id", "tag"]).select("id", "tag", "text", "anchors").mapInArrow(_listed(window), kind)
     places = rows(False).withColumn("first", F.min("id").over(Window.partitionBy("h1", "h2"))).filter("id > first").select("id", "place", "more")
     if some_hot:
         often = cut(rows(True))

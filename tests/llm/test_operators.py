@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -301,6 +302,47 @@ def test_substring_dedup_hot_windows_and_a_full_sketch(spark):
         assert sorted_rows(substring_dedup.assign(docs, max_cells=cells, hot_docs=20), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+@pytest.mark.parametrize(("hot_docs", "part"), [(10_000, 1 << 16), (2, 1 << 16), (20, 50)])
+def test_substring_dedup_by_ranges(spark, odd, odd_rows, monkeypatch, hot_docs, part):
+    """The way of texts whose sketch is too large to broadcast gives the same rows: odd texts, hot windows, ranges dealt to several tasks, no rows."""
+    monkeypatch.setattr(substring_dedup, "PART", part)
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    run = lambda docs, **more: sorted_rows(substring_dedup.assign(docs, max_cells=0, hot_docs=hot_docs, **more), *columns)
+    assert run(odd, window=10) == brute_substrings(texts_of(odd_rows), 10)
+    rng = random.Random(4)
+    passage, other = words(rng, 60), words(rng, 55)
+    rows = [(i, words(rng, 20) + " " + (passage if i % 3 else other) + " " + words(rng, 20)) for i in range(260)]
+    rows += [(1000, "x " * 5_000), (1001, "x " * 80), (1002, "a b " * 200), (1003, "b a " * 150 + "c"), (1004, None), (1005, ""), (None, passage), (3, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert run(docs) == brute_substrings([(i, t or "") for i, t in rows], 50)
+    assert run(docs.limit(0)) == []
+
+
+def test_substring_sketches_of_ranges_stay_as_empty_at_any_size():
+    """128 ranges as full as texts make them: of anchors that occur once at most a tenth pass, none that repeats is lost, and hot ones are told."""
+    ranges = 128
+    rng = np.random.default_rng(7)
+    n = ranges * substring_dedup.BLOCK // substring_dedup.ROWS * 40 // 130
+    single, twice, often = (rng.integers(-(1 << 63), 1 << 63, k) for k in (n, 5_000, 3))
+    anchors = rng.permutation(np.concatenate([single, twice, twice, np.repeat(often, 500)]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], ["anchor"]) for x in np.array_split(anchors, 7)]
+    counted = pa.Table.from_batches(substring_dedup._count_ranges(ranges)(batches)).sort_by("block").to_batches()
+    bits = pa.Table.from_batches(substring_dedup._merge(400)(counted)).sort_by("block")
+    assert bits.num_rows == ranges and sum(bits["total"].to_pylist()) == substring_dedup.ROWS * len(anchors)
+    block = substring_dedup._cells_of_ranges(anchors.view(np.uint64), ranges)[0] >> 16
+    kind = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("id", pa.int64()), ("tag", pa.int64()), ("anchor", pa.int64()), ("two", pa.binary()), ("hot", pa.binary())])
+    asked = []
+    for k, two, hot in zip(bits["block"].to_pylist(), bits["two"].to_pylist(), bits["hot"].to_pylist()):
+        own = anchors[block == k]
+        nothing = [None] * len(own)
+        rows = [[k] * (len(own) + 1), [0] * (len(own) + 1), [None, *range(len(own))], [None, *[0] * len(own)], [None, *own.tolist()], [two, *nothing], [hot, *nothing]]
+        asked += pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(rows, kind)], schema=kind).to_batches(max_chunksize=4_000)
+    met = pa.Table.from_batches(substring_dedup._meet(ranges)(asked))
+    passed = met["anchor"].to_numpy()
+    assert np.isin(twice, passed).all() and np.isin(single, passed).mean() < 0.1
+    assert set(often.tolist()) <= set(met.filter(met["hot"])["anchor"].to_pylist()) and sum(met["hot"].to_pylist()) < 3_000
+
+
 @pytest.mark.parametrize("hot_docs", [2, 10_000])
 def test_substring_dedup_of_windows_that_a_text_repeats(spark, hot_docs):
     """A window 10^5 times in one text is one row of it; texts of few different windows, in hot groups and others."""

@@ -392,10 +392,21 @@ def _keys(docs: DataFrame, id_col: str, text_col: str):
 
 def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_cells: int = 1 << 26, hot_docs: int = HOT) -> DataFrame:
     """id, tag, starts, more: where windows start, in words, that also start in a row with a smaller id: as numbers, and 32 bits each."""
-    chars = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
-    cells = max(BLOCK, 1 << (chars // 40).bit_length())
+    wide, k, t = _wide(docs, id_col, text_col)
+    return _places(wide, k, t, text_col, window, max_cells, hot_docs)
+
+
+def _wide(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """docs with id and tag for comparison, and these columns' names."""
+    k, t = fresh(docs, "id_key", "tag_key")
     doc, tag = _keys(docs, id_col, text_col)
-    keyed = docs.select(doc.alias("id"), tag.alias("tag"), body(text_col).alias("text"))
+    return docs.withColumns({k: doc, t: tag}), k, t
+
+
+def _places(wide: DataFrame, k: str, t: str, text_col: str, window: int, max_cells: int, hot_docs: int) -> DataFrame:
+    chars = wide.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
+    cells = max(BLOCK, 1 << (chars // 40).bit_length())
+    keyed = wide.select(F.col(k).alias("id"), F.col(t).alias("tag"), body(text_col).alias("text"))
     kind = "h1 long, h2 long, id long, place long, more binary"
     if cells <= max_cells:
         held, some_hot = _sketch(keyed.select("text"), cells, window, hot_docs)
@@ -403,8 +414,10 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         anchors = _repeated_anchors(keyed, cells, window, hot_docs)
         some_hot = not anchors.filter("hot").isEmpty()
-        lists = lambda hot: anchors.filter(F.col("hot") == hot).groupBy("id", "tag").agg(F.collect_set("anchor").alias("anchors"))
-        rows = lambda hot: keyed.join(lists(hot), ["id", "tag"]).select("id", "tag", "text", "anchors").mapInArrow(_listed(window), kind)
+        (listed,) = fresh(wide, "anchors")
+        lists = lambda hot: anchors.filter(F.col("hot") == hot).groupBy(F.col("id").alias(k), F.col("tag").alias(t)).agg(F.collect_set("anchor").alias(listed))
+        # all columns, so that this join and the one that takes words out of the texts share one exchange of the texts
+        rows = lambda hot: wide.join(lists(hot), [k, t]).select(k, t, body(text_col), listed, *[c for c in wide.columns if c not in (k, t)]).mapInArrow(_listed(window), kind)
     places = rows(False).withColumn("first", F.min("id").over(Window.partitionBy("h1", "h2"))).filter("id > first").select("id", "place", "more")
     if some_hot:
         often = cut(rows(True))
@@ -435,10 +448,10 @@ def _without(text: bytes, starts, more, window: int) -> tuple[list[bytes], int]:
 
 
 def _with_starts(docs: DataFrame, id_col: str, text_col: str, window: int, max_cells: int, hot_docs: int) -> tuple[DataFrame, str, str]:
-    k, t, starts, more = fresh(docs, "id_key", "tag_key", "starts", "more")
-    doc, tag = _keys(docs, id_col, text_col)
-    found = repeated_places(docs, id_col, text_col, window, max_cells, hot_docs).select(F.col("id").alias(k), F.col("tag").alias(t), F.col("starts").alias(starts), F.col("more").alias(more))
-    return docs.withColumns({k: doc, t: tag}).join(found, [k, t], "left").drop(k, t), starts, more
+    wide, k, t = _wide(docs, id_col, text_col)
+    starts, more = fresh(wide, "starts", "more")
+    found = _places(wide, k, t, text_col, window, max_cells, hot_docs).select(F.col("id").alias(k), F.col("tag").alias(t), F.col("starts").alias(starts), F.col("more").alias(more))
+    return wide.join(found, [k, t], "left").drop(k, t), starts, more
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, max_cells: int = 1 << 26, hot_docs: int = HOT) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from packetloom.sources.pcm_files import PcmFiles
 from packetloom.sources.stream_files import StreamFiles, in_order
 from packetloom.streaming import inband, live
 
-from .proxies import FEW, PACKETS, packets_of, table
+from .proxies import FEW, IDX, PACKETS, packets_of, table
 from .registry import ORACLE_SQL, query
 from .text_queries import PAGES
 
@@ -33,6 +34,18 @@ def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     return live.run_available(stream, f"{folder}/out", f"{folder}/checkpoint", mode)
 
 
+def _tee(spark: SparkSession, stream: DataFrame, part: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]], columns: list[str]) -> DataFrame:
+    """What part finds in the micro-batches of a stream, with the state that it leaves to the next one."""
+    folder = f"{shared_dir(spark)}/tee-{uuid.uuid4().hex}"
+
+    def outputs(batch: DataFrame, before: DataFrame | None) -> tuple[dict[str, DataFrame], DataFrame]:
+        found, state = part(batch, before)
+        return {"found": found}, state
+
+    live.tee(stream, outputs, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out/found").select(*columns)
+
+
 @query(ORACLE_SQL["stream_stats"])
 def streaming_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, live.stream_stats(_stream(spark, sf_dir)), "complete")
@@ -41,7 +54,7 @@ def streaming_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE_SQL["state_changes"])
 def streaming_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir).select("stream_id", "idx", F.col("event_type").alias("value"))
-    return _run(spark, live.state_changes(events), "append")
+    return _tee(spark, events, lambda batch, before: live.changes_in(batch, before, width=IDX), ["stream_id", "idx", "value"])
 
 
 @query(f"""WITH s AS (SELECT stream_id, idx, event_type, keyframe, count(*) FILTER (keyframe) OVER (PARTITION BY stream_id ORDER BY idx) AS n FROM {PACKETS})
@@ -49,7 +62,7 @@ def streaming_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete packets only: the last of each stream stays open."""
     p = _stream(spark, sf_dir).select("stream_id", "idx", F.col("keyframe").alias("start"), F.col("event_type").alias("payload"))
-    return _run(spark, live.reassemble(p, wait_ms=None), "append")
+    return _tee(spark, p, lambda batch, before: live.packets_in(batch, before, width=IDX), ["stream_id", "idx", "parts", "payload"])
 
 
 @query("""WITH p AS (SELECT vec_id, [CAST(greatest(least(floor(x::DOUBLE * 32767 + 0.5), 32767), -32768) AS BIGINT) for x in embedding] AS p FROM embeddings)
@@ -70,7 +83,7 @@ def wav_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_new_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as a live list that is polled at each event, and shows it alone: what came between has left the list."""
     p = _stream(spark, sf_dir).select(F.col("stream_id").cast("string").alias("source"), F.col("idx").alias("poll"), F.col("idx").alias("seq"), F.col("event_type").alias("uri"))
-    return _run(spark, live.new_segments(p), "append")
+    return _tee(spark, p, lambda batch, before: live.segments_in(batch, before, IDX), ["source", "poll", "seq", "uri", "late"])
 
 
 # --- live lists as a source -----------------------------------------------------------------------------------

@@ -1,6 +1,8 @@
 """Live sources as Structured Streaming queries.
 
-State is kept by key and small: an open packet, the last value, the last sequence number of a list."""
+State is kept by key and small: an open packet, the last value, the last sequence number of a list. state_changes, reassemble and new_segments are streams for any sink and take a stream's part of a
+micro-batch in one task. changes_in, packets_in and segments_in give the same rows as outputs of tee: there a micro-batch is a table, a stream in it is scanned in blocks by many tasks, and what
+was open before is a row ahead of its stream."""
 
 from __future__ import annotations
 
@@ -8,12 +10,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packetloom.operators import merge
 from packetloom.operators import packets as P
+from packetloom.operators import scan
 
 
 def with_rocksdb(spark: SparkSession) -> None:
@@ -135,6 +138,51 @@ def tee(stream: DataFrame, outputs: Callable[[DataFrame, DataFrame | None], tupl
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
 
 
+def _behind(rows: DataFrame, state: DataFrame | None, order: str) -> DataFrame:
+    """rows, of a batch, behind what the batches before left of their streams: `__at` is the order, `__new` tells them apart. Rows whose order is NULL stand with the first of the batch."""
+    first = rows.agg(F.min(order)).first()[0] or 0
+    out = rows.withColumns({"__at": F.coalesce(F.col(order).cast("long"), F.lit(first)), "__new": F.lit(True)})
+    return out if state is None else out.unionByName(state.withColumns({"__at": F.lit(first - 1).cast("long"), "__new": F.lit(False)}))
+
+
+def changes_in(batch: DataFrame, before: DataFrame | None, key: str = "stream_id", width: scan.Width | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of a batch (key, idx, value): the rows whose value differs from the one before in their stream, in the order of idx, at equal ones of value; the first row of a stream always does. And each
+    stream's last row."""
+    rows = _behind(batch.select(key, "idx", "value"), before, "idx")
+    seen = scan.lag(rows, [key], "__at", {"__v": F.struct("value")}, width, ["value"])
+    changed = seen.filter(F.col("__new") & ~F.col("__v").eqNullSafe(F.struct("value"))).select(key, "idx", "value")
+    last = F.max(F.struct("__at", "value", "idx")).alias("__l")
+    return changed, rows.groupBy(key).agg(last).select(key, "__l.idx", "__l.value")
+
+
+def packets_in(batch: DataFrame, before: DataFrame | None, key: str = "stream_id", width: scan.Width | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of a batch (key, idx, start, payload), the packets (key, idx, parts, payload) that the next one's start completes; what comes before a stream's first start is dropped. And the packets still
+    open, one a stream. Only the parts of one packet meet in a task. A NULL start is none, a NULL payload empty."""
+    rows = batch.select(key, "idx", F.coalesce("start", F.lit(False)).alias("start"), F.coalesce("payload", F.lit("")).alias("payload"), F.lit(1).cast("long").alias("parts"))
+    rows = _behind(rows, None if before is None else before.withColumn("start", F.lit(True)), "idx")
+    opens = F.col("start").cast("long")
+    placed = scan.run(rows, [key], "__at", {"__n": scan.Sum(opens, inclusive=True), "__next": scan.Next(F.when(F.col("start"), F.lit(True)), inclusive=False)}, width, ["start", "payload"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("__at", "start", "payload"))), lambda x: x["payload"])
+    whole = placed.filter("__n > 0").groupBy(key, "__n").agg(
+        F.max(F.when(F.col("start"), F.col("idx"))).alias("idx"), F.sum("parts").alias("parts"), F.array_join(parts, "").alias("payload"), F.count_if(F.col("__next").isNull()).alias("__open")
+    )
+    # of the parts of an open packet none has a start behind it
+    return tuple(whole.filter(c).select(key, "idx", "parts", "payload") for c in ("__open = 0", "__open > 0"))
+
+
+def segments_in(batch: DataFrame, before: DataFrame | None, width: scan.Width | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of a batch (source, poll, seq, uri), the segments that new_segments finds, and each source's last poll (source, poll, top). A poll has seen its list up to the greatest number, so what is new in
+    the next one needs this number alone."""
+    polls = _behind(batch.groupBy("source", "poll").agg(F.max("seq").alias("top")), before, "poll")
+    known = scan.lag(polls, ["source"], "__at", {"__seen": F.col("top")}, width).filter("__new")
+    anew = F.col("__seen").isNull() | (F.col("top") < F.col("__seen"))
+    rows = batch.join(known.select("source", "poll", "__seen", anew.alias("__anew")), ["source", "poll"]).filter(F.col("__anew") | (F.col("seq") > F.col("__seen")))
+    nth = F.row_number().over(Window.partitionBy("source", "poll").orderBy("seq", "uri"))  # one list, as it was shown at once
+    late = ~F.col("__anew") & (nth == 1) & (F.col("seq") > F.col("__seen") + 1)
+    last = F.max(F.struct("__at", "poll", "top")).alias("__l")
+    return rows.select("source", "poll", "seq", "uri", late.alias("late")), polls.groupBy("source").agg(last).select("source", "__l.poll", "__l.top")
+
+
 def window_events(segments: DataFrame, before: DataFrame | None, keys: Sequence[str], width: int) -> tuple[DataFrame, DataFrame]:
     """Of the segments that lists show now (keys, seq, discontinuity, program_us, duration_us), and the windows known before: the lists whose time that can be sought has changed, with its start and end,
     and the windows that are known now. A list that isn't shown keeps its window; one that can't be sought has no event."""

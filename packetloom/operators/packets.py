@@ -104,9 +104,12 @@ def trim_pre_skip(packets: DataFrame, samples: int) -> DataFrame:
     return before.withColumn("data", F.when(cut_ > 0, left).otherwise(F.col("data"))).filter(F.size("data") > 0).drop("__n")
 
 
-def clamp_last(packets: DataFrame, streams: DataFrame) -> DataFrame:
-    """Durations that overshoot their stream's pts_end end there."""
-    ended = packets.join(streams.select("stream_id", "pts_end"), "stream_id", "left")
+def clamp_last(packets: DataFrame, streams: DataFrame | None = None) -> DataFrame:
+    """Durations that overshoot their stream's pts_end end there. Without streams that is its last pts, which a scan carries, so no join meets a hot stream; there packets without a stream are one."""
+    if streams is None:
+        ended = scan.run(packets, ["stream_id"], "idx", {"pts_end": scan.Top(F.col("pts"))}, WIDTH)
+    else:
+        ended = packets.join(streams.select("stream_id", "pts_end"), "stream_id", "left")
     over = F.col("pts") + F.col("duration") > F.col("pts_end")
     return ended.withColumn("duration", F.when(over, F.greatest(F.col("pts_end") - F.col("pts"), F.lit(0))).otherwise(F.col("duration"))).drop("pts_end")
 

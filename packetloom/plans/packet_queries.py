@@ -259,7 +259,7 @@ def skip_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT stream_id, idx, CASE WHEN pts + d > pts_end THEN greatest(pts_end - pts, 0) ELSE d END AS duration FROM (SELECT stream_id, idx, pts, duration * 1000000 AS d FROM {PACKETS}) JOIN e USING (stream_id)""")
 def last_packet_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _long(spark, sf_dir)
-    return P.clamp_last(p, p.groupBy("stream_id").agg(F.max("pts").alias("pts_end"))).select("stream_id", "idx", "duration")
+    return P.clamp_last(p).select("stream_id", "idx", "duration")
 
 
 @query(f"""SELECT stream_id, idx FROM {PACKETS} p JOIN (SELECT stream_id, min(idx) AS f FROM {PACKETS} WHERE keyframe GROUP BY stream_id) USING (stream_id) WHERE idx >= f""")

@@ -72,3 +72,13 @@ def test_seek_index_joins_no_table_of_streams(spark):
     rows = {(r.stream_id, r.t): (r.seek_idx, r.start_idx, r.decode_from) for r in got.collect()}
     assert rows == {(1, 550): (5, 4, 371), (1, 0): (0, 0, 1), (2, 5000): (19, 16, 1572), (2, None): (None, None, None), (3, 7): (None, None, None), (None, 7): (None, None, None)}
     assert "LeftOuter" not in plan_of(got)
+
+
+def test_durations_end_with_their_stream(spark):
+    p = spark.createDataFrame([(s, k, 100 * k, 150 + s) for s in (1, 2) for k in range(5)] + [(3, 0, None, 9), (None, 0, 5, 9)], "stream_id long, idx long, pts long, duration long")
+    got = packets.clamp_last(p)
+    rows = {(r.stream_id, r.idx): r.duration for r in got.collect()}
+    assert got.columns == p.columns
+    assert rows == {(s, k): min(150 + s, 400 - 100 * k) for s in (1, 2) for k in range(5)} | {(3, 0): 9, (None, 0): 0}
+    ends = p.groupBy("stream_id").agg(F.max("pts").alias("pts_end"))
+    assert {(r.stream_id, r.idx): r.duration for r in packets.clamp_last(p, ends).collect()} == rows | {(None, 0): 9}

@@ -95,7 +95,7 @@ def _poll_lists(spark: SparkSession, sf_dir: str, start: str, step: int, window:
     folder = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     host = F.regexp_extract("url", "^https?://([^/]*)", 1)
     p = table(spark, sf_dir, "pages").withColumn("host", F.concat(host, F.lit("-"), F.floor(F.col("page_id") / PAGES).cast("string")))
-    p = p.withColumn("ord", F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1)  # PAGES at most
+    p = p.withColumn("ord", (F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1).cast("long"))  # PAGES at most; long, as their microseconds are
     gone = lambda n: F.when(F.col("page_id") % 4 == 0, n).otherwise(0)
     p = p.withColumn("gone", F.coalesce(F.sum(gone(1)).over(Window.partitionBy("host").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     date = F.concat(F.lit("#EXT-X-PROGRAM-DATE-TIME:"), F.date_format(F.timestamp_micros(F.col("ord") * 6_500_000), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("\n"))

@@ -160,7 +160,7 @@ def pcm_file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
     for source in (StreamFiles, PcmFiles):
         spark.dataSource.register(source)
-    in_order(pieces, "source", "idx").write.format("stream_files").option("path", folder).mode("append").save()
+    in_order(pieces, "source", "idx", whole=True).write.format("stream_files").option("path", folder).mode("append").save()
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     got = spark.read.format("pcm").options(path=folder, packet_bytes="32").load().filter("pts >= 8 and pts < 24")
     total = F.aggregate(S.decode_pcm(F.col("payload"), "s16le"), F.lit(0.0), lambda a, x: a + x).cast("long")

@@ -34,9 +34,11 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, int, int, int, int, str]] = field(default_factory=list)
 
 
-def in_order(packets: DataFrame, source: str, idx: str, parts: int | None = None) -> DataFrame:
-    """packets sorted by source and idx over the whole table, so that neighbours share a task and a large stream is cut into ranges."""
-    spread = packets.repartitionByRange(source, idx) if parts is None else packets.repartitionByRange(parts, source, idx)
+def in_order(packets: DataFrame, source: str, idx: str, parts: int | None = None, whole: bool = False) -> DataFrame:
+    """packets sorted by source and idx over the whole table, so that neighbours share a task and a large stream is cut into ranges. whole: no stream is cut, so each is one file, as readers of headers
+    need it; for streams that one task can write."""
+    by = [source] if whole else [source, idx]
+    spread = packets.repartitionByRange(*by) if parts is None else packets.repartitionByRange(parts, *by)
     return spread.sortWithinPartitions(source, idx)
 
 

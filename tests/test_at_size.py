@@ -23,3 +23,16 @@ def test_clock_of_a_host_with_many_pages(spark, tmp_path, name):
     """The 331st segment of a list begins after 2**31 microseconds."""
     duckdb.sql(f"COPY (SELECT i AS page_id, 'https://a.example/' || i AS url, '' AS html FROM range(0, 340) AS r(i)) TO '{tmp_path}/pages.parquet'")
     same(spark, tmp_path, name, ["pages"])
+
+
+def test_files_are_not_cut_between_partitions(spark, tmp_path):
+    duckdb.sql(f"COPY (SELECT i AS vec_id, [sin(i * 64 + k)::FLOAT for k in range(0, 64)] AS embedding FROM range(0, 300) AS r(i)) TO '{tmp_path}/embeddings.parquet'")
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        same(spark, tmp_path, "pcm_file_ranges", ["embeddings"])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

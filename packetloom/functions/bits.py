@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,6 +125,23 @@ def lace_sizes(payload: Column, kind: Column) -> Column:
     return of(payload, kind.cast("int"))
 
 
+def sums_before(values: Column) -> Column:
+    """Of an array of bigint, for each element the sum of those before it; NULL counts as 0, a NULL array stays."""
+
+    @F.arrow_udf("array<bigint>")
+    def of(lists: pa.Array) -> pa.Array:
+        own = lists.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        before = np.cumsum(own) - own  # of the whole batch, then less what stood before the row
+        starts = np.concatenate([[0], ends[:-1]])
+        first = np.append(before, 0)[starts]
+        before -= np.repeat(first, ends - starts)
+        offsets = pa.array(np.concatenate([starts, ends[-1:]]).astype(np.int32), mask=np.append(np.array(lists.is_null()), False))
+        return pa.ListArray.from_arrays(offsets, pa.array(before, pa.int64()))
+
+    return of(values)
+
+
 def write_laces(sizes: Column, kind: Column) -> Column:
     """The bytes before the frames, in hexadecimal; sizes is an array of bigint of 1 to 256."""
     byte = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
@@ -139,6 +157,7 @@ def write_laces(sizes: Column, kind: Column) -> Column:
         return out
 
     most = F.slice(sizes, 1, F.size(sizes) - 1)
-    steps = F.transform(most, lambda x, i: F.when(i == 0, ebml(x, False)).otherwise(ebml(x - F.get(most, F.when(i == 0, 0).otherwise(i - 1)), True)))
+    moved = F.transform(most, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(sizes, i - 1)))  # of sizes itself: a slice in a lambda would be cut anew for each element
+    steps = F.transform(moved, lambda x, i: F.when(i == 0, ebml(x, False)).otherwise(ebml(x, True)))
     head = byte(F.size(sizes) - 1)
     return F.when(kind == NONE, "").when(kind == FIXED, head).when(kind == XIPH, F.concat(head, F.array_join(F.transform(most, runs), ""))).otherwise(F.concat(head, F.array_join(steps, "")))

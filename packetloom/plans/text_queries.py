@@ -94,7 +94,7 @@ def lacing_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of whole texts as frames, 200 a block, laced in each of four ways and read back from the blocks' bytes."""
     words = F.split(F.coalesce("text", F.lit("")), " ")
     d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    b = d.select("doc_id", "w", F.explode(F.expr("sequence(0, (size(w) + 199) div 200 - 1)")).alias("block")).select("doc_id", F.col("block").cast("long").alias("block"), F.slice("w", F.col("block").cast("int") * 200 + 1, 200).alias("w"))
+    b = d.select("doc_id", F.posexplode(F.expr("transform(sequence(0, (size(w) + 199) div 200 - 1), k -> slice(w, CAST(k AS INT) * 200 + 1, 200))")).alias("block", "w")).withColumn("block", F.col("block").cast("long"))
     b = b.withColumns({"kind": ((F.col("doc_id") + F.col("block")) % 4).cast("int"), "sizes": F.transform("w", lambda x: F.octet_length(x).cast("long"))})
     frames = F.when(F.col("kind") == 2, F.repeat(F.lit("414243"), F.size("w"))).otherwise(F.hex(F.encode(F.array_join("w", ""), "UTF-8")))
     b = b.select("doc_id", "block", "kind", F.unhex(F.concat(bits.write_laces(F.col("sizes"), F.col("kind")), frames)).alias("payload"))

@@ -67,11 +67,12 @@ def edit_list(edits: DataFrame, keys: Sequence[str], order: str, media_scale: in
 
 
 def lacing(blocks: DataFrame, keys: Sequence[str], order: str, sizes: str, position: str, width: int = WIDTH) -> DataFrame:
-    """A packet for each of a block's sizes, with its position: that of the block plus the sizes before. A block is one row,
-    named by keys and order; its sizes are summed once, however many they are."""
-    out = blocks.select("*", F.posexplode(sizes).alias("lace", "size")).drop(sizes)
-    out = scan.running_sum(out, list(dict.fromkeys([*keys, order])), "lace", F.col("size"), "__before", width)
-    return out.withColumn("position", F.col(position) + F.col("__before")).drop("__before")
+    """A packet for each of a block's sizes, with its position: that of the block plus the sizes before. A block is one row, named by keys and order, and so are its sizes: they are summed where
+    the row is, and nothing is shuffled, whatever the width."""
+    laced = F.arrays_zip(F.col(sizes).alias("size"), bits.sums_before(F.col(sizes)).alias("before"))
+    rest = [c for c in blocks.columns if c not in (sizes, "position")]
+    out = blocks.select(*rest, F.col(position).alias("__start"), laced.alias("__laced")).select(*rest, "__start", F.posexplode("__laced").alias("lace", "__l"))
+    return out.select(*rest, "lace", F.col("__l")["size"].alias("size"), (F.col("__start") + F.col("__l")["before"]).alias("position"))
 
 
 def coded_lacing(blocks: DataFrame, keys: Sequence[str], order: str, payload: str, kind: str, width: int = WIDTH) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from packetloom.functions import bits
 from packetloom.plans import ORACLE_SQL, QUERIES
 
 
@@ -36,3 +38,18 @@ def test_files_are_not_cut_between_partitions(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["lacing_expand", "lacing_coded"])
+def test_laces_are_summed_in_their_row(spark, tmp_path, name):
+    """Blocks of thousands of frames, of one, of none and of a NULL text, without a shuffle."""
+    duckdb.sql(f"""COPY (SELECT * FROM (VALUES (1, repeat('ab cdefg h ', 3000)), (2, NULL), (3, ''), (4, repeat('x', 1000) || ' y ' || repeat('zz', 400)), (5, ' '), (6, repeat('é ', 500))) AS t(doc_id, text))
+        TO '{tmp_path}/documents.parquet'""")
+    same(spark, tmp_path, name, ["documents"])
+    assert "Exchange" not in QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_before(spark):
+    lists = [[3, None, 4], None, [], [5], [None, 2, 1]]
+    rows = spark.createDataFrame([(x,) for x in lists], "v array<bigint>").coalesce(1).select(bits.sums_before(F.col("v")).alias("s")).collect()
+    assert [r.s for r in rows] == [[0, 3, 3], None, [], [0], [0, 0, 2]]

@@ -25,7 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are 0.8 alike, the smallest id. Texts without words are one group; rows with a null id stay; rows that share an id stay or go
+    """One document of each group whose sets of five-word shingles are 0.8 alike, the smallest id. Fingerprints propose pairs, by the operator's pigeonhole links, minima of the sets those that
+    fingerprints miss; the sets decide. Texts without words are one group; rows with a null id stay; rows that share an id stay or go
     together; other columns are left alone; no rows give none."""
     return simhash.near_dedup(docs, shingle=5, similarity=0.8)
 

@@ -33,6 +33,8 @@ from .components import components
 
 BITS = 64
 SEED = 42
+#: Words of a fingerprint's shingle, and in how many bits linked fingerprints differ at most.
+WORDS, MAX_BITS = 3, 3
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 14
 
@@ -371,7 +373,7 @@ def _signed(mask: int) -> int:
 # --- operators ------------------------------------------------------------------------------------------------
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row for each of docs: id_col, fingerprint (16 hex digits), component_id (the smallest id reachable by links,
     its own included). Null and empty texts have the fingerprint 0. A null id counts for no component: its row gets
     the component of its fingerprint if that has an id, else null. Rows may repeat. Other columns are not read. No rows give none."""
@@ -613,9 +615,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
     return both.mapInArrow(run, "a long, b long")
 
 
+def fingerprint_pairs(sets: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """sets: node, n, fp. Pairs a < b of nodes with words that span the components of all whose fingerprints differ in max_bits bits or fewer: each with the least
+    of its fingerprint, and these by the links of fingerprints."""
+    spark = sets.sparkSession
+    worded = sets.filter("n > 0").select("node", "fp")
+    prints = cut(worded.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("rows")))
+    if not prints.head(1):
+        return spark.createDataFrame([], "a long, b long")
+    same = lookup_join(worded, prints, "fp", "rows", worded.count()).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    linked = link(prints.select("fp", F.col("first").alias("node")), max_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return same.unionByName(linked).filter("a < b")
+
+
 def near_pairs(sets: DataFrame, docs: DataFrame, shingle: int, similarity: float, bucket_rows: int = 20000) -> DataFrame:
-    """sets: node (an id), n, keys, least; docs: id, text. Returns verified pairs a, b that span the components of all pairs of nodes
-    that share a key and are near.
+    """sets: node (an id), n, keys, least, fp; docs: id, text. Returns verified pairs a, b that span the components of all pairs of nodes
+    that share a key and are near, with those that `fingerprint_pairs` proposes.
 
     The first rows of each bucket are paired with all its others. What these links leave apart in larger buckets meets there with its sets
     of shingles, as 64-bit hashes, and gives a spanning forest: no more links than rows, whatever a bucket's size. Pairs of whose
@@ -627,7 +642,8 @@ def near_pairs(sets: DataFrame, docs: DataFrame, shingle: int, similarity: float
     low = sets.select("node", "least")
     first = found.filter("key is null").select("a", "b").distinct()
     first = first.join(low.select(F.col("node").alias("a"), F.col("least").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("least").alias("y")), "b")
-    seen = cut(first.select("a", "b", "x", "y").mapInArrow(_likely(similarity, minima), "a long, b long"))
+    likely = first.select("a", "b", "x", "y").mapInArrow(_likely(similarity, minima), "a long, b long")
+    seen = cut(fingerprint_pairs(sets).unionByName(likely).distinct())
     links = cut(_verified(seen, docs, shingle, similarity))
     every = found.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("n"))
     if not every.head(1):
@@ -653,14 +669,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one document of each group of near-duplicates: the smallest id; columns as they are.
 
     Near: a Jaccard similarity of `similarity` or more of the sets of `shingle`-word shingles, which the texts are verified by.
-    Groups are the components of near pairs. Pairs that share one of BANDS keys of minima of their sets are verified: of pairs
+    Groups are the components of near pairs. Pairs are proposed by their fingerprints, as near_components links them, and verified by their sets. Fingerprints alone miss most pairs at the
+    similarity itself, so pairs that share one of BANDS keys of minima of their sets are verified too: of pairs
     at the similarity itself no more than MISSED are not, of those above fewer, whether words are changed, added or cut.
     Texts without words are one group; rows with a null id stay; rows with the same id all stay if one of them does. The ids that
     go, fewer than those that stay, are broadcast if Spark finds them small; else rows and ids are shuffled."""
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("text"))
-    known = cut(texts.select("id", _set_column("text", shingle, _minima_for(similarity)).alias("s")).select("id", "s.*"))
-    sets = known.groupBy("d").agg(F.min(F.struct("id", "n", "keys", "least")).alias("m"), F.count(F.lit(1)).alias("copies"))
-    sets = cut(sets.select("d", F.col("m.id").alias("node"), "m.n", "m.keys", "m.least", "copies"))
+    known = cut(texts.select("id", fingerprint_column("text", WORDS).alias("fp"), _set_column("text", shingle, _minima_for(similarity)).alias("s")).select("id", "fp", "s.*"))
+    sets = known.groupBy("d").agg(F.min(F.struct("id", "n", "keys", "least", "fp")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    sets = cut(sets.select("d", F.col("m.id").alias("node"), "m.n", "m.keys", "m.least", "m.fp", "copies"))
     if not sets.head(1):
         return docs
     found = components(near_pairs(sets, texts, shingle, similarity)).select("node", "component")

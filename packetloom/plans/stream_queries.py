@@ -192,11 +192,12 @@ def inband_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length("b") / INTERVAL).cast("int")), piece)
     coded = d.filter("octet_length(b) > 0").select("stream_id", F.octet_length("b").alias("n"), F.unhex(F.array_join(pieces, "")).alias("c"))
     n = F.ceil(F.octet_length("c") / CHUNK).cast("int")
-    chunks = coded.select("stream_id", "n", "c", F.explode(F.sequence(F.lit(0), n - 1)).alias("idx"))
-    chunks = chunks.select("stream_id", "n", F.col("idx").cast("long").alias("idx"), F.substring("c", F.col("idx") * CHUNK + 1, F.lit(CHUNK)).alias("payload"))
+    cut_ = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(F.col("c"), k * CHUNK + 1, F.lit(CHUNK)))
+    chunks = coded.select("stream_id", "n", F.posexplode(cut_).alias("idx", "payload")).withColumn("idx", F.col("idx").cast("long"))
     folder = f"{shared_dir(spark)}/inband-{uuid.uuid4().hex}"
-    chunks.repartition(3, F.xxhash64("stream_id", "idx")).write.parquet(f"{folder}/chunks")
-    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/chunks")
+    each = spark.sparkContext.defaultParallelism  # files of a third of the chunks
+    chunks.repartition(3 * each, F.xxhash64("stream_id", "idx")).write.parquet(f"{folder}/chunks")
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2 * each).parquet(f"{folder}/chunks")
     found = live.run_available(inband.split(stream, INTERVAL), f"{folder}/out", f"{folder}/checkpoint", "append")
     sizes = d.select("stream_id", F.octet_length("b").cast("long").alias("n"))
     return found.filter("title is not null").join(sizes, "stream_id").select("stream_id", "position", "title", "n")

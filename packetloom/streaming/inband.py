@@ -6,17 +6,21 @@ given up: the stream counts as connected anew, as it does for a server, so the n
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from packetloom.streaming.live import with_rocksdb
 
-#: What a stream stands at before its first chunk: next chunk, bytes of sound so far, bytes up to the next length byte, bytes that a text still lacks, and what has come of it.
-STATE = "next long, position long, left int, lacks int, held binary"
+#: What a stream stands at before its first chunk: next chunk, bytes of sound so far, bytes up to the next length byte, bytes that a text still lacks, and what has come of it; last, in
+#: how many groups chunks wait, and those that wait here.
+STATE = "next long, position long, left int, lacks int, held binary, groups long, near binary"
 UNIT = 16
+#: Chunks that are taken at once, numbers of a group of waiting ones, and what stands before each of these: its number and length.
+PART, GROUP, HEAD = 256, 64, struct.Struct("<qI")
 
 
 class Cycle:
@@ -56,6 +60,20 @@ class Cycle:
         return texts, sound
 
 
+def _packed(chunks: dict[int, bytes]) -> bytes:
+    return b"".join(HEAD.pack(idx, len(payload)) + payload for idx, payload in chunks.items())
+
+
+def _unpacked(packed: bytes) -> dict[int, bytes]:
+    out, at, packed = {}, 0, bytes(packed)
+    while at < len(packed):
+        idx, n = HEAD.unpack_from(packed, at)
+        at += HEAD.size
+        out[idx] = packed[at : at + n]
+        at += n
+    return out
+
+
 def title(text: bytes) -> str | None:
     """The value of StreamTitle, up to the last quote before a semicolon or the end; None if there is none."""
     said = text.rstrip(b"\0").decode("utf-8", "replace")
@@ -65,63 +83,91 @@ def title(text: bytes) -> str | None:
 
 
 class _Processor(StatefulProcessor):
+    """Chunks are taken PART at a time. Up to GROUP of those before their turn are kept in the stream's own entry; more, in groups of GROUP numbers, an entry each, and the stream's own tells how many of
+    these there are: a call to the store costs far more than a chunk, so none is made for each."""
+
     def __init__(self, interval: int, sound: bool, wait_ms: int | None):
         self.interval, self.sound, self.wait_ms = interval, sound, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.at = handle.getValueState("at", STATE)
-        self.waiting = handle.getMapState("waiting", "idx long", "payload binary")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self.at.get() if self.at.exists() else None
-        cycle = Cycle(self.interval, state)
-        early = self.waiting.exists()
-        for frame in rows:
-            for idx, payload in sorted(zip(frame["idx"].tolist(), frame["payload"].tolist()), key=lambda x: x[0]):
-                if idx == cycle.next:
-                    yield from self._rows(key, cycle, payload)
-                elif idx > cycle.next:
-                    self.waiting.updateValue((idx,), (payload,))
-                    early = True
-            if early:
-                yield from self._drain(key, cycle)
-        self.at.update(cycle.state())
-        if self.wait_ms is not None and early:
+        self.waiting = handle.getMapState("waiting", "part long", "chunks binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        cycle = self._open()
+        while part := list(islice(rows, PART)):
+            fresh: dict[int, bytes] = {}
+            for r in part:
+                if r.idx is not None:
+                    fresh.setdefault(r.idx, bytes(r.payload or b""))
+            yield from self._go(key, cycle, fresh)
+        self._close(cycle)
+        if self.wait_ms is not None and (self.groups or self.near):
             self._set_timer(timerValues)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.waiting.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        cycle = self._open()
+        if not self.groups and not self.near:
             return
-        cycle = Cycle(self.interval, self.at.get())
-        first = min(k[0] for k in self.waiting.keys())
-        cycle.again(first)
-        yield pd.DataFrame({"stream_id": [key[0]], "position": [cycle.position], "title": [None], "sound": [None], "lost": [True]})
-        yield from self._drain(key, cycle)
-        self.at.update(cycle.state())
-        if self.waiting.exists():
+        known = list(self.near)
+        if self.groups:
+            known += _unpacked(self.waiting.getValue((min(k[0] for k in self.waiting.keys()),))[0])
+        cycle.again(min(known))
+        yield self._row(key, cycle.position, lost=True)
+        yield from self._go(key, cycle, {})
+        self._close(cycle)
+        if self.groups or self.near:
             self._set_timer(timerValues)
 
+    def _open(self) -> Cycle:
+        state = self.at.get()
+        self.groups, self.near = (state[5], _unpacked(state[6])) if state else (0, {})
+        return Cycle(self.interval, state[:5] if state else None)
+
+    def _close(self, cycle: Cycle) -> None:
+        self.at.update((*cycle.state(), self.groups, _packed(self.near)))
+
     def _set_timer(self, timerValues) -> None:
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old if isinstance(old, int) else old[0])
-        if self.waiting.exists():
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-
-    def _drain(self, key, cycle: Cycle) -> Iterator[pd.DataFrame]:
-        while self.waiting.containsKey((cycle.next,)):
-            idx = cycle.next
-            payload = self.waiting.getValue((idx,))[0]
-            self.waiting.removeKey((idx,))
-            yield from self._rows(key, cycle, payload)
-
-    def _rows(self, key, cycle: Cycle, payload: bytes) -> Iterator[pd.DataFrame]:
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def _go(self, key, cycle: Cycle, ahead: dict[int, bytes]) -> Iterator[Row]:
+        """Take what follows without a gap, of these chunks and of those that wait, and keep the rest."""
+        ahead, self.near, looked = {**ahead, **self.near}, {}, None
+        while True:
+            if self.groups and looked != cycle.next // GROUP:
+                looked = cycle.next // GROUP
+                if held := self.waiting.getValue((looked,)):
+                    self.waiting.removeKey((looked,))
+                    self.groups -= 1
+                    ahead = {**ahead, **_unpacked(held[0])}
+            if cycle.next not in ahead:
+                break
+            yield from self._rows(key, cycle, ahead.pop(cycle.next))
+        ahead = {idx: payload for idx, payload in ahead.items() if idx > cycle.next}
+        if len(ahead) <= GROUP:
+            self.near = ahead
+            return
+        rest: dict[int, dict[int, bytes]] = {}
+        for idx, payload in ahead.items():
+            rest.setdefault(idx // GROUP, {})[idx] = payload
+        for group, chunks in rest.items():
+            held = self.waiting.getValue((group,)) if self.groups else None
+            self.groups += held is None
+            self.waiting.updateValue((group,), (_packed({**chunks, **_unpacked(held[0])} if held else chunks),))
+
+    def _row(self, key, position: int, title: str | None = None, sound: bytes | None = None, lost: bool = False) -> Row:
+        return Row(stream_id=key[0], position=position, title=title, sound=sound, lost=lost)
+
+    def _rows(self, key, cycle: Cycle, payload: bytes) -> Iterator[Row]:
         before = cycle.position
-        texts, sound = cycle.take(bytes(payload or b""))
-        if texts:
-            yield pd.DataFrame({"stream_id": [key[0]] * len(texts), "position": [p for p, _ in texts], "title": [title(t) for _, t in texts], "sound": [None] * len(texts), "lost": [False] * len(texts)})
+        texts, sound = cycle.take(payload)
+        for position, text in texts:
+            yield self._row(key, position, title(text))
         if self.sound and sound:
-            yield pd.DataFrame({"stream_id": [key[0]], "position": [before], "title": [None], "sound": [b"".join(sound)], "lost": [False]})
+            yield self._row(key, before, sound=b"".join(sound))
 
     def close(self) -> None:
         pass
@@ -135,4 +181,4 @@ def split(chunks: DataFrame, interval: int, sound: bool = False, wait_ms: int |
     plain = chunks.select("stream_id", "idx", "payload")
     mode = "None" if wait_ms is None else "ProcessingTime"
     out = f"stream_id {kind}, position long, title string, sound binary, lost boolean"
-    return plain.groupBy("stream_id").transformWithStateInPandas(_Processor(interval, sound, wait_ms), out, "Append", mode)
+    return plain.groupBy("stream_id").transformWithState(_Processor(interval, sound, wait_ms), out, "Append", mode)

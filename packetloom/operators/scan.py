@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,7 +91,7 @@ Width = int | Pieces
 
 #: Fractions of the rows between which widths may differ, with ever smaller ones at both ends; how exact they are; and how many times its rows a block may hold before widths differ.
 QUANTILES = [*(2.0**-k for k in range(15, 7, -1)), *(k / 128 for k in range(1, 128)), *(1 - 2.0**-k for k in range(8, 16))]
-ACCURACY, DENSE, SPAN, TOP = 50_000, 4, 1 << 44, 16
+ACCURACY, DENSE, SPAN = 50_000, 4, 1 << 44
 
 
 def width_for(df: DataFrame, order: str, rows: int = ROWS) -> Width:
@@ -116,18 +118,20 @@ def width_for(df: DataFrame, order: str, rows: int = ROWS) -> Width:
 
 
 def block_of(order: Column, width: Width) -> Column:
-    """The number of the block; it rises with the order."""
+    """The number of the block; it rises with the order. Among pieces it is found by binary search, a batch at a time."""
     if isinstance(width, int):
         return floor_div(order, width)
-    borders = list(width.borders)
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    groups = [borders[k : k + TOP] for k in range(0, len(borders), TOP)]
-    below = lambda xs: F.size(F.filter(xs, lambda x: x <= order))
-    group = F.greatest(below(longs(g[0] for g in groups)) - 1, F.lit(0))
-    piece = group * TOP + below(F.element_at(F.array(*[longs(g) for g in groups]), group + 1))
-    start = F.element_at(longs([borders[0], *borders]), piece + 1)  # the first piece is counted back from its end
-    inside = floor_div(order - start, F.element_at(longs(width.widths), piece + 1))
-    return piece.cast("long") * SPAN + F.greatest(F.least(inside, F.lit(SPAN - 1)), F.when(piece > 0, 0).otherwise(-SPAN).cast("long"))
+    borders, widths = np.array(width.borders, np.int64), np.array(width.widths, np.int64)
+    starts = np.append(borders[:1], borders)  # the first piece is counted back from its end
+
+    @F.arrow_udf("long")
+    def of(values: pa.Array) -> pa.Array:
+        x = values.fill_null(0).to_numpy(zero_copy_only=False)
+        piece = np.searchsorted(borders, x, "right")
+        inside = np.minimum((x - starts[piece]) // widths[piece], SPAN - 1)
+        return pa.array(piece * SPAN + np.maximum(inside, np.where(piece > 0, 0, -SPAN)), pa.int64())
+
+    return of(order.cast("long"))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.functions import bits
+from packetloom.operators import scan
 from packetloom.plans import ORACLE_SQL, QUERIES
 
 
@@ -53,3 +54,11 @@ def test_sums_before(spark):
     lists = [[3, None, 4], None, [], [5], [None, 2, 1]]
     rows = spark.createDataFrame([(x,) for x in lists], "v array<bigint>").coalesce(1).select(bits.sums_before(F.col("v")).alias("s")).collect()
     assert [r.s for r in rows] == [[0, 3, 3], None, [], [0], [0, 0, 2]]
+
+
+def test_blocks_of_pieces_are_a_short_expression(spark):
+    """Not one that names every border, several times, for each row."""
+    pieces = scan.Pieces(tuple(range(10_000_001, 10_000_141)), (7,) * 141)
+    rows = spark.range(3).select(scan.block_of(F.col("id") + 10_000_050, pieces).alias("b"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("10000099") == 0
+    assert [r.b for r in rows.orderBy("b").collect()] == [k * scan.SPAN for k in (50, 51, 52)]

@@ -48,14 +48,14 @@ def _in_blocks(df: DataFrame, row: str, levels: Column) -> DataFrame:
 def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
     """All pairs of rows with equal keys whose ranges overlap: structs `l` and `r` of their columns. Rows with a NULL in their keys or range, and empty ranges, overlap nothing.
 
-    Both inputs are read twice, and once for their levels, and should be cheap to read."""
+    Both inputs are read twice, and once for their levels, and should be cheap to read. Neither is broadcast: ranges side by side are files of a few bytes a row, so Spark would take millions of them for small."""
     a, b = _placed(left, "l", keys, *left_range), _placed(right, "r", keys, *right_range)
     found = {side: sorted(r[0] for r in df.select(side).distinct().collect()) for side, df in (("ll", a), ("rl", b))}  # LEVELS at most
     above = lambda levels, own, least: F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: (x > F.col(own)) if least else (x >= F.col(own)))
     on = [*keys, "__level", "__block"]
     met = []
     for one, one_levels, other, other_levels in ((a, F.array("ll"), b, above(found["ll"], "rl", False)), (a, above(found["rl"], "ll", True), b, F.array("rl"))):
-        pairs = _in_blocks(one, "l", one_levels).join(_in_blocks(other, "r", other_levels), on)
+        pairs = _in_blocks(one, "l", one_levels).join(_in_blocks(other, "r", other_levels).hint("merge"), on)
         pairs = pairs.filter((F.col("ls") < F.col("re")) & (F.col("rs") < F.col("le")))
         met.append(pairs.filter(F.col("__block") == floor_div(F.greatest("ls", "rs"), _width(F.col("__level")))).select("l", "r"))
     return met[0].unionByName(met[1])
@@ -65,7 +65,7 @@ def frame_times(frames: DataFrame, packets: DataFrame, keys: Sequence[str], fram
     """frames (keys, `frame`: their order, start, end: bytes of the stream) with `packets`, in how many packets they are, `idx`, the packet in which they begin, and `pts`: the time of
     that packet, for the first frame that begins in it; others have NULL. packets: keys, idx, start, end, pts. A frame in no packet has 0 and NULL."""
     before = scan.settle(scan.lag(frames, keys, frame, {"__before": F.col("start")}, width))
-    met = overlapping(before, packets, keys, ("start", "end"), ("start", "end"))
+    met = overlapping(before.select(*keys, frame, "start", "end", "__before"), packets.select(*keys, "start", "end", "idx", "pts"), keys, ("start", "end"), ("start", "end"))
     begins = (F.col("r.start") <= F.col("l.start")) & (F.col("l.start") < F.col("r.end"))
     fresh = begins & (F.col("l.__before").isNull() | (F.col("l.__before") < F.col("r.start")))
     own = [*keys, frame]

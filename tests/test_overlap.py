@@ -52,3 +52,13 @@ def test_frame_times(spark):
     assert sorted((r.stream, r.frame, r.packets, r.idx, r.pts) for r in got.collect()) == [
         ("s", 0, 1, 0, 100), ("s", 1, 2, 0, None), ("s", 2, 3, 1, 200), ("s", 3, 1, 3, 400), ("s", 4, 2, 3, None), ("s", 5, 1, 4, 500), ("s", 6, 0, None, None), ("t", 0, 0, None, None),
     ]
+
+
+def test_small_files_of_many_ranges_are_not_broadcast(spark, tmp_path):
+    """A few hundred KB of Parquet, which Spark would broadcast by its size, and hold whole in each task."""
+    spark.range(0, 300_000, 1, 4).selectExpr("id % 50 AS key", "id div 50 * 10 AS start", "id div 50 * 10 + 10 AS end").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    got = overlap.overlapping(table, table, ["key"], ("start", "end"), ("start", "end"))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 300_000
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

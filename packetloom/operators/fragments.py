@@ -20,20 +20,15 @@ def samples(tracks: DataFrame, fragments: DataFrame, runs: DataFrame, rows: Data
     told = fragments.join(tracks.select("track", F.col("duration").alias("__td"), F.col("size").alias("__ts")), "track", "left")  # a row a fragment
     told = told.select("track", "fragment", "base", F.coalesce("duration", "__td").alias("__d"), F.coalesce("size", "__ts").alias("__s"))
     run, fragment = ["track", "fragment", "run"], ["track", "fragment"]
-    listed = runs.join(told, fragment)  # a row a run
-    full = rows.join(listed, run).withColumns({"duration": F.coalesce("duration", "__d"), "size": F.coalesce("size", "__s"), "composition": F.coalesce("composition", F.lit(0))})
-    inside = Window.partitionBy(*run).orderBy("ord")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    full = full.withColumns({"__in": F.coalesce(F.sum("size").over(before), F.lit(0)), "__first": F.first("composition").over(inside)})
-    full = scan.settle(full.select(*run, "ord", "duration", "size", "composition", "base", "offset", "__in", "__first"))
-    sized = full.groupBy(*run).agg(F.sum("size").alias("__n"), F.first("base").alias("base"), F.first("offset").alias("offset"))
-    upto = Window.partitionBy(*fragment).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.withColumn("__c", F.coalesce(F.sum("__n").over(upto), F.lit(0)))
-    set_at = F.when(F.col("offset").isNotNull(), F.col("base") + F.col("offset") - F.col("__c"))
-    anchor = F.last(set_at, True).over(Window.partitionBy(*fragment).orderBy("run").rowsBetween(Window.unboundedPreceding, 0))
-    starts = sized.select(*run, (F.coalesce(anchor, "base") + F.col("__c")).alias("__start"))
+    listed = told.join(runs.groupBy(*fragment).agg(F.collect_list(F.struct("run", "offset")).alias("__runs")), fragment)  # still a row a fragment
+    full = rows.join(listed, fragment).withColumn("__run", F.explode(F.filter("__runs", lambda r: r["run"] == F.col("run"))))
+    full = full.withColumns({"duration": F.coalesce("duration", "__d"), "size": F.coalesce("size", "__s"), "composition": F.coalesce("composition", F.lit(0))})
+    # All windows are of a fragment and in one order, so the rows are shuffled and sorted once for all of them.
+    along, inside = Window.partitionBy(*fragment).orderBy("run", "ord"), Window.partitionBy(*run).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    full = full.withColumn("__at", F.coalesce(F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    full = full.withColumns({"__first": F.first("composition").over(inside), "__set": F.col("base") + F.col("__run.offset") - F.first("__at").over(inside)})
+    anchor = F.last("__set", True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    full = full.withColumns({"position": F.coalesce(anchor, "base") + F.col("__at"), "__shift": F.col("composition") - F.col("__first")})
+    full = scan.settle(full.select(*run, "ord", "duration", "size", "position", "__shift"))
     timed = scan.running_sum(full, ["track"], "fragment", F.coalesce("duration", F.lit(0)), "dts", width, ["run", "ord"])
-    out = timed.join(starts, run)
-    return out.select(
-        *run, "ord", "duration", "size", "dts", (F.col("dts") + F.col("composition") - F.col("__first")).alias("pts"), (F.col("__start") + F.col("__in")).alias("position")
-    )
+    return timed.select(*run, "ord", "duration", "size", "dts", (F.col("dts") + F.col("__shift")).alias("pts"), "position")

@@ -62,3 +62,44 @@ def test_blocks_of_pieces_are_a_short_expression(spark):
     rows = spark.range(3).select(scan.block_of(F.col("id") + 10_000_050, pieces).alias("b"))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("10000099") == 0
     assert [r.b for r in rows.orderBy("b").collect()] == [k * scan.SPAN for k in (50, 51, 52)]
+
+
+def _orders(folder, n):
+    """n orders of lines, one of ten of a customer who isn't known, one of twenty without lines; lines of no order, and some twice."""
+    def copy(sql, name):
+        duckdb.sql(f"COPY ({sql}) TO '{folder}/{name}.parquet'")
+
+    copy("SELECT i AS c_custkey, CAST(i % 25 AS INTEGER) AS c_nationkey FROM range(0, 90) AS r(i)", "customer")
+    copy(f"SELECT i AS o_orderkey, i * 7 % 100 AS o_custkey FROM range(0, {n}) AS r(i) UNION ALL SELECT {n}, NULL", "orders")
+    copy(
+        f"""SELECT o AS l_orderkey, k * 31 % 40 AS l_partkey, CAST(k % 5 + 1 AS INTEGER) AS l_linenumber, CASE WHEN k % 9 > 0 THEN k % 11 + 0.5 END AS l_quantity, CASE (o + k) % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'N' WHEN 2 THEN 'R' END AS l_returnflag
+        FROM range(0, {n + 5}) AS r(o), range(0, 8) AS s(k), range(0, 2) AS t(j) WHERE o % 20 > 0 AND (j = 0 OR k % 7 = 0)""",
+        "lineitem",
+    )
+
+
+def test_fragments_of_unknown_tracks_and_runs_that_are_told_in_vain(spark, tmp_path):
+    _orders(tmp_path, 400)
+    same(spark, tmp_path, "fragment_samples", ["customer", "orders", "lineitem"])
+
+
+def test_samples_of_fragments_are_shuffled_three_times(spark, tmp_path):
+    """By order, by fragment and by block of the track; what else is shuffled has a row a fragment or track."""
+    _orders(tmp_path, 2000)
+    context = spark.sparkContext._jsc.sc()
+    store, first = context.statusStore(), context.dagScheduler().nextStageId()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        QUERIES["fragment_samples"](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    context.listenerBus().waitUntilEmpty()
+    shuffled = 0
+    for stage in range(first, context.dagScheduler().nextStageId()):
+        try:
+            shuffled += store.lastStageAttempt(stage).shuffleWriteRecords()
+        except Exception as e:  # stages that were planned and never sent
+            assert "NoSuchElement" in str(e)
+    lines, orders = (spark.read.parquet(f"{tmp_path}/{t}.parquet").count() for t in ("lineitem", "orders"))
+    assert 2 * lines < shuffled < 3 * lines + 9 * orders, (shuffled, lines, orders)
